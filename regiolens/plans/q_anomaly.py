@@ -17,7 +17,7 @@ STAT_COLS = [f"{c}_{k}" for c in M for k in ("zscore", "zscore_anomaly", "iqr_an
                                                 "is_anomaly")]
 
 
-def _stat_ctes() -> str:
+def _stat_ctes(head: str = FACT) -> str:
     fr = f"[{P.quantile_lower}, 0.25, 0.75, {P.quantile_upper}]"
     stats = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), {fr}) AS {c}_q, AVG(CAST({c} AS DOUBLE)) AS {c}_mean, "
                       f"stddev_samp(CAST({c} AS DOUBLE)) AS {c}_std" for c in M)
@@ -32,7 +32,7 @@ def _stat_ctes() -> str:
         sel += [f"{z} AS {c}_zscore", f"{fz} AS {c}_zscore_anomaly", f"{fi} AS {c}_iqr_anomaly",
                 f"{fq} AS {c}_quantile_anomaly",
                 f"(CAST({fz} AS INT) + CAST({fi} AS INT) + CAST({fq} AS INT)) >= 2 AS {c}_is_anomaly"]
-    return f"""{FACT},
+    return f"""{head},
 st AS (SELECT {stats} FROM fact),
 sa0 AS (SELECT f.*, {', '.join(sel)} FROM fact f, st s),
 sa AS (SELECT *, {' OR '.join(f'{c}_is_anomaly' for c in M)} AS has_statistical_anomaly FROM sa0)"""
@@ -122,23 +122,23 @@ def q_geo_districts(spark, sf_dir):
 
 # --- severity ------------------------------------------------------------------------
 
-def _severity_ctes() -> str:
+def _severity_ctes(head: str = FACT) -> str:
     flags = A.statistical_flag_columns(M) + ["has_temporal_anomaly", "has_geographic_anomaly"]
     cnt = " + ".join(f"CAST({f} AS INT)" for f in flags)
     maxz = f"COALESCE(GREATEST({', '.join(f'ABS({c}_zscore)' for c in M)}), 0.0)"
     lo, me, hi, cr = P.severity_levels
     labels = ", ".join(f"'{x}'" for x in SEVERITY_LABELS)
-    return f"""{_stat_ctes()},
+    return f"""{_stat_ctes(head)},
 {_temporal_ctes()},
 {_geo_ctes('rows')},
-j AS (SELECT sa.*, COALESCE(ta.has_temporal_anomaly, FALSE) AS has_temporal_anomaly,
+sj AS (SELECT sa.*, COALESCE(ta.has_temporal_anomaly, FALSE) AS has_temporal_anomaly,
              COALESCE(ga.has_geographic_anomaly, FALSE) AS has_geographic_anomaly
       FROM sa LEFT JOIN ta ON sa.date = ta.date LEFT JOIN ga ON sa.state = ga.state AND sa.district = ga.district),
-k AS (SELECT *, {cnt} AS anomaly_count, CAST({maxz} AS DOUBLE) AS max_zscore FROM j),
+sk AS (SELECT *, {cnt} AS anomaly_count, CAST({maxz} AS DOUBLE) AS max_zscore FROM sj),
 sv0 AS (SELECT *, CASE WHEN anomaly_count = 0 THEN 0
                      WHEN anomaly_count <= 2 AND max_zscore < 4 THEN {lo}
                      WHEN anomaly_count <= 4 AND max_zscore < 6 THEN {me}
-                     WHEN anomaly_count <= 6 OR max_zscore < 8 THEN {hi} ELSE {cr} END AS severity_score FROM k),
+                     WHEN anomaly_count <= 6 OR max_zscore < 8 THEN {hi} ELSE {cr} END AS severity_score FROM sk),
 sv AS (SELECT *, CASE WHEN severity_score = 0 THEN 'Normal'
                       WHEN max_zscore > 4 THEN 'Potential Data Quality Error'
                       WHEN has_temporal_anomaly THEN 'Operational Batch Delay'
