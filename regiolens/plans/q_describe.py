@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from regiolens.operators import describe as D
 from regiolens.operators import profile as Q
+from regiolens.plans.fact_store import stored
 from regiolens.plans.oracle_sql import DIRTY, FACT, M, MS, div, r6, rnd, sums
 from regiolens.plans.registry import register
 from regiolens.schema import DEFAULT_SCHEMA as S
@@ -12,11 +13,13 @@ from regiolens.sources.tpch import dirty_enrollment_from_tpch, enrollment_from_t
 
 
 def fact(spark, sf_dir):
-    return derive_columns(enrollment_from_tpch(spark, sf_dir))
+    """Derived fact of the adapter view, written once per session."""
+    return stored(spark, "fact", (sf_dir,), lambda: derive_columns(enrollment_from_tpch(spark, sf_dir)))
 
 
 def dirty(spark, sf_dir):
-    return derive_columns(dirty_enrollment_from_tpch(spark, sf_dir))
+    """Derived fact with injected defects, written once per session."""
+    return stored(spark, "dirty_fact", (sf_dir,), lambda: derive_columns(dirty_enrollment_from_tpch(spark, sf_dir)))
 
 
 PCT = [f"pct_{m}" for m in MS]
