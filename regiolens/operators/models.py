@@ -124,7 +124,10 @@ def holt_winters(series: DataFrame, target: str, keys: Sequence[str] = (), horiz
     g = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(float(c)).alias("g"))
                   for a, b, c in triples])
     ok = F.col("n_points") >= 2 * m
-    good = arr.where(ok).select("*", F.explode(g).alias("_p"))
+    # CPU-heavy rows (one fold each): spread series x grid over all cores with an
+    # explicit partition count (AQE would coalesce the small input into one task)
+    par = series.sparkSession.sparkContext.defaultParallelism
+    good = arr.where(ok).select("*", F.explode(g).alias("_p")).repartition(par, *keys, "_p")
     y = F.col("_y")
     first = F.slice(y, 1, m)
     second = F.slice(y, m + 1, m)
@@ -331,7 +334,9 @@ def sarima(series: DataFrame, target: str, keys: Sequence[str] = (), horizon: in
         return pd.DataFrame(rows, columns=names)
 
     src = series.select(*keys, DS, F.col(target).cast("double").alias(target))
-    grouped = src.groupBy(*keys) if keys else src.groupBy(F.lit(0).alias("_one"))
+    if keys:  # one fit per group: hash-spread the series over all cores first
+        src = src.repartition(series.sparkSession.sparkContext.defaultParallelism, *keys)
+    grouped = src.groupBy(*keys) if keys else None
     if not keys:
         src = src.withColumn("_one", F.lit(0))
         grouped = src.groupBy("_one")
