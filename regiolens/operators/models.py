@@ -161,8 +161,8 @@ def holt_winters(series: DataFrame, target: str, keys: Sequence[str] = (), horiz
 
     fitted = good.select(*keys, "_last", "n_points", "_p", F.aggregate(idx, init, step).alias("_st"))
     best = fitted.groupBy(*keys).agg(
-        F.min_by(F.struct("_last", "n_points", "_p", "_st"), F.col("_st")["sse"]).alias("_b")).select(
-        *keys, "_b.*")
+        F.min_by(F.struct("_last", "n_points", "_p", "_st"), F.col("_st")["sse"]).alias("_b")).where(
+        F.col("_b").isNotNull()).select(*keys, "_b.*")  # a global aggregate over no series yields one NULL row
     n = F.col("n_points").cast("double")
     met_ok = best.select(
         *keys, F.lit("holt_winters").alias("model"), "n_points",
@@ -313,7 +313,9 @@ def sarima(series: DataFrame, target: str, keys: Sequence[str] = (), horizon: in
             r = fit_sarima(yv, horizon, s, tuple(range(1, p + 1)), tuple(range(1, q + 1)),
                            tuple(range(1, P + 1)), tuple(range(1, Q + 1)), params.confidence_levels)
         except (ValueError, np.linalg.LinAlgError) as exc:
-            return pd.DataFrame([{**base, "kind": "metrics", "status": f"error: {exc}"}], columns=names)
+            out = pd.DataFrame([{**base, "kind": "metrics", "status": f"error: {exc}"}], columns=names)
+            out[DS] = pd.Series([None], dtype="object")  # all-missing dates must stay objects for Arrow
+            return out
         f = r["fitted"]
         mask = ~np.isnan(f)
         err = yv[mask] - f[mask]

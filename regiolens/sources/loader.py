@@ -109,7 +109,7 @@ def load_file(spark: SparkSession, path: str, schema: FactSchema = DEFAULT_SCHEM
 
 def parse_date(c: Column | str, fmt: str = DATE_FORMAT) -> Column:
     """String date in ``fmt``; unparseable -> NULL (dates pass through)."""
-    return F.try_to_date(F.col(c) if isinstance(c, str) else c, F.lit(fmt))
+    return F.try_to_date(F.col(c) if isinstance(c, str) else c, fmt)
 
 
 def derive_columns(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
