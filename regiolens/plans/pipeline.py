@@ -70,12 +70,28 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
                  schema: FactSchema = DEFAULT_SCHEMA, gbt_max_iter: int | None = None,
                  with_gbt: bool = True) -> Report:
     rep = Report()
+    H = params.horizon_long
+    T = schema.total
+    rep.background = ThreadPoolExecutor(max_workers=2)
+    gbt_future = None
+    if with_gbt:  # the boosted-tree fit is a long chain of small jobs: start it first, beside the rest
+
+        def fit_gbt():
+            t = time.time()
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", "models")  # FAIR mode: own pool
+            src = derive_columns(raw_fact, schema) if schema.total not in raw_fact.columns else raw_fact
+            nat_src = write_table(SE.prepare_series(src, "M", [], [T], schema), "gbt_series")
+            fc_, met_, imp_ = MO.gbt_forecast(nat_src, T, [], H, params, max_iter=gbt_max_iter)
+            out = write_table(fc_, "gbt_forecast"), write_table(met_, "gbt_metrics"), write_table(imp_, "gbt_imp")
+            rep.prepare_seconds["gbt_fit"] = time.time() - t
+            return out
+
+        gbt_future = rep.background.submit(fit_gbt)
     t0 = time.time()
     fact = write_table(derive_columns(raw_fact, schema) if schema.total not in raw_fact.columns else raw_fact,
                        "fact")
     rep.prepare_seconds["load"] = time.time() - t0
     geo = list(schema.geo)
-    T = schema.total
 
     # --- 1 governance ---------------------------------------------------------
     qr = rep.add("governance", "quality_report", V.quality_report(fact, schema, params))
@@ -116,20 +132,7 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
     rep.add("report", "anomaly_shares", A.anomaly_shares(summ))
 
     # --- 4 forecasting --------------------------------------------------------
-    H = params.horizon_long
     nat = write_table(SE.prepare_series(fact, "M", [], [T], schema), "national_series")
-    rep.background = ThreadPoolExecutor(max_workers=1)
-    gbt_future = None
-    if with_gbt:  # the boosted-tree fit is a long chain of small jobs: run it beside the rest
-
-        def fit_gbt():
-            t = time.time()
-            fc_, met_, imp_ = MO.gbt_forecast(nat, T, [], H, params, max_iter=gbt_max_iter)
-            out = write_table(fc_, "gbt_forecast"), write_table(met_, "gbt_metrics"), write_table(imp_, "gbt_imp")
-            rep.prepare_seconds["gbt_fit"] = time.time() - t
-            return out
-
-        gbt_future = rep.background.submit(fit_gbt)
     t0 = time.time()
     hw = MO.holt_winters(nat, T, [], H, params.seasonal_period)
     sa = MO.sarima(nat, T, [], H, params)
@@ -144,9 +147,15 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
         return (nat_fc.unionByName(gfc, allowMissingColumns=True),
                 nat_met.unionByName(gmet, allowMissingColumns=True), gimp)
 
-    def ensemble_tables():
+    def build_ensemble():  # once, after the background fit: later sections read the written tables
         fc_, met_, _ = all_models()
-        return FO.ensemble([fc_], [met_])
+        efc_, emet_ = FO.ensemble([fc_], [met_])
+        return write_table(efc_, "ensemble_forecast"), write_table(emet_, "ensemble_metrics")
+
+    ens_future = rep.background.submit(build_ensemble)
+
+    def ensemble_tables():
+        return ens_future.result()
 
     if with_gbt:
         rep.add("forecast", "gbt_feature_importance", lambda: all_models()[2])

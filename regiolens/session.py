@@ -23,6 +23,9 @@ _LOCAL_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "8g",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # report sections run as concurrent jobs; FAIR lets a long chain of small
+    # model-fitting jobs (own pool) take free slots between the report's stages
+    "spark.scheduler.mode": "FAIR",
 }
 
 
