@@ -156,8 +156,15 @@ def q_tier_distribution(spark, sf_dir):
 # --- P13-P17, P21 ----------------------------------------------------------------------
 
 def interventions_table(spark, sf_dir):
+    """All four triggers: low enrollment, inequity, forecast surge (simple
+    per-district ensemble) and row-level data-quality anomalies."""
+    from regiolens.operators import forecast as FO
+    from regiolens.plans.q_forecast import simple_ensemble
+
     f = fact(spark, sf_dir)
-    return P.interventions(P.district_data(f), anomalies=A.anomaly_scored(f))
+    s, ef, _ = simple_ensemble(spark, sf_dir)
+    surges = FO.surges(ef, s, S.total, GEO)
+    return P.interventions(P.district_data(f), anomalies=A.anomaly_scored(f), surges=surges)
 
 
 _IV_BODY = f"""iv AS (
@@ -168,9 +175,21 @@ _IV_BODY = f"""iv AS (
   SELECT state, district, total_enrollment, 'High Inequity', 'Medium', 'Investigate demographic disparities'
   FROM pdd WHERE child_adult_ratio > {PR.inequity_high}
   UNION ALL
+  SELECT state, district, total_enrollment, 'Forecast Surge', 'Critical', 'Prepare additional capacity immediately'
+  FROM pdd WHERE (state, district) IN (SELECT state, district FROM sg)
+  UNION ALL
   SELECT state, district, total_enrollment, 'Data Quality', 'High', 'Audit enrollment processes and data collection'
   FROM sv WHERE severity_score >= 3)"""
-_IV_CTE = f"{_severity_ctes()},\n{_DIST_CTE},\n{_IV_BODY}"
+
+
+def _iv_head(head: str) -> str:
+    """CTE head with the per-district simple forecasts (for the surge trigger)."""
+    from regiolens.plans.q_forecast import _series_ctes, _simple_ctes
+
+    return f"{head},\n{_series_ctes(GEO, [S.total])},\n{_simple_ctes(GEO)}"
+
+
+_IV_CTE = f"{_severity_ctes(_iv_head(FACT))},\n{_DIST_CTE},\n{_IV_BODY}"
 
 
 @register("interventions", f"{_IV_CTE} SELECT * FROM iv")
@@ -203,7 +222,7 @@ def q_first_interventions(spark, sf_dir):
     return P.first_interventions(interventions_table(spark, sf_dir), 100)
 
 
-@register("strategic_recommendations", f"""{_severity_ctes(BOTH)},
+@register("strategic_recommendations", f"""{_severity_ctes(_iv_head(BOTH))},
 {_PRIO_BODY},
 {_IV_BODY},
 t AS (SELECT CAST(COALESCE(SUM(required_centers), 0) AS BIGINT) AS centers,
