@@ -27,10 +27,22 @@ def full_window_avg(c: str, w, n: int):
     return F.when(F.count(F.lit(1)).over(w) == n, F.avg(F.col(c).cast("double")).over(w))
 
 
-def monthly_trends(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, keys: Sequence[str] = ()) -> DataFrame:
-    """Monthly sums of M, month-over-month and 12-rows-back change, 3/6-month MA."""
-    monthly = marts.monthly_totals(fact, schema, keys)
+def monthly_trends(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, keys: Sequence[str] = (),
+                   calendar: bool = False) -> DataFrame:
+    """Monthly sums of M, month-over-month and 12-rows-back change, 3/6-month MA.
+
+    By default "12 rows back" follows the reference (ruling R4); with
+    ``calendar=True`` missing months are added and interpolated first (F2/F3),
+    so the lag is 12 calendar months.
+    """
     cols = schema.present_all(fact)
+    if calendar:
+        from regiolens.operators.series import DS, prepare_series
+
+        monthly = prepare_series(fact, "M", keys, cols, schema).drop("observed").withColumnRenamed(
+            DS, schema.year_month)
+    else:
+        monthly = marts.monthly_totals(fact, schema, keys)
     w = Window.partitionBy(*keys).orderBy(schema.year_month)
     out = monthly.select(
         *keys, schema.year_month, *cols,

@@ -78,3 +78,20 @@ def test_inequity_recommendations(tiny_fact):
     equal = tiny_fact.where("district = 'Patna'")
     recs = D.inequity_recommendations(D.inequity_summary(equal)).collect()
     assert [r.recommendation for r in recs] == ["Enrollment distribution is relatively equitable."]
+
+
+def test_monthly_trends_calendar_option(spark):
+    import datetime as dt
+
+    from regiolens.sources.loader import derive_columns
+    from tests.conftest import FACT_DDL
+
+    rows = [(i, dt.date(2024 + (i // 12), i % 12 + 1, 1), "A", "B", 800001, 10 + i, 0, 0) for i in range(14) if i != 5]
+    f = derive_columns(spark.createDataFrame(rows, FACT_DDL))
+    by_rows = {r.year_month: r for r in D.monthly_trends(f).collect()}
+    by_cal = {r.year_month: r for r in D.monthly_trends(f, calendar=True).collect()}
+    last = dt.date(2025, 2, 1)
+    # 12 rows back skips the missing June; 12 calendar months back is Feb 2024 (value 11)
+    assert by_rows[last].total_enrollment_yoy_change == pytest.approx((23 - 10) / 10 * 100)
+    assert by_cal[last].total_enrollment_yoy_change == pytest.approx((23 - 11) / 11 * 100)
+    assert len(by_cal) == 14 and len(by_rows) == 13
