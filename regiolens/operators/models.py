@@ -355,23 +355,29 @@ def sarima(series: DataFrame, target: str, keys: Sequence[str] = (), horizon: in
 # --- Gradient-boosted trees (pyspark.ml), pooled over series -------------------------
 
 def gbt_forecast(series: DataFrame, target: str, keys: Sequence[str] = (), horizon: int = 6,
-                 params: Params = DEFAULT_PARAMS, max_iter: int | None = None, min_rows: int = 24
-                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 params: Params = DEFAULT_PARAMS, max_iter: int | None = None, min_rows: int = 24,
+                 shifted: bool = False, recursive: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """one boosted-tree regressor for all series.
 
     Features: calendar, lags, rolling stats (F6-F9) and the series index.  The
     last ``horizon`` feature rows of each series are the test set
     (``min(horizon, 3)`` when fewer than 12 would remain for training); series
-    with fewer than ``min_rows`` feature rows get an error row.  The future
-    value repeats the prediction of the last feature row (reference
-    behaviour).  Returns forecasts, metrics and feature importances.
+    with fewer than ``min_rows`` feature rows get an error row.  By default the
+    future value repeats the prediction of the last feature row and rolling
+    windows include the current value (reference behaviour, ruling R10).
+    ``shifted=True`` ends the rolling windows at the previous value;
+    ``recursive=True`` (implies ``shifted``) predicts step by step, feeding each
+    prediction back into the lags of the next step (one distributed
+    ``transform`` per step, each step checkpointed).  Returns forecasts,
+    metrics and feature importances.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     keys = list(keys)
-    feats = ml_features(series, target, keys)
+    shifted = shifted or recursive
+    feats = ml_features(series, target, keys, shifted=shifted)
     w = Window.partitionBy(*keys)
     wd = Window.partitionBy(*keys).orderBy(F.col(DS).desc())
     feats = feats.withColumns({"_rows": F.count(F.lit(1)).over(w), "_rdesc": F.row_number().over(wd)})
@@ -379,7 +385,8 @@ def gbt_forecast(series: DataFrame, target: str, keys: Sequence[str] = (), horiz
     feats = feats.withColumn("_test", F.col("_rdesc") <= test_n)
     key_str = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("all")
     # numeric series id from a hash of the keys (no global ranking, no categorical bins)
-    feats = feats.withColumn("series_index", F.pmod(F.xxhash64(key_str), F.lit(1000003)).cast("double"))
+    series_index = F.pmod(F.xxhash64(key_str), F.lit(1000003)).cast("double")
+    feats = feats.withColumn("series_index", series_index)
     good = feats.where(F.col("_rows") >= min_rows)
     names = feature_names(target)
     assembler = VectorAssembler(inputCols=names + ["series_index"], outputCol="_features")
@@ -405,11 +412,42 @@ def gbt_forecast(series: DataFrame, target: str, keys: Sequence[str] = (), horiz
         *keys, F.lit("gbt").alias("model"), F.col("_n").cast("long").alias("n_points"),
         *[F.lit(None).cast("double").alias(c) for c in ("mae", "rmse", "mape", "aic", "bic")],
         F.lit("error: Insufficient data for ML forecasting").alias("status"))
-    last = scored.where(F.col("_rdesc") == 1).select(*keys, F.col(DS).alias("_last"), F.col("_pred").alias("yhat"))
-    fc = last.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")).select(
-        *keys, F.lit("gbt").alias("model"), "step", F.add_months("_last", F.col("step")).alias(DS), "yhat")
+    if recursive:
+        fc = _recursive_steps(series, good.select(*keys).distinct(), model, target, keys, horizon, series_index)
+    else:
+        last = scored.where(F.col("_rdesc") == 1).select(*keys, F.col(DS).alias("_last"),
+                                                         F.col("_pred").alias("yhat"))
+        fc = last.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")).select(
+            *keys, F.lit("gbt").alias("model"), "step", F.add_months("_last", F.col("step")).alias(DS), "yhat")
     imp = model.stages[-1].featureImportances.toArray().tolist()
     spark = series.sparkSession
     importances = spark.createDataFrame(list(zip(names + ["series_index"], [float(v) for v in imp])),
                                         "feature string, importance double")
     return _null_bands(fc), met_ok.unionByName(met_err), importances
+
+
+def _recursive_steps(series: DataFrame, trained: DataFrame, model, target: str, keys: list[str], horizon: int,
+                     series_index: Column) -> DataFrame:
+    """Step-by-step forecast: each step's features (shifted windows, lags)
+    come from the history extended by the previous predictions."""
+    from regiolens.session import materialize
+
+    y = F.col(target).cast("double").alias(target)
+    ext = series.select(*keys, DS, y)
+    if keys:
+        ext = ext.join(trained, keys, "left_semi")
+    steps = []
+    for step in range(1, horizon + 1):
+        last = ext.groupBy(*keys).agg(F.max(DS).alias("_last"))
+        # the placeholder target is never read: lags start at 1 and windows end at the previous value
+        nxt = last.select(*keys, F.add_months("_last", 1).alias(DS), F.lit(0.0).alias(target))
+        feats = ml_features(ext.unionByName(nxt), target, keys, shifted=True).join(
+            nxt.select(*keys, DS), [*keys, DS], "left_semi").withColumn("series_index", series_index)
+        pred = materialize(model.transform(feats).select(*keys, DS, F.col("_pred").alias(target)))
+        steps.append(pred.select(*keys, F.lit("gbt").alias("model"), F.lit(step).alias("step"), DS,
+                                 F.col(target).alias("yhat")))
+        ext = ext.unionByName(pred)
+    out = steps[0]
+    for st in steps[1:]:
+        out = out.unionByName(st)
+    return out

@@ -148,3 +148,13 @@ def test_ml_features_drop_incomplete_rows(spark):
 def test_history_summary_trend(spark):
     h = FO.history_summary(_series(spark, [5, 3, 9]), T).first()
     assert (h.mean, h.median, h.min, h.max, h.trend) == (5.67, 5.0, 3.0, 9.0, "increasing")
+
+
+def test_gbt_recursive_uses_its_own_predictions(spark):
+    s = _series(spark, known(60, trend=20.0, amp=0.0))
+    fc, met, _ = MO.gbt_forecast(s, T, [], 4, max_iter=20, recursive=True)
+    rows = fc.orderBy("step").collect()
+    assert [r.step for r in rows] == [1, 2, 3, 4]
+    assert [r.ds for r in rows] == [dt.date(2023, 1, 1), dt.date(2023, 2, 1), dt.date(2023, 3, 1), dt.date(2023, 4, 1)]
+    assert met.first().status == "ok"
+    assert all(r.yhat is not None for r in rows)
