@@ -65,9 +65,8 @@ def priority_scores(district: DataFrame, inequity: DataFrame | None = None, fore
     enrollment = F.lit(1.0) - F.try_divide(t, _scalar(district, F.max(t)))
     if inequity is not None:
         r = F.col("child_adult_ratio")
-        med = _scalar(p, F.percentile(r, 0.5))
-        sd = _scalar(p, F.stddev_samp(r))
-        inequity_s = F.coalesce(F.try_divide(F.abs(r - med), sd), F.lit(0.0))
+        st = _scalar(p, F.struct(F.percentile(r, 0.5).alias("med"), F.stddev_samp(r).alias("sd")))  # one pass
+        inequity_s = F.coalesce(F.try_divide(F.abs(r - st["med"]), st["sd"]), F.lit(0.0))
     else:
         inequity_s = F.lit(0.0)
     if forecast is not None:

@@ -8,6 +8,7 @@ from regiolens.operators import quality as V
 from regiolens.params import DEFAULT_PARAMS as PR
 from regiolens.params import PRIORITY_TIERS, Scenario
 from regiolens.plans.oracle_sql import BOTH, DIRTY, FACT, MS, div, r6, rnd, sums
+from regiolens.plans.fact_store import stored
 from regiolens.plans.q_anomaly import _severity_ctes
 from regiolens.plans.q_describe import fact
 from regiolens.plans.q_quality import _dri_select, dirty_fact
@@ -18,13 +19,14 @@ GEO = list(S.geo)
 
 
 def district_table(spark, sf_dir):
-    return P.district_data(fact(spark, sf_dir))
+    """District totals (one row per district), written once per session."""
+    return stored(spark, "district_data", (sf_dir,), lambda: P.district_data(fact(spark, sf_dir)))
 
 
 def priority_table(spark, sf_dir):
     """District data, its own ratio as the inequity input, per-district DRI of the raw feed."""
     d = district_table(spark, sf_dir)
-    dri = V.dri(dirty_fact(spark, sf_dir), by=GEO)
+    dri = stored(spark, "dri_by_district", (sf_dir,), lambda: V.dri(dirty_fact(spark, sf_dir), by=GEO))
     return P.priority_scores(d, inequity=d, dri_scores=dri)
 
 
@@ -164,7 +166,8 @@ def interventions_table(spark, sf_dir):
     f = fact(spark, sf_dir)
     s, ef, _ = simple_ensemble(spark, sf_dir)
     surges = FO.surges(ef, s, S.total, GEO)
-    return P.interventions(P.district_data(f), anomalies=A.anomaly_scored(f), surges=surges)
+    scored = stored(spark, "anomaly_scored", (sf_dir,), lambda: A.anomaly_scored(f))
+    return P.interventions(district_table(spark, sf_dir), anomalies=scored, surges=surges)
 
 
 _IV_BODY = f"""iv AS (
