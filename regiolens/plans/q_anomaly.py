@@ -8,11 +8,17 @@ from regiolens.operators import anomaly as A
 from regiolens.params import DEFAULT_PARAMS as P
 from regiolens.params import SEVERITY_LABELS
 from regiolens.plans.oracle_sql import FACT, M, div, r6, rnd, sums
+from regiolens.plans.fact_store import stored
 from regiolens.plans.q_describe import fact
 from regiolens.plans.registry import register
 from regiolens.schema import DEFAULT_SCHEMA as S
 
 ROW_KEYS = ["record_id", "date", "state", "district", "pincode"]
+
+
+def scored_table(spark, sf_dir):
+    """Row table with all flags and severity, written once per session."""
+    return stored(spark, "anomaly_scored", (sf_dir,), lambda: A.anomaly_scored(fact(spark, sf_dir)))
 STAT_COLS = [f"{c}_{k}" for c in M for k in ("zscore", "zscore_anomaly", "iqr_anomaly", "quantile_anomaly",
                                                 "is_anomaly")]
 
@@ -157,13 +163,13 @@ def _sev_out() -> str:
 
 @register("anomaly_severity", f"{_severity_ctes()} SELECT {_sev_out()} FROM sv")
 def q_severity(spark, sf_dir):
-    return A.anomaly_scored(fact(spark, sf_dir)).select(*SEV_COLS)
+    return scored_table(spark, sf_dir).select(*SEV_COLS)
 
 
 @register("severity_distribution",
           f"{_severity_ctes()} SELECT severity_label, COUNT(*) AS records FROM sv GROUP BY severity_label")
 def q_severity_dist(spark, sf_dir):
-    return A.severity_distribution(A.anomaly_scored(fact(spark, sf_dir)))
+    return A.severity_distribution(scored_table(spark, sf_dir))
 
 
 @register("chart_severity",
@@ -171,14 +177,14 @@ def q_severity_dist(spark, sf_dir):
           f"WHERE severity_label <> 'NORMAL' GROUP BY severity_label")
 def q_chart_severity(spark, sf_dir):
     """Severity distribution without NORMAL."""
-    return A.severity_distribution(A.anomaly_scored(fact(spark, sf_dir))).where(F.col("severity_label") != "NORMAL")
+    return A.severity_distribution(scored_table(spark, sf_dir)).where(F.col("severity_label") != "NORMAL")
 
 
 @register("critical_anomalies",
           f"{_severity_ctes()} SELECT {_sev_out()} FROM sv WHERE severity_score = 4 "
           f"ORDER BY max_zscore DESC, record_id LIMIT 50")
 def q_critical(spark, sf_dir):
-    return A.critical_anomalies(A.anomaly_scored(fact(spark, sf_dir))).select(*SEV_COLS)
+    return A.critical_anomalies(scored_table(spark, sf_dir)).select(*SEV_COLS)
 
 
 @register("flagged_days",
@@ -213,7 +219,7 @@ summ AS (SELECT COUNT(*) AS total_records,
 @register("anomaly_report", f"{_SUMMARY_CTE} SELECT * FROM summ")
 def q_anomaly_report(spark, sf_dir):
     """A18 summary (without the forest flag)."""
-    return A.anomaly_summary(fact(spark, sf_dir))
+    return A.anomaly_summary(fact(spark, sf_dir), scored=scored_table(spark, sf_dir))
 
 
 @register("anomaly_recommendations", f"""{_SUMMARY_CTE},
@@ -224,7 +230,7 @@ r AS (
   UNION ALL SELECT 4, printf('Widespread geographic anomalies (%d districts). Review regional data collection processes.', geographic_anomalies) FROM summ WHERE geographic_anomalies > districts * 0.2)
 SELECT * FROM r UNION ALL SELECT 5, 'No significant anomalies detected. Data quality is acceptable.' WHERE NOT EXISTS (SELECT 1 FROM r)""")
 def q_anomaly_recs(spark, sf_dir):
-    return A.anomaly_recommendations(A.anomaly_summary(fact(spark, sf_dir)))
+    return A.anomaly_recommendations(A.anomaly_summary(fact(spark, sf_dir), scored=scored_table(spark, sf_dir)))
 
 
 @register("anomaly_shares", f"""{_SUMMARY_CTE}
@@ -234,4 +240,4 @@ UNION ALL SELECT 'temporal', temporal_anomalies, {rnd(div('temporal_anomalies',
 UNION ALL SELECT 'geographic', geographic_anomalies, {rnd(div('geographic_anomalies', 'districts') + ' * 100', 2)} FROM summ""")
 def q_anomaly_shares(spark, sf_dir):
     """Anomaly share per method."""
-    return A.anomaly_shares(A.anomaly_summary(fact(spark, sf_dir)))
+    return A.anomaly_shares(A.anomaly_summary(fact(spark, sf_dir), scored=scored_table(spark, sf_dir)))

@@ -9,7 +9,7 @@ from regiolens.params import DEFAULT_PARAMS as PR
 from regiolens.params import PRIORITY_TIERS, Scenario
 from regiolens.plans.oracle_sql import BOTH, DIRTY, FACT, MS, div, r6, rnd, sums
 from regiolens.plans.fact_store import stored
-from regiolens.plans.q_anomaly import _severity_ctes
+from regiolens.plans.q_anomaly import _severity_ctes, scored_table
 from regiolens.plans.q_describe import fact
 from regiolens.plans.q_quality import _dri_select, dirty_fact
 from regiolens.plans.registry import register
@@ -166,7 +166,7 @@ def interventions_table(spark, sf_dir):
     f = fact(spark, sf_dir)
     s, ef, _ = simple_ensemble(spark, sf_dir)
     surges = FO.surges(ef, s, S.total, GEO)
-    scored = stored(spark, "anomaly_scored", (sf_dir,), lambda: A.anomaly_scored(f))
+    scored = scored_table(spark, sf_dir)
     return P.interventions(district_table(spark, sf_dir), anomalies=scored, surges=surges)
 
 

@@ -11,6 +11,7 @@ from regiolens.operators import policy as P
 from regiolens.operators import quality as V
 from regiolens.operators import report as R
 from regiolens.params import DEFAULT_PARAMS as PR
+from regiolens.plans.q_anomaly import scored_table
 from regiolens.plans.q_describe import fact
 from regiolens.plans.q_forecast import _NAT_SIMPLE, simple_ensemble
 from regiolens.plans.q_policy import interventions_table, priority_table
@@ -51,7 +52,7 @@ def key_figures_table(spark, sf_dir):
                                                        "validity"),
         "coverage": D.coverage(f),
         "inequity": D.inequity_summary(f).select("underserved_count"),
-        "anomaly": A.anomaly_summary(f).select("total_records", "statistical_anomalies", "geographic_anomalies",
+        "anomaly": A.anomaly_summary(f, scored=scored_table(spark, sf_dir)).select("total_records", "statistical_anomalies", "geographic_anomalies",
                                                "temporal_anomalies"),
         "surge": FO.surge_summary(ef, s, S.total).select(
             F.lit(PR.horizon_long).cast("long").alias("forecast_horizon"), "surge_detected", "num_surge_periods"),
