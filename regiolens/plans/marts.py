@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regiolens.functions.exprs import percentiles, sum0
 from regiolens.params import DEFAULT_PARAMS, Params
@@ -29,7 +30,14 @@ def group_totals(fact: DataFrame, keys: Sequence[str], measures: Sequence[str] |
                  schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
     """Sum of each measure per key (0 for all-NULL groups), NULL keys dropped."""
     measures = list(measures) if measures is not None else schema.present_all(fact)
-    return not_null_keys(fact, keys).groupBy(*keys).agg(*[sum0(m).alias(m) for m in measures])
+    return not_null_keys(fact, keys).groupBy(*keys).agg(*[_sum_of(fact, m).alias(m) for m in measures])
+
+
+def _sum_of(df: DataFrame, c: str):
+    """BIGINT sum of count columns, DOUBLE sum of fractional ones (0 when empty)."""
+    if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0))
+    return sum0(c)
 
 
 def district_totals(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:

@@ -11,7 +11,9 @@ from regiolens.plans.oracle_sql import FACT, M, div, r6, rnd, sums
 from regiolens.plans.fact_store import stored
 from regiolens.plans.q_describe import fact
 from regiolens.plans.registry import register
+from regiolens.plans import marts
 from regiolens.schema import DEFAULT_SCHEMA as S
+from regiolens.schema import FactSchema
 
 ROW_KEYS = ["record_id", "date", "state", "district", "pincode"]
 
@@ -241,3 +243,35 @@ UNION ALL SELECT 'geographic', geographic_anomalies, {rnd(div('geographic_anomal
 def q_anomaly_shares(spark, sf_dir):
     """Anomaly share per method."""
     return A.anomaly_shares(A.anomaly_summary(fact(spark, sf_dir), scored=scored_table(spark, sf_dir)))
+
+
+# --- events: temporal checks per event type (many daily series) ---------------------
+
+EVENT_SCHEMA = FactSchema(measures=(), children=(), adults=(), total="value")
+EV_COLS = [f"value_{k}" for k in ("pct_change", "sudden_change", "ma7", "ma30", "ma_deviation", "temporal_anomaly")]
+
+
+def _event_sql() -> str:
+    pc = div("value - prev", "prev") + " * 100"
+    sudden = f"(COALESCE(ABS({pc}) > {P.change_threshold * 100}, FALSE) OR COALESCE(prev = 0 AND value <> 0, FALSE))"
+    dev = "COALESCE(ABS(value - ma30) / (ma30 + 1e-8) > 0.5, FALSE)"
+    return f"""WITH d AS (SELECT event_type, CAST(ts AS DATE) AS date, COALESCE(SUM(value), 0) AS value FROM events
+           WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+t1 AS (SELECT *, LAG(value, 1) OVER w AS prev,
+              AVG(value) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS ma7,
+              AVG(value) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS ma30
+       FROM d WINDOW w AS (PARTITION BY event_type ORDER BY date))
+SELECT event_type, date, {r6('value')} AS value, {r6(pc)} AS value_pct_change, {sudden} AS value_sudden_change,
+       {r6('ma7')} AS value_ma7, {r6('ma30')} AS value_ma30, {dev} AS value_ma_deviation,
+       ({sudden} OR {dev}) AS value_temporal_anomaly, ({sudden} OR {dev}) AS has_temporal_anomaly FROM t1"""
+
+
+@register("event_temporal_anomalies", _event_sql())
+def q_event_temporal(spark, sf_dir):
+    """A5-A8 on the events table: daily value per event type, one series per type."""
+    from regiolens.sources.tpch import events_as_daily_fact
+
+    ev = events_as_daily_fact(spark, sf_dir)
+    daily = marts.group_totals(ev, ["event_type", "date"], ["value"], EVENT_SCHEMA)
+    out = A.temporal_anomalies(ev, EVENT_SCHEMA, keys=["event_type"], daily=daily)
+    return out.select("event_type", "date", "value", *EV_COLS, "has_temporal_anomaly")
