@@ -35,3 +35,21 @@ def stored(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataF
 def forget() -> None:
     """Drop the session cache of written tables (files stay in the checkpoint folder)."""
     _PATHS.clear()
+
+
+def stored_many(spark: SparkSession, name: str, key: tuple, build: Callable[[], tuple[DataFrame, ...]]
+                ) -> tuple[DataFrame, ...]:
+    """Like :func:`stored` for a builder returning several tables (for example a
+    model fit's forecasts, metrics and importances): built once, all written."""
+    ck = ensure_checkpoint_dir(spark)
+    k = (spark.sparkContext.applicationId, ck, name, *key)
+    paths = _PATHS.get(k)
+    if paths is None:
+        tag = uuid.uuid4().hex
+        paths = []
+        for i, df in enumerate(build()):
+            p = f"{ck.rstrip('/')}/regiolens-tables/{name}-{i}-{tag}"
+            df.write.mode("overwrite").parquet(p)
+            paths.append(p)
+        _PATHS[k] = paths
+    return tuple(spark.read.parquet(p) for p in paths)

@@ -9,6 +9,7 @@ from regiolens.operators import models as MO
 from regiolens.operators import series as SE
 from regiolens.params import DEFAULT_PARAMS as PR
 from regiolens.params import SURGE_CONTEXT, SURGE_CONTEXT_DEFAULT
+from regiolens.plans.fact_store import stored, stored_many
 from regiolens.plans.oracle_sql import FACT, M, div, r6, rnd
 from regiolens.plans.q_describe import fact
 from regiolens.plans.registry import register
@@ -261,37 +262,41 @@ def q_forecast_band(spark, sf_dir):
 
 # --- model families (rows-only checks; pytest covers them on known series) -----------
 
+def district_models(spark, sf_dir, family: str):
+    """Per-district forecasts and metrics of one model family, fitted once per session."""
+    fit = {"hw": MO.holt_winters, "sarima": MO.sarima}[family]
+    return stored_many(spark, f"district_{family}", (sf_dir,),
+                       lambda: fit(district_series(spark, sf_dir), T, GEO, H))
+
+
 @register("forecast_holt_winters")
 def q_hw(spark, sf_dir):
     """F5 per district: additive Holt-Winters, parameters by grid search."""
-    fc, _ = MO.holt_winters(district_series(spark, sf_dir), T, GEO, H)
-    return fc
+    return district_models(spark, sf_dir, "hw")[0]
 
 
 @register("holt_winters_metrics")
 def q_hw_metrics(spark, sf_dir):
-    _, met = MO.holt_winters(district_series(spark, sf_dir), T, GEO, H)
-    return met
+    return district_models(spark, sf_dir, "hw")[1]
 
 
 @register("forecast_sarima")
 def q_sarima(spark, sf_dir):
     """F4 per district: seasonal ARIMA (2,1,2)(1,1,1,12), intervals at 80/95%."""
-    fc, _ = MO.sarima(district_series(spark, sf_dir), T, GEO, H)
-    return fc
+    return district_models(spark, sf_dir, "sarima")[0]
 
 
 @register("sarima_metrics")
 def q_sarima_metrics(spark, sf_dir):
-    _, met = MO.sarima(district_series(spark, sf_dir), T, GEO, H)
-    return met
+    return district_models(spark, sf_dir, "sarima")[1]
 
 
 def national_models(spark, sf_dir):
-    s = SE.prepare_series(fact(spark, sf_dir), "M", [], [T])
-    hw = MO.holt_winters(s, T, [], H)
-    sa = MO.sarima(s, T, [], H)
-    gb = MO.gbt_forecast(s, T, [], H)
+    """National series and the three model families, each fitted once per session."""
+    s = stored(spark, "national_series", (sf_dir,), lambda: SE.prepare_series(fact(spark, sf_dir), "M", [], [T]))
+    hw = stored_many(spark, "national_hw", (sf_dir,), lambda: MO.holt_winters(s, T, [], H))
+    sa = stored_many(spark, "national_sarima", (sf_dir,), lambda: MO.sarima(s, T, [], H))
+    gb = stored_many(spark, "national_gbt", (sf_dir,), lambda: MO.gbt_forecast(s, T, [], H))
     return s, hw, sa, gb
 
 
