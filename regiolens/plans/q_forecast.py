@@ -101,8 +101,6 @@ def q_ml_features(spark, sf_dir):
 # --- simple models, ensemble, surges (SQL-checkable path) -----------------------------
 
 _KK = ", ".join(GEO)
-_PART = f"PARTITION BY {_KK}"
-_ON = " AND ".join(f"a.{k} = b.{k}" for k in GEO)
 
 
 def _simple_ctes(keys: list[str]) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from regiolens.operators import anomaly as A
 from regiolens.operators import policy as P
 from regiolens.operators import quality as V
 from regiolens.params import DEFAULT_PARAMS as PR
