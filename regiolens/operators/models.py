@@ -103,8 +103,8 @@ HW_GRID = (0.05, 0.1, 0.2, 0.3, 0.5, 0.8)
 
 
 def holt_winters(series: DataFrame, target: str, keys: Sequence[str] = (), horizon: int = 6, period: int = 12,
-                 grid: Sequence[float] = HW_GRID, fixed: tuple[float, float, float] | None = None
-                 ) -> tuple[DataFrame, DataFrame]:
+                 grid: Sequence[float] = HW_GRID, fixed: tuple[float, float, float] | None = None,
+                 materialize_fit: bool = False) -> tuple[DataFrame, DataFrame]:
     """Additive Holt-Winters; (alpha, beta, gamma) by least squares over a grid.
 
     Per series the values form one array (its length is the number of periods);
@@ -163,6 +163,10 @@ def holt_winters(series: DataFrame, target: str, keys: Sequence[str] = (), horiz
     best = fitted.groupBy(*keys).agg(
         F.min_by(F.struct("_last", "n_points", "_p", "_st"), F.col("_st")["sse"]).alias("_b")).where(
         F.col("_b").isNotNull()).select(*keys, "_b.*")  # a global aggregate over no series yields one NULL row
+    if materialize_fit:  # forecasts and metrics both read the fitted states: fold once
+        from regiolens.session import materialize
+
+        best = materialize(best)
     n = F.col("n_points").cast("double")
     met_ok = best.select(
         *keys, F.lit("holt_winters").alias("model"), "n_points",
@@ -286,7 +290,7 @@ def fit_sarima(y: np.ndarray, horizon: int, period: int = 12, ar=(1, 2), ma=(1,
 
 
 def sarima(series: DataFrame, target: str, keys: Sequence[str] = (), horizon: int = 6,
-           params: Params = DEFAULT_PARAMS) -> tuple[DataFrame, DataFrame]:
+           params: Params = DEFAULT_PARAMS, materialize_fit: bool = False) -> tuple[DataFrame, DataFrame]:
     """seasonal ARIMA per series with ``groupBy(keys).applyInPandas``."""
     keys = list(keys)
     p, _, q = params.sarima_order
@@ -345,6 +349,10 @@ def sarima(series: DataFrame, target: str, keys: Sequence[str] = (), horizon: in
         res = grouped.applyInPandas(lambda pdf: fit(pdf.drop(columns=["_one"])), out_schema)
     else:
         res = grouped.applyInPandas(fit, out_schema)
+    if materialize_fit:  # forecasts and metrics come from the same fits: run them once
+        from regiolens.session import materialize
+
+        res = materialize(res)
     fc = res.where(F.col("kind") == "forecast").select(*keys, F.lit("sarima").alias("model"), "step", DS, "yhat",
                                                       "lower_80", "upper_80", "lower_95", "upper_95")
     met = res.where(F.col("kind") == "metrics").select(*keys, F.lit("sarima").alias("model"), "n_points", "mae",

@@ -134,8 +134,8 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
     # --- 4 forecasting --------------------------------------------------------
     nat = write_table(SE.prepare_series(fact, "M", [], [T], schema), "national_series")
     t0 = time.time()
-    hw = MO.holt_winters(nat, T, [], H, params.seasonal_period)
-    sa = MO.sarima(nat, T, [], H, params)
+    hw = MO.holt_winters(nat, T, [], H, params.seasonal_period, materialize_fit=True)
+    sa = MO.sarima(nat, T, [], H, params, materialize_fit=True)
     nat_fc = write_table(FO._union([hw[0], sa[0]]), "national_forecasts")
     nat_met = write_table(FO._union([hw[1], sa[1]]), "national_metrics")
     rep.prepare_seconds["national_models"] = time.time() - t0
@@ -175,8 +175,8 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
     # many-series form: one forecast per district feeds the policy engine
     t0 = time.time()
     dser = write_table(SE.prepare_series(fact, "M", geo, [T], schema), "district_series")
-    dhw = MO.holt_winters(dser, T, geo, H, params.seasonal_period)
-    dsa = MO.sarima(dser, T, geo, H, params)
+    dhw = MO.holt_winters(dser, T, geo, H, params.seasonal_period, materialize_fit=True)
+    dsa = MO.sarima(dser, T, geo, H, params, materialize_fit=True)
     defc, demet = FO.ensemble([dhw[0], dsa[0]], [dhw[1], dsa[1]], geo)
     defc = write_table(defc, "district_forecast")
     rep.prepare_seconds["district_forecasts"] = time.time() - t0

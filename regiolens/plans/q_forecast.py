@@ -264,7 +264,7 @@ def district_models(spark, sf_dir, family: str):
     """Per-district forecasts and metrics of one model family, fitted once per session."""
     fit = {"hw": MO.holt_winters, "sarima": MO.sarima}[family]
     return stored_many(spark, f"district_{family}", (sf_dir,),
-                       lambda: fit(district_series(spark, sf_dir), T, GEO, H))
+                       lambda: fit(district_series(spark, sf_dir), T, GEO, H, materialize_fit=True))
 
 
 @register("forecast_holt_winters")
@@ -292,8 +292,8 @@ def q_sarima_metrics(spark, sf_dir):
 def national_models(spark, sf_dir):
     """National series and the three model families, each fitted once per session."""
     s = stored(spark, "national_series", (sf_dir,), lambda: SE.prepare_series(fact(spark, sf_dir), "M", [], [T]))
-    hw = stored_many(spark, "national_hw", (sf_dir,), lambda: MO.holt_winters(s, T, [], H))
-    sa = stored_many(spark, "national_sarima", (sf_dir,), lambda: MO.sarima(s, T, [], H))
+    hw = stored_many(spark, "national_hw", (sf_dir,), lambda: MO.holt_winters(s, T, [], H, materialize_fit=True))
+    sa = stored_many(spark, "national_sarima", (sf_dir,), lambda: MO.sarima(s, T, [], H, materialize_fit=True))
     gb = stored_many(spark, "national_gbt", (sf_dir,), lambda: MO.gbt_forecast(s, T, [], H))
     return s, hw, sa, gb
 
