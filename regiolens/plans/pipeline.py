@@ -33,7 +33,7 @@ from regiolens.operators import report as R
 from regiolens.operators import series as SE
 from regiolens.params import DEFAULT_PARAMS, Params
 from regiolens.schema import DEFAULT_SCHEMA, FactSchema
-from regiolens.session import ensure_checkpoint_dir
+from regiolens.session import ensure_checkpoint_dir, ship_package
 from regiolens.sources.loader import derive_columns
 
 
@@ -69,6 +69,7 @@ class Report:
 def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFAULT_PARAMS,
                  schema: FactSchema = DEFAULT_SCHEMA, gbt_max_iter: int | None = None,
                  with_gbt: bool = True) -> Report:
+    ship_package(spark)
     rep = Report()
     H = params.horizon_long
     T = schema.total
