@@ -329,3 +329,44 @@ def q_forecast_report(spark, sf_dir):
         row = part.select(F.struct(*part.columns).alias("r")).scalar()
         one = one.withColumns({c: row[c] for c in part.columns})
     return one
+
+
+# --- Holt-Winters with fixed parameters: checked by a recursive CTE -----------------
+
+HW_FIXED = (0.3, 0.1, 0.2)
+
+
+def _hw_fixed_sql() -> str:
+    a, b, g = (f"CAST({x!r} AS DOUBLE)" for x in HW_FIXED)
+    m = PR.seasonal_period
+    v = "y[t + 1]"
+    s_old = f"s[t % {m} + 1]"
+    l_new = f"({a} * ({v} - {s_old}) + (1 - {a}) * (l + b))"
+    b_new = f"({b} * ({l_new} - l) + (1 - {b}) * b)"
+    s_new = f"({g} * ({v} - {l_new}) + (1 - {g}) * {s_old})"
+    s_list = f"list_transform(range(1, {m + 1}), lambda i: CASE WHEN i = t % {m} + 1 THEN {s_new} ELSE s[i] END)"
+    total = "list_reduce({}, lambda acc, x: acc + x)"
+    first, second = f"y[1:{m}]", f"y[{m + 1}:{2 * m}]"
+    return f"""WITH RECURSIVE {FACT[len('WITH '):]},
+{_series_ctes(GEO, [T])},
+arr AS (SELECT state, district, list({T} ORDER BY ds) AS y, MAX(ds) AS last_ds, COUNT(*) AS n FROM ser
+        GROUP BY state, district HAVING COUNT(*) >= {2 * m}),
+init AS (SELECT *, {total.format(first)} / {m} AS l0,
+                ({total.format(second)} - {total.format(first)}) / {float(m * m)} AS b0 FROM arr),
+hw(state, district, y, n, last_ds, t, l, b, s) AS (
+  SELECT state, district, y, n, last_ds, 0, l0, b0, list_transform({first}, lambda x: x - l0) FROM init
+  UNION ALL
+  SELECT state, district, y, n, last_ds, t + 1, {l_new}, {b_new}, {s_list} FROM hw WHERE t < n)
+SELECT h.state, h.district, 'holt_winters' AS model, CAST(st.step AS BIGINT) AS step,
+       CAST(h.last_ds + to_months(CAST(st.step AS INT)) AS DATE) AS ds,
+       {r6(f"h.l + st.step * h.b + h.s[(h.n - 1 + st.step) % {m} + 1]")} AS yhat,
+       CAST(NULL AS DOUBLE) AS lower_80, CAST(NULL AS DOUBLE) AS upper_80,
+       CAST(NULL AS DOUBLE) AS lower_95, CAST(NULL AS DOUBLE) AS upper_95
+FROM hw h CROSS JOIN range(1, {H + 1}) AS st(step) WHERE h.t = h.n"""
+
+
+@register("forecast_holt_winters_fixed", _hw_fixed_sql())
+def q_hw_fixed(spark, sf_dir):
+    """F5 per district with fixed (alpha, beta, gamma): the fold checked against a recursive CTE."""
+    fc, _ = MO.holt_winters(district_series(spark, sf_dir), T, GEO, H, fixed=HW_FIXED)
+    return fc
