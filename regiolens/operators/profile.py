@@ -54,18 +54,15 @@ def aggregate(fact: DataFrame, group_by: Sequence[str], agg_func: str = "sum",
 
 def dataset_profile(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
     """Q4/Q5: one scan -> rows, date range, coverage, totals and per-column nulls."""
-    from regiolens.operators.describe import distinct_count
-
     d = F.col(schema.date)
-    one = fact.agg(
+    return fact.agg(
         F.count(F.lit(1)).alias("total_records"),
         F.min(d).alias("min_date"),
         F.max(d).alias("max_date"),
         F.datediff(F.max(d), F.min(d)).cast("long").alias("span_days"),
+        F.count_distinct(schema.state).alias("num_states"),
+        F.count_distinct(schema.district).alias("num_districts"),
+        F.count_distinct(schema.unit).alias("num_pincodes"),
         *[sum0(c).alias(f"sum_{c}") for c in schema.present_all(fact)],
         *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls_{c}") for c in fact.columns],
     )
-    return one.withColumns({  # distinct counts: one single-column subquery each (no Expand)
-        "num_states": distinct_count(fact, schema.state),
-        "num_districts": distinct_count(fact, schema.district),
-        "num_pincodes": distinct_count(fact, schema.unit)})
