@@ -7,6 +7,7 @@ from regiolens.operators import cluster as C
 from regiolens.operators import describe as D
 from regiolens.operators import iforest as IF
 from regiolens.operators import report as R
+from regiolens.plans.fact_store import stored
 from regiolens.plans.oracle_sql import FACT, MS, r6
 from regiolens.plans.q_anomaly import SEV_COLS
 from regiolens.plans.q_describe import fact
@@ -25,27 +26,36 @@ def q_pincode_totals(spark, sf_dir):
 @register("pincode_clusters")
 def q_pincode_clusters(spark, sf_dir):
     """K-Means (k=5, 10 seeds, lowest cost) on standardised PIN totals."""
-    return C.pincode_clusters(fact(spark, sf_dir))
+    return clusters_table(spark, sf_dir)
+
+
+def clusters_table(spark, sf_dir):
+    """PIN cluster labels, fitted once per session."""
+    return stored(spark, "pincode_clusters", (sf_dir,), lambda: C.pincode_clusters(fact(spark, sf_dir)))
+
+
+def forest_table(spark, sf_dir):
+    """Forest score and flag per row, fitted once per session."""
+    return stored(spark, "isolation_forest", (sf_dir,), lambda: IF.isolation_forest(fact(spark, sf_dir)))
 
 
 @register("cluster_summary")
 def q_cluster_summary(spark, sf_dir):
     """Size, means, totals and label per cluster."""
-    return C.cluster_summary(C.pincode_clusters(fact(spark, sf_dir)))
+    return C.cluster_summary(clusters_table(spark, sf_dir))
 
 
 @register("isolation_forest")
 def q_isolation_forest(spark, sf_dir):
     """Forest score and flag for every row (300 trees, 256 samples, 4%)."""
-    return IF.isolation_forest(fact(spark, sf_dir))
+    return forest_table(spark, sf_dir)
 
 
 @register("anomaly_severity_with_forest")
 def q_severity_forest(spark, sf_dir):
     """A12-A16 with the forest flag counted among the flags."""
     f = fact(spark, sf_dir)
-    ml = IF.isolation_forest(f)
-    return A.anomaly_scored(f, ml=ml).select(*SEV_COLS, "ml_anomaly_score", "ml_is_anomaly")
+    return A.anomaly_scored(f, ml=forest_table(spark, sf_dir)).select(*SEV_COLS, "ml_anomaly_score", "ml_is_anomaly")
 
 
 @register("chart_daily_ma30", f"""{FACT},
