@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regiolens.operators import anomaly as A
+from regiolens.operators import cluster as C
 from regiolens.operators import describe as D
 from regiolens.operators import forecast as FO
+from regiolens.operators import iforest as IF
 from regiolens.operators import models as MO
 from regiolens.operators import policy as P
 from regiolens.operators import quality as V
@@ -73,7 +75,7 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
     rep = Report()
     H = params.horizon_long
     T = schema.total
-    rep.background = ThreadPoolExecutor(max_workers=2)
+    rep.background = ThreadPoolExecutor(max_workers=3)
     gbt_future = None
     if with_gbt:  # the boosted-tree fit is a long chain of small jobs: start it first, beside the rest
 
@@ -116,10 +118,15 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
     rep.add("descriptive", "underserved_districts", D.underserved_districts(fact, schema, params, limit=50))
     rep.add("descriptive", "high_ratio_districts", D.high_ratio_districts(fact, None, schema, params))
     rep.add("descriptive", "summary_statistics", D.summary_statistics(fact, schema, params))
+    rep.add("descriptive", "pincode_cluster_summary",
+            lambda: C.cluster_summary(C.pincode_clusters(fact, schema, params), schema))
 
     # --- 3 anomalies ----------------------------------------------------------
     t0 = time.time()
-    scored = write_table(A.anomaly_scored(fact, schema, params), "anomaly_scored")
+    ml = write_table(IF.isolation_forest(fact, schema, params), "isolation_forest")
+    rep.prepare_seconds["isolation_forest"] = time.time() - t0
+    t0 = time.time()
+    scored = write_table(A.anomaly_scored(fact, schema, params, ml=ml), "anomaly_scored")
     rep.prepare_seconds["anomaly_scored"] = time.time() - t0
     summ = rep.add("anomaly", "anomaly_summary", A.anomaly_summary(fact, schema, params, scored))
     rep.add("anomaly", "severity_distribution", A.severity_distribution(scored))

@@ -23,6 +23,8 @@ def test_pipeline_sections_and_key_figures(spark):
     models = {r.model for r in rows["model_metrics"]}
     assert {"holt_winters", "sarima", "gbt"} <= models
     assert len(rows["ensemble_forecast"]) == 6
+    assert rows["anomaly_summary"][0].ml_anomalies > 0  # forest flag feeds the summary and severity
+    assert len(rows["pincode_cluster_summary"]) == 5
     assert all(s >= 0 for s in secs.values())
 
 
