@@ -182,5 +182,9 @@ def isolation_forest(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params:
 
     key_type = df.schema[key].dataType.simpleString()
     scored = df.select(key, *features).mapInPandas(score, f"{key} {key_type}, ml_anomaly_score double")
+    # the threshold and the flags both read the scores: score every row once
+    from regiolens.session import materialize
+
+    scored = materialize(scored)
     thr = scored.select(F.percentile("ml_anomaly_score", params.contamination)).scalar()
     return scored.withColumn("ml_is_anomaly", F.coalesce(F.col("ml_anomaly_score") < thr, F.lit(False)))

@@ -237,9 +237,11 @@ def collect_report(rep: Report, threads: int = 8) -> tuple[dict[str, list], dict
         out = rep.frame(name).collect()
         return name, out, time.time() - t
 
-    # long-running sections first so they start early
-    order = sorted(rep.sections, key=lambda n: (rep.engine_of[n] != "forecast", n))
-    with ThreadPoolExecutor(max_workers=threads) as pool:
+    # deferred sections may block on the background fit: give each its own thread
+    # and submit the ready ones first, so waiting never holds up runnable work
+    deferred = [n for n in rep.sections if callable(rep.sections[n])]
+    order = [n for n in rep.sections if n not in deferred] + deferred
+    with ThreadPoolExecutor(max_workers=threads + len(deferred)) as pool:
         futs = [pool.submit(run, n) for n in order]
         for f in as_completed(futs):
             name, out, s = f.result()
