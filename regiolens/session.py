@@ -29,8 +29,25 @@ _LOCAL_CONF = {
 }
 
 
+_POOLS_XML = """<?xml version="1.0"?>
+<allocations>
+  <pool name="models"><schedulingMode>FIFO</schedulingMode><weight>10</weight><minShare>1</minShare></pool>
+</allocations>
+"""
+
+
+def _pool_file() -> str:
+    """FAIR pools: ``models`` (long chains of one-task model-fitting jobs) gets
+    the first free slot; everything else shares the default pool."""
+    path = os.path.join(tempfile.mkdtemp(prefix="regiolens-pools-"), "fairscheduler.xml")
+    with open(path, "w") as f:
+        f.write(_POOLS_XML)
+    return path
+
+
 def local_session(cpus: int | str = "*", app: str = "regiolens", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
+    builder = builder.config("spark.scheduler.allocation.file", _pool_file())
     for k, v in {**_LOCAL_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
