@@ -64,3 +64,22 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [c[0] for c in res.description]
     assert sorted(sdf.columns) == sorted(dcols)
     assert _rows(sdf.columns, srows) == _rows(dcols, res.fetchall())
+
+
+def test_entry_from_another_directory_with_a_bare_session(tmp_path):
+    """Workers must import the package even when the driver runs elsewhere."""
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import importlib.util\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"spec = importlib.util.spec_from_file_location('se', {os.path.join(repo, '__spark_entry__.py')!r})\n"
+        "e = importlib.util.module_from_spec(spec); spec.loader.exec_module(e)\n"
+        f"print('rows', e.queries()['forecast_sarima'](s, {SF_SMALL!r}).count())\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "rows " in out.stdout
