@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolens.llm import mixing
+from regiolens.llm import license_scan, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": license_scan.op2_query,
+    "op9_secret_scan": secrets.op9_query,
     "op10_mix_sources": mixing.op10_query,
 }
 
