@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolens.llm import license_scan, mixing, secrets
+from regiolens.llm import decontaminate, lang_id, license_scan, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.op1_query,
     "op2_license_scan": license_scan.op2_query,
+    "op7_language_id": lang_id.op7_query,
     "op9_secret_scan": secrets.op9_query,
     "op10_mix_sources": mixing.op10_query,
 }
