@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolens.llm import chat_format, decontaminate, lang_id, license_scan, mixing, secrets, url_filter
+from regiolens.llm import chat_format, decontaminate, lang_id, license_scan, mixing, quality, secrets, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_query,
     "op2_license_scan": license_scan.op2_query,
     "op3_chat_format": chat_format.op3_query,
+    "op4_quality": quality.op4_query,
     "op5_url_filter": url_filter.op5_query,
     "op7_language_id": lang_id.op7_query,
     "op9_secret_scan": secrets.op9_query,
