@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolens.llm import chat_format, decontaminate, lang_id, license_scan, mixing, quality, secrets, url_filter
+from regiolens.llm import chat_format, decontaminate, jaccard_join, lang_id, license_scan, mixing, quality, secrets, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": quality.op4_query,
     "op5_url_filter": url_filter.op5_query,
     "op7_language_id": lang_id.op7_query,
+    "op8_jaccard_join": jaccard_join.op8_query,
     "op9_secret_scan": secrets.op9_query,
     "op10_mix_sources": mixing.op10_query,
 }
