@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolens.llm import chat_format, decontaminate, jaccard_join, lang_id, license_scan, mixing, quality, secrets, url_filter
+from regiolens.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, lang_id, license_scan, mixing, quality, secrets, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": chat_format.op3_query,
     "op4_quality": quality.op4_query,
     "op5_url_filter": url_filter.op5_query,
+    "op6_embedding_dedup": embedding_dedup.op6_query,
     "op7_language_id": lang_id.op7_query,
     "op8_jaccard_join": jaccard_join.op8_query,
     "op9_secret_scan": secrets.op9_query,
