@@ -35,7 +35,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiolens.llm.common import Scratch, clusters_of, mix64, table
@@ -386,14 +386,26 @@ def _sorted_keys(costs: DataFrame) -> np.ndarray:
     return np.sort(costs.select("key").toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL,
+                     **more) -> DataFrame:
     """The rows of ``docs`` that stand for their component: those whose id is the
-    component's; one row where the id is repeated.  Rows without an id stay."""
-    found = similar_components(docs, id_col=id_col, text_col=text_col, **more)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    gone = gone.join(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_gone")), "_gone", "left_anti")
-    rest = docs.join(gone.distinct(), docs[id_col] == F.col("_gone"), "left_anti")
-    return rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(rest.where(F.col(id_col).isNull()))
+    component's.  Of a repeated id, the row with the smallest text stays.  Rows
+    without an id stay."""
+    scratch = Scratch(docs.sparkSession, "keep")
+    found = scratch.store("found", similar_components(docs, id_col=id_col, text_col=text_col, small=small, **more)
+                          .where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
+                          .agg(F.max((F.col(id_col) == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("c")))
+
+    def without(d: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
+        return d.join(F.broadcast(ids) if ids.count() <= small else ids, d[id_col] == F.col("_id"), how)
+
+    rest = without(docs, found.where("stays = 0").select("_id"))
+    again = found.where("stays = 1 and c > 1").select("_id")
+    if again.isEmpty():
+        return rest
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first()))
+    one = without(rest, again, "left_semi").withColumn("_place", first).where("_place = 1").drop("_place")
+    return without(rest, again).unionByName(one)
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:

@@ -99,6 +99,29 @@ def mix_to_weights(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return out
 
 
+def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                  **more) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with size, source_size, target,
+    epochs, cut_words and taken (which replace columns of these names): a row
+    goes in ``epochs`` times whole and once with its first ``cut_words`` words.
+    Rows equal in id, source and text come out once, with their summed take."""
+    scratch = Scratch(docs.sparkSession, "mixed")
+    new = ["size", "source_size", "target", "epochs", "cut_words", "taken"]
+    d = mix_to_weights(docs, id_col=id_col, text_col=text_col, source_col=source_col, **more)
+    d = scratch.store("mix", d.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("text_hash").alias("_hash"))
+                      .agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"),
+                           F.max("epochs").alias("epochs"), F.sum("cut_words").alias("cut_words"), F.sum("taken").alias("taken"),
+                           F.count("*").alias("_rows")).where("taken > 0"))
+    keep = [c for c in docs.columns if c not in new]
+    rows = docs.select(*keep).withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")) \
+        & F.col(source_col).eqNullSafe(F.col("_source"))
+    out = rows.join(d, same)
+    if not d.where("_rows > 1").isEmpty():
+        out = out.dropDuplicates([id_col, source_col, "_text_hash"])
+    return out.select(*keep, *new)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
