@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiolens.functions.exprs import any_true, count_true, flag, pct_change, ratio, rule_rows
-from regiolens.params import DEFAULT_PARAMS, SEVERITY_LABELS, Params
+from regiolens.params import ANOMALY_FINE, ANOMALY_TEXTS, DEFAULT_PARAMS, SEVERITY_LABELS, Params
 from regiolens.plans import marts
 from regiolens.schema import DEFAULT_SCHEMA, FactSchema
 
@@ -156,20 +156,21 @@ def compute_severity(df: DataFrame, flag_cols: Sequence[str], zscore_cols: Seque
 
 
 def anomaly_scored(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS,
-                   ml: DataFrame | None = None) -> DataFrame:
+                   days: DataFrame | None = None, geo: DataFrame | None = None) -> DataFrame:
     """Row table with statistical flags, the day's temporal flag, the
-    district's geographic flag (and the forest flag when given) and severity.
-
-    ``ml`` is an optional ``(record_id, ml_anomaly_score, ml_is_anomaly)`` table.
+    district's geographic flag (and the forest flag where the rows carry it as
+    the column ``ml_is_anomaly``) and severity.  ``days`` and ``geo`` are the
+    temporal and geographic tables, where the caller has stored them.
     """
     cols = schema.present_all(fact)
     stat = statistical_anomalies(fact, schema, params)
-    days = temporal_anomalies(fact, schema, params).select(schema.date, "has_temporal_anomaly")
-    geo = geographic_anomalies(fact, schema, params).select(*schema.geo, "has_geographic_anomaly")
+    days = temporal_anomalies(fact, schema, params) if days is None else days
+    geo = geographic_anomalies(fact, schema, params) if geo is None else geo
+    days = days.select(schema.date, "has_temporal_anomaly")
+    geo = geo.select(*schema.geo, "has_geographic_anomaly")
     rows = stat.join(days, schema.date, "left").join(geo, list(schema.geo), "left")
     flags = statistical_flag_columns(cols) + ["has_temporal_anomaly", "has_geographic_anomaly"]
-    if ml is not None:
-        rows = rows.join(ml, schema.record_id, "left")
+    if "ml_is_anomaly" in fact.columns:
         flags.append("ml_is_anomaly")
     rows = rows.withColumns({"has_temporal_anomaly": flag(F.col("has_temporal_anomaly")),
                              "has_geographic_anomaly": flag(F.col("has_geographic_anomaly"))})
@@ -183,17 +184,19 @@ def severity_distribution(scored: DataFrame) -> DataFrame:
 
 
 def critical_anomalies(scored: DataFrame, n: int = 50, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
-    """First ``n`` critical rows, ordered by z-score then record id (ruling R8)."""
+    """First ``n`` critical rows, ordered by z-score then row order (ruling R8):
+    the record id where there is one, else the fact's keys and measures."""
     return scored.where(F.col("severity_score") == 4).orderBy(
-        F.col("max_zscore").desc(), schema.record_id).limit(n)
+        F.col("max_zscore").desc(), *schema.row_order(scored)).limit(n)
 
 
 def anomaly_summary(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS,
-                    scored: DataFrame | None = None) -> DataFrame:
+                    scored: DataFrame | None = None, days: DataFrame | None = None,
+                    geo: DataFrame | None = None) -> DataFrame:
     """A18 summary row: counts per detector and per severity level."""
-    scored = anomaly_scored(fact, schema, params) if scored is None else scored
-    days = temporal_anomalies(fact, schema, params)
-    geo = geographic_anomalies(fact, schema, params)
+    days = temporal_anomalies(fact, schema, params) if days is None else days
+    geo = geographic_anomalies(fact, schema, params) if geo is None else geo
+    scored = anomaly_scored(fact, schema, params, days, geo) if scored is None else scored
     base = scored.agg(
         F.count(F.lit(1)).alias("total_records"),
         F.count_if("has_statistical_anomaly").alias("statistical_anomalies"),
@@ -212,17 +215,9 @@ def anomaly_recommendations(summary: DataFrame) -> DataFrame:
     crit, high = F.col("critical_anomalies"), F.col("high_anomalies")
     t, days = F.col("temporal_anomalies"), F.col("days")
     g, dists = F.col("geographic_anomalies"), F.col("districts")
-    rules = [
-        (crit > 0, F.format_string("URGENT: %d critical anomalies detected. Immediate investigation required.", crit)),
-        (high > 10, F.format_string(
-            "ATTENTION: %d high-severity anomalies. Review data quality and enrollment processes.", high)),
-        (t > days * 0.1, F.format_string(
-            "Frequent temporal anomalies detected (%d days). Investigate enrollment system stability.", t)),
-        (g > dists * 0.2, F.format_string(
-            "Widespread geographic anomalies (%d districts). Review regional data collection processes.", g)),
-    ]
-    return summary.select(F.inline(rule_rows(
-        rules, fallback="No significant anomalies detected. Data quality is acceptable.")))
+    conditions = [(crit > 0, crit), (high > 10, high), (t > days * 0.1, t), (g > dists * 0.2, g)]
+    rules = [(cond, F.format_string(text, n)) for (cond, n), text in zip(conditions, ANOMALY_TEXTS, strict=True)]
+    return summary.select(F.inline(rule_rows(rules, fallback=ANOMALY_FINE)))
 
 
 def anomaly_shares(summary: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiolens.functions.exprs import pct_change, percentiles, ratio, rule_rows, sum0
-from regiolens.params import DEFAULT_PARAMS, Params
+from regiolens.params import DEFAULT_PARAMS, INEQUITY_FINE, INEQUITY_TEXTS, Params
 from regiolens.plans import marts
 from regiolens.schema import DEFAULT_SCHEMA, FactSchema
 
@@ -74,22 +74,47 @@ def top_districts(fact: DataFrame, n: int | None = None, schema: FactSchema = DE
         F.col(schema.total).desc(), schema.state, schema.district).limit(n)
 
 
-def gini(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def gini(df: DataFrame, value: str, by: Sequence[str] = (), per_range: int = 20_000) -> DataFrame:
     """Gini coefficient ``2*sum(i*x_(i)) / (n*sum x) - (n+1)/n`` per ``by`` group.
 
-    Ties are collapsed first (``groupBy(by, value).count()``), so the window
-    runs over distinct values only; equal values get consecutive ranks, whose
-    contribution is ``x * (c*before + c*(c+1)/2)``.
+    Ties are collapsed first (``groupBy(by, value).count()``); equal values get
+    consecutive ranks, whose contribution is ``x * (c*before + c*(c+1)/2)``.
+    Distinct values are cut into ranges at approximate quantiles; the counts of
+    the ranges before (a prefix sum over the small table of ranges) plus the
+    counts before a value inside its range give its rank, so no window sees
+    much more than ``per_range`` values, with or without ``by``.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_c").over(w), F.lit(0))
-    x = F.col(value).cast("double")
-    c = F.col("_c").cast("double")
-    ranked = counts.select(*by, x.alias("_x"), c.alias("_c"),
-                           (x * (c * before.cast("double") + c * (c + 1) / 2)).alias("_ix"))
-    agg = ranked.groupBy(*by).agg(F.sum("_ix").alias("_s"), F.sum("_c").alias("_n"),
-                                  F.sum(F.col("_x") * F.col("_c")).alias("_t"))
+    x = F.col("_x")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(
+        F.count(F.lit(1)).cast("double").alias("_c"))
+    pieces = F.greatest(F.lit(1), F.least(F.lit(1000), F.ceil(F.count(F.lit(1)) / per_range))).cast("int")
+    # a fixed grid of quantiles; a group takes every (grid / pieces)-th of them
+    grid = [i / 1000 for i in range(1, 1000)]
+    cuts = counts.groupBy(*by).agg(pieces.alias("_k"), F.percentile_approx("_x", grid, 10_000).alias("_q"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(1000) / F.col("_k"))).cast("int")
+    bounds = F.when(F.col("_k") == 1, F.expr("cast(array() as array<double>)")).otherwise(
+        F.array_distinct(F.filter("_q", lambda v, i: (i + 1) % step == 0)))
+    cuts = cuts.select(*[F.col(c).alias(f"_k_{c}") for c in by], bounds.alias("_b"))
+    if by:
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        placed = counts.join(cuts, same).select(*by, "_x", "_c", "_b")
+    else:
+        placed = counts.select("_x", "_c", cuts.scalar().alias("_b"))
+    placed = placed.withColumn("_r", F.size(F.filter("_b", lambda v: v < x))).drop("_b")
+    sizes = placed.groupBy(*by, "_r").agg(F.sum("_c").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select(*[F.col(c).alias(f"_s_{c}") for c in by], F.col("_r").alias("_s_r"),
+                          F.coalesce(F.sum("_n").over(earlier), F.lit(0.0)).alias("_start"))
+    inside = Window.partitionBy(*by, "_r").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    match = F.col("_r") == F.col("_s_r")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    ranked = placed.withColumn("_before", F.coalesce(F.sum("_c").over(inside), F.lit(0.0))).join(starts, match)
+    before, c = F.col("_start") + F.col("_before"), F.col("_c")
+    agg = ranked.groupBy(*by).agg(F.sum(x * (c * before + c * (c + 1) / 2)).alias("_s"), F.sum("_c").alias("_n"),
+                                  F.sum(x * c).alias("_t"))
     g = F.try_divide(2 * F.col("_s"), F.col("_n") * F.col("_t")) - (F.col("_n") + 1) / F.col("_n")
     return agg.select(*by, g.alias("gini"))
 
@@ -203,34 +228,41 @@ def underserved_districts(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA,
     return out.limit(limit) if limit else out
 
 
-def inequity_summary(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA,
-                     params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """District count, median district total (truncated) and CV (3 decimals),
-    plus the uncapped number of underserved districts."""
+def inequity_facts(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """One row: district count, median district total (truncated), unrounded CV,
+    and the uncapped number of underserved districts."""
     d = marts.district_totals(fact, schema)
     t = F.col(schema.total).cast("double")
     s = d.agg(F.count(F.lit(1)).alias("total_districts"),
               F.percentile(t, 0.5).alias("_median"),
-              F.try_divide(F.stddev_samp(t), F.avg(t)).alias("_cv"))
+              F.try_divide(F.stddev_samp(t), F.avg(t)).alias("cv"))
     n_under = underserved_districts(fact, schema, params).select(F.count(F.lit(1))).scalar()
-    return s.select("total_districts", F.col("_median").cast("long").alias("median_enrollment"),
-                    F.round("_cv", 3).alias("coefficient_of_variation"),
+    return s.select("total_districts", F.col("_median").cast("long").alias("median_enrollment"), "cv",
                     n_under.alias("underserved_count"))
 
 
-def inequity_recommendations(summary: DataFrame) -> DataFrame:
-    """Rule texts over the inequity summary row."""
-    n = F.col("underserved_count")
-    cv = F.col("coefficient_of_variation")
+def inequity_summary(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA,
+                     params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """The inequity row with the CV rounded to 3 decimals."""
+    return rounded_inequity(inequity_facts(fact, schema, params))
+
+
+def rounded_inequity(facts: DataFrame) -> DataFrame:
+    return facts.select("total_districts", "median_enrollment", F.round("cv", 3).alias("coefficient_of_variation"),
+                        "underserved_count")
+
+
+def inequity_recommendations(facts: DataFrame) -> DataFrame:
+    """Rule texts over :func:`inequity_facts`; the CV rule takes the
+    unrounded value."""
+    n, cv = F.col("underserved_count"), F.col("cv")
+    few, some, cv_text = INEQUITY_TEXTS
     rules = [
-        (n > 100, F.format_string(
-            "CRITICAL: %d districts identified as underserved. Prioritize resource allocation and outreach programs.", n)),
-        ((n > 50) & (n <= 100), F.format_string(
-            "ATTENTION: %d districts show low enrollment. Consider targeted interventions.", n)),
-        (cv > 1.0, F.format_string(
-            "High enrollment inequality detected (CV=%.2f). Geographic disparities require policy intervention.", cv)),
+        (n > 100, F.format_string(few, n)),
+        ((n > 50) & (n <= 100), F.format_string(some, n)),
+        (cv > 1.0, F.format_string(cv_text, cv)),
     ]
-    return summary.select(F.inline(rule_rows(rules, fallback="Enrollment distribution is relatively equitable.")))
+    return facts.select(F.inline(rule_rows(rules, fallback=INEQUITY_FINE)))
 
 
 # --- D26: summary statistics ------------------------------------------------------

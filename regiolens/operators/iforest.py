@@ -2,19 +2,21 @@
 
 Algorithm: Liu, Ting, Zhou, "Isolation Forest", ICDM 2008.
 
-1. Sampling (distributed, deterministic): every tree draws ``psi = min(256, n)``
-   rows without replacement.  Rows get candidate trees from a seeded hash of
-   their key (``xxhash64``), so the sample does not depend on partitioning;
+1. Sampling (distributed, deterministic, one scheme for every row count): a
+   row's hash gives it a number of candidate trees (on average four times what
+   a tree's sample needs, all trees for small tables) and which trees those
+   are, so the sample does not depend on partitioning and needs no row id;
    ``row_number() over (partition by tree order by hash) <= psi`` keeps
-   exactly ``psi`` rows per tree (each tree partition holds about 4*psi
+   ``psi = min(256, n)`` rows per tree (each tree partition holds about 4*psi
    candidates: bounded by the parameters, not the data).
 2. Growing: ``groupBy(tree).applyInPandas`` builds one isolation tree per
    group (random feature, random split inside the node's range, height limit
    ``ceil(log2 psi)``), returning its nodes.
 3. Scoring: the forest (at most trees x (2*psi - 1) nodes, bounded by the
-   parameters) is collected once and broadcast; ``mapInPandas`` walks all
-   trees level by level with NumPy over each Arrow batch.
-4. Flag: score below the ``contamination`` percentile of all scores.
+   parameters) is collected once and broadcast; a pandas UDF walks all trees
+   level by level with NumPy and gives the score as a column of the row.
+4. Flag: score below the ``contamination`` percentile of all scores, found by
+   counting scores in fixed ranges and narrowing down to the exact ranks.
 
 Score convention: ``-2 ** (-E[h(x)] / c(psi))`` (range -1..0, lower is more
 abnormal), as scikit-learn's ``score_samples``.
@@ -27,12 +29,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regiolens.functions.ranks import exact_percentile
 from regiolens.params import DEFAULT_PARAMS, Params
 from regiolens.schema import DEFAULT_SCHEMA, FactSchema
+from regiolens.session import write_table
 
 EULER = 0.5772156649
 
@@ -85,35 +89,43 @@ def grow_tree(x: np.ndarray, tree: int, seed: int, height_limit: int) -> pd.Data
     return out
 
 
-def fit_forest(df: DataFrame, features: Sequence[str], key: str, params: Params = DEFAULT_PARAMS,
+STRIDES = (1, 7, 11, 13, 17, 19, 23, 29, 31, 37)  # steps from one candidate tree of a row to the next
+
+
+def candidate_trees(row_hash: Column, n: int, psi: int, trees: int) -> Column:
+    """Array of the trees a row is a candidate for: on average
+    ``trees * min(1, 4 * psi / n)`` of them, distinct."""
+    expected = trees * min(1.0, 4.0 * psi / n)
+    whole, part = int(expected), int((expected % 1.0) * 1_000_000_000)
+    draws = F.lit(whole) + (F.pmod(F.xxhash64(row_hash, F.lit(1)), F.lit(1_000_000_000)) < part).cast("int")
+    steps = F.array(*[F.lit(x) for x in STRIDES if math.gcd(x, trees) == 1])
+    step = F.element_at(steps, (F.pmod(F.xxhash64(row_hash, F.lit(2)), F.size(steps)) + 1).cast("int"))
+    start = F.pmod(F.xxhash64(row_hash, F.lit(3)), F.lit(trees))
+    return F.when(draws > 0, F.transform(F.sequence(F.lit(0), draws - 1),
+                                         lambda i: F.pmod(start + i * step, F.lit(trees)).cast("int")))
+
+
+def fit_forest(df: DataFrame, features: Sequence[str], params: Params = DEFAULT_PARAMS,
                n_rows: int | None = None) -> pd.DataFrame:
-    """Grow the forest on Spark; returns the node table (bounded by the parameters)."""
+    """Grow the forest on Spark; returns the node table (bounded by the
+    parameters).  Rows are told apart by the hash of all their columns."""
     trees, seed = params.forest_trees, params.seed
     n = n_rows if n_rows is not None else df.count()
     psi = int(min(params.forest_subsample, n))
     if psi < 2:
         raise ValueError("isolation forest needs at least two rows")
     height = int(math.ceil(math.log2(psi)))
-    x = df.select(F.col(key), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}")
-                                 for i, c in enumerate(features)])
-    if n <= trees * psi * 8:
-        # every row tests each tree with probability p (about 4*psi candidates per tree)
-        p = min(1.0, 4.0 * psi / n)
-        cut = int(p * 1_000_000_000)
-        cand = x.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(
-            F.xxhash64(F.col(key), F.lit(seed), t), F.lit(1_000_000_000)) < F.lit(cut))).alias("tree"))
-    else:
-        # large n: one draw per row, kept with probability trees*2*psi/n, tree from a second hash
-        cut = int(min(1.0, trees * 2.0 * psi / n) * 1_000_000_000)
-        cand = x.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000_000)) < F.lit(cut)).withColumn(
-            "tree", F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    order = F.xxhash64(F.col(key), F.lit(seed + 2), F.col("tree"))
-    w = Window.partitionBy("tree").orderBy(order, F.col(key))
-    sample = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi).drop("_rn")
     cols = [f"_x{i}" for i in range(len(features))]
+    known = [f"`{c}`" for c in df.columns if df.schema[c].dataType.typeName() != "map"]
+    x = df.select(F.xxhash64(F.lit(seed), *known).alias("_h"),
+                  *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(a) for a, c in zip(cols, features, strict=True)])
+    cand = x.select("*", F.explode(candidate_trees(F.col("_h"), n, psi, trees)).alias("tree"))
+    order = F.xxhash64(F.col("_h"), F.lit(seed + 2), F.col("tree"))
+    w = Window.partitionBy("tree").orderBy(order, *cols)
+    sample = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi).drop("_rn")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
+        pdf = pdf.sort_values(["_h", *cols])
         return grow_tree(pdf[cols].to_numpy(dtype=float), int(pdf["tree"].iloc[0]), seed, height)
 
     nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
@@ -162,29 +174,28 @@ def path_lengths(x: np.ndarray, arrays) -> np.ndarray:
 
 
 def isolation_forest(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS,
-                     features: Sequence[str] | None = None, key: str | None = None) -> DataFrame:
-    """``(key, ml_anomaly_score, ml_is_anomaly)`` for every row of ``df``."""
+                     features: Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``df`` with ``ml_anomaly_score`` and ``ml_is_anomaly``
+    as further columns (no key, no join: repeated rows stay repeated).
+
+    The scored rows are written once to the checkpoint folder; the threshold
+    and every later read use that table.  Fewer than two rows get no score.
+    """
     features = list(features) if features is not None else schema.present_all(df)
-    key = key or schema.record_id
-    nodes = fit_forest(df, features, key, params)
-    psi = nodes.attrs["psi"]
-    arrays = _forest_arrays(nodes)
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(arrays)
-    cpsi = float(c_factor(np.array([psi]))[0])
-
-    def score(batches):
-        arr = bc.value
-        for pdf in batches:
-            xv = pdf[features].astype(float).fillna(0.0).to_numpy()
-            h = path_lengths(xv, arr) if len(xv) else np.zeros(0)
-            yield pd.DataFrame({key: pdf[key], "ml_anomaly_score": -np.power(2.0, -h / cpsi)})
-
-    key_type = df.schema[key].dataType.simpleString()
-    scored = df.select(key, *features).mapInPandas(score, f"{key} {key_type}, ml_anomaly_score double")
-    # the threshold and the flags both read the scores: score every row once
-    from regiolens.session import materialize
-
-    scored = materialize(scored)
-    thr = scored.select(F.percentile("ml_anomaly_score", params.contamination)).scalar()
-    return scored.withColumn("ml_is_anomaly", F.coalesce(F.col("ml_anomaly_score") < thr, F.lit(False)))
+    n = df.count()
+    if n < 2:
+        return df.withColumns({"ml_anomaly_score": F.lit(None).cast("double"), "ml_is_anomaly": F.lit(False)})
+    nodes = fit_forest(df, features, params, n)
+    cpsi = float(c_factor(np.array([nodes.attrs["psi"]]))[0])
+    bc = df.sparkSession.sparkContext.broadcast(_forest_arrays(nodes))
+
+    @F.pandas_udf("double")
+    def score(*xs: pd.Series) -> pd.Series:
+        x = np.column_stack([c.astype(float).fillna(0.0).to_numpy() for c in xs])
+        h = path_lengths(x, bc.value) if len(x) else np.zeros(0)
+        return pd.Series(-np.power(2.0, -h / cpsi))
+
+    scored = write_table(df.withColumn("ml_anomaly_score", score(*[F.col(c).cast("double") for c in features])),
+                         "isolation_forest")
+    thr = exact_percentile(scored, "ml_anomaly_score", params.contamination, -1.0, 0.0)
+    return scored.withColumn("ml_is_anomaly", F.coalesce(F.col("ml_anomaly_score") < F.lit(thr), F.lit(False)))

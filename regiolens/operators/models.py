@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from regiolens.operators.series import DS, error_metrics, feature_names, ml_features
 from regiolens.params import DEFAULT_PARAMS, Params
+from regiolens.session import write_table
 
 FORECAST_COLS = ("model", "step", DS, "yhat", "lower_80", "upper_80", "lower_95", "upper_95")
 METRIC_COLS = ("model", "n_points", "mae", "rmse", "mape", "aic", "bic", "status")
@@ -362,12 +363,16 @@ def sarima(series: DataFrame, target: str, keys: Sequence[str] = (), horizon: in
 
 # --- Gradient-boosted trees (pyspark.ml), pooled over series -------------------------
 
+LEVEL = "series_level"
+
+
 def gbt_forecast(series: DataFrame, target: str, keys: Sequence[str] = (), horizon: int = 6,
                  params: Params = DEFAULT_PARAMS, max_iter: int | None = None, min_rows: int = 24,
                  shifted: bool = False, recursive: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """one boosted-tree regressor for all series.
 
-    Features: calendar, lags, rolling stats (F6-F9) and the series index.  The
+    Features: calendar, lags, rolling stats (F6-F9) and the mean of the series'
+    training rows, which tells the pooled series apart by size.  The
     last ``horizon`` feature rows of each series are the test set
     (``min(horizon, 3)`` when fewer than 12 would remain for training); series
     with fewer than ``min_rows`` feature rows get an error row.  By default the
@@ -377,7 +382,8 @@ def gbt_forecast(series: DataFrame, target: str, keys: Sequence[str] = (), horiz
     ``recursive=True`` (implies ``shifted``) predicts step by step, feeding each
     prediction back into the lags of the next step (one distributed
     ``transform`` per step, each step checkpointed).  Returns forecasts,
-    metrics and feature importances.
+    metrics and feature importances.  Where no series has enough rows there is
+    nothing to fit: error rows, no forecasts, no importances.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
@@ -391,24 +397,34 @@ def gbt_forecast(series: DataFrame, target: str, keys: Sequence[str] = (), horiz
     feats = feats.withColumns({"_rows": F.count(F.lit(1)).over(w), "_rdesc": F.row_number().over(wd)})
     test_n = F.when(F.col("_rows") - horizon < 12, F.least(F.lit(horizon), F.lit(3))).otherwise(F.lit(horizon))
     feats = feats.withColumn("_test", F.col("_rdesc") <= test_n)
-    key_str = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("all")
-    # numeric series id from a hash of the keys (no global ranking, no categorical bins)
-    series_index = F.pmod(F.xxhash64(key_str), F.lit(1000003)).cast("double")
-    feats = feats.withColumn("series_index", series_index)
     good = feats.where(F.col("_rows") >= min_rows)
+    train = good.where(~F.col("_test"))
+    level = train.groupBy(*keys).agg(F.avg(F.col(target).cast("double")).alias(LEVEL))
+
+    def with_level(d: DataFrame) -> DataFrame:
+        return d.join(level, keys) if keys else d.withColumn(LEVEL, level.scalar())
+
     names = feature_names(target)
-    assembler = VectorAssembler(inputCols=names + ["series_index"], outputCol="_features")
+    assembler = VectorAssembler(inputCols=[*names, LEVEL], outputCol="_features")
     gbt = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="_pred",
                        maxIter=params.gbt_trees if max_iter is None else max_iter, maxDepth=params.gbt_depth,
                        stepSize=params.gbt_rate, seed=params.seed, maxBins=32)
-    model = Pipeline(stages=[assembler, gbt]).fit(good.where(~F.col("_test")))
-    scored = model.transform(good)
+    # written once: every boosting round reads the stored feature rows
+    good = write_table(with_level(good), "gbt_features")
+    fitted = not good.where(~F.col("_test")).isEmpty()
+    if fitted:
+        # a calendar's worth of rows a series; one task per million rows does for a boosting round
+        rows = good.where(~F.col("_test")).coalesce(max(1, good.count() // 1_000_000))
+        model = Pipeline(stages=[assembler, gbt]).fit(rows)
+        scored = model.transform(good)
+    else:
+        scored = good.withColumn("_pred", F.lit(None).cast("double"))
     test = scored.where("_test")
     e = F.col(target) - F.col("_pred")
     met_ok = test.groupBy(*keys).agg(
         F.max("_rows").alias("n_points"),
         F.round(F.avg(F.abs(e)), 2).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 2).alias("rmse"),
-        F.round(F.avg(F.abs(F.try_divide(e, F.col(target)))) * 100, 2).alias("mape")).select(
+        F.round(F.avg(F.abs(F.try_divide(e, F.col(target)))) * 100, 2).alias("mape")).where("n_points is not null").select(
         *keys, F.lit("gbt").alias("model"), F.col("n_points").cast("long").alias("n_points"), "mae", "rmse", "mape",
         F.lit(None).cast("double").alias("aic"), F.lit(None).cast("double").alias("bic"), F.lit("ok").alias("status"))
     counts = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -420,22 +436,22 @@ def gbt_forecast(series: DataFrame, target: str, keys: Sequence[str] = (), horiz
         *keys, F.lit("gbt").alias("model"), F.col("_n").cast("long").alias("n_points"),
         *[F.lit(None).cast("double").alias(c) for c in ("mae", "rmse", "mape", "aic", "bic")],
         F.lit("error: Insufficient data for ML forecasting").alias("status"))
-    if recursive:
-        fc = _recursive_steps(series, good.select(*keys).distinct(), model, target, keys, horizon, series_index)
+    if recursive and fitted:
+        fc = _recursive_steps(series, good.select(*keys).distinct(), model, target, keys, horizon, with_level)
     else:
         last = scored.where(F.col("_rdesc") == 1).select(*keys, F.col(DS).alias("_last"),
                                                          F.col("_pred").alias("yhat"))
         fc = last.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")).select(
             *keys, F.lit("gbt").alias("model"), "step", F.add_months("_last", F.col("step")).alias(DS), "yhat")
-    imp = model.stages[-1].featureImportances.toArray().tolist()
+    imp = model.stages[-1].featureImportances.toArray().tolist() if fitted else []
     spark = series.sparkSession
-    importances = spark.createDataFrame(list(zip(names + ["series_index"], [float(v) for v in imp])),
+    importances = spark.createDataFrame(list(zip([*names, LEVEL], [float(v) for v in imp], strict=False)),
                                         "feature string, importance double")
     return _null_bands(fc), met_ok.unionByName(met_err), importances
 
 
 def _recursive_steps(series: DataFrame, trained: DataFrame, model, target: str, keys: list[str], horizon: int,
-                     series_index: Column) -> DataFrame:
+                     with_level) -> DataFrame:
     """Step-by-step forecast: each step's features (shifted windows, lags)
     come from the history extended by the previous predictions."""
     from regiolens.session import materialize
@@ -449,8 +465,8 @@ def _recursive_steps(series: DataFrame, trained: DataFrame, model, target: str,
         last = ext.groupBy(*keys).agg(F.max(DS).alias("_last"))
         # the placeholder target is never read: lags start at 1 and windows end at the previous value
         nxt = last.select(*keys, F.add_months("_last", 1).alias(DS), F.lit(0.0).alias(target))
-        feats = ml_features(ext.unionByName(nxt), target, keys, shifted=True).join(
-            nxt.select(*keys, DS), [*keys, DS], "left_semi").withColumn("series_index", series_index)
+        feats = with_level(ml_features(ext.unionByName(nxt), target, keys, shifted=True).join(
+            nxt.select(*keys, DS), [*keys, DS], "left_semi"))
         pred = materialize(model.transform(feats).select(*keys, DS, F.col("_pred").alias(target)))
         steps.append(pred.select(*keys, F.lit("gbt").alias("model"), F.lit(step).alias("step"), DS,
                                  F.col(target).alias("yhat")))

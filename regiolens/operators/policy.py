@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regiolens.functions.exprs import flag, ratio, rule_rows
-from regiolens.params import DEFAULT_PARAMS, PRIORITY_TIERS, Params, Scenario
+from regiolens.params import DEFAULT_PARAMS, POLICY_TEXTS, PRIORITY_TIERS, Params, Scenario
 from regiolens.plans import marts
 from regiolens.schema import DEFAULT_SCHEMA, FactSchema
 
@@ -199,9 +199,12 @@ def policy_simulation(district: DataFrame, scenarios: Sequence[Scenario] | None
                       schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Raise district totals by a percentage for all or listed districts.
 
-    Every scenario is one conditional sum in a single aggregate; the simulated
-    total is ``baseline + pct * targeted`` over exact integer sums, then
-    truncated to an integer like the reference.
+    Every scenario is one conditional sum in a single aggregate.  Ruling R15:
+    the simulated total is ``baseline + pct * targeted`` over exact integer
+    sums, then truncated.  Summing ``total * (1 + pct)`` per district in floating
+    point depends on the order of addition (100 at 15 % is 114.99..., cut to
+    114, alone, and 115 beside other districts), so it has no result that holds
+    for every partitioning; the exact sum has, and differs by at most one.
     """
     scenarios = list(params.scenarios if scenarios is None else scenarios)
     t = F.col(schema.total)
@@ -247,12 +250,11 @@ def strategic_recommendations(totals: DataFrame, iv: DataFrame) -> DataFrame:
     crit_iv = iv.select(F.count_if(F.col("urgency") == "Critical")).scalar()
     t = totals.withColumn("immediate_action_required", crit_iv)
     c, centers, imm = F.col("critical_districts"), F.col("total_required_centers"), F.col("immediate_action_required")
+    urgent, large, critical, always = POLICY_TEXTS
     rules = [
-        (c > 0, F.format_string("URGENT: %d districts require immediate attention. "
-                                "Deploy rapid response teams for enrollment acceleration.", c)),
-        (centers > 1000, F.format_string("Large-scale infrastructure needed: %d enrollment centers. "
-                                         "Consider phased rollout strategy.", centers)),
-        (imm > 0, F.format_string("%d districts need critical interventions. Establish dedicated task force.", imm)),
-        (F.lit(True), F.lit("Implement continuous monitoring system to track policy impact and adjust strategies.")),
+        (c > 0, F.format_string(urgent, c)),
+        (centers > 1000, F.format_string(large, centers)),
+        (imm > 0, F.format_string(critical, imm)),
+        (F.lit(True), F.lit(always)),
     ]
     return t.select(F.inline(rule_rows(rules)))

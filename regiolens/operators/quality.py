@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regiolens.functions.exprs import flag, is_close, row_sum, row_sum_skipna, rule_rows
-from regiolens.params import DEFAULT_PARAMS, VALID_STATES, Params
+from regiolens.params import DEFAULT_PARAMS, QUALITY_FINE, QUALITY_TEXTS, VALID_STATES, Params
 from regiolens.plans import marts
 from regiolens.schema import DEFAULT_SCHEMA, FactSchema
 
@@ -35,12 +35,16 @@ def _rows(items: Sequence[tuple[Column, Column, Column]]) -> Column:
 
 def schema_checks(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
     """V1: required columns present, date typed as a date, no negative ages."""
+    return df.agg(_rows(_schema_items(df, schema)).alias("r")).select(F.inline("r"))
+
+
+def _schema_items(df: DataFrame, schema: FactSchema) -> list[tuple[str, str, Column]]:
     items = [("required_column", c, F.lit(0 if c in df.columns else 1)) for c in schema.required]
     if schema.date in df.columns:
         is_date = isinstance(df.schema[schema.date].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
         items.append(("date_type", schema.date, F.lit(0 if is_date else 1)))
     items += [("non_negative", m, F.count_if(F.col(m) < 0)) for m in schema.present_measures(df)]
-    return df.agg(_rows(items).alias("r")).select(F.inline("r"))
+    return items
 
 
 # --- V2-V4 ------------------------------------------------------------------------
@@ -56,6 +60,10 @@ def declared_schema(schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAUL
 def declared_schema_checks(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA,
                            params: Params = DEFAULT_PARAMS) -> DataFrame:
     """V2-V4: missing columns, non-null and min/max constraints, one scan."""
+    return df.agg(_rows(_declared_items(df, schema, params)).alias("r")).select(F.inline("r"))
+
+
+def _declared_items(df: DataFrame, schema: FactSchema, params: Params) -> list[tuple[str, str, Column]]:
     items = []
     for c, nullable, lo, hi in declared_schema(schema, params):
         if c not in df.columns:
@@ -68,48 +76,58 @@ def declared_schema_checks(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA,
             items.append(("min", c, F.count_if(F.col(c) < lo)))
         if hi is not None:
             items.append(("max", c, F.count_if(F.col(c) > hi)))
-    return df.agg(_rows(items).alias("r")).select(F.inline("r"))
+    return items
 
 
 # --- V5-V7 ------------------------------------------------------------------------
 
-def _sample_ids(df: DataFrame, cond: Column, rule: str, column: str, id_col: str, n: int = 5) -> DataFrame:
-    top = df.where(flag(cond)).select(F.col(id_col).alias("_id")).orderBy("_id").limit(n)
-    return top.agg(F.array_join(F.transform(F.sort_array(F.collect_list("_id")), lambda x: x.cast("string")), ",")
-                   .alias("sample_ids")).select(F.lit(rule).alias("rule"), F.lit(column).alias("column_name"),
-                                                "sample_ids")
+def _rule_conditions(df: DataFrame, schema: FactSchema) -> list[tuple[str, str, Column]]:
+    ms = schema.present_measures(df)
+    rules = [("no_negative_enrollments", m, F.col(m) < 0) for m in ms]
+    if schema.total in df.columns:
+        rules.append(("total_equals_sum", schema.total, F.col(schema.total) != row_sum(ms)))
+    return rules
+
+
+def row_label(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> Column:
+    """What names a row in a sample: its record id, or without one its keys and
+    measures as text."""
+    cols = schema.row_order(df)
+    if cols == [schema.record_id]:
+        return F.col(schema.record_id)
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
 
 
 def quality_rules(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
     """V5-V7: no negative ages, total = sum of ages, no duplicate keys.
 
     Duplicates count every row of a duplicated key group (``keep=False``);
-    NULL keys compare equal, as in pandas.  Samples: five smallest record ids.
+    NULL keys compare equal, as in pandas.  Samples: the five smallest row labels
+    of each rule.  One pass takes the violating rows with the rules they break
+    (counts and samples come from them), one groups the keys.
     """
-    ms = schema.present_measures(df)
-    rid = schema.record_id
-    rules = [("no_negative_enrollments", m, F.col(m) < 0) for m in ms]
-    mismatch = F.col(schema.total) != row_sum(ms)
-    if schema.total in df.columns:
-        rules.append(("total_equals_sum", schema.total, mismatch))
-    counts = df.agg(_rows([(r, c, F.count_if(flag(cond))) for r, c, cond in rules]).alias("r")) \
-        .select(F.inline("r")).withColumnRenamed("check_name", "rule")
+    rules = _rule_conditions(df, schema)
     keys = list(schema.keys)
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(rid).alias("_first"))
-    dup_groups = groups.where(F.col("_n") > 1)
-    dups = dup_groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("violations")).select(
-        F.lit("no_duplicates").alias("rule"), F.lit(",".join(keys)).alias("column_name"), "violations",
-        (F.col("violations") == 0).alias("passed"))
-    counts = counts.unionByName(dups)
-    samples = [_sample_ids(df, cond, r, c, rid) for r, c, cond in rules]
-    samples.append(_sample_ids(dup_groups.withColumnRenamed("_first", rid), F.lit(True), "no_duplicates",
-                               ",".join(keys), rid))
-    s = samples[0]
-    for x in samples[1:]:
-        s = s.unionByName(x)
-    return counts.join(s, ["rule", "column_name"], "left").select(
-        "rule", "column_name", "violations", "passed",
-        F.when(F.col("sample_ids") == "", None).otherwise(F.col("sample_ids")).alias("sample_ids"))
+    names = [(r, c) for r, c, _ in rules] + [("no_duplicates", ",".join(keys))]
+    label = row_label(df, schema)
+    broken = F.filter(F.array(*[F.when(flag(cond), F.lit(i)) for i, (_, _, cond) in enumerate(rules)]),
+                      lambda i: i.isNotNull())
+    hits = df.select(F.explode(broken).alias("i"), label.alias("_id"), F.lit(1).cast("long").alias("_n"))
+    groups = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(label).alias("_id")).where(F.col("_n") > 1)
+              .select(F.lit(len(rules)).alias("i"), "_id", "_n"))
+    every = hits.unionByName(groups)
+    # partial sums and a bounded list of the smallest labels; ties collapse to one label per row
+    place = F.row_number().over(Window.partitionBy("i").orderBy("_id"))
+    per = every.groupBy("i", "_id").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    first = (per.withColumn("_p", place).where(F.col("_p") <= 5)
+             .groupBy("i").agg(F.sort_array(F.collect_list(F.struct("_id", "_rows"))).alias("s")))
+    ids = F.slice(F.flatten(F.transform("s", lambda x: F.array_repeat(x["_id"].cast("string"), x["_rows"].cast("int")))), 1, 5)
+    counts = every.groupBy("i").agg(F.sum("_n").alias("violations"))
+    listed = df.sparkSession.range(1).select(F.posexplode(F.array(*[
+        F.struct(F.lit(r).alias("rule"), F.lit(c).alias("column_name")) for r, c in names])).alias("i", "x")).select("i", "x.*")
+    return (listed.join(counts, "i", "left").join(first.select("i", F.array_join(ids, ",").alias("sample_ids")), "i", "left")
+            .select("rule", "column_name", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"),
+                    (F.coalesce("violations", F.lit(0)) == 0).alias("passed"), "sample_ids"))
 
 
 def duplicate_key_groups(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
@@ -132,16 +150,20 @@ def invalid_states(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA,
 # --- V9 ---------------------------------------------------------------------------
 
 def validation_report(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """V9: all validator checks as rows plus ``overall_status`` (AND of all)."""
-    decl = declared_schema_checks(df, schema, params).select(
-        F.lit("schema").alias("section"), "check_name", "column_name", "violations", "passed")
-    rules = quality_rules(df, schema).select(
-        F.lit("quality_rules").alias("section"), F.col("rule").alias("check_name"), "column_name",
-        "violations", "passed")
+    """V9: all validator checks as rows plus ``overall_status`` (AND of all).
+    Three passes: all counts in one aggregate, key groups, state names."""
+    items = [("schema", *x) for x in _declared_items(df, schema, params)]
+    items += [("quality_rules", r, c, F.count_if(flag(cond))) for r, c, cond in _rule_conditions(df, schema)]
+    counted = df.agg(F.array(*[
+        F.struct(F.lit(sec).alias("section"), F.lit(n).alias("check_name"), F.lit(c).alias("column_name"),
+                 v.cast("long").alias("violations")) for sec, n, c, v in items]).alias("r")).select(F.inline("r"))
+    dups = duplicate_key_groups(df, schema).agg(F.coalesce(F.sum("group_size"), F.lit(0)).cast("long").alias("violations")).select(
+        F.lit("quality_rules").alias("section"), F.lit("no_duplicates").alias("check_name"),
+        F.lit(",".join(schema.keys)).alias("column_name"), "violations")
     bad = invalid_states(df, schema, VALID_STATES).agg(F.count(F.lit(1)).alias("violations")).select(
         F.lit("states").alias("section"), F.lit("valid_states").alias("check_name"),
-        F.lit(schema.state).alias("column_name"), "violations", (F.col("violations") == 0).alias("passed"))
-    allrows = decl.unionByName(rules).unionByName(bad)
+        F.lit(schema.state).alias("column_name"), "violations")
+    allrows = counted.unionByName(dups).unionByName(bad).withColumn("passed", F.col("violations") == 0)
     return allrows.withColumn("overall_status", F.bool_and("passed").over(Window.partitionBy()))
 
 
@@ -181,9 +203,7 @@ def declared_ranges(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params:
 
 # --- V11-V14 ----------------------------------------------------------------------
 
-def dri_components(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS,
-                   by: Sequence[str] = ()) -> DataFrame:
-    """V11-V13 per ``by`` group: completeness, consistency, validity (unrounded)."""
+def _dri_aggs(df: DataFrame, schema: FactSchema, params: Params) -> dict[str, Column]:
     ms = schema.present_measures(df)
     n = F.count(F.lit(1)).cast("double")
     non_null = sum((F.count(F.col(f"`{c}`")) for c in df.columns), F.lit(0)).cast("double")
@@ -192,14 +212,28 @@ def dri_components(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: P
         consistency = F.avg(is_close(schema.total, row_sum_skipna(ms)).cast("double"))
     else:
         consistency = F.lit(1.0)
-    checks = [F.count_if(F.col(m) >= 0) / n for m in ms]
+    checks = [F.try_divide(F.count_if(F.col(m) >= 0), n) for m in ms]
     if schema.date in df.columns:
-        checks.append(F.count(schema.date) / n)
+        checks.append(F.try_divide(F.count(schema.date), n))
     if schema.unit in df.columns:
-        checks.append(F.count_if(F.col(schema.unit).between(params.pincode_min, params.pincode_max)) / n)
+        checks.append(F.try_divide(F.count_if(F.col(schema.unit).between(params.pincode_min, params.pincode_max)), n))
     validity = (sum(checks, F.lit(0.0)) / F.lit(float(len(checks)))) if checks else F.lit(1.0)
+    return {"completeness": completeness, "consistency": consistency, "validity": validity}
+
+
+def dri_components(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS,
+                   by: Sequence[str] = ()) -> DataFrame:
+    """V11-V13 per ``by`` group: completeness, consistency, validity (unrounded)."""
     g = df.groupBy(*by) if by else df.groupBy()
-    return g.agg(completeness.alias("completeness"), consistency.alias("consistency"), validity.alias("validity"))
+    return g.agg(*[c.alias(n) for n, c in _dri_aggs(df, schema, params).items()])
+
+
+def _dri_columns(params: Params) -> list[Column]:
+    wc, ws, wv = params.dri_weights
+    score = wc * F.col("completeness") + ws * F.col("consistency") + wv * F.col("validity")
+    return [F.round(score, 3).alias("dri_score"),
+            F.when(score >= params.min_acceptable_dri, "PASS").otherwise("FAIL").alias("assessment"),
+            *[F.round(c, 3).alias(c) for c in ("completeness", "consistency", "validity")]]
 
 
 def dri(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS,
@@ -208,32 +242,30 @@ def dri(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEF
 
     ``by=[state, district]`` gives the per-district DRI the policy engine uses.
     """
-    wc, ws, wv = params.dri_weights
     comp = dri_components(df, schema, params, by)
     if by:
         comp = marts.not_null_keys(comp, by)
-    score = wc * F.col("completeness") + ws * F.col("consistency") + wv * F.col("validity")
-    return comp.select(
-        *by,
-        F.round(score, 3).alias("dri_score"),
-        F.when(score >= params.min_acceptable_dri, "PASS").otherwise("FAIL").alias("assessment"),
-        F.round("completeness", 3).alias("completeness"),
-        F.round("consistency", 3).alias("consistency"),
-        F.round("validity", 3).alias("validity"),
-    )
+    return comp.select(*by, *_dri_columns(params))
 
 
 # --- V15 --------------------------------------------------------------------------
 
-def extreme_values(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS) -> DataFrame:
+def _extreme_fractions(params: Params) -> tuple[float, float, float]:
+    return 0.25, 0.75, params.extreme_percentile / 100.0
+
+
+def extreme_values(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS,
+                   stats: Column | None = None) -> DataFrame:
     """Per age column, above P99 / above Q3+1.5*IQR / |z|>3; 2-of-3 vote.
 
-    The column statistics are one aggregate used as a scalar subquery.
+    The column statistics are one aggregate used as a scalar subquery
+    (``stats``, where the caller has them already).
     """
     ms = schema.present_measures(df)
-    p = params.extreme_percentile / 100.0
-    stats = marts.column_stats(df, ms, (0.25, 0.75, p), params)
-    st = stats.select(F.struct(*stats.columns).alias("s")).scalar()
+    st = stats
+    if st is None:
+        table = marts.column_stats(df, ms, _extreme_fractions(params), params)
+        st = table.select(F.struct(*table.columns).alias("s")).scalar()
     out = df
     flags = {}
     for m in ms:
@@ -280,42 +312,49 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*items).alias("r")).select(F.inline("r")).where(F.col("missing") > 0)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Exact duplicate rows (all but the first of each), NULLs equal."""
-    g = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+def duplicate_rows(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
+    """Exact duplicate rows (all but the first of each), NULLs equal.
+
+    Columns derived from the date or the measures cannot differ where those
+    agree, so they are not shuffled."""
+    derived = {"year", "month", "quarter", schema.year_month, "day_of_week", "week_of_year",
+               *(f"pct_{m}" for m in schema.measures)} if schema.date in df.columns else set()
+    g = df.groupBy(*[F.col(f"`{c}`") for c in df.columns if c not in derived]).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_records"))
 
 
 def quality_report(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """One row: schema validity, DRI and parts, missing, duplicates, extremes."""
-    ncols = len(df.columns)
-    sc = schema_checks(df, schema).agg(F.bool_and("passed").alias("schema_valid"),
-                                       F.count_if(~F.col("passed")).alias("schema_issues"))
-    d = dri(df, schema, params)
-    miss = df.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0)).cast("long").alias("missing_total"))
-    miss = miss.withColumn("missing_pct", F.round(F.try_divide(F.col("missing_total") * 100.0,
-                                                               F.col("total_records") * float(ncols)), 2))
-    dup = duplicate_rows(df)
-    ext = extreme_values(df, schema, params).agg(F.count_if("has_extreme_values").alias("extreme_values"))
-    out = miss
-    for part in (sc, d, dup, ext):  # one-row frames enter as scalar subqueries
-        row = part.select(F.struct(*part.columns).alias("s")).scalar()
-        out = out.withColumns({c: row[c] for c in part.columns})
-    return out
+    """One row: schema validity, DRI and parts, missing, duplicates, extremes.
+
+    Three passes: every count and statistic in one aggregate (a reused scalar
+    subquery), the duplicates' grouping, and the extreme rows."""
+    cells = float(len(df.columns))
+    checks = [v.cast("long") for _, _, v in _schema_items(df, schema)]
+    issues = sum((F.when(v == 0, 0).otherwise(1) for v in checks), F.lit(0)).cast("long")
+    missing = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0)).cast("long")
+    ms = schema.present_measures(df)
+    base = df.agg(F.count(F.lit(1)).alias("total_records"), missing.alias("missing_total"), issues.alias("schema_issues"),
+                  *[c.alias(n) for n, c in _dri_aggs(df, schema, params).items()],
+                  *marts.stat_columns(ms, _extreme_fractions(params), params))
+    st = base.select(F.struct(*base.columns).alias("s")).scalar()
+    ext = extreme_values(df, schema, params, st).agg(F.count_if("has_extreme_values").alias("extreme_values"))
+    names = ["total_records", "missing_total", "schema_issues", "completeness", "consistency", "validity"]
+    out = ext.select("extreme_values", duplicate_rows(df, schema).scalar().alias("duplicate_records"), *[st[c].alias(c) for c in names])
+    return out.select(
+        "total_records", "missing_total",
+        F.round(F.try_divide(F.col("missing_total") * 100.0, F.col("total_records") * cells), 2).alias("missing_pct"),
+        (F.col("schema_issues") == 0).alias("schema_valid"), "schema_issues", *_dri_columns(params),
+        "duplicate_records", "extreme_values")
 
 
 def quality_recommendations(report: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Rule texts over the quality report row."""
     fail = F.col("assessment") == "FAIL"
+    broken, *parts = QUALITY_TEXTS
     rules = [
-        (~F.col("schema_valid"), F.lit("CRITICAL: Fix schema validation issues before analysis")),
+        (~F.col("schema_valid"), F.lit(broken)),
         (fail, F.format_string(f"DRI score (%s) below threshold ({params.min_acceptable_dri})",
                                F.col("dri_score").cast("string"))),
-        (fail & (F.col("completeness") < 0.95), F.lit("Improve data completeness: investigate missing values")),
-        (fail & (F.col("consistency") < 0.95), F.lit("Fix data consistency: verify total enrollment calculations")),
-        (fail & (F.col("validity") < 0.95), F.lit("Validate data ranges: check for invalid values")),
+        *[(fail & (F.col(c) < 0.95), F.lit(text)) for c, text in zip(("completeness", "consistency", "validity"), parts, strict=True)],
     ]
-    return report.select(F.inline(rule_rows(rules, fallback="Data quality is satisfactory for analysis")))
-
+    return report.select(F.inline(rule_rows(rules, fallback=QUALITY_FINE)))

@@ -146,3 +146,32 @@ class Params:
 
 
 DEFAULT_PARAMS = Params()
+
+
+# Recommendation texts
+INEQUITY_TEXTS = (
+    "CRITICAL: %d districts identified as underserved. Prioritize resource allocation and outreach programs.",
+    "ATTENTION: %d districts show low enrollment. Consider targeted interventions.",
+    "High enrollment inequality detected (CV=%.2f). Geographic disparities require policy intervention.",
+)
+INEQUITY_FINE = "Enrollment distribution is relatively equitable."
+ANOMALY_TEXTS = (
+    "URGENT: %d critical anomalies detected. Immediate investigation required.",
+    "ATTENTION: %d high-severity anomalies. Review data quality and enrollment processes.",
+    "Frequent temporal anomalies detected (%d days). Investigate enrollment system stability.",
+    "Widespread geographic anomalies (%d districts). Review regional data collection processes.",
+)
+ANOMALY_FINE = "No significant anomalies detected. Data quality is acceptable."
+QUALITY_TEXTS = (
+    "CRITICAL: Fix schema validation issues before analysis",
+    "Improve data completeness: investigate missing values",
+    "Fix data consistency: verify total enrollment calculations",
+    "Validate data ranges: check for invalid values",
+)
+QUALITY_FINE = "Data quality is satisfactory for analysis"
+POLICY_TEXTS = (
+    "URGENT: %d districts require immediate attention. Deploy rapid response teams for enrollment acceleration.",
+    "Large-scale infrastructure needed: %d enrollment centers. Consider phased rollout strategy.",
+    "%d districts need critical interventions. Establish dedicated task force.",
+    "Implement continuous monitoring system to track policy impact and adjust strategies.",
+)

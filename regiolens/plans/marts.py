@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,15 @@ def _sum_of(df: DataFrame, c: str):
     return sum0(c)
 
 
+def day_district_totals(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
+    """Sums per (day, state, district), NULL keys kept: every section built from
+    sums over days, months, states or districts gives the same result on this
+    table as on the fact, because sums of sums are sums."""
+    cols = schema.present_all(fact)
+    return (fact.groupBy(schema.date, *schema.geo).agg(*[_sum_of(fact, m).alias(m) for m in cols])
+            .withColumn(schema.year_month, F.trunc(F.col(schema.date), "MM")))
+
+
 def district_totals(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
     return group_totals(fact, list(schema.geo), schema=schema)
 
@@ -67,6 +76,12 @@ def column_stats(df: DataFrame, cols: Sequence[str], fractions: Sequence[float],
     value->count map per group (small for count data); ``approx_percentiles``
     switches to a sketch for continuous measures.
     """
+    aggs = stat_columns(cols, fractions, params)
+    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+
+
+def stat_columns(cols: Sequence[str], fractions: Sequence[float], params: Params = DEFAULT_PARAMS) -> list[Column]:
+    """The aggregates of :func:`column_stats`."""
     aggs = []
     for c in cols:
         aggs += [
@@ -74,4 +89,4 @@ def column_stats(df: DataFrame, cols: Sequence[str], fractions: Sequence[float],
             F.stddev_samp(F.col(c).cast("double")).alias(f"{c}_std"),
             percentiles(c, fractions, params.approx_percentiles, params.approx_accuracy).alias(f"{c}_q"),
         ]
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    return aggs

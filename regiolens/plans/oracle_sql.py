@@ -53,7 +53,7 @@ dirty0 AS (
 draw AS (SELECT * FROM dirty0 UNION ALL SELECT * FROM dirty0 WHERE record_id % {tpch.DEFECT_DUPLICATE_EVERY} = 0)"""
 
 
-def _derived(src: str, name: str) -> str:
+def _derived(src: str, name: str, columns: str = "*") -> str:
     total = " + ".join(MS)
     pcts = ", ".join(
         f"COALESCE({rnd(div(m, 'total_enrollment') + ' * 100', 2)}, 0.0) AS pct_{m}" for m in MS)
@@ -63,13 +63,18 @@ def _derived(src: str, name: str) -> str:
          weekofyear(date) AS week_of_year, {total} AS total_enrollment
   FROM {src}
 ),
-{name} AS (SELECT *, {pcts} FROM {name}_base)"""
+{name} AS (SELECT {columns}, {pcts} FROM {name}_base)"""
+
+
+# totals of the dirty fact that disagree with the measures
+_BROKEN = (f"* REPLACE (CASE WHEN record_id % {tpch.DEFECT_TOTAL_EVERY} = 0 THEN total_enrollment + 1 "
+           "ELSE total_enrollment END AS total_enrollment)")
 
 
 # ``fact``: clean derived fact; ``dirty``: the same with injected defects.
 FACT = "WITH " + RAW_CTE + ",\n" + _derived("raw", "fact")
-DIRTY = "WITH " + DIRTY_RAW_CTE + ",\n" + _derived("draw", "dirty")
-BOTH = "WITH " + DIRTY_RAW_CTE + ",\n" + _derived("raw", "fact") + ",\n" + _derived("draw", "dirty")
+DIRTY = "WITH " + DIRTY_RAW_CTE + ",\n" + _derived("draw", "dirty", _BROKEN)
+BOTH = "WITH " + DIRTY_RAW_CTE + ",\n" + _derived("raw", "fact") + ",\n" + _derived("draw", "dirty", _BROKEN)
 
 
 def sums(cols=None, src_alias: str = "") -> str:

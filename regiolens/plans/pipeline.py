@@ -15,7 +15,6 @@ example during the boosted-tree iterations).
 from __future__ import annotations
 
 import time
-import uuid
 from concurrent.futures import ThreadPoolExecutor, as_completed
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -34,20 +33,12 @@ from regiolens.operators import quality as V
 from regiolens.operators import report as R
 from regiolens.operators import series as SE
 from regiolens.params import DEFAULT_PARAMS, Params
+from regiolens.plans import marts
 from regiolens.schema import DEFAULT_SCHEMA, FactSchema
-from regiolens.session import ensure_checkpoint_dir, ship_package
+from regiolens.session import ship_package, write_table
 from regiolens.sources.loader import derive_columns
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back."""
-    spark = df.sparkSession
-    ck = ensure_checkpoint_dir(spark)
-    path = f"{ck.rstrip('/')}/regiolens-tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 @dataclass
 class Report:
     """Sections by name: a DataFrame, or a callable building one once its
@@ -77,23 +68,25 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
     T = schema.total
     rep.background = ThreadPoolExecutor(max_workers=3)
     gbt_future = None
+    t0 = time.time()
+    # dates parsed, total recomputed and shares derived whatever columns arrive
+    fact = write_table(derive_columns(raw_fact, schema), "fact")
+    rep.prepare_seconds["load"] = time.time() - t0
+    t0 = time.time()
+    sums = write_table(marts.day_district_totals(fact, schema), "day_district_totals")  # sections of sums read this
+    nat = write_table(SE.prepare_series(sums, "M", [], [T], schema), "national_series")
+    rep.prepare_seconds["marts"] = time.time() - t0
     if with_gbt:  # the boosted-tree fit is a long chain of small jobs: start it first, beside the rest
 
         def fit_gbt():
             t = time.time()
             spark.sparkContext.setLocalProperty("spark.scheduler.pool", "models")  # FAIR mode: own pool
-            src = derive_columns(raw_fact, schema) if schema.total not in raw_fact.columns else raw_fact
-            nat_src = write_table(SE.prepare_series(src, "M", [], [T], schema), "gbt_series")
-            fc_, met_, imp_ = MO.gbt_forecast(nat_src, T, [], H, params, max_iter=gbt_max_iter)
+            fc_, met_, imp_ = MO.gbt_forecast(nat, T, [], H, params, max_iter=gbt_max_iter)
             out = write_table(fc_, "gbt_forecast"), write_table(met_, "gbt_metrics"), write_table(imp_, "gbt_imp")
             rep.prepare_seconds["gbt_fit"] = time.time() - t
             return out
 
         gbt_future = rep.background.submit(fit_gbt)
-    t0 = time.time()
-    fact = write_table(derive_columns(raw_fact, schema) if schema.total not in raw_fact.columns else raw_fact,
-                       "fact")
-    rep.prepare_seconds["load"] = time.time() - t0
     geo = list(schema.geo)
 
     # --- 1 governance ---------------------------------------------------------
@@ -103,44 +96,45 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
     dri_d = V.dri(fact, schema, params, by=geo)
 
     # --- 2 descriptive --------------------------------------------------------
-    rep.add("descriptive", "monthly_trends_last12", D.last_months(D.monthly_trends(fact, schema), 12, schema))
-    rep.add("descriptive", "top_states", D.top_states(fact, None, schema, params))
-    rep.add("descriptive", "top_districts", D.top_districts(fact, None, schema, params))
-    rep.add("descriptive", "gini_states", D.gini_states(fact, schema))
+    rep.add("descriptive", "monthly_trends_last12", D.last_months(D.monthly_trends(sums, schema), 12, schema))
+    rep.add("descriptive", "top_states", D.top_states(sums, None, schema, params))
+    rep.add("descriptive", "top_districts", D.top_districts(sums, None, schema, params))
+    rep.add("descriptive", "gini_states", D.gini_states(sums, schema))
     cov = rep.add("descriptive", "coverage", D.coverage(fact, schema))
-    rep.add("descriptive", "age_mix_overall", D.age_mix_overall(fact, schema))
-    rep.add("descriptive", "age_mix_by_state", D.age_mix_by_state(fact, schema))
-    rep.add("descriptive", "child_heavy_states", D.child_heavy_states(fact, 5, schema))
-    rep.add("descriptive", "adult_heavy_states", D.adult_heavy_states(fact, 5, schema))
-    rep.add("descriptive", "child_adult_ratio", D.child_adult_ratio(fact, schema))
-    ineq = rep.add("descriptive", "inequity_summary", D.inequity_summary(fact, schema, params))
-    rep.add("descriptive", "inequity_recommendations", D.inequity_recommendations(ineq))
-    rep.add("descriptive", "underserved_districts", D.underserved_districts(fact, schema, params, limit=50))
-    rep.add("descriptive", "high_ratio_districts", D.high_ratio_districts(fact, None, schema, params))
+    rep.add("descriptive", "age_mix_overall", D.age_mix_overall(sums, schema))
+    rep.add("descriptive", "age_mix_by_state", D.age_mix_by_state(sums, schema))
+    rep.add("descriptive", "child_heavy_states", D.child_heavy_states(sums, 5, schema))
+    rep.add("descriptive", "adult_heavy_states", D.adult_heavy_states(sums, 5, schema))
+    rep.add("descriptive", "child_adult_ratio", D.child_adult_ratio(sums, schema))
+    ineq_facts = write_table(D.inequity_facts(sums, schema, params), "inequity")
+    ineq = rep.add("descriptive", "inequity_summary", D.rounded_inequity(ineq_facts))
+    rep.add("descriptive", "inequity_recommendations", D.inequity_recommendations(ineq_facts))
+    rep.add("descriptive", "underserved_districts", D.underserved_districts(sums, schema, params))
+    rep.add("descriptive", "high_ratio_districts", D.high_ratio_districts(sums, None, schema, params))
     rep.add("descriptive", "summary_statistics", D.summary_statistics(fact, schema, params))
     rep.add("descriptive", "pincode_cluster_summary",
             lambda: C.cluster_summary(C.pincode_clusters(fact, schema, params), schema))
 
     # --- 3 anomalies ----------------------------------------------------------
     t0 = time.time()
-    ml = write_table(IF.isolation_forest(fact, schema, params), "isolation_forest")
+    flagged = IF.isolation_forest(fact, schema, params)
     rep.prepare_seconds["isolation_forest"] = time.time() - t0
     t0 = time.time()
-    scored = write_table(A.anomaly_scored(fact, schema, params, ml=ml), "anomaly_scored")
+    temporal = write_table(A.temporal_anomalies(sums, schema, params), "temporal")
+    districts = write_table(A.geographic_anomalies(fact, schema, params), "geographic")
+    scored = write_table(A.anomaly_scored(flagged, schema, params, temporal, districts), "anomaly_scored")
     rep.prepare_seconds["anomaly_scored"] = time.time() - t0
-    summ = rep.add("anomaly", "anomaly_summary", A.anomaly_summary(fact, schema, params, scored))
+    summ = rep.add("anomaly", "anomaly_summary", A.anomaly_summary(fact, schema, params, scored, temporal, districts))
     rep.add("anomaly", "severity_distribution", A.severity_distribution(scored))
     rep.add("anomaly", "critical_anomalies", A.critical_anomalies(scored, 50, schema).select(
-        schema.record_id, *schema.keys, T, "anomaly_count", "max_zscore", "severity_label", "anomaly_reason"))
-    temporal = A.temporal_anomalies(fact, schema, params)
+        *schema.present_id(scored), *schema.keys, T, "anomaly_count", "max_zscore", "severity_label", "anomaly_reason"))
     rep.add("anomaly", "flagged_days", temporal.where("has_temporal_anomaly").orderBy(schema.date).limit(20))
-    rep.add("anomaly", "flagged_districts", A.geographic_anomalies(fact, schema, params)
+    rep.add("anomaly", "flagged_districts", districts
             .where("has_geographic_anomaly").select(*geo, T).orderBy(*geo).limit(20))
     rep.add("anomaly", "anomaly_recommendations", A.anomaly_recommendations(summ))
     rep.add("report", "anomaly_shares", A.anomaly_shares(summ))
 
     # --- 4 forecasting --------------------------------------------------------
-    nat = write_table(SE.prepare_series(fact, "M", [], [T], schema), "national_series")
     t0 = time.time()
     hw = MO.holt_winters(nat, T, [], H, params.seasonal_period, materialize_fit=True)
     sa = MO.sarima(nat, T, [], H, params, materialize_fit=True)
@@ -182,7 +176,7 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
     rep.add("forecast", "forecast_recommendations", forecast_recs)
     # many-series form: one forecast per district feeds the policy engine
     t0 = time.time()
-    dser = write_table(SE.prepare_series(fact, "M", geo, [T], schema), "district_series")
+    dser = write_table(SE.prepare_series(sums, "M", geo, [T], schema), "district_series")
     dhw = MO.holt_winters(dser, T, geo, H, params.seasonal_period, materialize_fit=True)
     dsa = MO.sarima(dser, T, geo, H, params, materialize_fit=True)
     defc, demet = FO.ensemble([dhw[0], dsa[0]], [dhw[1], dsa[1]], geo)
@@ -193,7 +187,7 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
 
     # --- 5 policy ---------------------------------------------------------------
     t0 = time.time()
-    dist = write_table(P.district_data(fact, schema), "district_data")
+    dist = write_table(P.district_data(sums, schema), "district_data")
     pr = write_table(P.priority_scores(dist, inequity=dist, forecast=demand, dri_scores=dri_d, schema=schema,
                                        params=params), "priority")
     iv = write_table(P.interventions(dist, anomalies=scored, surges=dsurge, schema=schema, params=params),
@@ -222,8 +216,8 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
         "policy": tot,
         "interventions": imm,
     }))
-    rep.add("report", "daily_ma30", R.daily_ma30(fact, schema))
-    rep.add("report", "age_totals", R.age_totals(fact, schema))
+    rep.add("report", "daily_ma30", R.daily_ma30(sums, schema))
+    rep.add("report", "age_totals", R.age_totals(sums, schema))
     return rep
 
 

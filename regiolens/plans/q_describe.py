@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from regiolens.operators import describe as D
 from regiolens.operators import profile as Q
+from regiolens.params import INEQUITY_FINE, INEQUITY_TEXTS
 from regiolens.plans.fact_store import stored
 from regiolens.plans.oracle_sql import DIRTY, FACT, M, MS, div, r6, rnd, sums
 from regiolens.plans.registry import register
 from regiolens.schema import DEFAULT_SCHEMA as S
 from regiolens.sources.loader import derive_columns
-from regiolens.sources.tpch import dirty_enrollment_from_tpch, enrollment_from_tpch
+from regiolens.sources.tpch import break_totals, dirty_enrollment_from_tpch, enrollment_from_tpch
 
 
 def fact(spark, sf_dir):
@@ -19,7 +22,7 @@ def fact(spark, sf_dir):
 
 def dirty(spark, sf_dir):
     """Derived fact with injected defects, written once per session."""
-    return stored(spark, "dirty_fact", (sf_dir,), lambda: derive_columns(dirty_enrollment_from_tpch(spark, sf_dir)))
+    return stored(spark, "dirty_fact", (sf_dir,), lambda: break_totals(derive_columns(dirty_enrollment_from_tpch(spark, sf_dir))))
 
 
 PCT = [f"pct_{m}" for m in MS]
@@ -254,28 +257,40 @@ def q_underserved(spark, sf_dir):
     return D.underserved_districts(fact(spark, sf_dir))
 
 
-_INEQ_SUMMARY_CTE = f"""{_DISTRICT_CTE},
+_INEQ_CTE = f"""{_DISTRICT_CTE},
 u AS ({_UNDER}),
 s AS (SELECT COUNT(*) AS total_districts,
              CAST(TRUNC(quantile_cont(CAST(total_enrollment AS DOUBLE), 0.5)) AS BIGINT) AS median_enrollment,
-             {rnd('stddev_samp(CAST(total_enrollment AS DOUBLE)) / NULLIF(AVG(CAST(total_enrollment AS DOUBLE)), 0)', 3)}
-               AS coefficient_of_variation,
+             stddev_samp(CAST(total_enrollment AS DOUBLE)) / NULLIF(AVG(CAST(total_enrollment AS DOUBLE)), 0) AS cv,
              (SELECT COUNT(*) FROM u) AS underserved_count FROM d)"""
 
 
-@register("inequity_summary", f"{_INEQ_SUMMARY_CTE} SELECT * FROM s")
+@register("inequity_summary", f"{_INEQ_CTE} SELECT total_districts, median_enrollment, {rnd('cv', 3)} AS coefficient_of_variation, "
+                              f"underserved_count FROM s")
 def q_inequity_summary(spark, sf_dir):
     return D.inequity_summary(fact(spark, sf_dir))
 
 
-@register("inequity_recommendations", f"""{_INEQ_SUMMARY_CTE},
-r AS (
-  SELECT 1 AS rank, printf('CRITICAL: %d districts identified as underserved. Prioritize resource allocation and outreach programs.', underserved_count) AS recommendation FROM s WHERE underserved_count > 100
-  UNION ALL SELECT 2, printf('ATTENTION: %d districts show low enrollment. Consider targeted interventions.', underserved_count) FROM s WHERE underserved_count > 50 AND underserved_count <= 100
-  UNION ALL SELECT 3, printf('High enrollment inequality detected (CV=%.2f). Geographic disparities require policy intervention.', {rnd('coefficient_of_variation', 2)}) FROM s WHERE coefficient_of_variation > 1.0)
-SELECT * FROM r UNION ALL SELECT 4, 'Enrollment distribution is relatively equitable.' WHERE NOT EXISTS (SELECT 1 FROM r)""")
+def _ineq_recs(facts: str) -> str:
+    few, some, cv = INEQUITY_TEXTS
+    return f"""r AS (
+  SELECT 1 AS rank, printf('{few}', underserved_count) AS recommendation FROM {facts} WHERE underserved_count > 100
+  UNION ALL SELECT 2, printf('{some}', underserved_count) FROM {facts} WHERE underserved_count > 50 AND underserved_count <= 100
+  UNION ALL SELECT 3, printf('{cv}', {rnd('cv', 2)}) FROM {facts} WHERE cv > 1.0)
+SELECT * FROM r UNION ALL SELECT 4, '{INEQUITY_FINE}' WHERE NOT EXISTS (SELECT 1 FROM r)"""
+
+
+@register("inequity_recommendations", f"{_INEQ_CTE},\n{_ineq_recs('s')}")
 def q_inequity_recs(spark, sf_dir):
-    return D.inequity_recommendations(D.inequity_summary(fact(spark, sf_dir)))
+    return D.inequity_recommendations(D.inequity_facts(fact(spark, sf_dir)))
+
+
+@register("inequity_recommendations_rules", f"{_INEQ_CTE},\nt AS (SELECT cv * 20 AS cv, underserved_count + 101 AS underserved_count "
+                                            f"FROM s),\n{_ineq_recs('t')}")
+def q_inequity_rules(spark, sf_dir):
+    """D20 with the facts raised so that the conditional rules fire."""
+    f = D.inequity_facts(fact(spark, sf_dir))
+    return D.inequity_recommendations(f.withColumns({"cv": F.col("cv") * 20, "underserved_count": F.col("underserved_count") + 101}))
 
 
 # --- D26 ---------------------------------------------------------------------------

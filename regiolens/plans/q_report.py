@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from regiolens.operators import anomaly as A
 from regiolens.operators import cluster as C
 from regiolens.operators import describe as D
 from regiolens.operators import iforest as IF
 from regiolens.operators import report as R
+from regiolens.params import DEFAULT_PARAMS as P
 from regiolens.plans.fact_store import stored
-from regiolens.plans.oracle_sql import FACT, MS, r6
+from regiolens.plans.oracle_sql import DIRTY, FACT, MS, r6
 from regiolens.plans.q_anomaly import SEV_COLS
-from regiolens.plans.q_describe import fact
+from regiolens.plans.q_describe import dirty, fact
 from regiolens.plans.registry import register
 from regiolens.schema import DEFAULT_SCHEMA as S
 
@@ -48,14 +51,24 @@ def q_cluster_summary(spark, sf_dir):
 @register("isolation_forest")
 def q_isolation_forest(spark, sf_dir):
     """Forest score and flag for every row (300 trees, 256 samples, 4%)."""
-    return forest_table(spark, sf_dir)
+    return forest_table(spark, sf_dir).select(S.record_id, "ml_anomaly_score", "ml_is_anomaly")
+
+
+@register("forest_row_check", f"""{DIRTY} SELECT COUNT(*) AS rows_in, COUNT(*) AS rows_out, TRUE AS share_within FROM dirty""")
+def q_forest_row_check(spark, sf_dir):
+    """A11/A12 on the dirty fact (repeated rows): no row is lost or multiplied,
+    and the flagged share stays within the contamination."""
+    d = dirty(spark, sf_dir)
+    scored = A.anomaly_scored(IF.isolation_forest(d))
+    return d.agg(F.count(F.lit(1)).alias("rows_in")).select("rows_in", *[scored.agg(x).scalar().alias(n) for n, x in (
+        ("rows_out", F.count(F.lit(1))),
+        ("share_within", F.count_if("ml_is_anomaly") <= F.lit(P.contamination) * F.count(F.lit(1)) + 1))])
 
 
 @register("anomaly_severity_with_forest")
 def q_severity_forest(spark, sf_dir):
     """A12-A16 with the forest flag counted among the flags."""
-    f = fact(spark, sf_dir)
-    return A.anomaly_scored(f, ml=forest_table(spark, sf_dir)).select(*SEV_COLS, "ml_anomaly_score", "ml_is_anomaly")
+    return A.anomaly_scored(forest_table(spark, sf_dir)).select(*SEV_COLS, "ml_anomaly_score", "ml_is_anomaly")
 
 
 @register("chart_daily_ma30", f"""{FACT},

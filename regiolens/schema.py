@@ -41,6 +41,14 @@ class FactSchema:
         """Age columns plus the row total (``M`` in the docs)."""
         return (*self.measures, self.total)
 
+    def present_id(self, df) -> list[str]:
+        return [self.record_id] if self.record_id in df.columns else []
+
+    def row_order(self, df) -> list[str]:
+        """Columns that order rows: the record id if present, else keys and measures."""
+        return self.present_id(df) or [
+            c for c in (*self.keys, *self.all_measures) if c in df.columns]
+
     def present_measures(self, df) -> list[str]:
         return [c for c in self.measures if c in df.columns]
 

@@ -2,7 +2,7 @@
 
 ``load_directory`` concatenates files **by column name** like the reference.
 Spark's multi-file CSV reader is positional, so files are grouped by their
-header line (read from the first bytes of each file, metadata-sized work) and
+header line (one distributed read finds the first line of every file) and
 each group is one ``spark.read.csv`` with that header's string schema; groups
 are combined with ``unionByName(allowMissingColumns=True)``.  In the usual
 case (one header) this is a single distributed scan.
@@ -13,7 +13,9 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,27 +48,29 @@ def looks_compatible(columns: Sequence[str], schema: FactSchema = DEFAULT_SCHEMA
     return all(any(key in c for c in norm) for key in (schema.date, schema.state, schema.district))
 
 
-def _list_csv_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(file path, header line) for each ``*.csv`` under ``path`` (Hadoop FS API)."""
-    jvm = spark.sparkContext._jvm
-    hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(hconf)
-    if not fs.exists(p):
-        raise FileNotFoundError(path)
-    statuses = [fs.getFileStatus(p)] if fs.isFile(p) else list(fs.listStatus(p))
-    files = []
-    for st in statuses:
-        fp = st.getPath()
-        if st.isFile() and fp.getName().lower().endswith(".csv"):
-            stream = fs.open(fp)
-            try:
-                reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-                header = reader.readLine() or ""
-            finally:
-                stream.close()
-            files.append((fp.toString(), header.lstrip("﻿")))
-    return sorted(files)
+def header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files of each header line.  The first line of every file is found by one
+    distributed read (the earliest line of a file's first block; partial
+    minima per task); only distinct headers and file names come to the driver."""
+    lines = (spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(path)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value",
+                     F.monotonically_increasing_id().alias("at")).where("block = 0"))
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for r in first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect():
+        groups.setdefault(r["header"].lstrip("\ufeff").rstrip("\r"), []).extend(unquote(f) for f in r["files"])
+    return dict(sorted(groups.items()))
+
+
+def _renamed(df: DataFrame, schema: FactSchema) -> DataFrame:
+    """Normalised names; where several headers normalise to one required name,
+    the first non-null of them."""
+    names = header_mapping(df.columns, schema)
+    target = [names.get(c, c) for c in df.columns]
+    by: dict[str, list[str]] = {}
+    for c, t in zip(df.columns, target, strict=True):
+        by.setdefault(t, []).append(c)
+    return df.select(*[F.coalesce(*[F.col(f"`{c}`") for c in cs]).alias(t) for t, cs in by.items()])
 
 
 def _typed(df: DataFrame, schema: FactSchema) -> DataFrame:
@@ -82,19 +86,19 @@ def _typed(df: DataFrame, schema: FactSchema) -> DataFrame:
 def load_directory(spark: SparkSession, path: str, schema: FactSchema = DEFAULT_SCHEMA,
                    derive: bool = True, normalize: bool = True) -> DataFrame:
     """Every CSV of a directory (or one file), by column name."""
-    files = _list_csv_files(spark, path)
-    if not files:
+    try:
+        groups = header_groups(spark, path)
+    except AnalysisException as e:
+        raise FileNotFoundError(path) from e
+    if not groups:
         raise FileNotFoundError(f"No CSV files found in {path}")
-    groups: dict[str, list[str]] = {}
-    for fp, header in files:
-        groups.setdefault(header, []).append(fp)
     parts = []
     for header, paths in groups.items():
         cols = next(csv.reader([header]))
         string_schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
         df = spark.read.csv(paths, header=True, schema=string_schema, mode="PERMISSIVE")
         if normalize:
-            df = df.withColumnsRenamed(header_mapping(df.columns, schema))
+            df = _renamed(df, schema)
         parts.append(_typed(df, schema))
     out = parts[0]
     for p in parts[1:]:

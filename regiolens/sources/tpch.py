@@ -61,6 +61,7 @@ DEFECT_BAD_PIN_EVERY = 89
 DEFECT_NO_DATE_EVERY = 103
 DEFECT_DUPLICATE_EVERY = 50
 DEFECT_BAD_PIN = 99999
+DEFECT_TOTAL_EVERY = 107  # the derived total of these rows is one too high
 
 
 def inject_defects(raw: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
@@ -86,6 +87,12 @@ def dirty_enrollment_from_tpch(spark: SparkSession, sf_dir: str, schema: FactSch
     return inject_defects(enrollment_from_tpch(spark, sf_dir, schema), schema)
 
 
+def break_totals(derived: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
+    """Totals that disagree with the measures, planted after the derive step."""
+    wrong = F.col(schema.record_id) % DEFECT_TOTAL_EVERY == 0
+    return derived.withColumn(schema.total, F.when(wrong, F.col(schema.total) + 1).otherwise(F.col(schema.total)))
+
+
 def events_as_daily_fact(spark: SparkSession, sf_dir: str, measure: str = "value") -> DataFrame:
     """``events`` as a one-measure daily table (date, event_type, value)."""
     ev = read_table(spark, sf_dir, "events").select("ts", "event_type", measure)

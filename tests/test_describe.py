@@ -72,11 +72,11 @@ def test_summary_statistics_percentiles(tiny_fact):
 
 def test_inequity_recommendations(tiny_fact):
     # district totals 180, 21, 600: CV = 299.14 / 267 = 1.12 > 1
-    recs = D.inequity_recommendations(D.inequity_summary(tiny_fact)).collect()
+    recs = D.inequity_recommendations(D.inequity_facts(tiny_fact)).collect()
     assert [r.recommendation for r in recs] == [
         "High enrollment inequality detected (CV=1.12). Geographic disparities require policy intervention."]
     equal = tiny_fact.where("district = 'Patna'")
-    recs = D.inequity_recommendations(D.inequity_summary(equal)).collect()
+    recs = D.inequity_recommendations(D.inequity_facts(equal)).collect()
     assert [r.recommendation for r in recs] == ["Enrollment distribution is relatively equitable."]
 
 
@@ -95,3 +95,26 @@ def test_monthly_trends_calendar_option(spark):
     assert by_rows[last].total_enrollment_yoy_change == pytest.approx((23 - 10) / 10 * 100)
     assert by_cal[last].total_enrollment_yoy_change == pytest.approx((23 - 11) / 11 * 100)
     assert len(by_cal) == 14 and len(by_rows) == 13
+
+
+def test_inequity_cv_rule_takes_the_unrounded_value(spark):
+    facts = spark.createDataFrame([(10, 5, 1.0004, 0), (10, 5, 1.0, 0)], "total_districts long, median_enrollment long, cv double, "
+                                  "underserved_count long")
+    assert [r.recommendation[:4] for r in D.inequity_recommendations(facts.where("cv > 1")).collect()] == ["High"]
+    assert D.rounded_inequity(facts).first().coefficient_of_variation == 1.0
+    assert D.inequity_recommendations(facts.where("cv = 1")).first().recommendation.startswith("Enrollment distribution")
+
+
+def test_gini_of_many_values_needs_no_single_window(spark):
+    import numpy as np
+
+    n = 1_000_000
+    df = spark.range(n).selectExpr("id % 3 as g", "cast(id * id as double) + 0.5 as v")
+    x = np.sort(np.arange(n, dtype=float) ** 2 + 0.5)
+    want = 2 * (np.arange(1, n + 1) * x).sum() / (n * x.sum()) - (n + 1) / n
+    assert abs(D.gini(df, "v").first().gini - want) < 1e-9
+    few = D.gini(df.where("id < 3000"), "v", ["g"], per_range=50).collect()
+    for r in few:
+        y = np.sort([float(i) ** 2 + 0.5 for i in range(3000) if i % 3 == r.g])
+        m = len(y)
+        assert abs(r.gini - (2 * (np.arange(1, m + 1) * y).sum() / (m * y.sum()) - (m + 1) / m)) < 1e-9

@@ -43,6 +43,37 @@ def test_forest_is_partition_independent(spark):
     assert np.allclose(a["ml_anomaly_score"], b["ml_anomaly_score"])
 
 
+def test_forest_keeps_repeated_rows(spark):
+    from regiolens.operators import anomaly as A
+
+    df = _planted(spark, n=400, far=5)
+    df = df.union(df.limit(50))
+    out = A.anomaly_scored(IF.isolation_forest(df.drop("record_id"), params=Params(forest_trees=20)))
+    assert out.count() == 450 and "ml_is_anomaly" in out.columns
+
+
+def test_candidate_trees_one_scheme(spark):
+    from pyspark.sql import functions as F
+
+    for n in (100, 614_399, 614_401, 5_000_000):  # any size: the expected number of distinct trees
+        p = min(1.0, 4 * 256 / n)
+        r = spark.range(20_000).select(IF.candidate_trees(F.xxhash64("id"), n, 256, 300).alias("t"))
+        r = r.agg(F.avg(F.coalesce(F.size("t"), F.lit(0)).cast("double")).alias("size"),
+                  F.max(F.size("t") - F.size(F.array_distinct("t"))).alias("again"), F.max(F.array_max("t")).alias("top")).first()
+        assert abs(max(r["size"], 0) - 300 * p) < 0.05 * 300 * p + 0.05 and not r.again and r.top < 300
+
+
+def test_exact_percentile(spark):
+    from pyspark.sql import functions as F
+
+    from regiolens.functions.ranks import exact_percentile
+
+    df = spark.range(5000).select((-F.abs(F.hash("id") % 997) / 1000.0).alias("x")).union(spark.range(300).selectExpr("-0.5d x"))
+    for q in (0.0, 0.04, 0.31, 0.5, 1.0):
+        assert exact_percentile(df, "x", q, -1.0, 0.0) == pytest.approx(df.agg(F.percentile("x", q)).first()[0], abs=1e-12)
+    assert exact_percentile(df.limit(0), "x", 0.5, -1.0, 0.0) is None
+
+
 def test_clusters_and_summary(spark):
     rng = np.random.default_rng(3)
     rows = []
