@@ -10,46 +10,59 @@ column pruning, filter pushdown and real statistics for AQE.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolens.session import ensure_checkpoint_dir
+from regiolens.session import delete_path, ensure_checkpoint_dir
 
-_PATHS: dict[tuple, str] = {}
+_PATHS: dict[tuple, list[str]] = {}
+_LOCKS: dict[tuple, threading.RLock] = {}
+_GUARD = threading.Lock()
 
 
-def stored(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """Return the table ``build()`` once written under the checkpoint folder."""
-    ck = ensure_checkpoint_dir(spark)
-    k = (spark.sparkContext.applicationId, ck, name, *key)
-    path = _PATHS.get(k)
-    if path is None:
-        path = f"{ck.rstrip('/')}/regiolens-tables/{name}-{uuid.uuid4().hex}"
-        build().write.mode("overwrite").parquet(path)
-        _PATHS[k] = path
-    return spark.read.parquet(path)
+def _input_state(spark: SparkSession, key: tuple) -> tuple:
+    """Newest change below each path of the key, so a changed input is read anew."""
+    out = []
+    for p in key:
+        if isinstance(p, str) and "/" in p:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            out.append(max((st.getModificationTime() for st in fs.listStatus(path)), default=0) if fs.exists(path) else 0)
+    return tuple(out)
 
 
-def forget() -> None:
-    """Drop the session cache of written tables (files stay in the checkpoint folder)."""
-    _PATHS.clear()
+def stored(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """Return the table ``build()`` once written under the checkpoint folder."""
+    return stored_many(spark, name, key, lambda: (build(),))[0]
 
 
 def stored_many(spark: SparkSession, name: str, key: tuple, build: Callable[[], tuple[DataFrame, ...]]
                 ) -> tuple[DataFrame, ...]:
     """Like :func:`stored` for a builder returning several tables (for example a
-    model fit's forecasts, metrics and importances): built once, all written."""
+    model fit's forecasts, metrics and importances): built once, all written.
+    Threads that ask at the same time wait for one build."""
     ck = ensure_checkpoint_dir(spark)
-    k = (spark.sparkContext.applicationId, ck, name, *key)
-    paths = _PATHS.get(k)
-    if paths is None:
-        tag = uuid.uuid4().hex
-        paths = []
-        for i, df in enumerate(build()):
-            p = f"{ck.rstrip('/')}/regiolens-tables/{name}-{i}-{tag}"
-            df.write.mode("overwrite").parquet(p)
-            paths.append(p)
-        _PATHS[k] = paths
-    return tuple(spark.read.parquet(p) for p in paths)
+    k = (spark.sparkContext.applicationId, ck, name, *key, _input_state(spark, key))
+    with _GUARD:
+        lock = _LOCKS.setdefault(k, threading.RLock())
+    with lock:
+        if k not in _PATHS:
+            paths, tag = [], uuid.uuid4().hex
+            for i, df in enumerate(build()):
+                paths.append(f"{ck.rstrip('/')}/regiolens-tables/{name}-{i}-{tag}")
+                df.write.mode("overwrite").parquet(paths[-1])
+            _PATHS[k] = paths
+    return tuple(spark.read.parquet(p) for p in _PATHS[k])
+
+
+def forget(spark: SparkSession | None = None) -> None:
+    """Drop the session cache of written tables; with a session, their files too."""
+    if spark is not None:
+        for paths in _PATHS.values():
+            for p in paths:
+                delete_path(spark, p)
+    _PATHS.clear()
+    _LOCKS.clear()

@@ -77,6 +77,13 @@ DIRTY = "WITH " + DIRTY_RAW_CTE + ",\n" + _derived("draw", "dirty", _BROKEN)
 BOTH = "WITH " + DIRTY_RAW_CTE + ",\n" + _derived("raw", "fact") + ",\n" + _derived("draw", "dirty", _BROKEN)
 
 
+# ``fact`` with every measure of each PLANTED_EVERY-th record raised PLANTED_TIMES times
+PLANTED_EVERY, PLANTED_TIMES = 1009, 60
+PLANTED = "WITH " + RAW_CTE + f""",
+planted AS (SELECT * REPLACE ({", ".join(f"CASE WHEN record_id % {PLANTED_EVERY} = 0 THEN {m} * {PLANTED_TIMES} ELSE {m} END AS {m}" for m in MS)})
+            FROM raw),\n""" + _derived("planted", "fact")
+
+
 def sums(cols=None, src_alias: str = "") -> str:
     cols = cols or M
     p = f"{src_alias}." if src_alias else ""

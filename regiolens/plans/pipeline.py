@@ -35,7 +35,8 @@ from regiolens.operators import series as SE
 from regiolens.params import DEFAULT_PARAMS, Params
 from regiolens.plans import marts
 from regiolens.schema import DEFAULT_SCHEMA, FactSchema
-from regiolens.session import ship_package, write_table
+from regiolens.session import delete_path, ship_package
+from regiolens.session import write_table as store_table
 from regiolens.sources.loader import derive_columns
 
 
@@ -48,12 +49,22 @@ class Report:
     engine_of: dict[str, str] = field(default_factory=dict)
     prepare_seconds: dict[str, float] = field(default_factory=dict)
     background: ThreadPoolExecutor | None = None
+    tables: list[str] = field(default_factory=list)
+    wait_seconds: dict[str, float] = field(default_factory=dict)
 
     def add(self, engine: str, name: str, df):
         self.sections[name] = df
         self.engine_of[name] = engine
         return df
 
+    def release(self, spark: SparkSession) -> None:
+        """Delete the tables this report has stored; its sections end with it."""
+        if self.background is not None:
+            self.background.shutdown(wait=True)
+        for p in self.tables:
+            delete_path(spark, p)
+        self.tables.clear()
+
     def frame(self, name: str) -> DataFrame:
         s = self.sections[name]
         return s() if callable(s) else s
@@ -64,6 +75,10 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
                  with_gbt: bool = True) -> Report:
     ship_package(spark)
     rep = Report()
+
+    def write_table(df: DataFrame, name: str) -> DataFrame:
+        return store_table(df, name, rep.tables)
+
     H = params.horizon_long
     T = schema.total
     rep.background = ThreadPoolExecutor(max_workers=3)
@@ -228,7 +243,10 @@ def collect_report(rep: Report, threads: int = 8) -> tuple[dict[str, list], dict
 
     def run(name: str):
         t = time.time()
-        out = rep.frame(name).collect()
+        df = rep.frame(name)  # a deferred section waits here for the tables it reads
+        if callable(rep.sections[name]) and rep.engine_of[name] in ("forecast", "report"):
+            rep.wait_seconds[name] = time.time() - t
+        out = df.collect()
         return name, out, time.time() - t
 
     # deferred sections may block on the background fit: give each its own thread

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from regiolens.operators import anomaly as A
 from regiolens.params import DEFAULT_PARAMS as P
 from regiolens.params import SEVERITY_LABELS
-from regiolens.plans.oracle_sql import FACT, M, div, r6, rnd, sums
+from regiolens.plans.oracle_sql import FACT, M, PLANTED, PLANTED_EVERY, PLANTED_TIMES, div, r6, rnd, sums
 from regiolens.plans.fact_store import stored
 from regiolens.plans.q_describe import fact
 from regiolens.plans.registry import register
 from regiolens.plans import marts
 from regiolens.schema import DEFAULT_SCHEMA as S
 from regiolens.schema import FactSchema
+from regiolens.sources.loader import derive_columns
+from regiolens.sources.tpch import enrollment_from_tpch
 
 ROW_KEYS = ["record_id", "date", "state", "district", "pincode"]
 
@@ -189,6 +191,22 @@ def q_critical(spark, sf_dir):
     return A.critical_anomalies(scored_table(spark, sf_dir)).select(*SEV_COLS)
 
 
+def planted(spark, sf_dir):
+    """Derived fact with planted extreme rows (see ``oracle_sql.PLANTED``)."""
+    raw = enrollment_from_tpch(spark, sf_dir)
+    far = F.col(S.record_id) % PLANTED_EVERY == 0
+    raised = {m: F.when(far, F.col(m) * PLANTED_TIMES).otherwise(F.col(m)) for m in S.measures}
+    return stored(spark, "planted_fact", (sf_dir,), lambda: derive_columns(raw.withColumns(raised)))
+
+
+@register("critical_anomalies_planted",
+          f"{_severity_ctes(PLANTED)} SELECT {_sev_out()} FROM sv WHERE severity_score = 4 "
+          f"ORDER BY max_zscore DESC, record_id LIMIT 50")
+def q_critical_planted(spark, sf_dir):
+    """A18 on a fact that has critical rows."""
+    return A.critical_anomalies(A.anomaly_scored(planted(spark, sf_dir))).select(*SEV_COLS)
+
+
 @register("flagged_days",
           f"{FACT},\n{_temporal_ctes()} SELECT {_temp_out()} FROM ta WHERE has_temporal_anomaly ORDER BY date LIMIT 20")
 def q_flagged_days(spark, sf_dir):

@@ -317,18 +317,32 @@ def q_ensemble_all(spark, sf_dir):
     return ef
 
 
+def _report_row(s, ef, em):
+    one = em.select(F.lit(H).cast("long").alias("forecast_horizon"), "mae", "rmse", "mape", "component_models", "status")
+    for part in (FO.surge_summary(ef, s, T), FO.history_summary(s, T)):
+        row = part.select(F.struct(*part.columns).alias("r")).scalar()
+        one = one.withColumns({c: row[c] for c in part.columns})
+    return one
+
+
 @register("forecast_report")
 def q_forecast_report(spark, sf_dir):
     """national report row: horizon, history, ensemble metrics, surges."""
     s, hw, sa, gb = national_models(spark, sf_dir)
-    ef, em = FO.ensemble([hw[0], sa[0], gb[0]], [hw[1], sa[1], gb[1]])
-    ss = FO.surge_summary(ef, s, T)
-    hy = FO.history_summary(s, T)
-    one = em.select(F.lit(H).alias("forecast_horizon"), "mae", "rmse", "mape", "component_models", "status")
-    for part in (ss, hy):
-        row = part.select(F.struct(*part.columns).alias("r")).scalar()
-        one = one.withColumns({c: row[c] for c in part.columns})
-    return one
+    return _report_row(s, *FO.ensemble([hw[0], sa[0], gb[0]], [hw[1], sa[1], gb[1]]))
+
+
+@register("forecast_report_simple", f"""{_NAT_SIMPLE}
+SELECT CAST({H} AS BIGINT) AS forecast_horizon, em.mae, em.rmse, em.mape, em.component_models, em.status, ss.*, hy.* FROM em, ss, hy""")
+def q_forecast_report_simple(spark, sf_dir):
+    """F17 on the simple models, which SQL can express."""
+    return _report_row(*simple_ensemble(spark, sf_dir, []))
+
+
+@register("forecast_gbt_by_district")
+def q_gbt_district(spark, sf_dir):
+    """F10 pooled: one boosted-tree model over the series of all districts."""
+    return stored_many(spark, "district_gbt", (sf_dir,), lambda: MO.gbt_forecast(district_series(spark, sf_dir), T, GEO, H))[0]
 
 
 # --- Holt-Winters with fixed parameters: checked by a recursive CTE -----------------

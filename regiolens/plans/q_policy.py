@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from regiolens.operators import policy as P
 from regiolens.operators import quality as V
 from regiolens.params import DEFAULT_PARAMS as PR
@@ -10,6 +12,7 @@ from regiolens.plans.oracle_sql import BOTH, DIRTY, FACT, MS, div, r6, rnd, sums
 from regiolens.plans.fact_store import stored
 from regiolens.plans.q_anomaly import _severity_ctes, scored_table
 from regiolens.plans.q_describe import fact
+from regiolens.plans.q_forecast import _series_ctes, _simple_ctes, simple_ensemble
 from regiolens.plans.q_quality import _dri_select, dirty_fact
 from regiolens.plans.registry import register
 from regiolens.schema import DEFAULT_SCHEMA as S
@@ -96,6 +99,25 @@ def q_priority(spark, sf_dir):
     return priority_table(spark, sf_dir).select(*PRIORITY_COLS)
 
 
+_JOINED = "j AS (SELECT d.*, r.dri_score FROM pdd d LEFT JOIN dri r ON d.state = r.state AND d.district = r.district)"
+_DEMAND_BODY = _PRIO_BODY.replace(_JOINED, """dem AS (SELECT state, district, SUM(yhat) AS forecasted_enrollment FROM ef GROUP BY state, district),
+j AS (SELECT d.*, r.dri_score, f.forecasted_enrollment FROM pdd d
+      LEFT JOIN dri r ON d.state = r.state AND d.district = r.district
+      LEFT JOIN dem f ON d.state = f.state AND d.district = f.district)""").replace(
+    "0.0 AS forecast_score",
+    f"COALESCE({div('forecasted_enrollment', '(SELECT MAX(forecasted_enrollment) FROM j)')}, 0.0) AS forecast_score")
+
+
+@register("priority_scores_with_demand", f"{BOTH},\n{_series_ctes(GEO, [S.total])},\n{_simple_ctes(GEO)},\n{_DEMAND_BODY}\n"
+                                         f"SELECT {_pcols()} FROM pr")
+def q_priority_demand(spark, sf_dir):
+    """Forecast demand (simple ensemble per district) as the third component."""
+    d = district_table(spark, sf_dir)
+    dri = stored(spark, "dri_by_district", (sf_dir,), lambda: V.dri(dirty_fact(spark, sf_dir), by=GEO))
+    demand = simple_ensemble(spark, sf_dir)[1].groupBy(*GEO).agg(F.sum("yhat").alias("forecasted_enrollment"))
+    return P.priority_scores(d, inequity=d, forecast=demand, dri_scores=dri).select(*PRIORITY_COLS)
+
+
 @register("resource_allocation", f"""{_PRIORITY_CTE}
 SELECT CAST(COALESCE(SUM(required_centers), 0) AS BIGINT) AS total_required_centers,
        CAST(COALESCE(SUM(required_staff), 0) AS BIGINT) AS total_required_staff,

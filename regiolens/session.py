@@ -79,11 +79,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back."""
+def write_table(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as parquet under the checkpoint folder and read it back;
+    ``paths`` collects what has been written."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/regiolens-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.parquet(path)
 
 

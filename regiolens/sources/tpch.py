@@ -40,7 +40,7 @@ def enrollment_from_tpch(spark: SparkSession, sf_dir: str, schema: FactSchema =
     joined = (
         per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     )
     return joined.select(
         F.col("o_orderkey").alias(schema.record_id),
