@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from regiolens.params import Params
 from regiolens.plans.pipeline import collect_report, run_pipeline
 from regiolens.sources.sinks import load_latest, save_report
 from regiolens.sources.tpch import enrollment_from_tpch
@@ -68,7 +69,7 @@ def test_short_histories_give_error_rows_and_a_report(spark):
     first = raw.agg(F.min("date")).first()[0]
     for months in (3, 10, 35):
         part = raw.where(F.col("date") < F.add_months(F.lit(first), months))
-        rows, _ = collect_report(run_pipeline(spark, part, gbt_max_iter=2), threads=4)
+        rows, _ = collect_report(run_pipeline(spark, part, Params(forest_trees=20), gbt_max_iter=2), threads=4)
         assert len(rows) >= 45
         status = {r.model: r.status for r in rows["model_metrics"]}
         assert status["gbt"].startswith("error") == (months < 36)
