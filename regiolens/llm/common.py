@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,17 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def slices(batches, text: int, limit: int = 4_000_000):
+    """The batches in slices of about ``limit`` bytes of the column ``text``, so
+    that what is worked out from the texts at one time is bounded."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // limit
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
+        for a, e in zip(cut, cut[1:], strict=False):
+            yield b.slice(a, e - a)
+
+
 def clusters_of(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)`` with root the
     smallest node reached.  Alternating large-star / small-star rounds

@@ -19,7 +19,8 @@ What goes through the shuffle is one entry per key and component, with counts
 one entry a task.  Components come from a cheap first round: sets that share
 one of their smallest keys are verified against one hub each.  Only keys that
 join different components are looked at again, and only pairs across components
-are verified - exactly, on the texts.  Equal sets are one node all along.
+are verified - exactly, on the texts, after a parity sketch has ruled out those
+that provably differ too much.  Equal sets are one node all along.
 
 Defined results: null, empty and blank texts have the empty set, are linked
 with nothing and are their own component; rows with a null id are linked with
@@ -38,12 +39,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regiolens.llm.common import Scratch, clusters_of, mix64, table
-from regiolens.llm.shingles import fingerprint, sets_of
+from regiolens.llm.common import Scratch, clusters_of, mix64, slices, table
+from regiolens.llm.shingles import fingerprint, parity_sketch, sets_of, sketch_distance
 
 HUB_KEYS = 6
 HOT_PAIRS = 2_000
-SMALL = 2_000_000  # rows that may be broadcast; above it the same join shuffles
+SMALL = 1_000_000  # rows that may be broadcast; above it the same join shuffles
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -153,9 +154,9 @@ def _i64(a: np.ndarray) -> pa.Array:
 
 
 def describe(docs: DataFrame, hub_keys: int) -> DataFrame:
-    """id, n, fp and the set's smallest keys of its own band."""
+    """id, n, fp, the set's smallest keys of its own band, and its parity sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             sets = sets_of(b.column(1).cast(pa.binary()).to_pylist())
             keys: list[list[int]] = [[] for _ in sets]
             own, band, _ = next(_lookups(sets))
@@ -168,14 +169,31 @@ def describe(docs: DataFrame, hub_keys: int) -> DataFrame:
                     keys[i] = np.sort(np.partition(k, hub_keys - 1)[:hub_keys] if len(k) > hub_keys else k).tolist()
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()),
-                pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "fp", "hub_keys"])
+                pa.array(keys, pa.list_(pa.int64())), pa.array([parity_sketch(s) for s in sets], pa.binary())],
+                names=["id", "n", "fp", "hub_keys", "sketch"])
+
+    return docs.mapInArrow(run, "id long, n long, fp long, hub_keys array<long>, sketch binary")
+
 
-    return docs.mapInArrow(run, "id long, n long, fp long, hub_keys array<long>")
+def not_ruled_out(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose parity sketches don't prove too many
+    differences: certain, and a few bytes a pair instead of two texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = (b.column(2).to_numpy() + b.column(3).to_numpy()) // 9
+            keep = [sketch_distance(x, y) <= m for x, y, m in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: nodes.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+            .mapInArrow(run, "a long, b long"))
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, small: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` with 100 * intersection >= 80 * union.  Only the
-    texts of sets in a pair are shuffled; ``a`` is the side many pairs share."""
+    """Those of ``pairs(a, b)`` with 100 * intersection >= 80 * union.  Pairs that
+    the sketches rule out are dropped first; only the texts of the rest are
+    shuffled.  ``a`` is the side many pairs share."""
+    pairs = scratch.store("close", not_ruled_out(pairs, nodes))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "rep"), "fp")
     ids = scratch.store("need", ids)
     hint = F.broadcast if ids.count() <= small else (lambda x: x)
@@ -185,21 +203,18 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch
             .select("a", "b", "text_a", "text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, bytes, np.ndarray] | None = None
-        for b in batches:
-            keep_a, keep_b = [], []
+        for b in slices(slices(batches, 2, 2_000_000), 3, 2_000_000):
+            keep = []
             raw_a, raw_b = (b.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
+            known = list({*raw_a, *raw_b})
+            sets = dict(zip(known, sets_of(known), strict=True))
             for a, c, ta, tb in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_a, raw_b, strict=True):
-                if last is None or last[0] != a or last[1] != ta:
-                    last = (a, ta, sets_of([ta])[0])
-                x, y = last[2], sets_of([tb])[0]
-                if fingerprint(x) != a or fingerprint(y) != c:
-                    continue  # another text under a repeated id
+                x, y = sets[ta], sets[tb]
                 both = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * both >= 80 * (len(x) + len(y) - both):
-                    keep_a.append(a)
-                    keep_b.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
+                keep.append(100 * both >= 80 * (len(x) + len(y) - both)
+                            # another text under a repeated id is not this pair
+                            and fingerprint(x) == a and fingerprint(y) == c)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
@@ -223,7 +238,7 @@ def key_costs(members: DataFrame, seed: int, only: list[int] | None, parts: int,
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]],
                                               names=["part", "k", "c", "n"])
 
-        for b in batches:
+        for b in slices(batches, 0):
             sets, comp, _ = _rows(b)
             for own, band, _ in _lookups(sets):
                 if chosen is not None:
@@ -272,7 +287,7 @@ def lookups(members: DataFrame, seed: int, only: list[int] | None, hot: np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, wanted, chosen = known.value
-        for b in batches:
+        for b in slices(batches, 0):
             sets, comp, fp = _rows(b)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             for own, band, need in _lookups(sets):
@@ -307,7 +322,8 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sets = scratch.store("sets", describe(src, hub_keys))
     # equal sets are one node
     nodes = scratch.store("nodes", sets.where("fp is not null and id is not null").groupBy("fp").agg(
-        F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("hub_keys").alias("hub_keys")))
+        F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("hub_keys").alias("hub_keys"),
+        F.max("sketch").alias("sketch")))
     similar_size = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
 
     # round 0: sets sharing one of their smallest keys, each against one hub per key
@@ -343,7 +359,7 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                  .select("a", "b").distinct())
         tables.append(scratch.store(f"links-{r + 1}", verify(scratch.store("pairs", pairs), nodes, src, scratch, small)))
         only = [x["short"] for x in entries.where("short is not null").select("short").distinct().collect()]  # band numbers
-        for name in ("named_rows", "costs", "entries", "pairs", "texts", "need", "stars", f"roots-{r}"):
+        for name in ("named_rows", "costs", "entries", "pairs", "texts", "need", "stars", "close", f"roots-{r}"):
             scratch.drop(name)
         if not only:
             break
@@ -383,7 +399,8 @@ def _members(src: DataFrame, sets: DataFrame, place: DataFrame, scratch: Scratch
 
 def _sorted_keys(costs: DataFrame) -> np.ndarray:
     """Keys of a table checked to be small, sorted as unsigned numbers."""
-    return np.sort(costs.select("key").toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))
+    keys = costs.select("key").toArrow().column("key").to_numpy()  # eight bytes a key, no row objects
+    return np.sort(keys.astype(np.int64).view(np.uint64))
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL,

@@ -67,17 +67,24 @@ def _pieces(raw: bytes) -> list[bytes]:
     return [*out, raw[a:]]
 
 
-def _shingles(words: np.ndarray) -> np.ndarray:
+def _shingles(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each place on (n at most WORDS)."""
     _, _, odd = _tables()
-    n = min(WORDS, len(words))
-    if not n:
-        return words
-    s = np.zeros(len(words) - n + 1, dtype=np.uint64)
-    for j in range(n):
+    s = words[:len(words) - n + 1] * odd[0]
+    for j in range(1, n):
         s += words[j:len(words) - n + 1 + j] * odd[j]
     return mix64(s + np.uint64(n))
 
 
+def _distinct(s: np.ndarray) -> np.ndarray:
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
+def _set_of(words: np.ndarray) -> np.ndarray:
+    return _distinct(_shingles(words, min(WORDS, len(words)))) if len(words) else words
+
+
 def sets_of(raws: list[bytes | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     out: list[np.ndarray] = []
@@ -86,9 +93,10 @@ def sets_of(raws: list[bytes | None]) -> list[np.ndarray]:
     def close() -> None:
         if group:
             words, at = word_hashes(b"\n".join(group))
-            ends = np.cumsum([len(x) + 1 for x in group])
-            cut = np.searchsorted(at, ends)
-            out.extend(np.unique(_shingles(words[a:b])) for a, b in zip([0, *cut[:-1]], cut, strict=True))
+            cut = np.searchsorted(at, np.cumsum([0, *(len(x) + 1 for x in group)])).tolist()
+            runs = _shingles(words, WORDS) if len(words) >= WORDS else None  # those across texts are not taken
+            for a, b in zip(cut, cut[1:], strict=False):
+                out.append(_distinct(runs[a:b - WORDS + 1].copy()) if b - a >= WORDS else _set_of(words[a:b]))
             group.clear()
 
     size = 0
@@ -97,7 +105,7 @@ def sets_of(raws: list[bytes | None]) -> list[np.ndarray]:
         if len(raw) > CHUNK:
             close()
             size = 0
-            out.append(np.unique(_shingles(np.concatenate([word_hashes(p)[0] for p in _pieces(raw)]))))
+            out.append(_set_of(np.concatenate([word_hashes(p)[0] for p in _pieces(raw)])))
             continue
         group.append(raw)
         size += len(raw)
@@ -108,9 +116,30 @@ def sets_of(raws: list[bytes | None]) -> list[np.ndarray]:
     return out
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """One parity bit per hash bucket.  Two sets' sketches (folded to the shorter
+    one's length) differ in at most as many bits as the sets differ in elements,
+    so too many differing bits rule a pair out for certain."""
+    bits = 64
+    while bits < 2 * len(s):
+        bits *= 2
+    odd = np.bincount((mix64(s ^ _STEP) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """A lower bound of the sets' symmetric difference."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def fingerprint(s: np.ndarray) -> int | None:
     """One signed 64-bit number for a set; None for the empty set."""
     if not len(s):
         return None
-    total = mix64(s + _STEP).sum(dtype=np.uint64) + np.uint64(len(s)) * _STEP
-    return int(mix64(np.array([total], np.uint64)).view(np.int64)[0])
+    total = np.array([mix64(s + _STEP).sum(dtype=np.uint64)]) + np.array([len(s)], np.uint64) * _STEP
+    return int(mix64(total).view(np.int64)[0])

@@ -80,6 +80,16 @@ def test_hashes_match_plain_sets(monkeypatch):
         assert (got[0] == again).all()
 
 
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 2**62, rng.integers(1, 900), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.uniform(0.5, 1)],
+                                      rng.integers(0, 2**62, rng.integers(0, 200), dtype=np.uint64)]))
+        if len(y):
+            assert S.sketch_distance(S.parity_sketch(x), S.parity_sketch(y)) <= len(np.setxor1d(x, y))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_units_find_every_pair(seed):
     """Every similar pair shares a used key in some round's partition, or its larger set is short there."""
