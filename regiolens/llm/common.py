@@ -75,7 +75,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def slices(batches, text: int, limit: int = 4_000_000):
+def slices(batches, text: int, limit: int = 1_000_000):
     """The batches in slices of about ``limit`` bytes of the column ``text``, so
     that what is worked out from the texts at one time is bounded."""
     for b in batches:
@@ -89,34 +89,31 @@ def slices(batches, text: int, limit: int = 4_000_000):
 def clusters_of(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)`` with root the
     smallest node reached.  Alternating large-star / small-star rounds
-    (pre-aggregated minima per node, one written table a round) until the edge
-    set stands still; the number of rounds grows with the logarithm of the
-    longest path.  Nothing is collected but one count and one checksum."""
+    (pre-aggregated minima per node, written tables) until the edges are stars;
+    the number of rounds grows with the logarithm of the longest path.  Nothing
+    is collected but whether any node is left that is no star's."""
     pair = lambda x, y: [F.greatest(x, y).alias("u"), F.least(x, y).alias("v")]
     e = scratch.store("cc", edges.where(F.col("a") != F.col("b")).select(*pair(F.col("a"), F.col("b"))).distinct())
 
-    def mark(df: DataFrame):
-        # order-free fingerprint of the edge set: count, sum of the targets, sum of hashes
-        return tuple(df.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")),
-                            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def settled(df: DataFrame) -> bool:
+        """Whether the edges are stars: every node points to one root, or is one."""
+        ends = df.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")),
+                                           F.struct(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))).alias("s"))
+        per = ends.groupBy("s.x").agg(F.sum("s.out").alias("out"), F.max("s.in").alias("in"))
+        return per.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()
 
-    last = mark(e)
     for _ in range(rounds):
-        if not last[0]:
+        if settled(e):
             break
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = (both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
-                 .where("u > v").distinct())
+                 .where("u > v"))
         large = scratch.store("cc_large", large)
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(small_min, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
                  .where("u > v").distinct())
         e = scratch.store("cc", small)
-        now = mark(e)
-        if now == last:
-            break
-        last = now
     else:
         raise RuntimeError("components did not settle")
     scratch.drop("cc_large")

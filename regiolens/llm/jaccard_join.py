@@ -12,7 +12,8 @@ Allocation by cost: the first few segments of a band also index their one-
 deletion neighbourhoods; the units they add pay for segments that cost too much
 - empty ones, and keys whose cross pairs exceed ``hot_pairs``.  Sets that can't
 reach their units that way are short; the next round indexes their bands with a
-new partition and a dearer limit, until no set is short.
+new partition and a dearer limit and looks the short sets up again - them only -
+until no set is short.
 
 What goes through the shuffle is one entry per key and component, with counts
 (pre-aggregated in each task), so a third of all documents sharing a key cost
@@ -43,7 +44,7 @@ from regiolens.llm.common import Scratch, clusters_of, mix64, slices, table
 from regiolens.llm.shingles import fingerprint, parity_sketch, sets_of, sketch_distance
 
 HUB_KEYS = 6
-HOT_PAIRS = 2_000
+HOT_PAIRS = 500
 SMALL = 1_000_000  # rows that may be broadcast; above it the same join shuffles
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -219,7 +220,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def key_costs(members: DataFrame, seed: int, only: list[int] | None, parts: int, flush: int = 1_000_000) -> DataFrame:
+def key_costs(members: DataFrame, seed: int, only: list[int] | None, parts: int, flush: int = 400_000) -> DataFrame:
     """``key, cost``: keys that lie in more than one component, and the pairs
     across components they stand for."""
     chosen = None if only is None else np.array(sorted(only))
@@ -312,7 +313,7 @@ def lookups(members: DataFrame, seed: int, only: list[int] | None, hot: np.ndarr
 
 
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hub_keys: int = HUB_KEYS,
-                       hot_pairs: int = HOT_PAIRS, small: int = SMALL, entries_per_part: int = 1_500_000,
+                       hot_pairs: int = HOT_PAIRS, small: int = SMALL, entries_per_part: int = 750_000,
                        max_rounds: int = 12) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable
     by links) and n_copies (rows with the same set)."""
@@ -334,13 +335,9 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links = scratch.store("links-0", verify(scratch.store("stars", stars), nodes, src, scratch, small))
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(0.7 * total // entries_per_part) + 1
-    only, tables, limit = None, [links], float(hot_pairs)
+    only, tables, limit, short = None, [links], float(hot_pairs), None
+    place = _components(nodes, tables, scratch)
     for r in range(max_rounds):
-        every = tables[0]
-        for t in tables[1:]:
-            every = every.union(t)
-        roots = scratch.store(f"roots-{r}", clusters_of(spark, every, scratch))
-        place = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("comp"))
         members = _members(src, sets, place, scratch, small)
         costs = scratch.store("costs", key_costs(members, r, only, parts))
         found = costs.agg(F.count("*"), F.sum((F.col("cost") > limit).cast("int"))).first()
@@ -355,23 +352,26 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             e = e.join(costs.where(F.col("cost") <= limit).select("key"), "key", "left_semi")
         x = e.select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         y = e.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        pairs = (x.join(y, "key").where((F.col("ca") < F.col("cb")) & similar_size(F.col("na"), F.col("nb")))
-                 .select("a", "b").distinct())
-        tables.append(scratch.store(f"links-{r + 1}", verify(scratch.store("pairs", pairs), nodes, src, scratch, small)))
-        only = [x["short"] for x in entries.where("short is not null").select("short").distinct().collect()]  # band numbers
-        for name in ("named_rows", "costs", "entries", "pairs", "texts", "need", "stars", "close", f"roots-{r}"):
+        if short is None:
+            pairs = x.join(y, "key").where((F.col("ca") < F.col("cb")) & similar_size(F.col("na"), F.col("nb")))
+        else:  # all others had their units in an earlier round
+            again = x.join(short.select(F.col("fp").alias("a")).distinct(), "a", "left_semi")
+            pairs = again.join(y, "key").where((F.col("ca") != F.col("cb")) & similar_size(F.col("na"), F.col("nb")))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = scratch.store(f"links-{r + 1}", verify(scratch.store("pairs", pairs), nodes, src, scratch, small))
+        if not new.isEmpty():
+            tables.append(new)
+            place = _components(nodes, tables, scratch)
+        now = entries.where("short is not null").select("fp", "short").distinct()
+        short = scratch.store("short", now if short is None else now.join(short, ["fp", "short"], "left_semi"))
+        only = [x["short"] for x in short.select("short").distinct().collect()]  # band numbers
+        for name in ("named_rows", "costs", "entries", "pairs", "texts", "need", "stars", "close"):
             scratch.drop(name)
         if not only:
             break
         limit *= 8
     else:
         raise RuntimeError("some sets stayed short of units")
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.union(t)
-    roots = scratch.store("roots", clusters_of(spark, every, scratch))
-    place = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "rep", "copies", F.coalesce("root", "fp").alias("comp"))
     least = place.groupBy("comp").agg(F.min("rep").alias("component"))
     named = scratch.store("named", place.join(least, "comp").select(F.col("fp").alias("node"), "component", "copies"))
     return (sets.join(named, sets.fp == named.node, "left")
@@ -380,6 +380,16 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     F.coalesce("copies", F.lit(1)).alias("n_copies")))
 
 
+def _components(nodes: DataFrame, tables: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """``fp, rep, copies, comp`` of every set under the links found so far."""
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.union(t)
+    roots = clusters_of(nodes.sparkSession, every, scratch)
+    return scratch.store("place", nodes.join(roots, nodes.fp == roots.node, "left").select(
+        "fp", "rep", "copies", F.coalesce("root", "fp").alias("comp")))
+
+
 def _members(src: DataFrame, sets: DataFrame, place: DataFrame, scratch: Scratch, small: int) -> DataFrame:
     """``text, comp, known_fp`` of one document for every set.  Only documents
     that share a component, are a copy under another id (left out), or share
