@@ -21,6 +21,7 @@ score is ``no_model``; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -47,32 +48,33 @@ def _band(name: bytes, value: float) -> int:
 
 def terms(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(dimension, weight) of a text's terms; a dimension comes once."""
-    weight: dict[int, float] = {}
+    count: dict[int, int] = {}
     words = raw.split()
     n = len(words)
-    count = Counter(words)
-    for w, c in count.items():
-        d = SHAPES + BANDS + zlib.crc32(w.lower()) % (DIMS - SHAPES - BANDS)
-        weight[d] = weight.get(d, 0.0) + c
-    shapes = Counter(_RUNS.sub(rb"\1", raw.translate(_SHAPE)).split())
-    for s, c in shapes.items():
-        d = zlib.crc32(s[:12]) % SHAPES
-        weight[d] = weight.get(d, 0.0) + c
-    out = {d: (SHAPE_WEIGHT if d < SHAPES else 1.0) * np.log1p(c) for d, c in weight.items()}
+    seen = Counter(words)
+    crc, first = zlib.crc32, SHAPES + BANDS
+    for w, c in seen.items():
+        d = first + crc(w.lower()) % (DIMS - first)
+        count[d] = count.get(d, 0) + c
+    for s, c in Counter(_RUNS.sub(rb"\1", raw.translate(_SHAPE)).split()).items():
+        d = crc(s[:12]) % SHAPES
+        count[d] = count.get(d, 0) + c
     lines = raw.split(b"\n")
     size = max(1, len(raw))
-    upper = sum(c for w, c in count.items() if w[:2].isupper())
+    upper = sum(c for w, c in seen.items() if w[:2].isupper())
     again = sum(a == b for a, b in zip(words, words[1:], strict=False))
     marks = size - len(raw.translate(None, _MARKS)) if raw else 0
-    for name, value in ((b"length", np.log2(n + 1)), (b"types", 10 * len(count) / max(1, n)),
-                        (b"repeat", np.ceil(20 * again / max(1, n))), (b"marks", np.ceil(30 * marks / size)),
-                        (b"upper", np.ceil(10 * upper / max(1, n))),
-                        (b"lines", np.ceil(10 * (len(lines) - len(set(lines))) / len(lines)))):
-        d = _band(name, float(value))
-        out[d] = out.get(d, 0.0) + BAND_WEIGHT
-    dims = np.fromiter(out.keys(), np.int64, len(out))
+    bands = Counter(_band(name, value) for name, value in (
+        (b"length", math.log2(n + 1)), (b"types", 10 * len(seen) / max(1, n)),
+        (b"repeat", math.ceil(20 * again / max(1, n))), (b"marks", math.ceil(30 * marks / size)),
+        (b"upper", math.ceil(10 * upper / max(1, n))),
+        (b"lines", math.ceil(10 * (len(lines) - len(set(lines))) / len(lines)))))
+    dims = np.array([*count, *bands], dtype=np.int64)
+    weight = np.log1p(np.array([*count.values(), *([0] * len(bands))], dtype=np.float64))
+    weight[dims < SHAPES] *= SHAPE_WEIGHT
+    weight[len(count):] = BAND_WEIGHT * np.array([*bands.values()])
     order = np.argsort(dims)
-    return dims[order], np.fromiter(out.values(), np.float64, len(out))[order]
+    return dims[order], weight[order]
 
 
 def tfidf(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
