@@ -118,16 +118,17 @@ def _block_edges(blocks: DataFrame, nodes: DataFrame, k: int, floor: float) -> D
     return rows.groupBy("block").applyInArrow(near, "u long, v long, cos double")
 
 
-def _joined(lists: DataFrame, nodes: DataFrame, floor: float, parts: int) -> DataFrame:
-    """Directed edges among the members of each list (neighbours of neighbours)."""
+def _joined(lists: DataFrame, nodes: DataFrame, floor: float, parts: int, k: int) -> DataFrame:
+    """Directed edges among the nearest ``k`` members of each list (neighbours of
+    neighbours): k * k comparisons a node at most, however wide its list."""
     def local(t: pa.Table) -> pa.Table:
-        u, v = t.column("u").to_numpy(), t.column("v").to_numpy()
+        u, v, near = (t.column(c).to_numpy() for c in ("u", "v", "cos"))
         x = _matrix(t.column("unit"))
-        order = np.argsort(u, kind="stable")
+        order = np.lexsort((v, -near, u))
         cut = np.flatnonzero(np.concatenate([[True], np.diff(u[order]) != 0, [True]]))
         us, vs, cs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for a, b in zip(cut, cut[1:], strict=False):
-            rows = order[a:b]
+            rows = order[a:min(b, a + k)]
             cos = x[rows] @ x[rows].T
             i, j = np.nonzero(np.triu(cos >= floor, 1))
             us += [v[rows[i]], v[rows[j]]]
@@ -138,7 +139,7 @@ def _joined(lists: DataFrame, nodes: DataFrame, floor: float, parts: int) -> Dat
         _, first = np.unique(np.stack([out["u"], out["v"]]), axis=1, return_index=True)
         return pa.table({n: c[first] for n, c in out.items()})
 
-    rows = lists.select("u", "v").join(nodes.select(F.col("node").alias("v"), "unit", "dim"), "v")
+    rows = lists.join(nodes.select(F.col("node").alias("v"), "unit", "dim"), "v")
     return (rows.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts))).groupBy("part", "dim")
             .applyInArrow(local, "u long, v long, cos double"))
 
@@ -227,7 +228,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
             wide_nodes = scratch.store("wide", lists.groupBy("u").agg(F.count("*").alias("c"), F.min("cos").alias("last"))
                                        .where((F.col("c") >= k) & (F.col("last") >= threshold)).select("u"))
             back = lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "cos")
-            more = lists.union(back).union(_joined(lists, nodes, floor, parts))
+            more = lists.union(back).union(_joined(lists, nodes, floor, parts, k))
             new = scratch.store("next", _top(more, wide_nodes, k, wide))
             gained = new.join(lists, ["u", "v"], "left_anti").count()
             lists = scratch.store("lists", new)
