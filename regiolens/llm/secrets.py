@@ -18,7 +18,6 @@ row; other columns are not read; an empty corpus gives an empty dictionary.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -216,7 +215,3 @@ def op9_query(spark, sf_dir: str) -> DataFrame:
                     count("hex").alias("n_hex"),
                     F.sha2(F.array_join(F.transform(base, name), ",").cast("binary"), 256).alias("base_sha256"),
                     F.array_join(F.transform("spans", name), ",").alias("spans"))
-
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
