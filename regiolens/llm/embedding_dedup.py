@@ -9,8 +9,13 @@ vectors it is saturated and gets ``wide`` places instead of ``k``.  An audit
 compares bounded sample of vectors with all others, in blocks; while its recall
 of links is under ``recall`` new codes are drawn and joined in.
 
-Lists are a cap, so saturated groups have an exact way: components that still
-hold a full list are compared in block pairs, which counts every link in them.
+Lists are a cap, so no component is built from them alone: of all links met in
+a block or join a spanning forest is kept (each node and the root of its group
+there), whether or not the lists have place for them.  Saturated groups have an
+exact way: components that hold a full list are compared in block pairs, which
+counts every link in them.  Where the recall is still too low after the last
+draw, all vectors of a length are compared in block pairs, which finds every
+link (n * n / 2 comparisons).
 Equal vectors are one node throughout (and count as links of each other).
 Cosines are dot products of unit vectors in double precision.
 
@@ -86,58 +91,91 @@ def _codes(nodes: DataFrame, tables: range, bits: int) -> DataFrame:
     return codes.join(sizes, ["t", "dim", "code"]).select("node", F.xxhash64("t", "dim", "code", part).alias("block"))
 
 
+def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Puts the links ``i, j`` into ``root``, the smallest member of each place's group."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root[:] = root[root]
+
+
+def _found(us: list, vs: list, cs: list, node: np.ndarray, root: np.ndarray) -> pa.Table:
+    """Directed edges, and a row without cosine from each node to its root."""
+    tree = np.flatnonzero(root != np.arange(len(root)))
+    cos = pa.array(np.concatenate([np.zeros(0), *cs]))
+    return pa.table({"u": np.concatenate([np.zeros(0, np.int64), *us, node[tree]]),
+                     "v": np.concatenate([np.zeros(0, np.int64), *vs, node[root[tree]]]),
+                     "cos": pa.concat_arrays([cos, pa.nulls(len(tree), pa.float64())])})
+
+
 def _top(edges: DataFrame, wide_nodes: DataFrame | None, k: int, wide: int) -> DataFrame:
-    """The best ``k`` (``wide`` for wide nodes) neighbours of each node, from
-    directed edges ``u, v, cos``."""
-    e = edges.groupBy("u", "v").agg(F.max("cos").alias("cos"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("cos"), "v"))
-    e = e.withColumn("place", rank).where(F.col("place") <= wide)
-    if wide_nodes is None:
-        return e.where(F.col("place") <= k).drop("place")
-    return (e.join(wide_nodes.select("u", F.lit(True).alias("more")), "u", "left")
-            .where((F.col("place") <= k) | F.col("more")).drop("place", "more"))
-
-
-def _block_edges(blocks: DataFrame, nodes: DataFrame, k: int, floor: float) -> DataFrame:
-    """Directed edges to each node's nearest ``k`` inside its blocks."""
+    """The best ``k`` (``wide`` for wide nodes) neighbours of each node (``listed``),
+    from directed edges ``u, v, cos``, and all rows of the forest (``tree``)."""
+    e = edges.groupBy("u", "v").agg(F.max("cos").alias("cos"), F.max(F.col("cos").isNull()).alias("tree"))
+    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc_nulls_last("cos"), "v"))
+    e = e.withColumn("place", rank)
+    places = F.lit(k)
+    if wide_nodes is not None:
+        e = e.join(wide_nodes.select("u", F.lit(True).alias("more")), "u", "left")
+        places = F.when(F.col("more"), wide).otherwise(k)
+    e = e.select("u", "v", "cos", "tree", (F.col("cos").isNotNull() & (F.col("place") <= places)).alias("listed"))
+    return e.where("listed or tree")
+
+
+def _block_edges(blocks: DataFrame, nodes: DataFrame, k: int, floor: float, threshold: float) -> DataFrame:
+    """Directed edges to each node's nearest ``k`` inside its blocks, and the
+    forest of all links there."""
     def near(t: pa.Table) -> pa.Table:
         node, x = t.column("node").to_numpy(), _matrix(t.column("unit"))
-        us, vs, cs = [], [], []
+        us, vs, cs, root = [], [], [], np.arange(len(node))
         for a in range(0, len(node), SLICE):
             cos = x[a:a + SLICE] @ x.T
             cos[np.arange(len(cos)), np.arange(a, a + len(cos))] = -2.0
+            i, j = np.nonzero(cos >= threshold)
+            _merge(root, a + i, j)
             best = np.argpartition(-cos, min(k, len(node)) - 1, axis=1)[:, :k]
             c = np.take_along_axis(cos, best, 1)
             i, j = np.nonzero(c >= floor)
             us.append(node[a + i])
             vs.append(node[best[i, j]])
             cs.append(c[i, j])
-        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs), "cos": np.concatenate(cs)})
+        return _found(us, vs, cs, node, root)
 
     rows = blocks.join(nodes.select("node", "unit"), "node")
     return rows.groupBy("block").applyInArrow(near, "u long, v long, cos double")
 
 
-def _joined(lists: DataFrame, nodes: DataFrame, floor: float, parts: int, k: int) -> DataFrame:
+def _joined(lists: DataFrame, nodes: DataFrame, floor: float, threshold: float, parts: int, k: int) -> DataFrame:
     """Directed edges among the nearest ``k`` members of each list (neighbours of
-    neighbours): k * k comparisons a node at most, however wide its list."""
+    neighbours), and the forest of all links there: k * k comparisons a node at
+    most, however wide its list."""
     def local(t: pa.Table) -> pa.Table:
         u, v, near = (t.column(c).to_numpy() for c in ("u", "v", "cos"))
         x = _matrix(t.column("unit"))
         order = np.lexsort((v, -near, u))
         cut = np.flatnonzero(np.concatenate([[True], np.diff(u[order]) != 0, [True]]))
         us, vs, cs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        members, place = np.unique(v, return_inverse=True)
+        root, hops = np.arange(len(members)), [np.zeros((2, 0), np.int64)]
         for a, b in zip(cut, cut[1:], strict=False):
             rows = order[a:min(b, a + k)]
             cos = x[rows] @ x[rows].T
             i, j = np.nonzero(np.triu(cos >= floor, 1))
+            linked = cos[i, j] >= threshold
+            hops.append(np.stack([place[rows[i[linked]]], place[rows[j[linked]]]]))
             us += [v[rows[i]], v[rows[j]]]
             vs += [v[rows[j]], v[rows[i]]]
             cs += [cos[i, j], cos[i, j]]
-        out = {"u": np.concatenate(us), "v": np.concatenate(vs), "cos": np.concatenate(cs)}
+        _merge(root, *np.concatenate(hops, axis=1))
+        out = [np.concatenate(c) for c in (us, vs, cs)]
         # a pair met in many lists is emitted once a task
-        _, first = np.unique(np.stack([out["u"], out["v"]]), axis=1, return_index=True)
-        return pa.table({n: c[first] for n, c in out.items()})
+        _, first = np.unique(np.stack(out[:2]), axis=1, return_index=True)
+        return _found(*([c[first]] for c in out), members, root)
 
     rows = lists.join(nodes.select(F.col("node").alias("v"), "unit", "dim"), "v")
     return (rows.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts))).groupBy("part", "dim")
@@ -171,8 +209,9 @@ def _sample_links(nodes: DataFrame, threshold: float, size: int) -> DataFrame:
 
 
 def _exact_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """``node, links`` (weighted by copies) among the members ``comp, node, dim,
-    copies, unit`` of each component, in block pairs."""
+    """``node, links`` (weighted by copies) and a ``root`` among the members
+    ``comp, node, dim, copies, unit`` of each component, one row a block pair:
+    the roots of all rows are a forest of all links."""
     per = members.groupBy("comp", "dim").agg(F.count("*").alias("c"))
     number = F.ceil(F.col("c") / PAIR_BLOCK).cast("int")
     m = (members.join(per, ["comp", "dim"]).withColumn("blocks", number)
@@ -185,19 +224,20 @@ def _exact_counts(members: DataFrame, threshold: float) -> DataFrame:
         mine, i, j = t.column("mine").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
         node, copies, x = t.column("node").to_numpy(), t.column("copies").to_numpy().astype(np.float64), _matrix(t.column("unit"))
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        links = np.zeros(len(node))
+        links, root = np.zeros(len(node)), np.arange(len(node))
         for a in range(0, len(left), SLICE):
             rows = left[a:a + SLICE]
             linked = x[rows] @ x[right].T >= threshold
             if i == j:
                 linked[np.arange(len(rows)), np.arange(a, a + len(rows))] = False
+            p, q = np.nonzero(linked)
+            _merge(root, rows[p], right[q])
             links[rows] += linked @ copies[right]
             if i != j:
                 links[right] += copies[rows] @ linked
-        return pa.table({"node": node, "links": links.astype(np.int64)})
+        return pa.table({"node": node, "links": links.astype(np.int64), "root": node[root]})
 
-    return (m.groupBy("comp", "dim", "i", "j").applyInArrow(count, "node long, links long")
-            .groupBy("node").agg(F.sum("links").alias("links")))
+    return m.groupBy("comp", "dim", "i", "j").applyInArrow(count, "node long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95,
@@ -219,17 +259,25 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     bits = max(0, math.ceil(math.log2(max(1, n) / (BLOCK * 0.75))))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 5_000 + 1)
     edges, wide_nodes, measured = None, None, 1.0
+    forest: list[DataFrame] = []
+
+    def listed_of(found: DataFrame) -> DataFrame:
+        """The lists; the forest's rows are kept apart."""
+        found = scratch.store("next", found)
+        forest.append(scratch.store(f"forest-{len(forest)}", found.where("tree").select(F.col("u").alias("a"), F.col("v").alias("b"))))
+        return found.where("listed").select("u", "v", "cos")
+
     for draw in range(max_draws):
-        fresh = _block_edges(_codes(nodes, range(draw * tables, (draw + 1) * tables), bits), nodes, k, floor)
-        lists = scratch.store("lists", _top(fresh if edges is None else fresh.union(edges), wide_nodes, k, wide))
+        fresh = _block_edges(_codes(nodes, range(draw * tables, (draw + 1) * tables), bits), nodes, k, floor, threshold)
+        lists = scratch.store("lists", listed_of(_top(fresh if edges is None else fresh.union(edges), wide_nodes, k, wide)))
         size = lists.count()
         for _ in range(rounds):
             # where a list is full of links, it gets more places
             wide_nodes = scratch.store("wide", lists.groupBy("u").agg(F.count("*").alias("c"), F.min("cos").alias("last"))
                                        .where((F.col("c") >= k) & (F.col("last") >= threshold)).select("u"))
             back = lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "cos")
-            more = lists.union(back).union(_joined(lists, nodes, floor, parts, k))
-            new = scratch.store("next", _top(more, wide_nodes, k, wide))
+            more = lists.union(back).union(_joined(lists, nodes, floor, threshold, parts, k))
+            new = listed_of(_top(more, wide_nodes, k, wide))
             gained = new.join(lists, ["u", "v"], "left_anti").count()
             lists = scratch.store("lists", new)
             size = max(1, lists.count())
@@ -238,7 +286,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
         edges = lists
         links = scratch.store("links", lists.where(F.col("cos") >= threshold).select("u", "v")
                               .union(lists.where(F.col("cos") >= threshold).select("v", "u")).distinct())
-        roots = scratch.store("roots", clusters_of(spark, links.select(F.col("u").alias("a"), F.col("v").alias("b")), scratch))
+        joins = links.select(F.col("u").alias("a"), F.col("v").alias("b"))
+        for part in forest:
+            joins = joins.union(part)
+        roots = scratch.store("roots", clusters_of(spark, joins, scratch))
         # audit: a link counts as found when both ends have come into one component
         # and it is listed, or the lists there are full (then it is counted exactly)
         full = scratch.store("full", lists.where(F.col("cos") >= threshold).groupBy("u").agg(F.count("*").alias("c"))
@@ -253,18 +304,25 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
         measured = got[1] / got[0] if got[0] else 1.0
         if measured >= recall:
             break
+    everything = measured < recall
+    if everything:  # no list is relied on: all pairs, in block pairs
+        pairs = scratch.store("pairs", _exact_counts(nodes.select(F.lit(0).alias("comp"), "node", "dim", "copies", "unit"), threshold))
+        joins = pairs.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots, measured = scratch.store("roots", clusters_of(spark, joins, scratch)), 1.0
     comps = nodes.join(roots, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("comp"))
     comps = scratch.store("comps", comps)
-    crowded = comps.join(full.select(F.col("root").alias("comp")), "comp", "left_semi")
-    exact = _exact_counts(crowded.join(nodes.select("node", "dim", "unit"), "node").select("comp", "dim", "node", "copies", "unit"),
-                          threshold)
+    if not everything:
+        crowded = comps.join(full.select(F.col("root").alias("comp")), "comp", "left_semi")
+        pairs = _exact_counts(crowded.join(nodes.select("node", "dim", "unit"), "node").select("comp", "dim", "node", "copies", "unit"),
+                              threshold)
+    exact = pairs.groupBy("node").agg(F.sum("links").alias("links"))
     listed = (links.join(comps.select(F.col("node").alias("v"), "copies"), "v").groupBy(F.col("u").alias("node"))
               .agg(F.sum("copies").alias("near")))
     least = comps.groupBy("comp").agg(F.min("rep").alias("component"))
     done = scratch.store("done", comps.join(listed, "node", "left").join(exact, "node", "left").join(least, "comp").select(
         F.col("node").alias("mine"), "component",
         (F.coalesce("links", "near", F.lit(0)) + F.col("copies") - 1).alias("links")))
-    for name in ("lists", "next", "wide", "links", "roots", "full", "comps", "nodes"):
+    for name in ("lists", "next", "wide", "links", "roots", "full", "comps", "nodes", "pairs", *(f"forest-{i}" for i in range(len(forest)))):
         scratch.drop(name)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return (slim.join(done, (F.col("node") == F.col("mine")) & F.col("usable") & F.col("id").isNotNull(), "left")

@@ -79,3 +79,26 @@ def test_query_recall(spark):
     right = sum(got[v].n_links == n and got[v].component_id == c for (v, _), n, c in zip(rows, links, comp, strict=True))
     assert all(got[v].n_links <= n for (v, _), n in zip(rows, links, strict=True))
     assert right >= 0.99 * len(rows)
+
+
+def nested(rng, outer, size, dim, near, far):
+    """Groups of two dense halves: cosine ``near`` ** 2 inside a half, also times ``far`` between them."""
+    rows = []
+    tilt = lambda v, c: c * v + math.sqrt(1 - c * c) * (w := rng.standard_normal(dim), w - (w @ v) * v)[1] / np.linalg.norm(w - (w @ v) * v)
+    for _ in range(outer):
+        first = rng.standard_normal(dim)
+        first /= np.linalg.norm(first)
+        for centre in (first, tilt(first, far)):
+            rows += [tilt(centre, near) for _ in range(size)]
+    return [(i, r.tolist()) for i, r in enumerate(rows)]
+
+
+def test_links_between_dense_groups_that_no_list_has_place_for(spark):
+    check(spark, nested(np.random.default_rng(5), 1, 400, 64, 0.999, 0.963))
+
+
+def test_all_pairs_where_the_recall_stays_low(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((400, 24))
+    rows = [(i, (centres[i % 400] + 0.12 * rng.standard_normal(24)).tolist()) for i in range(2000)]
+    check(spark, rows, k=2, wide=2, tables=1, rounds=0, max_draws=1)
