@@ -40,8 +40,8 @@ CONTEXTS = (
                 rb"""\x20{0,8}[:=]\x20{0,8}["']?([!-&(-~]{6,})""", re.I),
      (b"pass", b"pwd", b"secret", b"token", b"credential", b"private", b"api", b"auth")),
     (re.compile(rb"bearer\x20{1,8}([A-Za-z0-9+/_.=~-]{6,})", re.I), (b"bearer",)),
-    (re.compile(rb"[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20/:@]{1,64}:([!-.0-?A-~]{6,128})@"), (b"://",)),
 )
+_USERINFO_END = re.compile(rb"[\x00-\x20\x7f/@]")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 # Keyboard rows and character orders walked along
 WALKS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "1qaz2wsx3edc4rfv5tgb")
@@ -85,6 +85,19 @@ def guess_cost(value: str, ranks: Mapping[str, int], longest: int = LONGEST_WORD
     return best[-1]
 
 
+def url_passwords(raw: bytes) -> Iterator[tuple[int, int]]:
+    """``(start, end)`` of what stands between the first ``:`` and the ``@`` of a
+    url's ``user:...@``, whatever their lengths (the user may be empty).  Each
+    walk ends at the next url's slashes, so all are linear in the text."""
+    at = raw.find(b"://")
+    while at >= 0:
+        start = at + 3
+        m = _USERINFO_END.search(raw, start)
+        if m and m[0] == b"@" and (colon := raw.find(b":", start, m.start())) >= 0:
+            yield colon + 1, m.start()
+        at = raw.find(b"://", start)
+
+
 def find_secrets(raw: bytes, ranks: Mapping[str, int], min_guesses: float) -> list[tuple[str, int, int, float]]:
     """Spans ``(kind, start, end, guesses)`` in code points, by start, kind and end.
     All patterns are ASCII, so the UTF-8 bytes are searched as they are."""
@@ -97,12 +110,11 @@ def find_secrets(raw: bytes, ranks: Mapping[str, int], min_guesses: float) -> li
     hexes = raw.translate(_HEX_MAP)
     if b"h" * 24 in hexes:
         found += [(m.start(), 2, m.end(), 0.0) for m in HEX.finditer(raw)]
-    for pattern, words in CONTEXTS:
-        if any(w in low for w in words):
-            for m in pattern.finditer(raw):
-                value = m[1].rstrip(b"\"',;)]}>")
-                if len(value) >= 6 and (cost := guess_cost(value.decode("latin-1"), ranks)) >= min_guesses:
-                    found.append((m.start(1), 3, m.start(1) + len(value), cost))
+    values = [m.span(1) for pattern, words in CONTEXTS if any(w in low for w in words) for m in pattern.finditer(raw)]
+    for a, b in [*values, *url_passwords(raw)]:
+        value = raw[a:b].rstrip(b"\"',;)]}>")
+        if len(value) >= 6 and (cost := guess_cost(value.decode("latin-1"), ranks)) >= min_guesses:
+            found.append((a, 3, a + len(value), cost))
     found = sorted(set(found))
     out, at, chars = [], 0, 0
     for a, kind, b, cost in found:  # code points: count up to each start once

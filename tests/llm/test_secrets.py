@@ -48,6 +48,16 @@ def test_contexts_and_mask():
     assert S.mask("abcdef", [(1, 3), (2, 4), (4, 5)]) == "a[SECRET][SECRET]f"
 
 
+def test_url_credentials_of_any_length():
+    jwt = "eyJ" + "aZ39kLqp01xV" * 40
+    for user, value in (("oauth2", jwt), ("u" * 65, "Xk29dm1Qw"), ("", "Xk29dm1Qw"), ("bob", "Xk2:9dm1Qw"), ("ü" * 40, "Xk29dm1Qw")):
+        text = f"ü see https://{user}:{value}@host/x and http://h:80/p@q"
+        at = text.index(value)
+        assert [s[:3] for s in S.find_secrets(text.encode(), {}, 7.0)] == [("cred", at, at + len(value))]
+    assert S.find_secrets(b"http://h/a:Xk29dm1Qw@b x://a b:Xk29dm1Qw@ y://h:Xk29dm1Qw", {}, 7.0) == []
+    assert S.find_secrets(b"a://" * 200_000 + b":Xk29dm1Qw@h", {}, 7.0) != []
+
+
 def test_word_ranks_cover_all_documents(spark):
     docs = spark.createDataFrame([("aaa bbb",), ("aaa Ccc",), (None,), ("aaa",)], "text string").repartition(4)
     assert S.word_ranks(docs, min_share=0.3, flush=1) == {"aaa": 1}
