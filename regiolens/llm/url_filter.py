@@ -8,6 +8,13 @@ label`` are pruned by support and confidence, and by rules with one token less
 that are as sure.  An inverted index from each rule's rarest token finds the
 rules of a url; the surest rule decides, and urls without one get the default.
 
+The query learns from the labels of the documents that the pages are: the number
+that ends a url's path is a document's id.  A document of low quality or a toxic
+one gives ``block``, others ``allow``.  As one label is much more frequent, a
+rule counts only where its confidence lies over the label's share in all labelled
+urls by ``min_z`` standard errors of that share: tokens that tell nothing leave
+the default.
+
 DataFrame operations and Spark ML's FP-growth only.  Urls are matched once per
 distinct token set.  A url has at most a dozen tokens by construction, so
 neither mining nor matching grows with its length.
@@ -20,6 +27,7 @@ read.
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Sequence
 
@@ -36,6 +44,7 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
+MIN_Z = 4.0  # standard errors over the label's share
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -77,9 +86,23 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
         F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))))
 
 
-def mine_rules(labelled: DataFrame, scratch: Scratch, *, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
+def page_labels(pages: DataFrame, labels: DataFrame, *, url_col: str = "url", id_col: str = "doc_id", quality_col: str = "quality",
+                toxic_col: str = "toxic") -> DataFrame:
+    """``url, label`` of the pages whose path ends in a labelled document's number
+    (with each of its label rows); a label row with neither value tells nothing."""
+    number = F.regexp_extract(path_of(F.col(url_col)), r"(?:^|/)([0-9]+)(?:\.[A-Za-z]{1,5})?/?$", 1).try_cast("long")
+    bad = (F.col(quality_col) == 0) | (F.col(toxic_col) == 1)
+    known = labels.select(F.col(id_col).cast("long").alias("_doc"), F.when(bad, "block").when(
+        F.coalesce(F.col(quality_col), F.col(toxic_col)).isNotNull(), "allow").alias("label")).where("_doc is not null and label is not null")
+    return (pages.select(F.col(url_col).cast("string").alias("url"), number.alias("_number"))
+            .join(known, F.col("_number") == F.col("_doc")).select("url", "label"))
+
+
+def mine_rules(labelled: DataFrame, scratch: Scratch, *, min_support: float = 0.002, min_confidence: float = 0.8,
+               min_z: float | None = None) -> DataFrame:
     """``labelled(tokens, label)`` -> rules (antecedent, label, confidence,
-    support, anchor): anchor is the antecedent's rarest token."""
+    support, anchor): anchor is the antecedent's rarest token.  ``min_z``: how
+    many standard errors the confidence must lie over the label's share."""
     label = F.concat(F.lit("label="), F.col("label"))
     baskets = scratch.store("baskets", labelled.where(F.col("label").isNotNull() & (F.size("tokens") > 0))
                             .select(F.concat("tokens", F.array(label)).alias("items")))
@@ -87,8 +110,12 @@ def mine_rules(labelled: DataFrame, scratch: Scratch, *, min_support: float = 0.
     found = (model.associationRules.where(F.get("consequent", F.lit(0)).startswith("label="))
              .where(~F.exists("antecedent", lambda x: x.startswith("label=")))
              .select(F.array_sort("antecedent").alias("antecedent"),
-                     F.substring(F.get("consequent", F.lit(0)), 7, 10_000).alias("label"), "confidence", "support"))
-    rules = scratch.store("found", found)
+                     F.substring(F.get("consequent", F.lit(0)), 7, 10_000).alias("label"), "confidence", "support", "lift"))
+    if min_z is not None:
+        share = F.col("confidence") / F.col("lift")
+        error = F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) * F.col("confidence") / F.col("support")) / math.sqrt(max(1, baskets.count()))
+        found = found.where((F.col("lift") > 1) & (F.col("confidence") - share >= min_z * error))
+    rules = scratch.store("found", found.drop("lift"))
     # a rule with one token less that is as sure makes a rule redundant
     less = rules.where(F.size("antecedent") > 1).select(
         F.col("antecedent").alias("full"), "label", F.col("confidence").alias("sure"),
@@ -115,7 +142,7 @@ def match_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 rules: Sequence[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, default: str = "allow",
-                min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
+                min_support: float = 0.002, min_confidence: float = 0.8, min_z: float | None = None) -> DataFrame:
     """id, url, host, path, rule, verdict, and the mined rule (antecedent,
     confidence) where one decided.  ``labelled(url, label)`` are the urls to
     learn from; by default those of ``pages`` that the list decides."""
@@ -130,7 +157,7 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     else:
         u = labelled.select(F.col("url").cast("string").alias("url"), "label")
         learn = u.select(tokens_of(F.col("url"), host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "label")
-    mined = mine_rules(learn, scratch, min_support=min_support, min_confidence=min_confidence)
+    mined = mine_rules(learn, scratch, min_support=min_support, min_confidence=min_confidence, min_z=min_z)
     silent = judged.where(F.col("rule").isNull() & (F.size("tokens") > 0)).select("tokens").distinct()
     found = match_rules(silent, mined).select(F.col("tokens").alias("_set"), "mined", "antecedent", "confidence")
     return (judged.join(found, (F.col("tokens") == F.col("_set")) & F.col("rule").isNull(), "left")
@@ -139,5 +166,6 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
-    out = filter_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    out = filter_urls(pages, labelled=page_labels(pages, table(spark, sf_dir, "labels")), min_z=MIN_Z)
     return out.select("page_id", "host", "path", "rule", "verdict", F.array_join("antecedent", " ").alias("mined_rule"))

@@ -60,6 +60,26 @@ def test_mined_rules_and_matches_against_enumeration(spark):
     assert got["https://z.spam.com/buy/1"].verdict == "block" and got["https://z.spam.com/en/1"].verdict == "allow"
 
 
+def test_query_learns_from_the_documents_labels(spark, tmp_path):
+    """A host of bad documents is blocked, hosts that tell nothing get the default."""
+    urls = [(i, f"https://{('bad', 'a', 'b', 'c')[i % 4]}.example.org/en/{i}{('', '.html', '?q=1')[i % 3]}") for i in range(600)]
+    urls += [(600, "https://bad.example.org/en/99999"), (601, "https://new.example.org/es/5"), (602, "https://a.example.org/en/" + "9" * 30)]
+    labels = [(i, 0 if i % 4 == 0 else int(i % 5 != 0), 0) for i in range(0, 600) if i % 8 < 5] + [(7, None, None), (None, 0, 1)]
+    spark.createDataFrame(urls, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r for r in U.op5_query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(urls)
+    for i, u in urls:
+        assert got[i].rule is None and got[i].verdict == ("block" if "//bad." in u else "allow"), u
+    assert "bad.example.org" in got[600].mined_rule and got[601].mined_rule is None
+
+
+def test_no_evidence_gives_the_default(spark):
+    """Labels of the test data have nothing to do with the urls."""
+    rows = E.queries()["op5_url_filter"](spark, "/root/testdata/sf0.1").where("rule is null").collect()
+    assert len(rows) == 1407 and {(r.verdict, r.mined_rule) for r in rows} == {("allow", None)}
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (1, None), (None, "http://A.Example.NET/en/x"), (2, "no scheme"), (3, "x://"), (4, "http://h?q=1#f"),
             (5, "http://a.net"), (6, "http://a.net/"), (7, "http://" + "a." * 5000 + "net/" + "b/" * 5000), (8, "a://b://c/d")]
