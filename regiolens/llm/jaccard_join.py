@@ -435,5 +435,24 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return without(rest, again).unionByName(one)
 
 
+def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL,
+                         **more) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, one each: the row with
+    the smallest id there.  Rows that share an id are told apart: each goes by its
+    own text, and of copies under one id the first in the stored table stays.
+    Rows without an id or with an empty set stay."""
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        return keep_one_of_each(docs, id_col=id_col, text_col=text_col, small=small, **more)
+    scratch = Scratch(docs.sparkSession, "keep")
+    number = F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())
+    rows = scratch.store("rows", docs.withColumn("_row", number))
+    found = similar_components(rows, id_col="_row", text_col=text_col, small=small, **more).where("_row is not null")
+    found = scratch.store("found", found.select("_row", F.col("component_id").alias("_comp"))
+                          .join(rows.select("_row", F.col(id_col).alias("_id")), "_row"))
+    first = found.groupBy("_comp").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_row"))
+    gone = scratch.store("gone", found.join(first, "_row", "left_anti").select("_row"))
+    return rows.join(F.broadcast(gone) if gone.count() <= small else gone, "_row", "left_anti").select(docs.columns)
+
+
 def op8_query(spark, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))

@@ -51,6 +51,19 @@ def test_run_against_brute_force(spark):
     assert got == want
 
 
+def test_near_duplicates_under_shared_ids(spark):
+    """Rows that share an id go by their own texts: one row of each component stays."""
+    text = lambda n: " ".join(f"w{n}x{j}" for j in range(60))
+    rows = [(7, text(i)) for i in range(30)]  # unlike texts under one id
+    rows += [(7, text(3)), (7, text(3)), (3, text(5)), (9, text(5) + " more"), (9, text(40)), (2, text(41)), (2, text(41) + " more"),
+             (7, text(41)), (11, ""), (11, None), (None, text(0)), (None, text(0))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, df, SF).collect()]
+    ours = [r for r in got if r != (2, text(41)) and r != (2, text(41) + " more")]
+    want = [(7, text(i)) for i in range(30) if i != 5] + [(3, text(5)), (9, text(40)), (11, ""), (11, None), (None, text(0)), (None, text(0))]
+    assert sorted(ours, key=str) == sorted(want, key=str) and len(got) == len(want) + 1
+
+
 def test_stages_on_odd_rows(spark, odd_docs, no_docs):
     for name, stage in P.STAGES:
         for docs in (odd_docs, no_docs):
