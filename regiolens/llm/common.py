@@ -33,9 +33,9 @@ class Scratch:
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/regiolens-llm/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
 
-    def store(self, name: str, df: DataFrame) -> DataFrame:
+    def store(self, name: str, df: DataFrame, **options: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         old, self.paths[name] = self.paths.get(name), path
         if old:
             self._delete(old)
@@ -86,6 +86,12 @@ def slices(batches, text: int, limit: int = 1_000_000):
             yield b.slice(a, e - a)
 
 
+def rows_of(batch):
+    """The rows of a batch as dicts, one at a time (rows can be megabytes)."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def clusters_of(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)`` with root the
     smallest node reached.  Alternating large-star / small-star rounds

@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolens.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, lang_id, license_scan, mixing, quality, secrets, url_filter
+from regiolens.llm import (
+    chat_format,
+    decontaminate,
+    embedding_dedup,
+    jaccard_join,
+    lang_id,
+    license_scan,
+    mixing,
+    quality,
+    secrets,
+    substring_dedup,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_query,
@@ -19,9 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": jaccard_join.op8_query,
     "op9_secret_scan": secrets.op9_query,
     "op10_mix_sources": mixing.op10_query,
+    "op13_substring_dedup": substring_dedup.op13_query,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "op13_substring_dedup": substring_dedup.ORACLE,
 }
