@@ -10,10 +10,12 @@ from regiolens.llm import (
     chat_format,
     decontaminate,
     embedding_dedup,
+    hard_negatives,
     jaccard_join,
     lang_id,
     license_scan,
     mixing,
+    phrases,
     quality,
     secrets,
     substring_dedup,
@@ -31,11 +33,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": jaccard_join.op8_query,
     "op9_secret_scan": secrets.op9_query,
     "op10_mix_sources": mixing.op10_query,
+    "op11_phrase_mining": phrases.op11_query,
+    "op12_hard_negatives": hard_negatives.op12_query,
     "op13_substring_dedup": substring_dedup.op13_query,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "op11_phrase_mining": phrases.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
     "op13_substring_dedup": substring_dedup.ORACLE,
 }
