@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ENTRIES = 2_000_000  # a group, on average
+ENTRIES = 1_000_000  # a group, on average
 
 
 def pack_ints(a: np.ndarray) -> bytes:
