@@ -131,9 +131,9 @@ def _level(units: DataFrame, state: DataFrame | None, level: int | None, next_le
                 u = Unit(r["texts"], window)
                 alive = u.windows
                 if level is not None:
-                    keys = np.frombuffer(r["keys"] or b"", np.uint64)
                     if r["alive"] is not None:
                         alive = _mask(r["alive"], len(u.words))
+                    keys, _ = u.short_keys(level, window, alive)  # as they were sent
                     alive = u.repeated(level, window, alive, keys, packed.answered(r["bits"]))
                 if next_level is not None:
                     keys, vals = u.short_keys(next_level, window, alive)
@@ -199,8 +199,14 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         judge = _more_than_one if nxt else _not_least
         bits = packed.answer(packed.deal(sent.where("n > 0"), packed.parts_for(n)), judge)
         bits = scratch.store(f"bits{nxt or window}", bits)
-        keep = ["unit", "keys", "alive"] if nxt else ["unit", "gone", "starts", "which"]
-        state, level = sent.select(*keep).join(bits, "unit", "left"), nxt
+        # only bits and spans travel back: the keys are worked out again from the texts
+        if nxt is None:
+            state = sent.select("unit", "gone", "starts", "which").join(bits, "unit", "left")
+        elif level is None:
+            state = bits.withColumn("alive", F.lit(None).cast("binary"))
+        else:
+            state = scratch.store(f"state{nxt}", sent.select("unit", "alive").join(bits, "unit", "left"))
+        level = nxt
         if not n:  # no candidate is alive
             break
     if level is None:
@@ -209,7 +215,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         state = state.select("unit", F.lit(None).cast("binary").alias("spans"))
     out = scratch.store("out", units.join(state, "unit", "left").mapInArrow(
         _apply, "id long, n_words long, removed array<struct<start:long,end:long>>, kept_text string"))
-    for name in ("units", "spans", *(f"{x}{n}" for n in [*levels, window] for x in ("level", "bits"))):
+    for name in ("units", "spans", *(f"{x}{n}" for n in [*levels, window] for x in ("level", "bits", "state"))):
         scratch.drop(name)
     return out.withColumnRenamed("id", id_col)
 
