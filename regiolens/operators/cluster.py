@@ -1,23 +1,27 @@
-"""PIN-code clustering (D21-D25) with ``pyspark.ml``.
-
-PIN totals of the age columns are standardised (``StandardScaler``, mean
-and std; Spark uses the sample std where scikit-learn uses the population
-std, a common factor that leaves the clustering unchanged) and clustered with
-``KMeans`` for several seeds; the fit with the lowest training cost wins.
-Cluster ids are renumbered by their mean total so labels do not depend on the
-initialisation.
+"""PIN-code clustering (D21-D25): k-means, all restarts at once.
+
+PIN totals of the age columns are standardised (mean and sample std; the
+population std would only scale all distances).  Every restart starts from
+k-means++ centres (Arthur, Vassilvitskii, SODA 2007) settled on a bounded sample
+of PINs; each Lloyd step then moves the centres of all restarts in one aggregate
+over all PINs (``restarts x k`` partial sums a task), until none moves.  The
+lowest cost wins, the first restart on ties.  Cluster ids are renumbered by their
+mean total so labels do not depend on the initialisation.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regiolens.params import DEFAULT_PARAMS, Params
 from regiolens.plans import marts
 from regiolens.schema import DEFAULT_SCHEMA, FactSchema
+from regiolens.session import write_table
+
+SAMPLE = 4000  # PINs the starting centres are chosen from
+STEPS = 50
 
 
 def pincode_totals(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
@@ -27,32 +31,79 @@ def pincode_totals(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> Data
     return pins.where(sum(F.col(m) for m in ms) > 0)
 
 
-def pincode_clusters(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS,
-                     restarts: int | None = None) -> DataFrame:
-    """(pincode, ages..., cluster); empty when fewer PINs than k."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+def start_centres(x: np.ndarray, k: int, seed: int, steps: int = STEPS) -> np.ndarray:
+    """k-means++ centres of the sample ``x``, settled by Lloyd steps on it."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.integers(len(x))][None]
+    near = ((x - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < k:
+        pick = rng.choice(len(x), p=near / near.sum()) if near.sum() > 0 else rng.integers(len(x))
+        centres = np.vstack([centres, x[pick]])
+        near = np.minimum(near, ((x - x[pick]) ** 2).sum(axis=1))
+    for _ in range(steps):
+        mine = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([x[mine == j].mean(axis=0) if (mine == j).any() else centres[j] for j in range(k)])
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
+def nearest(xs: list[Column], centres: np.ndarray) -> Column:
+    """Struct (cost, cluster) of the nearest centre, the first on ties."""
+    return F.array_min(F.array(*[F.struct(
+        sum(((x - F.lit(float(v))) * (x - F.lit(float(v))) for x, v in zip(xs, c, strict=True)), F.lit(0.0)).alias("cost"),
+        F.lit(j).alias("cluster")) for j, c in enumerate(centres)]))
+
 
+def lloyd(points: DataFrame, cols: list[str], starts: list[np.ndarray], steps: int = STEPS, tol: float = 1e-6) -> tuple[float, np.ndarray]:
+    """Move the centres of all starts together; the lowest cost and its centres."""
+    xs = [F.col(c) for c in cols]
+    centres = [c.copy() for c in starts]
+    cost = [float("inf")] * len(starts)
+    moving = set(range(len(starts)))
+    for _ in range(steps):
+        if not moving:
+            break
+        live = sorted(moving)
+        near = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), nearest(xs, centres[i]).alias("n")) for i in live])).alias("s")
+        got = (points.select(*cols, near).groupBy("s.start", "s.n.cluster")
+               .agg(F.count(F.lit(1)).alias("rows"), F.sum("s.n.cost").alias("cost"), *[F.sum(c).alias(c) for c in cols]).collect())
+        for i in live:
+            mine = [r for r in got if r["start"] == i]
+            cost[i] = sum(r["cost"] for r in mine)
+            moved = centres[i].copy()
+            for r in mine:  # a centre without points stays
+                moved[r["cluster"]] = [r[c] / r["rows"] for c in cols]
+            if np.abs(moved - centres[i]).max() <= tol:
+                moving.discard(i)
+            centres[i] = moved
+    best = min(range(len(starts)), key=lambda i: (round(cost[i], 9), i))
+    return cost[best], centres[best]
+
+
+def pincode_clusters(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS,
+                     restarts: int | None = None, paths: list[str] | None = None) -> DataFrame:
+    """(pincode, ages..., cluster); empty when fewer PINs than k.  The
+    PIN totals are stored once (``paths`` collects where)."""
     ms = schema.present_measures(fact)
-    pins = pincode_totals(fact, schema).cache()  # small (one row per PIN), reused by every restart
+    stored: list[str] = []
+    pins = write_table(pincode_totals(fact, schema), "pincode_totals", stored)
+    if paths is not None:
+        paths.extend(stored)
     k = params.n_clusters
-    if pins.count() < k:
-        return pins.withColumn("cluster", F.lit(None).cast("int")).limit(0)
-    prep = Pipeline(stages=[
-        VectorAssembler(inputCols=ms, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
-    ]).fit(pins)
-    feats = prep.transform(pins).cache()
     n = params.cluster_restarts if restarts is None else restarts
-
-    def fit(i: int):
-        m = KMeans(k=k, seed=params.seed + i, featuresCol="_features", predictionCol="_c").fit(feats)
-        return m.summary.trainingCost, i, m
-
-    with ThreadPoolExecutor(max_workers=min(n, 4)) as pool:  # restarts are independent jobs
-        best = min(pool.map(fit, range(n)), key=lambda r: (r[0], r[1]))[2]
-    labelled = best.transform(feats).select(schema.unit, *ms, F.col("_c").alias("_raw_cluster"))
+    st = pins.agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"m{i}") for i, m in enumerate(ms)],
+                  *[F.stddev_samp(m).alias(f"s{i}") for i, m in enumerate(ms)]).first()
+    if st["n"] < k:
+        return pins.withColumn("cluster", F.lit(None).cast("int")).limit(0)
+    cols = [f"_x{i}" for i in range(len(ms))]
+    points = pins.withColumns({c: (F.col(m) - F.lit(st[f"m{i}"])) / F.lit(st[f"s{i}"] or 1.0)
+                               for i, (c, m) in enumerate(zip(cols, ms, strict=True))})
+    # the same PINs whatever the partitioning
+    sample = points.orderBy(F.xxhash64(schema.unit, F.lit(params.seed)), schema.unit).limit(SAMPLE).select(*cols).toPandas().to_numpy()
+    _, centres = lloyd(points, cols, [start_centres(sample, k, params.seed + i) for i in range(n)])
+    labelled = points.select(schema.unit, *ms, nearest([F.col(c) for c in cols], centres)["cluster"].alias("_raw_cluster"))
     # renumber clusters by mean row total (deterministic labels)
     order = labelled.groupBy("_raw_cluster").agg(F.avg(sum(F.col(m) for m in ms)).alias("_mean"))
     ranks = order.select("_raw_cluster", (F.expr("row_number() over (order by _mean, _raw_cluster)") - 1)

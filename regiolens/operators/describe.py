@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiolens.functions.exprs import pct_change, percentiles, ratio, rule_rows, sum0
+from regiolens.functions.ranks import exact_percentiles
 from regiolens.params import DEFAULT_PARAMS, INEQUITY_FINE, INEQUITY_TEXTS, Params
 from regiolens.plans import marts
 from regiolens.schema import DEFAULT_SCHEMA, FactSchema
@@ -74,35 +75,47 @@ def top_districts(fact: DataFrame, n: int | None = None, schema: FactSchema = DE
         F.col(schema.total).desc(), schema.state, schema.district).limit(n)
 
 
+SPLITS = 1000  # ranges that one cut makes of one
+
+
+def _split_ranges(placed: DataFrame, by: Sequence[str], per_range: int) -> DataFrame:
+    """``placed`` with every range of more than ``per_range`` values cut at
+    approximate quantiles of its values."""
+    size = F.count(F.lit(1))
+    pieces = F.least(F.lit(SPLITS), F.ceil(2 * size / F.lit(per_range))).cast("int")
+    grid = [i / SPLITS for i in range(1, SPLITS)]
+    big = placed.groupBy(*by, "_r").agg(size.alias("_n"), pieces.alias("_k"), F.percentile_approx("_x", grid, 10_000).alias("_q")).where(
+        F.col("_n") > per_range)
+    step = F.greatest(F.lit(1), F.floor(F.lit(SPLITS) / F.col("_k"))).cast("int")
+    cuts = big.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_r").alias("_k_r"),
+                      F.array_distinct(F.filter("_q", lambda v, i: (i + 1) % step == 0)).alias("_b"))
+    same = F.col("_r") == F.col("_k_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    finer = F.array_append("_r", F.size(F.filter("_b", lambda v: v < F.col("_x"))))
+    return placed.join(cuts, same, "left").select(*by, "_x", "_c", F.when(F.col("_b").isNull(), F.col("_r")).otherwise(finer).alias("_r"))
+
+
 def gini(df: DataFrame, value: str, by: Sequence[str] = (), per_range: int = 20_000) -> DataFrame:
     """Gini coefficient ``2*sum(i*x_(i)) / (n*sum x) - (n+1)/n`` per ``by`` group.
 
     Ties are collapsed first (``groupBy(by, value).count()``); equal values get
     consecutive ranks, whose contribution is ``x * (c*before + c*(c+1)/2)``.
-    Distinct values are cut into ranges at approximate quantiles; the counts of
-    the ranges before (a prefix sum over the small table of ranges) plus the
-    counts before a value inside its range give its rank, so no window sees
-    much more than ``per_range`` values, with or without ``by``.
+    Distinct values are cut into ranges at approximate quantiles, and ranges that
+    still hold more than ``per_range`` of them are cut again, so no window sees
+    more, whatever the number of values.  The counts of the ranges before (a
+    prefix sum over the table of ranges) plus the counts before a value inside
+    its range give its rank.
     """
     x = F.col("_x")
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(
         F.count(F.lit(1)).cast("double").alias("_c"))
-    pieces = F.greatest(F.lit(1), F.least(F.lit(1000), F.ceil(F.count(F.lit(1)) / per_range))).cast("int")
-    # a fixed grid of quantiles; a group takes every (grid / pieces)-th of them
-    grid = [i / 1000 for i in range(1, 1000)]
-    cuts = counts.groupBy(*by).agg(pieces.alias("_k"), F.percentile_approx("_x", grid, 10_000).alias("_q"))
-    step = F.greatest(F.lit(1), F.floor(F.lit(1000) / F.col("_k"))).cast("int")
-    bounds = F.when(F.col("_k") == 1, F.expr("cast(array() as array<double>)")).otherwise(
-        F.array_distinct(F.filter("_q", lambda v, i: (i + 1) % step == 0)))
-    cuts = cuts.select(*[F.col(c).alias(f"_k_{c}") for c in by], bounds.alias("_b"))
-    if by:
-        same = F.lit(True)
-        for c in by:
-            same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-        placed = counts.join(cuts, same).select(*by, "_x", "_c", "_b")
-    else:
-        placed = counts.select("_x", "_c", cuts.scalar().alias("_b"))
-    placed = placed.withColumn("_r", F.size(F.filter("_b", lambda v: v < x))).drop("_b")
+    placed = counts.withColumn("_r", F.expr("cast(array() as array<int>)"))  # the cuts that led to a value's range
+    for _ in range(64):
+        most = placed.groupBy(*by, "_r").count().agg(F.max("count")).first()[0] or 0
+        if most <= per_range:
+            break
+        placed = _split_ranges(placed, by, per_range)
     sizes = placed.groupBy(*by, "_r").agg(F.sum("_c").alias("_n"))
     earlier = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     starts = sizes.select(*[F.col(c).alias(f"_s_{c}") for c in by], F.col("_r").alias("_s_r"),
@@ -213,7 +226,7 @@ def high_ratio_districts(fact: DataFrame, n: int | None = None, schema: FactSche
 
 
 def _median_total(d: DataFrame, schema: FactSchema):
-    return d.select(F.percentile(F.col(schema.total).cast("double"), 0.5)).scalar()
+    return F.lit(exact_percentiles(d, {schema.total: [0.5]})[schema.total][0]).cast("double")
 
 
 def underserved_districts(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA,
@@ -234,7 +247,7 @@ def inequity_facts(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params:
     d = marts.district_totals(fact, schema)
     t = F.col(schema.total).cast("double")
     s = d.agg(F.count(F.lit(1)).alias("total_districts"),
-              F.percentile(t, 0.5).alias("_median"),
+              _median_total(d, schema).alias("_median"),
               F.try_divide(F.stddev_samp(t), F.avg(t)).alias("cv"))
     n_under = underserved_districts(fact, schema, params).select(F.count(F.lit(1))).scalar()
     return s.select("total_districts", F.col("_median").cast("long").alias("median_enrollment"), "cv",
@@ -274,9 +287,11 @@ def summary_statistics(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA,
                        params: Params = DEFAULT_PARAMS) -> DataFrame:
     """One row per M column: count, sum, mean, median, std, min, max, percentiles."""
     cols = schema.present_all(fact)
+    exact = None if params.approx_percentiles else exact_percentiles(fact, {c: SUMMARY_FRACTIONS for c in cols})
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
+        q = marts.known_percentiles(exact[c]) if exact else percentiles(c, SUMMARY_FRACTIONS, True, params.approx_accuracy)
         aggs.append(F.struct(
             F.lit(c).alias("column_name"),
             F.count(c).alias("count"),
@@ -285,7 +300,7 @@ def summary_statistics(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA,
             F.round(F.stddev_samp(x), 2).alias("std"),
             F.min(c).cast("long").alias("min"),
             F.max(c).cast("long").alias("max"),
-            percentiles(c, SUMMARY_FRACTIONS, params.approx_percentiles, params.approx_accuracy).alias("q"),
+            q.alias("q"),
         ).alias(c))
     one = fact.agg(*aggs)
     long = one.select(F.inline(F.array(*[F.col(c) for c in cols])))

@@ -2,13 +2,16 @@
 
 Algorithm: Liu, Ting, Zhou, "Isolation Forest", ICDM 2008.
 
-1. Sampling (distributed, deterministic, one scheme for every row count): a
-   row's hash gives it a number of candidate trees (on average four times what
-   a tree's sample needs, all trees for small tables) and which trees those
-   are, so the sample does not depend on partitioning and needs no row id;
-   ``row_number() over (partition by tree order by hash) <= psi`` keeps
-   ``psi = min(256, n)`` rows per tree (each tree partition holds about 4*psi
-   candidates: bounded by the parameters, not the data).
+1. Sampling (distributed, deterministic, one scheme for every row count and
+   every kind of row): rows are grouped to distinct feature values with their
+   counts, so a value that a third of all rows hold is one row here.  Each of
+   its copies is a candidate for each tree with probability ``4 * psi / n`` (1
+   for small tables), independently; the draws of a value skip from one success
+   to the next, so they cost as much as there are successes.  Each draw has a
+   hash key, and ``row_number() over (partition by tree order by key) <= psi``
+   keeps ``psi = min(256, n)`` copies per tree (each tree partition holds about
+   4*psi candidates: bounded by the parameters, not the data).  The sample
+   depends on the feature values alone: no row id, no partitioning.
 2. Growing: ``groupBy(tree).applyInPandas`` builds one isolation tree per
    group (random feature, random split inside the node's range, height limit
    ``ceil(log2 psi)``), returning its nodes.
@@ -25,11 +28,12 @@ abnormal), as scikit-learn's ``score_samples``.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,43 +93,71 @@ def grow_tree(x: np.ndarray, tree: int, seed: int, height_limit: int) -> pd.Data
     return out
 
 
-STRIDES = (1, 7, 11, 13, 17, 19, 23, 29, 31, 37)  # steps from one candidate tree of a row to the next
-
-
-def candidate_trees(row_hash: Column, n: int, psi: int, trees: int) -> Column:
-    """Array of the trees a row is a candidate for: on average
-    ``trees * min(1, 4 * psi / n)`` of them, distinct."""
-    expected = trees * min(1.0, 4.0 * psi / n)
-    whole, part = int(expected), int((expected % 1.0) * 1_000_000_000)
-    draws = F.lit(whole) + (F.pmod(F.xxhash64(row_hash, F.lit(1)), F.lit(1_000_000_000)) < part).cast("int")
-    steps = F.array(*[F.lit(x) for x in STRIDES if math.gcd(x, trees) == 1])
-    step = F.element_at(steps, (F.pmod(F.xxhash64(row_hash, F.lit(2)), F.size(steps)) + 1).cast("int"))
-    start = F.pmod(F.xxhash64(row_hash, F.lit(3)), F.lit(trees))
-    return F.when(draws > 0, F.transform(F.sequence(F.lit(0), draws - 1),
-                                         lambda i: F.pmod(start + i * step, F.lit(trees)).cast("int")))
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def tree_draws(hashes: np.ndarray, counts: np.ndarray, trees: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Draws ``(row, tree, key)``: each of a row's ``counts`` copies is drawn for
+    each tree with probability ``share``, on its own.  A row's ``counts * trees``
+    chances lie in one line; the gap to the next success is geometric, from the
+    row's hash and the number of the draw, so the draws depend on nothing else."""
+    last = counts.astype(np.int64) * trees
+    active, at = np.arange(len(hashes)), np.full(len(hashes), -1.0)
+    rows, places, done, step = [], [], 0, 1
+    seeds = _mix(hashes.astype(np.uint64) + _STEP)
+    while len(active):
+        number = (np.arange(done, done + step, dtype=np.uint64) + np.uint64(1)) * _STEP
+        u = ((_mix(seeds[active][:, None] + number) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+        gap = np.floor(np.log(u) / np.log1p(-share)) if share < 1 else np.zeros_like(u)
+        spot = at[active][:, None] + np.cumsum(gap + 1, axis=1)
+        hit = spot < last[active][:, None]
+        rows.append(np.broadcast_to(active[:, None], spot.shape)[hit])
+        places.append(spot[hit].astype(np.int64))
+        at[active] = spot[:, -1]
+        active = active[hit[:, -1]]
+        done += step
+        step = max(1, min(4096, 2 * step, 2_000_000 // max(1, len(active))))
+    row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    place = np.concatenate(places) if places else np.zeros(0, np.int64)
+    key = _mix(seeds[row] ^ _mix(place.astype(np.uint64) * _STEP + np.uint64(1))).view(np.int64)
+    return row, (place % trees).astype(np.int32), key
 
 
 def fit_forest(df: DataFrame, features: Sequence[str], params: Params = DEFAULT_PARAMS,
                n_rows: int | None = None) -> pd.DataFrame:
     """Grow the forest on Spark; returns the node table (bounded by the
-    parameters).  Rows are told apart by the hash of all their columns."""
+    parameters)."""
     trees, seed = params.forest_trees, params.seed
     n = n_rows if n_rows is not None else df.count()
     psi = int(min(params.forest_subsample, n))
     if psi < 2:
         raise ValueError("isolation forest needs at least two rows")
     height = int(math.ceil(math.log2(psi)))
+    share = min(1.0, 4.0 * psi / n)
     cols = [f"_x{i}" for i in range(len(features))]
-    known = [f"`{c}`" for c in df.columns if df.schema[c].dataType.typeName() != "map"]
-    x = df.select(F.xxhash64(F.lit(seed), *known).alias("_h"),
-                  *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(a) for a, c in zip(cols, features, strict=True)])
-    cand = x.select("*", F.explode(candidate_trees(F.col("_h"), n, psi, trees)).alias("tree"))
-    order = F.xxhash64(F.col("_h"), F.lit(seed + 2), F.col("tree"))
-    w = Window.partitionBy("tree").orderBy(order, *cols)
+    x = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(a) for a, c in zip(cols, features, strict=True)])
+    distinct = x.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).select(F.xxhash64(F.lit(seed), *cols).alias("_h"), "_n", *cols)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, tree, key = tree_draws(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), trees, share)
+            for i in range(0, len(row), 100_000):  # a value that most rows hold has many draws
+                part = slice(i, i + 100_000)
+                values = [b.column(2 + j).take(pa.array(row[part])) for j in range(len(cols))]
+                yield pa.RecordBatch.from_arrays([pa.array(tree[part]), pa.array(key[part]), *values], names=["tree", "_key", *cols])
+
+    cand = distinct.mapInArrow(draw, ", ".join(["tree int", "_key long", *[f"{c} double" for c in cols]]))
+    w = Window.partitionBy("tree").orderBy("_key", *cols)
     sample = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi).drop("_rn")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", *cols])
+        pdf = pdf.sort_values(["_key", *cols])
         return grow_tree(pdf[cols].to_numpy(dtype=float), int(pdf["tree"].iloc[0]), seed, height)
 
     nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
@@ -174,12 +206,13 @@ def path_lengths(x: np.ndarray, arrays) -> np.ndarray:
 
 
 def isolation_forest(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS,
-                     features: Sequence[str] | None = None) -> DataFrame:
+                     features: Sequence[str] | None = None, paths: list[str] | None = None) -> DataFrame:
     """The rows of ``df`` with ``ml_anomaly_score`` and ``ml_is_anomaly``
     as further columns (no key, no join: repeated rows stay repeated).
 
     The scored rows are written once to the checkpoint folder; the threshold
-    and every later read use that table.  Fewer than two rows get no score.
+    and every later read use that table (``paths`` collects its place).  Fewer
+    than two rows get no score.
     """
     features = list(features) if features is not None else schema.present_all(df)
     n = df.count()
@@ -196,6 +229,6 @@ def isolation_forest(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params:
         return pd.Series(-np.power(2.0, -h / cpsi))
 
     scored = write_table(df.withColumn("ml_anomaly_score", score(*[F.col(c).cast("double") for c in features])),
-                         "isolation_forest")
+                         "isolation_forest", paths)
     thr = exact_percentile(scored, "ml_anomaly_score", params.contamination, -1.0, 0.0)
     return scored.withColumn("ml_is_anomaly", F.coalesce(F.col("ml_anomaly_score") < F.lit(thr), F.lit(False)))

@@ -11,7 +11,7 @@ never an exception).  Seasonal naive and trailing-mean models are plain SQL
 (``aggregate`` over the per-series value array, one row per series x
 parameter triple); seasonal ARIMA is a per-series NumPy fit in
 ``applyInPandas`` (groups hold one series: bounded by the number of periods);
-boosted trees use ``pyspark.ml`` pooled over all series.
+boosted trees are fitted the same way, all rounds of a series in one task.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regiolens.operators.series import DS, error_metrics, feature_names, ml_features
+from regiolens.operators.boosting import fit_boosted
+from regiolens.operators.series import DS, LAGS, ROLLS, error_metrics, feature_names, ml_features
+from regiolens.operators.statespace import kalman
 from regiolens.params import DEFAULT_PARAMS, Params
-from regiolens.session import write_table
 
 FORECAST_COLS = ("model", "step", DS, "yhat", "lower_80", "upper_80", "lower_95", "upper_95")
 METRIC_COLS = ("model", "n_points", "mae", "rmse", "mape", "aic", "bic", "status")
@@ -209,10 +210,10 @@ def fit_sarima(y: np.ndarray, horizon: int, period: int = 12, ar=(1, 2), ma=(1,
     """SARIMA(p,1,q)(P,1,Q,s) on one series by Hannan-Rissanen least squares.
 
     w = (1-B)(1-B^s) y; a long AR on w gives residual estimates; w is then
-    regressed on its lags and the residual lags; forecasts recurse with
-    future shocks 0 and undo both differences; intervals from the psi weights
-    of the integrated model.  Returns forecasts, in-sample fitted values and
-    information criteria.
+    regressed on its lags and the residual lags.  At these coefficients the
+    Kalman filter gives the exact likelihood (AIC, BIC), the one-step fitted
+    values and the joint distribution of the next w, which undoing both
+    differences turns into forecasts and intervals of y.
     """
     y = np.asarray(y, dtype=float)
     n = len(y)
@@ -238,54 +239,29 @@ def fit_sarima(y: np.ndarray, horizon: int, period: int = 12, ar=(1, 2), ma=(1,
     else:
         X = np.ones((len(rows), 1))
     beta = _ols(X, w[rows])
-    resid = w[rows] - X @ beta
-    sigma2 = float(np.mean(resid ** 2)) if len(resid) else 0.0
-    n_eff = len(rows)
-    kpar = X.shape[1] + 1
-    ll = n_eff * np.log(sigma2) if sigma2 > 0 else -np.inf
-    aic = float(ll + 2 * kpar) if np.isfinite(ll) else None
-    bic = float(ll + kpar * np.log(n_eff)) if np.isfinite(ll) else None
-
-    def predict_w(wv: np.ndarray, ev: np.ndarray, t: int) -> float:
-        out = beta[0]
-        for c, (src, lg) in zip(beta[1:], lags):
-            out += c * (wv if src == "w" else ev)[t - lg]
-        return float(out)
-
-    # in-sample one-step fitted values of y (where the lags exist)
+    phi = {lg: float(c) for c, (src, lg) in zip(beta[1:], lags, strict=True) if src == "w"}
+    theta = {lg: float(c) for c, (src, lg) in zip(beta[1:], lags, strict=True) if src == "e"}
+    kf = kalman(w, float(beta[0]), phi, theta)
+    sigma2, n_eff, kpar = kf.sigma2, len(w) - kf.skip, len(beta) + 1
+    known = n_eff > 0 and sigma2 > 1e-12 * max(1.0, float(np.mean(y * y)))  # an exact fit has no likelihood
+    ll = kf.log_likelihood() if known else None
+    aic = 2 * kpar - 2 * ll if known else None
+    bic = kpar * float(np.log(n_eff)) - 2 * ll if known else None
+    # in-sample one-step values of y: what the filter expected of w, differences undone
     fitted = np.full(n, np.nan)
-    e_fit = e.copy()
-    e_fit[rows] = resid
-    for t in rows:
-        what = predict_w(w, e_fit, t)
-        ti = t + s + 1  # index in y
-        fitted[ti] = what + y[ti - 1] + y[ti - s] - y[ti - s - 1]
-    # forecasts
-    wv = np.concatenate([w, np.zeros(horizon)])
-    ev = np.concatenate([e_fit, np.zeros(horizon)])
+    at = np.arange(kf.skip, len(w))
+    fitted[at + s + 1] = (w - kf.v)[at] + y[at + s] + y[at + 1] - y[at]
+    ahead, cov = kf.ahead(horizon)
     yv = np.concatenate([y, np.zeros(horizon)])
+    integrate = np.zeros((horizon, horizon))  # what a unit of w in one period adds to y in the later ones
     for h in range(horizon):
-        t = len(w) + h
-        wv[t] = predict_w(wv, ev, t)
-        ti = n + h
-        yv[ti] = wv[t] + yv[ti - 1] + yv[ti - s] - yv[ti - s - 1]
+        yv[n + h] = ahead[h] + yv[n + h - 1] + yv[n + h - s] - yv[n + h - s - 1]
+        integrate[h, h] = 1.0
+        for lag, sign in ((1, 1.0), (s, 1.0), (s + 1, -1.0)):
+            if h >= lag:
+                integrate[h] += sign * integrate[h - lag]
     yhat = yv[n:]
-    # psi weights of y: response to a unit shock, through the w model and integration
-    imp_w = np.zeros(horizon + max([lg for _, lg in lags] + [0]) + 1)
-    imp_e = np.zeros_like(imp_w)
-    off = len(imp_w) - horizon
-    imp_e[off] = 1.0
-    for t in range(off, len(imp_w)):
-        acc = imp_e[t]
-        for c, (src, lg) in zip(beta[1:], lags):
-            acc += c * (imp_w if src == "w" else imp_e)[t - lg]
-        imp_w[t] = acc
-    psi_w = imp_w[off:]
-    psi_y = np.zeros(horizon)
-    for j in range(horizon):  # integrate (1-B)^-1 (1-B^s)^-1
-        psi_y[j] = psi_w[j] + (psi_y[j - 1] if j >= 1 else 0) + (psi_y[j - s] if j >= s else 0) - (
-            psi_y[j - s - 1] if j >= s + 1 else 0)
-    se = np.sqrt(sigma2 * np.cumsum(psi_y ** 2))
+    se = np.sqrt(np.maximum(sigma2 * np.diag(integrate @ cov @ integrate.T), 0.0))
     bands = {lv: (yhat - Z[lv] * se, yhat + Z[lv] * se) for lv in levels}
     return {"yhat": yhat, "bands": bands, "fitted": fitted, "aic": aic, "bic": bic}
 
@@ -361,72 +337,82 @@ def sarima(series: DataFrame, target: str, keys: Sequence[str] = (), horizon: in
     return fc, met
 
 
-# --- Gradient-boosted trees (pyspark.ml), pooled over series -------------------------
+# --- Gradient-boosted trees: one fit per series, all rounds inside its task ----------
+
+def _gbt_rows(pdf: pd.DataFrame, target: str, horizon: int, params: Params, rounds: int, min_rows: int,
+              recursive: bool) -> list[dict]:
+    """Metrics, forecasts and importances of one series from its feature rows."""
+    pdf = pdf.sort_values(DS)
+    n, names = len(pdf), feature_names(target)
+    if n < min_rows:
+        return []
+    x, y = pdf[names].to_numpy(dtype=float), pdf[target].to_numpy(dtype=float)
+    cut = n - (min(horizon, 3) if n - horizon < 12 else horizon)
+    model = fit_boosted(x[:cut], y[:cut], rounds, params.gbt_depth, params.gbt_rate)
+    err = y[cut:] - model.predict(x[cut:])
+    nz = y[cut:] != 0
+    rows = [{"kind": "metrics", "n_points": n, "mae": round(float(np.abs(err).mean()), 2),
+             "rmse": round(float(np.sqrt((err * err).mean())), 2),
+             "mape": round(float(np.abs(err[nz] / y[cut:][nz]).mean()) * 100, 2) if nz.any() else None, "status": "ok"}]
+    last, past, yhat = pd.Timestamp(pdf[DS].iloc[-1]), list(y), float(model.predict(x[-1:])[0])
+    for step in range(1, horizon + 1):
+        ds = last + pd.DateOffset(months=step)
+        if recursive:  # each prediction enters the next step's lags and windows
+            yhat = float(model.predict(np.array([_next_features(past, ds)]))[0])
+            past.append(yhat)
+        rows.append({"kind": "forecast", "step": step, DS: ds.date(), "yhat": yhat})
+    return rows + [{"kind": "importance", "feature": f, "importance": float(v)} for f, v in zip(names, model.importance(), strict=True)]
+
 
-LEVEL = "series_level"
+def _next_features(past: Sequence[float], ds: pd.Timestamp) -> list[float]:
+    """Feature values of the period after ``past`` (windows end at its last value)."""
+    rolls = [v for k in ROLLS for v in (float(np.mean(past[-k:])), float(np.std(past[-k:], ddof=1)))]
+    return [ds.month, ds.quarter, ds.year, ds.dayofyear, *(past[-k] for k in LAGS), *rolls]
 
 
 def gbt_forecast(series: DataFrame, target: str, keys: Sequence[str] = (), horizon: int = 6,
                  params: Params = DEFAULT_PARAMS, max_iter: int | None = None, min_rows: int = 24,
-                 shifted: bool = False, recursive: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """one boosted-tree regressor for all series.
-
-    Features: calendar, lags, rolling stats (F6-F9) and the mean of the series'
-    training rows, which tells the pooled series apart by size.  The
-    last ``horizon`` feature rows of each series are the test set
-    (``min(horizon, 3)`` when fewer than 12 would remain for training); series
-    with fewer than ``min_rows`` feature rows get an error row.  By default the
-    future value repeats the prediction of the last feature row and rolling
-    windows include the current value (reference behaviour, ruling R10).
-    ``shifted=True`` ends the rolling windows at the previous value;
-    ``recursive=True`` (implies ``shifted``) predicts step by step, feeding each
-    prediction back into the lags of the next step (one distributed
-    ``transform`` per step, each step checkpointed).  Returns forecasts,
-    metrics and feature importances.  Where no series has enough rows there is
-    nothing to fit: error rows, no forecasts, no importances.
+                 shifted: bool = False, recursive: bool = False,
+                 materialize_fit: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """boosted trees, one model per series fitted in its own task.
+
+    Features: calendar, lags, rolling stats (F6-F9).  The last ``horizon``
+    feature rows of each series are the test set (``min(horizon, 3)`` when fewer
+    than 12 would remain for training); series with fewer than ``min_rows``
+    feature rows get an error row.  By default the future value repeats the
+    prediction of the last feature row and rolling windows include the current
+    value (ruling R10).  ``shifted=True`` ends the rolling windows at the
+    previous value; ``recursive=True`` (implies ``shifted``) predicts step by
+    step, feeding each prediction back into the lags of the next step.  Returns
+    forecasts, metrics and feature importances (mean gain of a feature's splits,
+    as a share).  A group is one series, bounded by the calendar.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
     keys = list(keys)
     shifted = shifted or recursive
+    rounds = params.gbt_trees if max_iter is None else max_iter
     feats = ml_features(series, target, keys, shifted=shifted)
-    w = Window.partitionBy(*keys)
-    wd = Window.partitionBy(*keys).orderBy(F.col(DS).desc())
-    feats = feats.withColumns({"_rows": F.count(F.lit(1)).over(w), "_rdesc": F.row_number().over(wd)})
-    test_n = F.when(F.col("_rows") - horizon < 12, F.least(F.lit(horizon), F.lit(3))).otherwise(F.lit(horizon))
-    feats = feats.withColumn("_test", F.col("_rdesc") <= test_n)
-    good = feats.where(F.col("_rows") >= min_rows)
-    train = good.where(~F.col("_test"))
-    level = train.groupBy(*keys).agg(F.avg(F.col(target).cast("double")).alias(LEVEL))
-
-    def with_level(d: DataFrame) -> DataFrame:
-        return d.join(level, keys) if keys else d.withColumn(LEVEL, level.scalar())
-
-    names = feature_names(target)
-    assembler = VectorAssembler(inputCols=[*names, LEVEL], outputCol="_features")
-    gbt = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="_pred",
-                       maxIter=params.gbt_trees if max_iter is None else max_iter, maxDepth=params.gbt_depth,
-                       stepSize=params.gbt_rate, seed=params.seed, maxBins=32)
-    # written once: every boosting round reads the stored feature rows
-    good = write_table(with_level(good), "gbt_features")
-    fitted = not good.where(~F.col("_test")).isEmpty()
-    if fitted:
-        # a calendar's worth of rows a series; one task per million rows does for a boosting round
-        rows = good.where(~F.col("_test")).coalesce(max(1, good.count() // 1_000_000))
-        model = Pipeline(stages=[assembler, gbt]).fit(rows)
-        scored = model.transform(good)
-    else:
-        scored = good.withColumn("_pred", F.lit(None).cast("double"))
-    test = scored.where("_test")
-    e = F.col(target) - F.col("_pred")
-    met_ok = test.groupBy(*keys).agg(
-        F.max("_rows").alias("n_points"),
-        F.round(F.avg(F.abs(e)), 2).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 2).alias("rmse"),
-        F.round(F.avg(F.abs(F.try_divide(e, F.col(target)))) * 100, 2).alias("mape")).where("n_points is not null").select(
-        *keys, F.lit("gbt").alias("model"), F.col("n_points").cast("long").alias("n_points"), "mae", "rmse", "mape",
-        F.lit(None).cast("double").alias("aic"), F.lit(None).cast("double").alias("bic"), F.lit("ok").alias("status"))
+    fields = {"kind": T.StringType(), "step": T.IntegerType(), DS: T.DateType(), "yhat": T.DoubleType(), "n_points": T.LongType(),
+              "mae": T.DoubleType(), "rmse": T.DoubleType(), "mape": T.DoubleType(), "status": T.StringType(),
+              "feature": T.StringType(), "importance": T.DoubleType()}
+    out_schema = T.StructType([series.schema[k] for k in keys] + [T.StructField(n, t) for n, t in fields.items()])
+    by = keys or ["_one"]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _gbt_rows(pdf, target, horizon, params, rounds, min_rows, recursive)
+        out = pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **r} for r in rows], columns=out_schema.names)
+        return out.astype({DS: "object"}).where(out.notna(), None)
+
+    src = feats if keys else feats.withColumn("_one", F.lit(0))
+    if keys:  # one fit per group: hash-spread the series over all cores first
+        src = src.repartition(series.sparkSession.sparkContext.defaultParallelism, *keys)
+    res = src.groupBy(*by).applyInPandas(fit, out_schema)
+    if materialize_fit:  # forecasts, metrics and importances come from the same fits: run them once
+        from regiolens.session import materialize
+
+        res = materialize(res)
+    none = lambda *cols: [F.lit(None).cast("double").alias(c) for c in cols]
+    met_ok = res.where(F.col("kind") == "metrics").select(
+        *keys, F.lit("gbt").alias("model"), "n_points", "mae", "rmse", "mape", *none("aic", "bic"), "status")
     counts = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if keys:
         bad = counts.join(feats.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "left")
@@ -434,44 +420,8 @@ def gbt_forecast(series: DataFrame, target: str, keys: Sequence[str] = (), horiz
         bad = counts.withColumn("_rows", feats.select(F.count(F.lit(1))).scalar())
     met_err = bad.where(F.coalesce(F.col("_rows"), F.lit(0)) < min_rows).select(
         *keys, F.lit("gbt").alias("model"), F.col("_n").cast("long").alias("n_points"),
-        *[F.lit(None).cast("double").alias(c) for c in ("mae", "rmse", "mape", "aic", "bic")],
+        *none("mae", "rmse", "mape", "aic", "bic"),
         F.lit("error: Insufficient data for ML forecasting").alias("status"))
-    if recursive and fitted:
-        fc = _recursive_steps(series, good.select(*keys).distinct(), model, target, keys, horizon, with_level)
-    else:
-        last = scored.where(F.col("_rdesc") == 1).select(*keys, F.col(DS).alias("_last"),
-                                                         F.col("_pred").alias("yhat"))
-        fc = last.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")).select(
-            *keys, F.lit("gbt").alias("model"), "step", F.add_months("_last", F.col("step")).alias(DS), "yhat")
-    imp = model.stages[-1].featureImportances.toArray().tolist() if fitted else []
-    spark = series.sparkSession
-    importances = spark.createDataFrame(list(zip([*names, LEVEL], [float(v) for v in imp], strict=False)),
-                                        "feature string, importance double")
-    return _null_bands(fc), met_ok.unionByName(met_err), importances
-
-
-def _recursive_steps(series: DataFrame, trained: DataFrame, model, target: str, keys: list[str], horizon: int,
-                     with_level) -> DataFrame:
-    """Step-by-step forecast: each step's features (shifted windows, lags)
-    come from the history extended by the previous predictions."""
-    from regiolens.session import materialize
-
-    y = F.col(target).cast("double").alias(target)
-    ext = series.select(*keys, DS, y)
-    if keys:
-        ext = ext.join(trained, keys, "left_semi")
-    steps = []
-    for step in range(1, horizon + 1):
-        last = ext.groupBy(*keys).agg(F.max(DS).alias("_last"))
-        # the placeholder target is never read: lags start at 1 and windows end at the previous value
-        nxt = last.select(*keys, F.add_months("_last", 1).alias(DS), F.lit(0.0).alias(target))
-        feats = with_level(ml_features(ext.unionByName(nxt), target, keys, shifted=True).join(
-            nxt.select(*keys, DS), [*keys, DS], "left_semi"))
-        pred = materialize(model.transform(feats).select(*keys, DS, F.col("_pred").alias(target)))
-        steps.append(pred.select(*keys, F.lit("gbt").alias("model"), F.lit(step).alias("step"), DS,
-                                 F.col(target).alias("yhat")))
-        ext = ext.unionByName(pred)
-    out = steps[0]
-    for st in steps[1:]:
-        out = out.unionByName(st)
-    return out
+    fc = res.where(F.col("kind") == "forecast").select(*keys, F.lit("gbt").alias("model"), "step", DS, "yhat")
+    imp = res.where(F.col("kind") == "importance").select(*keys, "feature", "importance")
+    return _null_bands(fc), met_ok.unionByName(met_err), imp

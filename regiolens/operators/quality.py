@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regiolens.functions.exprs import flag, is_close, row_sum, row_sum_skipna, rule_rows
+from regiolens.functions.ranks import exact_percentiles
 from regiolens.params import DEFAULT_PARAMS, QUALITY_FINE, QUALITY_TEXTS, VALID_STATES, Params
 from regiolens.plans import marts
 from regiolens.schema import DEFAULT_SCHEMA, FactSchema
@@ -327,15 +328,18 @@ def quality_report(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: P
     """One row: schema validity, DRI and parts, missing, duplicates, extremes.
 
     Three passes: every count and statistic in one aggregate (a reused scalar
-    subquery), the duplicates' grouping, and the extreme rows."""
+    subquery), the duplicates' grouping, and the extreme rows; two small
+    aggregates before them find the exact percentiles."""
     cells = float(len(df.columns))
     checks = [v.cast("long") for _, _, v in _schema_items(df, schema)]
     issues = sum((F.when(v == 0, 0).otherwise(1) for v in checks), F.lit(0)).cast("long")
     missing = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0)).cast("long")
     ms = schema.present_measures(df)
+    fr = _extreme_fractions(params)
+    known = None if params.approx_percentiles else exact_percentiles(df, {m: fr for m in ms})
     base = df.agg(F.count(F.lit(1)).alias("total_records"), missing.alias("missing_total"), issues.alias("schema_issues"),
                   *[c.alias(n) for n, c in _dri_aggs(df, schema, params).items()],
-                  *marts.stat_columns(ms, _extreme_fractions(params), params))
+                  *marts.stat_columns(ms, fr, params, known))
     st = base.select(F.struct(*base.columns).alias("s")).scalar()
     ext = extreme_values(df, schema, params, st).agg(F.count_if("has_extreme_values").alias("extreme_values"))
     names = ["total_records", "missing_total", "schema_issues", "completeness", "consistency", "validity"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regiolens.functions.exprs import percentiles, sum0
+from regiolens.functions.ranks import exact_percentiles
 from regiolens.params import DEFAULT_PARAMS, Params
 from regiolens.schema import DEFAULT_SCHEMA, FactSchema
 
@@ -69,24 +70,37 @@ def monthly_totals(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, keys: S
 
 def column_stats(df: DataFrame, cols: Sequence[str], fractions: Sequence[float],
                  params: Params = DEFAULT_PARAMS, keys: Sequence[str] = ()) -> DataFrame:
-    """One pass: mean, sample std and the requested percentiles of each column.
+    """Mean, sample std and the requested percentiles of each column.
 
     Output columns ``<c>_mean``, ``<c>_std``, ``<c>_q`` (array in ``fractions``
-    order), per ``keys`` group or one row.  Exact percentiles keep a
-    value->count map per group (small for count data); ``approx_percentiles``
-    switches to a sketch for continuous measures.
+    order), per ``keys`` group or one row.  The one row's percentiles are exact
+    from sketches and a counting pass (:func:`exact_percentiles`, two small
+    aggregates run here); ``approx_percentiles`` takes a sketch's answer in one
+    pass.  Groups keep a value->count map each (small for count data).
     """
-    aggs = stat_columns(cols, fractions, params)
+    if keys or params.approx_percentiles:
+        aggs = stat_columns(cols, fractions, params)
+    else:
+        aggs = stat_columns(cols, fractions, params, exact_percentiles(df, {c: fractions for c in cols}))
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 
-def stat_columns(cols: Sequence[str], fractions: Sequence[float], params: Params = DEFAULT_PARAMS) -> list[Column]:
-    """The aggregates of :func:`column_stats`."""
+def stat_columns(cols: Sequence[str], fractions: Sequence[float], params: Params = DEFAULT_PARAMS,
+                 known: dict[str, list[float | None]] | None = None) -> list[Column]:
+    """The aggregates of :func:`column_stats`; ``known`` percentiles enter as values."""
     aggs = []
     for c in cols:
+        q = percentiles(c, fractions, params.approx_percentiles, params.approx_accuracy) if known is None else known_percentiles(known[c])
         aggs += [
             F.avg(F.col(c).cast("double")).alias(f"{c}_mean"),
             F.stddev_samp(F.col(c).cast("double")).alias(f"{c}_std"),
-            percentiles(c, fractions, params.approx_percentiles, params.approx_accuracy).alias(f"{c}_q"),
+            q.alias(f"{c}_q"),
         ]
     return aggs
+
+
+def known_percentiles(values: Sequence[float | None]) -> Column:
+    """Percentiles found before as an array (null where there are no values)."""
+    if any(v is None for v in values):
+        return F.lit(None).cast("array<double>")
+    return F.array(*[F.lit(float(v)) for v in values])

@@ -6,10 +6,10 @@ rows, the per-district series) are written once to the shared checkpoint
 folder and read back, so each section plans against small parquet scans and
 a lost executor re-reads files instead of recomputing the lineage.
 
-``collect_report`` runs the sections' jobs concurrently from a thread pool:
-the sections are independent branches, and Spark schedules their jobs side by
-side (small report jobs fill cores that a sequential run leaves idle, for
-example during the boosted-tree iterations).
+The chains of jobs that sections wait for (forest, model fits, clusters) run
+side by side while the report is built, and ``collect_report`` runs the
+sections' jobs concurrently from a thread pool: Spark schedules them side by
+side, so small jobs fill cores that a sequential run leaves idle.
 """
 
 from __future__ import annotations
@@ -42,15 +42,13 @@ from regiolens.sources.loader import derive_columns
 
 @dataclass
 class Report:
-    """Sections by name: a DataFrame, or a callable building one once its
-    inputs are ready (sections that wait for the background model fit)."""
+    """Sections by name, and the stored tables they read."""
 
-    sections: dict[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
+    sections: dict[str, DataFrame] = field(default_factory=dict)
     engine_of: dict[str, str] = field(default_factory=dict)
     prepare_seconds: dict[str, float] = field(default_factory=dict)
     background: ThreadPoolExecutor | None = None
     tables: list[str] = field(default_factory=list)
-    wait_seconds: dict[str, float] = field(default_factory=dict)
 
     def add(self, engine: str, name: str, df):
         self.sections[name] = df
@@ -66,8 +64,7 @@ class Report:
         self.tables.clear()
 
     def frame(self, name: str) -> DataFrame:
-        s = self.sections[name]
-        return s() if callable(s) else s
+        return self.sections[name]
 
 
 def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFAULT_PARAMS,
@@ -81,8 +78,7 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
 
     H = params.horizon_long
     T = schema.total
-    rep.background = ThreadPoolExecutor(max_workers=3)
-    gbt_future = None
+    rep.background = ThreadPoolExecutor(max_workers=4)
     t0 = time.time()
     # dates parsed, total recomputed and shares derived whatever columns arrive
     fact = write_table(derive_columns(raw_fact, schema), "fact")
@@ -91,18 +87,49 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
     sums = write_table(marts.day_district_totals(fact, schema), "day_district_totals")  # sections of sums read this
     nat = write_table(SE.prepare_series(sums, "M", [], [T], schema), "national_series")
     rep.prepare_seconds["marts"] = time.time() - t0
-    if with_gbt:  # the boosted-tree fit is a long chain of small jobs: start it first, beside the rest
+    geo = list(schema.geo)
 
-        def fit_gbt():
+    # chains of jobs that do not need one another run side by side
+    def timed(name: str, make: Callable):
+        def run():
             t = time.time()
-            spark.sparkContext.setLocalProperty("spark.scheduler.pool", "models")  # FAIR mode: own pool
-            fc_, met_, imp_ = MO.gbt_forecast(nat, T, [], H, params, max_iter=gbt_max_iter)
-            out = write_table(fc_, "gbt_forecast"), write_table(met_, "gbt_metrics"), write_table(imp_, "gbt_imp")
-            rep.prepare_seconds["gbt_fit"] = time.time() - t
+            out = make()
+            rep.prepare_seconds[name] = time.time() - t
             return out
 
-        gbt_future = rep.background.submit(fit_gbt)
-    geo = list(schema.geo)
+        return rep.background.submit(run)
+
+    def families(series: DataFrame, keys: list[str], name: str):
+        """Forecasts and metrics of all model families, each fitted once, and importances."""
+        fits = [MO.holt_winters(series, T, keys, H, params.seasonal_period, materialize_fit=True),
+                MO.sarima(series, T, keys, H, params, materialize_fit=True)]
+        importance = None
+        if with_gbt:
+            fc_, met_, importance = MO.gbt_forecast(series, T, keys, H, params, max_iter=gbt_max_iter)
+            fits.append((fc_, met_))
+        return ([write_table(FO._union([f for f, _ in fits]), f"{name}_forecasts")],
+                [write_table(FO._union([m for _, m in fits]), f"{name}_metrics")], importance)
+
+    def district_models():
+        series = write_table(SE.prepare_series(sums, "M", geo, [T], schema), "district_series")
+        fc_, met_, _ = families(series, geo, "district")
+        return series, write_table(FO.ensemble(fc_, met_, geo)[0], "district_forecast")
+
+    def national_models():
+        fc_, met_, importance = families(nat, [], "national")
+        efc_, emet_ = FO.ensemble(fc_, met_)
+        return fc_[0], met_[0], importance, write_table(efc_, "ensemble_forecast"), write_table(emet_, "ensemble_metrics")
+
+    def anomalies():
+        flagged = IF.isolation_forest(fact, schema, params, paths=rep.tables)
+        temporal = write_table(A.temporal_anomalies(sums, schema, params), "temporal")
+        districts = write_table(A.geographic_anomalies(fact, schema, params), "geographic")
+        return write_table(A.anomaly_scored(flagged, schema, params, temporal, districts), "anomaly_scored"), temporal, districts
+
+    by_district = timed("district_forecasts", district_models)
+    anomaly_tables = timed("anomaly_tables", anomalies)
+    national = timed("national_models", national_models)
+    clusters = timed("pincode_clusters", lambda: write_table(C.pincode_clusters(fact, schema, params, paths=rep.tables), "pincode_clusters"))
 
     # --- 1 governance ---------------------------------------------------------
     qr = rep.add("governance", "quality_report", V.quality_report(fact, schema, params))
@@ -127,18 +154,10 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
     rep.add("descriptive", "underserved_districts", D.underserved_districts(sums, schema, params))
     rep.add("descriptive", "high_ratio_districts", D.high_ratio_districts(sums, None, schema, params))
     rep.add("descriptive", "summary_statistics", D.summary_statistics(fact, schema, params))
-    rep.add("descriptive", "pincode_cluster_summary",
-            lambda: C.cluster_summary(C.pincode_clusters(fact, schema, params), schema))
+    rep.add("descriptive", "pincode_cluster_summary", C.cluster_summary(clusters.result(), schema))
 
     # --- 3 anomalies ----------------------------------------------------------
-    t0 = time.time()
-    flagged = IF.isolation_forest(fact, schema, params)
-    rep.prepare_seconds["isolation_forest"] = time.time() - t0
-    t0 = time.time()
-    temporal = write_table(A.temporal_anomalies(sums, schema, params), "temporal")
-    districts = write_table(A.geographic_anomalies(fact, schema, params), "geographic")
-    scored = write_table(A.anomaly_scored(flagged, schema, params, temporal, districts), "anomaly_scored")
-    rep.prepare_seconds["anomaly_scored"] = time.time() - t0
+    scored, temporal, districts = anomaly_tables.result()
     summ = rep.add("anomaly", "anomaly_summary", A.anomaly_summary(fact, schema, params, scored, temporal, districts))
     rep.add("anomaly", "severity_distribution", A.severity_distribution(scored))
     rep.add("anomaly", "critical_anomalies", A.critical_anomalies(scored, 50, schema).select(
@@ -150,53 +169,19 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
     rep.add("report", "anomaly_shares", A.anomaly_shares(summ))
 
     # --- 4 forecasting --------------------------------------------------------
-    t0 = time.time()
-    hw = MO.holt_winters(nat, T, [], H, params.seasonal_period, materialize_fit=True)
-    sa = MO.sarima(nat, T, [], H, params, materialize_fit=True)
-    nat_fc = write_table(FO._union([hw[0], sa[0]]), "national_forecasts")
-    nat_met = write_table(FO._union([hw[1], sa[1]]), "national_metrics")
-    rep.prepare_seconds["national_models"] = time.time() - t0
-
-    def all_models():
-        if gbt_future is None:
-            return nat_fc, nat_met, None
-        gfc, gmet, gimp = gbt_future.result()
-        return (nat_fc.unionByName(gfc, allowMissingColumns=True),
-                nat_met.unionByName(gmet, allowMissingColumns=True), gimp)
-
-    def build_ensemble():  # once, after the background fit: later sections read the written tables
-        fc_, met_, _ = all_models()
-        efc_, emet_ = FO.ensemble([fc_], [met_])
-        return write_table(efc_, "ensemble_forecast"), write_table(emet_, "ensemble_metrics")
-
-    ens_future = rep.background.submit(build_ensemble)
-
-    def ensemble_tables():
-        return ens_future.result()
-
-    if with_gbt:
-        rep.add("forecast", "gbt_feature_importance", lambda: all_models()[2])
-    rep.add("forecast", "model_forecasts", lambda: all_models()[0])
-    rep.add("forecast", "model_metrics", lambda: all_models()[1])
-    rep.add("forecast", "ensemble_forecast", lambda: FO.forecast_band(ensemble_tables()[0]))
-    rep.add("forecast", "ensemble_metrics", lambda: ensemble_tables()[1])
-    rep.add("forecast", "surge_summary", lambda: FO.surge_summary(ensemble_tables()[0], nat, T, (), params))
-    rep.add("forecast", "surge_periods", lambda: FO.surges(ensemble_tables()[0], nat, T, (), params))
+    nat_fc, nat_met, importance, efc, emet = national.result()
+    if importance is not None:
+        rep.add("forecast", "gbt_feature_importance", importance)
+    rep.add("forecast", "model_forecasts", nat_fc)
+    rep.add("forecast", "model_metrics", nat_met)
+    rep.add("forecast", "ensemble_forecast", FO.forecast_band(efc))
+    rep.add("forecast", "ensemble_metrics", emet)
+    surge = rep.add("forecast", "surge_summary", FO.surge_summary(efc, nat, T, (), params))
+    rep.add("forecast", "surge_periods", FO.surges(efc, nat, T, (), params))
     hist = rep.add("forecast", "history_summary", FO.history_summary(nat, T))
-
-    def forecast_recs():
-        efc_, emet_ = ensemble_tables()
-        return FO.forecast_recommendations(FO.surge_summary(efc_, nat, T, (), params), emet_, hist)
-
-    rep.add("forecast", "forecast_recommendations", forecast_recs)
+    rep.add("forecast", "forecast_recommendations", FO.forecast_recommendations(surge, emet, hist))
     # many-series form: one forecast per district feeds the policy engine
-    t0 = time.time()
-    dser = write_table(SE.prepare_series(sums, "M", geo, [T], schema), "district_series")
-    dhw = MO.holt_winters(dser, T, geo, H, params.seasonal_period, materialize_fit=True)
-    dsa = MO.sarima(dser, T, geo, H, params, materialize_fit=True)
-    defc, demet = FO.ensemble([dhw[0], dsa[0]], [dhw[1], dsa[1]], geo)
-    defc = write_table(defc, "district_forecast")
-    rep.prepare_seconds["district_forecasts"] = time.time() - t0
+    dser, defc = by_district.result()
     demand = defc.groupBy(*geo).agg(F.sum("yhat").alias("forecasted_enrollment"))
     dsurge = rep.add("forecast", "district_surges", FO.surges(defc, dser, T, geo, params))
 
@@ -221,12 +206,12 @@ def run_pipeline(spark: SparkSession, raw_fact: DataFrame, params: Params = DEFA
 
     # --- 6 key figures ------------------------------------------------------------
     imm = iv.select(F.count_if(F.col("urgency") == "Critical").alias("immediate_interventions"))
-    rep.add("report", "key_figures", lambda: R.key_figures({
+    rep.add("report", "key_figures", R.key_figures({
         "dri": qr.select("total_records", "dri_score", "assessment", "completeness", "consistency", "validity"),
         "coverage": cov,
         "inequity": ineq.select("underserved_count"),
         "anomaly": summ.select("statistical_anomalies", "geographic_anomalies", "temporal_anomalies"),
-        "surge": FO.surge_summary(ensemble_tables()[0], nat, T, (), params).select(
+        "surge": surge.select(
             F.lit(H).alias("forecast_horizon"), "surge_detected", "num_surge_periods"),
         "policy": tot,
         "interventions": imm,
@@ -243,18 +228,11 @@ def collect_report(rep: Report, threads: int = 8) -> tuple[dict[str, list], dict
 
     def run(name: str):
         t = time.time()
-        df = rep.frame(name)  # a deferred section waits here for the tables it reads
-        if callable(rep.sections[name]) and rep.engine_of[name] in ("forecast", "report"):
-            rep.wait_seconds[name] = time.time() - t
-        out = df.collect()
+        out = rep.frame(name).collect()
         return name, out, time.time() - t
 
-    # deferred sections may block on the background fit: give each its own thread
-    # and submit the ready ones first, so waiting never holds up runnable work
-    deferred = [n for n in rep.sections if callable(rep.sections[n])]
-    order = [n for n in rep.sections if n not in deferred] + deferred
-    with ThreadPoolExecutor(max_workers=threads + len(deferred)) as pool:
-        futs = [pool.submit(run, n) for n in order]
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        futs = [pool.submit(run, n) for n in rep.sections]
         for f in as_completed(futs):
             name, out, s = f.result()
             rows[name] = out

@@ -258,6 +258,17 @@ def q_forecast_band(spark, sf_dir):
     return FO.forecast_band(ef)
 
 
+@register("chart_forecast_band_with_interval", f"""{_NAT_SIMPLE}
+SELECT model, step, ds, {r6('yhat')} AS yhat, {r6("CASE WHEN step % 2 = 0 THEN yhat - step * 10.0 ELSE yhat * 0.9 END")} AS band_lower,
+       {r6("CASE WHEN step % 2 = 0 THEN yhat + step * 10.0 ELSE yhat * 1.1 END")} AS band_upper FROM ef""")
+def q_forecast_band_interval(spark, sf_dir):
+    """T4: a model's own 95% interval where it has one (here every other step), else +-10%."""
+    _, ef, _ = simple_ensemble(spark, sf_dir, [])
+    own = F.when(F.col("step") % 2 == 0, F.col("step") * 10.0)
+    bands = ef.withColumns({"lower_95": F.col("yhat") - own, "upper_95": F.col("yhat") + own})
+    return FO.forecast_band(bands).drop("lower_95", "upper_95")
+
+
 # --- model families (rows-only checks; pytest covers them on known series) -----------
 
 def district_models(spark, sf_dir, family: str):

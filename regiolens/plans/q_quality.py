@@ -53,6 +53,17 @@ def q_declared(spark, sf_dir):
     return V.declared_schema_checks(dirty_fact(spark, sf_dir))
 
 
+def _without_rows(gone: str) -> list[str]:
+    rows = [r for r in _declared_rows() if f"'{gone}'" not in r]
+    return [*rows, f"SELECT 'missing', '{gone}', CAST(1 AS BIGINT), FALSE"]
+
+
+@register("declared_schema_column_missing", DIRTY + "\n" + " UNION ALL ".join(_without_rows(MS[1])))
+def q_declared_missing(spark, sf_dir):
+    """V2 on a table that lacks a declared column."""
+    return V.declared_schema_checks(dirty_fact(spark, sf_dir).drop(MS[1]))
+
+
 # --- V5-V8 ----------------------------------------------------------------------
 
 _KEYS = ", ".join(S.keys)

@@ -48,6 +48,36 @@ def q_cluster_summary(spark, sf_dir):
     return C.cluster_summary(clusters_table(spark, sf_dir))
 
 
+RULE_LIMITS = (300, 600, 1200, 3000)  # totals that bound the labels of cluster_summary_by_rule
+
+
+def _rule_summary_sql() -> str:
+    total = " + ".join(MS)
+    label = "CASE " + " ".join(f"WHEN {total} < {x} THEN {i}" for i, x in enumerate(RULE_LIMITS)) + f" ELSE {len(RULE_LIMITS)} END"
+    names = {m: m.replace("age_", "").replace("_", "-") for m in MS}
+    best = f"GREATEST({', '.join(f'SUM({m})' for m in MS)})"
+    dominant = "CASE " + " ".join(f"WHEN SUM({m}) = {best} THEN '{n}'" for m, n in names.items()) + " END"
+    size = (f"CASE WHEN AVG({total}) > 10000 THEN 'High-enrollment' WHEN AVG({total}) > 1000 THEN 'Medium-enrollment' "
+            f"ELSE 'Low-enrollment' END")
+    return f"""{FACT},
+p AS (SELECT pincode, {', '.join(f'CAST(COALESCE(SUM({m}), 0) AS BIGINT) AS {m}' for m in MS)} FROM fact WHERE pincode IS NOT NULL GROUP BY pincode),
+l AS (SELECT *, {label} AS cluster FROM p WHERE {total} > 0)
+SELECT CAST(cluster AS BIGINT) AS cluster, COUNT(*) AS size, {', '.join(f'CAST(TRUNC(AVG({m})) AS BIGINT) AS avg_{m}' for m in MS)},
+       {', '.join(f'CAST(SUM({m}) AS BIGINT) AS total_{m}' for m in MS)}, {size} || ', ' || {dominant} || '-dominant' AS characteristics
+FROM l GROUP BY cluster"""
+
+
+@register("cluster_summary_by_rule", _rule_summary_sql())
+def q_cluster_summary_rule(spark, sf_dir):
+    """D24-D25 on labels that a rule gives (bounds of a PIN's total), which SQL can follow."""
+    pins = C.pincode_totals(fact(spark, sf_dir))
+    total = sum(F.col(m) for m in MS)
+    label = F.lit(len(RULE_LIMITS))
+    for i, x in reversed(list(enumerate(RULE_LIMITS))):
+        label = F.when(total < x, i).otherwise(label)
+    return C.cluster_summary(pins.withColumn("cluster", label))
+
+
 @register("isolation_forest")
 def q_isolation_forest(spark, sf_dir):
     """Forest score and flag for every row (300 trees, 256 samples, 4%)."""
@@ -65,6 +95,31 @@ def q_forest_row_check(spark, sf_dir):
         ("share_within", F.count_if("ml_is_anomaly") <= F.lit(P.contamination) * F.count(F.lit(1)) + 1))])
 
 
+REPEATED = (40, 40, 40)  # measures of the rows planted as equal
+
+
+@register("forest_repeat_check", f"""{FACT} SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE record_id % 3 = 0 OR ({' AND '.join(
+    f"{m} = {v}" for m, v in zip(MS, REPEATED))})) AS equal_rows, FALSE AS commonest_is_worst, FALSE AS commonest_flagged,
+    TRUE AS some_flagged, TRUE AS share_within FROM fact""")
+def q_forest_repeat_check(spark, sf_dir):
+    """A11 without row ids on a fact whose every third row holds the same measures:
+    the commonest row is neither the most abnormal nor flagged, others are."""
+    f = fact(spark, sf_dir)
+    planted = f.select(*[F.when(F.col(S.record_id) % 3 == 0, v).otherwise(F.col(m)).cast("long").alias(m) for m, v in zip(MS, REPEATED, strict=True)])
+    planted = planted.withColumn(S.total, sum(F.col(m) for m in MS))
+    scored = IF.isolation_forest(planted)
+    hot = F.lit(True)
+    for m, v in zip(MS, REPEATED, strict=True):
+        hot = hot & (F.col(m) == v)
+    score = F.col("ml_anomaly_score")
+    return scored.agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(hot).alias("equal_rows"),
+        (F.max(F.when(hot, score)) <= F.percentile(score, 0.5)).alias("commonest_is_worst"),
+        F.coalesce(F.bool_or(F.when(hot, F.col("ml_is_anomaly"))), F.lit(False)).alias("commonest_flagged"),
+        (F.count_if("ml_is_anomaly") > 0).alias("some_flagged"),
+        (F.count_if("ml_is_anomaly") <= F.lit(P.contamination) * F.count(F.lit(1)) + 1).alias("share_within"))
+
+
 @register("anomaly_severity_with_forest")
 def q_severity_forest(spark, sf_dir):
     """A12-A16 with the forest flag counted among the flags."""

@@ -2,10 +2,11 @@
 
 ``load_directory`` concatenates files **by column name** like the reference.
 Spark's multi-file CSV reader is positional, so files are grouped by their
-header line (one distributed read finds the first line of every file) and
-each group is one ``spark.read.csv`` with that header's string schema; groups
-are combined with ``unionByName(allowMissingColumns=True)``.  In the usual
-case (one header) this is a single distributed scan.
+header line and each group is one ``spark.read.csv`` with that header's string
+schema; groups are combined with ``unionByName(allowMissingColumns=True)``.  The
+headers come from fetching each file's first buffer, so the bytes of a file are
+read once.  In the usual case (one header) the data is a single distributed scan
+of the directory.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -48,18 +50,31 @@ def looks_compatible(columns: Sequence[str], schema: FactSchema = DEFAULT_SCHEMA
     return all(any(key in c for c in norm) for key in (schema.date, schema.state, schema.district))
 
 
-def header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Files of each header line.  The first line of every file is found by one
-    distributed read (the earliest line of a file's first block; partial
-    minima per task); only distinct headers and file names come to the driver."""
-    lines = (spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(path)
-             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value",
-                     F.monotonically_increasing_id().alias("at")).where("block = 0"))
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+CSV_GLOB = "*.[cC][sS][vV]"
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    """The first line of a file in any file system Spark reads (one buffer is fetched)."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
+def header_groups(spark: SparkSession, path: str | Sequence[str], threads: int = 16) -> dict[str, list[str] | None]:
+    """Files of each header line (None where all files have the same).
+
+    Only first lines are fetched: the planner lists the files anyway, and a job
+    would read them to the end (no DataFrame operation stops a partition early)."""
+    files = [unquote(f) for f in spark.read.option("pathGlobFilter", CSV_GLOB).text(path).inputFiles()]
     groups: dict[str, list[str]] = {}
-    for r in first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect():
-        groups.setdefault(r["header"].lstrip("\ufeff").rstrip("\r"), []).extend(unquote(f) for f in r["files"])
-    return dict(sorted(groups.items()))
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        for f, line in zip(files, pool.map(lambda f: _first_line(spark, f), files), strict=True):
+            groups.setdefault(line.lstrip("\ufeff").rstrip("\r"), []).append(f)
+    return {h: sorted(groups[h]) if len(groups) > 1 else None for h in sorted(groups)}
 
 
 def _renamed(df: DataFrame, schema: FactSchema) -> DataFrame:
@@ -83,9 +98,10 @@ def _typed(df: DataFrame, schema: FactSchema) -> DataFrame:
     return df.select(*exprs)
 
 
-def load_directory(spark: SparkSession, path: str, schema: FactSchema = DEFAULT_SCHEMA,
-                   derive: bool = True, normalize: bool = True) -> DataFrame:
-    """Every CSV of a directory (or one file), by column name."""
+def load_directory(spark: SparkSession, path: str | Sequence[str], schema: FactSchema = DEFAULT_SCHEMA,
+                   derive: bool = True, normalize: bool = True, file_column: str | None = None) -> DataFrame:
+    """Every CSV of a directory (or one file, or a list), by column
+    name; ``file_column`` names a column that holds each row's file."""
     try:
         groups = header_groups(spark, path)
     except AnalysisException as e:
@@ -93,10 +109,14 @@ def load_directory(spark: SparkSession, path: str, schema: FactSchema = DEFAULT_
     if not groups:
         raise FileNotFoundError(f"No CSV files found in {path}")
     parts = []
+    if any(groups):  # files without a line hold no rows
+        groups.pop("", None)
     for header, paths in groups.items():
         cols = next(csv.reader([header]))
         string_schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-        df = spark.read.csv(paths, header=True, schema=string_schema, mode="PERMISSIVE")
+        df = spark.read.csv(path if paths is None else paths, header=True, schema=string_schema, mode="PERMISSIVE", pathGlobFilter=CSV_GLOB)
+        if file_column:
+            df = df.withColumn(file_column, F.col("_metadata.file_path"))
         if normalize:
             df = _renamed(df, schema)
         parts.append(_typed(df, schema))

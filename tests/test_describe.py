@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
+from pyspark.sql import functions as F
 
 from regiolens.operators import describe as D
 
@@ -118,3 +121,86 @@ def test_gini_of_many_values_needs_no_single_window(spark):
         y = np.sort([float(i) ** 2 + 0.5 for i in range(3000) if i % 3 == r.g])
         m = len(y)
         assert abs(r.gini - (2 * (np.arange(1, m + 1) * y).sum() / (m * y.sum()) - (m + 1) / m)) < 1e-9
+
+
+def test_exact_percentiles_in_two_passes(spark):
+    """A million continuous values, several ranks of several columns: two aggregates, the same numbers."""
+    from regiolens.functions.ranks import exact_percentiles
+
+    class Counting:
+        def __init__(self, df):
+            self.df, self.passes = df, 0
+
+        def agg(self, *cols):
+            self.passes += 1
+            return self.df.agg(*cols)
+
+    fr = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+    h = F.xxhash64("id").cast("double")
+    df = spark.range(1_000_000).select(h.alias("x"), F.exp(h / 2e18).alias("skew"), F.pmod("id", F.lit(7)).alias("few"),
+                                       F.when(F.col("id") % 3 > 0, 5.0).otherwise(h).alias("hot"),
+                                       F.when(F.col("id") < 2, F.lit(1.5)).alias("nulls"), F.lit(None).cast("double").alias("none"))
+    c = Counting(df)
+    got = exact_percentiles(c, {k: fr for k in df.columns})
+    assert c.passes == 2 and got["none"] == [None] * len(fr)
+    want = df.agg(*[F.percentile(k, fr).alias(k) for k in df.columns]).first()
+    for k in df.columns[:-1]:
+        assert got[k] == want[k]
+    assert exact_percentiles(df.limit(0), {"x": [0.5]}) == {"x": [None]}
+
+
+def test_exact_percentiles_where_brackets_are_too_full(spark):
+    """Few values may come over: brackets are narrowed pass by pass, with the same result."""
+    from regiolens.functions.ranks import exact_percentiles
+
+    df = spark.range(60_000).select(F.xxhash64("id").cast("double").alias("x"), (F.col("id") % 900).alias("y"))
+    fr = [0.001, 0.3, 0.5, 0.999]
+    got = exact_percentiles(df, {"x": fr, "y": fr}, most=20, k=64)
+    want = df.agg(F.percentile("x", fr).alias("x"), F.percentile("y", fr).alias("y")).first()
+    assert got == {"x": want["x"], "y": want["y"]}
+
+
+def test_gini_ranges_are_split_again(spark, monkeypatch):
+    """More ranges needed than one cut makes: no window holds more than per_range values."""
+    monkeypatch.setattr(D, "SPLITS", 8)
+    df = spark.range(6000).select((F.xxhash64("id") % 1_000_003).cast("double").alias("v"), (F.col("id") % 3).alias("g"))
+    df = df.withColumn("v", F.abs("v"))
+    placed = df.groupBy("g", F.col("v").alias("_x")).agg(F.count("*").cast("double").alias("_c")).withColumn(
+        "_r", F.expr("cast(array() as array<int>)"))
+    for _ in range(8):
+        if placed.groupBy("g", "_r").count().agg(F.max("count")).first()[0] <= 5:
+            break
+        placed = D._split_ranges(placed, ["g"], 5)
+    assert placed.groupBy("g", "_r").count().agg(F.max("count"), F.count("*")).first()[1] > 1000
+    w = placed.groupBy("g", "_r").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).orderBy("g", "_r").collect()
+    assert all(a.hi < b.lo for a, b in zip(w, w[1:], strict=False) if a.g == b.g)  # ranges sort like their values
+    for by in ([], ["g"]):
+        a = {tuple(r)[:-1]: r.gini for r in D.gini(df, "v", by, per_range=5).collect()}
+        b = {tuple(r)[:-1]: r.gini for r in D.gini(df, "v", by).collect()}
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+def test_coverage_from_sketches(spark):
+    from regiolens.operators import coverage as CV
+
+    fact = spark.range(40_000).select(
+        F.date_add(F.lit(dt.date(2025, 1, 1)), (F.col("id") % 50).cast("int")).alias("date"), F.concat(F.lit("s"), F.col("id") % 4).alias("state"),
+        F.concat(F.lit("d"), F.col("id") % 9).alias("district"), F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(30_000))).alias("pincode"))
+    mart = CV.coverage_mart(fact).cache()
+    r = CV.coverage_from_mart(mart, "2025-01-05", "2025-01-20").first()
+    part = fact.where("date between '2025-01-05' and '2025-01-20'")
+    want = D.coverage(part).first()
+    assert (r.records, r.num_states, r.num_districts) == (part.count(), want.num_states, want.num_districts)
+    assert r.num_pincodes == want.num_pincodes  # fewer than the sketch holds: exact
+    whole, true = CV.coverage_from_mart(mart).first().num_pincodes, D.coverage(fact).first().num_pincodes
+    assert true > 2**CV.LG_SIZE and abs(whole - true) < 4 * 2 ** (-CV.LG_SIZE / 2) * true
+    small = CV.coverage_from_mart(CV.coverage_mart(fact, lg_size=8), lg_size=8).first().num_pincodes
+    assert abs(small - true) < 4 * 2**-4 * true
+    by = {x.state: x.num_pincodes for x in CV.coverage_from_mart(mart, by=["state"]).collect()}
+    assert by == {x.state: x.num_pincodes for x in fact.groupBy("state").agg(F.count_distinct("pincode").alias("num_pincodes")).collect()}
+    empty = CV.coverage_from_mart(mart, "2030-01-01").first()
+    assert (empty.records, empty.num_states, empty.num_pincodes) == (0, 0, 0)
+    a, b = (fact.where(f"date between '{x}' and '{y}'").select("pincode").dropna().distinct() for x, y in
+            (("2025-01-01", "2025-01-10"), ("2025-01-11", "2025-01-20")))
+    ch = CV.coverage_change(mart, ("2025-01-01", "2025-01-10"), ("2025-01-11", "2025-01-20")).first()
+    assert (ch.kept, ch.came, ch.went) == (a.intersect(b).count(), b.subtract(a).count(), a.subtract(b).count())

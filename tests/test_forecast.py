@@ -88,7 +88,7 @@ def test_gbt_structure_and_error_rows(spark):
     assert m["long"].status == "ok" and m["short"].status.startswith("error")
     vals = {r.yhat for r in fc.where("k = 'long'").collect()}
     assert len(vals) == 1  # flat future (reference behaviour)
-    assert imp.count() == len(SE.feature_names(T)) + 1
+    assert sorted(r.feature for r in imp.collect()) == sorted(SE.feature_names(T))
 
 
 def test_ensemble_mean_and_shortest_horizon(spark):
@@ -150,6 +150,121 @@ def test_history_summary_trend(spark):
     assert (h.mean, h.median, h.min, h.max, h.trend) == (5.67, 5.0, 3.0, 9.0, "increasing")
 
 
+def autocovariances(phi, theta, n, terms=4000):
+    """From the weights of past shocks (unit variance)."""
+    psi = np.zeros(terms)
+    psi[0] = 1.0
+    for j in range(1, terms):
+        psi[j] = theta.get(j, 0.0) + sum(c * psi[j - k] for k, c in phi.items() if j >= k)
+    return np.array([psi[:terms - h] @ psi[h:] for h in range(n)])
+
+
+@pytest.mark.parametrize("phi,theta", [({}, {}), ({1: 0.6}, {}), ({}, {1: -0.7, 4: 0.3}), ({1: 0.4, 2: -0.3, 6: 0.2}, {1: 0.5, 6: -0.4})])
+def test_likelihood_is_the_normal_density(phi, theta):
+    """Kalman filter against the multivariate normal density with the model's covariance."""
+    from regiolens.operators.statespace import kalman
+
+    rng = np.random.default_rng(3)
+    w, const, s2 = rng.normal(2, 1.5, size=14), 1.3, 2.25
+    kf = kalman(w, const, phi, theta)
+    gamma = autocovariances(phi, theta, 24)
+    cov = s2 * gamma[np.abs(np.subtract.outer(np.arange(24), np.arange(24)))]
+    x, c = w - const / (1 - sum(phi.values())), cov[:14, :14]
+    want = -0.5 * (14 * np.log(2 * np.pi) + np.linalg.slogdet(c)[1] + x @ np.linalg.solve(c, x))
+    assert kf.log_likelihood(s2) == pytest.approx(want, abs=1e-8)
+    assert kf.log_likelihood() >= max(kf.log_likelihood(kf.sigma2 * k) for k in (0.9, 1.1))
+    # forecasts: the conditional normal distribution given the sample
+    means, var = kf.ahead(10)
+    k = np.linalg.solve(c, cov[:14, 14:])
+    assert means == pytest.approx(const / (1 - sum(phi.values())) + k.T @ x, abs=1e-8)
+    assert s2 * var == pytest.approx(cov[14:, 14:] - cov[14:, :14] @ k, abs=1e-7)
+
+
+def test_likelihood_without_a_stationary_state():
+    from regiolens.operators.statespace import kalman
+
+    rng = np.random.default_rng(4)
+    w = np.cumsum(rng.normal(size=80))
+    kf = kalman(w, 0.0, {1: 1.0}, {})  # a random walk: the first value tells nothing
+    d = np.diff(w)
+    assert kf.skip == 1
+    assert kf.log_likelihood(1.0) == pytest.approx(-0.5 * (79 * np.log(2 * np.pi) + d @ d), abs=1e-4)
+
+
+def test_sarima_interval_covers():
+    """95% intervals of simulated series hold about 95% of the values that follow."""
+    rng = np.random.default_rng(9)
+    inside = 0
+    for _ in range(60):
+        e = rng.normal(size=140) * 20
+        w = np.zeros(140)
+        for t in range(1, 140):
+            w[t] = 0.5 * w[t - 1] + e[t] + 0.3 * e[t - 1]
+        y = list(known(13))
+        for x in w:
+            y.append(x + y[-1] + y[-12] - y[-13])
+        r = MO.fit_sarima(np.array(y[:-3]), 3)
+        lo, hi = r["bands"][0.95]
+        inside += int(np.sum((np.array(y[-3:]) >= lo) & (np.array(y[-3:]) <= hi)))
+        assert r["bic"] > r["aic"]
+    assert inside >= 0.85 * 180
+
+
+def test_boosted_split_is_the_best_one():
+    """One stump: the cut with the greatest gain among all cuts of all features."""
+    from regiolens.operators.boosting import fit_boosted
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 5)).round(1)
+    y = 3 * (x[:, 2] > 0.35) + rng.normal(size=60) * 0.1
+    g = y.mean() - y
+    gains = {}
+    for j in range(5):
+        for lo, hi in zip(np.unique(x[:, j])[:-1], np.unique(x[:, j])[1:], strict=True):
+            left = x[:, j] < (lo + hi) / 2
+            gains[j, (lo + hi) / 2] = sum(g[s].sum() ** 2 / (s.sum() + 1.0) for s in (left, ~left))
+    m = fit_boosted(x, y, rounds=1, depth=1, rate=1.0)
+    j, c = max(gains, key=gains.get)
+    assert (m.trees[0].feature[0], m.trees[0].cut[0]) == (j, pytest.approx(c))
+    left = x[:, j] < c
+    assert m.predict(x[left])[0] == pytest.approx(y.mean() - g[left].sum() / (left.sum() + 1.0))
+    assert m.importance()[j] == 1.0
+
+
+def test_boosting_fits_and_generalises():
+    from regiolens.operators.boosting import fit_boosted
+
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-1, 1, size=(3000, 6))
+    y = 5 * x[:, 0] * x[:, 1] + np.sin(3 * x[:, 2])
+    m = fit_boosted(x[:2000], y[:2000], rounds=200, max_bins=64)
+    assert np.sqrt(np.mean((m.predict(x[2000:]) - y[2000:]) ** 2)) < 0.25 * y.std()
+    assert set(np.argsort(-m.importance())[:3]) == {0, 1, 2}
+    flat = fit_boosted(x[:50], np.full(50, 7.0), rounds=5)
+    assert np.allclose(flat.predict(x), 7.0) and flat.importance().sum() == 0
+
+
+def test_gbt_error_bound_per_series(spark):
+    """Seasonal series of very different sizes: each has its own model, errors of a few percent."""
+    a = _series(spark, known(96, trend=0.0), key="a")
+    b = _series(spark, known(96, trend=0.0) * 1000, key="b")
+    fc, met, imp = MO.gbt_forecast(a.unionByName(b), T, ["k"], 6)
+    m = {r.k: r for r in met.collect()}
+    assert m["a"].mape < 5 and m["b"].mape == pytest.approx(m["a"].mape, abs=0.2)
+    one = MO.gbt_forecast(a.drop("k"), T, [], 6)
+    assert one[1].first().mae == m["a"].mae and one[0].first().yhat == pytest.approx(fc.where("k = 'a'").first().yhat)
+    assert imp.groupBy("k").agg(F.round(F.sum("importance"), 6).alias("s")).where("s = 1").count() == 2
+
+
+def test_next_features_equal_the_windows(spark):
+    import pandas as pd
+
+    y = known(40)
+    rows = SE.ml_features(_series(spark, y), T, shifted=True).orderBy("ds").toPandas()
+    got = MO._next_features(list(y[:39]), pd.Timestamp(rows["ds"].iloc[-1]))
+    assert got == pytest.approx(rows[SE.feature_names(T)].iloc[-1].tolist())
+
+
 def test_gbt_recursive_uses_its_own_predictions(spark):
     s = _series(spark, known(60, trend=20.0, amp=0.0))
     fc, met, _ = MO.gbt_forecast(s, T, [], 4, max_iter=20, recursive=True)

@@ -52,15 +52,46 @@ def test_forest_keeps_repeated_rows(spark):
     assert out.count() == 450 and "ml_is_anomaly" in out.columns
 
 
-def test_candidate_trees_one_scheme(spark):
-    from pyspark.sql import functions as F
+def test_draws_follow_the_copies():
+    """Each copy enters each tree with the share's chance, whether a row has one copy or a million."""
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
+    for share in (1.0, 0.3, 0.004, 1e-5):
+        row, tree, key = IF.tree_draws(h, np.ones(len(h), np.int64), 50, share)
+        assert abs(len(row) - len(h) * 50 * share) <= 6 * np.sqrt(len(h) * 50 * share) + 1e-9
+        assert len(set(zip(row.tolist(), tree.tolist()))) == len(row)  # one copy enters a tree once
+        assert np.bincount(tree, minlength=50).std() <= 3 * np.sqrt(len(h) * share) + 1
+        hot = np.array([1, 1_000_000, 3], np.int64)
+        if share < 0.01:
+            row, tree, key = IF.tree_draws(h[:3], hot, 50, share)
+            want = 1_000_000 * 50 * share
+            assert abs((row == 1).sum() - want) < 6 * np.sqrt(want) and len(np.unique(key)) == len(key)
+    again = IF.tree_draws(h[::-1], np.ones(len(h), np.int64), 50, 0.004)
+    first = IF.tree_draws(h, np.ones(len(h), np.int64), 50, 0.004)
+    assert sorted(again[2].tolist()) == sorted(first[2].tolist())  # draws do not depend on the batch
+
+
+def test_commonest_row_is_not_the_most_abnormal(spark):
+    """A third of all rows equal: with and without ids the same scores, and rows are flagged."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(100, 10, size=(6000, 3))
+    x[:2000] = (104, 97, 101)
+    rows = [(i, d(2025, 1, 1), "Bihar", "Patna", 800001, int(a), int(b), int(c)) for i, (a, b, c) in enumerate(x)]
+    df = derive_columns(spark.createDataFrame(rows, FACT_DDL))
+    params = Params(forest_trees=100)
+    ids = IF.isolation_forest(df, params=params).toPandas()
+    no = IF.isolation_forest(df.drop("record_id"), params=params).toPandas()
+    hot = lambda t: t[(t.age_0_5 == 104) & (t.age_5_17 == 97) & (t.age_18_greater == 101)]
+    assert len(hot(no)) >= 2000 and abs(hot(ids).ml_anomaly_score.iloc[0] - hot(no).ml_anomaly_score.iloc[0]) < 0.03
+    for t in (ids, no):
+        assert hot(t).ml_anomaly_score.iloc[0] > t.ml_anomaly_score.quantile(0.25)
+        assert 0 < t.ml_is_anomaly.sum() <= 0.05 * len(t) and not hot(t).ml_is_anomaly.any()
 
-    for n in (100, 614_399, 614_401, 5_000_000):  # any size: the expected number of distinct trees
-        p = min(1.0, 4 * 256 / n)
-        r = spark.range(20_000).select(IF.candidate_trees(F.xxhash64("id"), n, 256, 300).alias("t"))
-        r = r.agg(F.avg(F.coalesce(F.size("t"), F.lit(0)).cast("double")).alias("size"),
-                  F.max(F.size("t") - F.size(F.array_distinct("t"))).alias("again"), F.max(F.array_max("t")).alias("top")).first()
-        assert abs(max(r["size"], 0) - 300 * p) < 0.05 * 300 * p + 0.05 and not r.again and r.top < 300
+
+def test_all_rows_equal(spark):
+    rows = [(i, d(2025, 1, 1), "Bihar", "Patna", 800001, 1, 2, 3) for i in range(50)]
+    out = IF.isolation_forest(derive_columns(spark.createDataFrame(rows, FACT_DDL)), params=Params(forest_trees=5)).toPandas()
+    assert out.ml_anomaly_score.nunique() == 1 and not out.ml_is_anomaly.any()
 
 
 def test_exact_percentile(spark):
@@ -93,3 +124,28 @@ def test_clusters_and_summary(spark):
 
 def test_too_few_pins_gives_no_clusters(spark, tiny_fact):
     assert C.pincode_clusters(tiny_fact, params=Params(n_clusters=50)).count() == 0
+
+
+def test_restarts_together_reach_the_lowest_cost(spark):
+    """All restarts in one aggregate a step: a cost no higher than the best of ten separate fits."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(c, 0.7, size=(150, 2)) for c in ((0, 0), (6, 0), (0, 6), (7, 7), (3, 3))])
+    pts = spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double")
+    cost, centres = C.lloyd(pts, ["a", "b"], [C.start_centres(x, 5, s) for s in range(10)])
+    f = VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(pts)
+    best = min(KMeans(k=5, seed=s, featuresCol="f").fit(f).summary.trainingCost for s in range(10))
+    assert cost <= best * 1.0001
+    near = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+    assert near.min(axis=1).sum() == pytest.approx(cost)
+
+
+def test_clusters_do_not_depend_on_partitioning(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, d(2025, 1, 1), "A", "B", 100000 + i, *(int(v) for v in rng.integers(1, 900, 3))) for i in range(200)]
+    fact = derive_columns(spark.createDataFrame(rows, FACT_DDL))
+    a, b = (sorted(tuple(r) for r in C.pincode_clusters(f, params=Params(n_clusters=4), restarts=4).collect())
+            for f in (fact, fact.repartition(6)))
+    assert a == b
