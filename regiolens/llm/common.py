@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +93,34 @@ def rows_of(batch):
         yield batch.slice(i, 1).to_pylist()[0]
 
 
-def clusters_of(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+UNIT = "unit long, ids array<long>, texts array<string>"
+
+
+def read_units(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, unit_bytes: int) -> DataFrame:
+    """Rows of one scan in units of about ``unit_bytes`` of text, stored once, so
+    that later passes meet the same texts under the same unit number."""
+    from pyspark import TaskContext
+
+    def run(batches):
+        first = TaskContext.get().partitionId() << 32
+        for k, b in enumerate(slices(batches, "text", unit_bytes)):
+            ids, texts = pa.array([b.column(0).to_pylist()]), pa.array([b.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([first + k]), ids.cast(pa.list_(pa.int64())), texts], names=["unit", "ids", "texts"])
+
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # few, long rows: small row groups keep what a reader holds small
+    return scratch.store("units", src.mapInArrow(run, UNIT), compression="zstd", **{"parquet.block.size": str(16 << 20)})
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def clusters_of(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)`` with root the
     smallest node reached.  Alternating large-star / small-star rounds
     (pre-aggregated minima per node, written tables) until the edges are stars;
@@ -108,9 +136,7 @@ def clusters_of(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds:
         per = ends.groupBy("s.x").agg(F.sum("s.out").alias("out"), F.max("s.in").alias("in"))
         return per.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()
 
-    for _ in range(rounds):
-        if settled(e):
-            break
+    while not settled(e):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = (both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
@@ -120,8 +146,6 @@ def clusters_of(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds:
         small = (large.join(small_min, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
                  .where("u > v").distinct())
         e = scratch.store("cc", small)
-    else:
-        raise RuntimeError("components did not settle")
     scratch.drop("cc_large")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))

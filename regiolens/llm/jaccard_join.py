@@ -1,32 +1,40 @@
 """Exact Jaccard self-join on shingle sets by universe partition.
 
 Two sets x, y with Jaccard >= 0.8 differ in at most H = (|x| + |y|) // 9
-elements, and their sizes fall in the same or in neighbouring size bands.  Each
-band hashes the universe of shingles into segments.  A segment may be used
-exactly (it yields one unit: its two subsets are equal) or with its one-deletion
+elements, and their sizes fall in the same or in neighbouring size bands.
+
+Lone elements first.  An element that no other set holds is a difference to every
+partner, and no more than a fifth of a set may be differences.  All elements of
+small sets, and those of a fixed part of the universe of large ones, are counted
+(packed, one entry a unit of rows); sets with too many lone elements have no
+partner and go no further.  The others leave their known lone elements out, and
+what they ``spent`` that way is taken off their budget.
+
+Universe partition.  Each band hashes the universe into segments.  A segment may
+be used exactly (one unit: its two subsets are equal) or with its one-deletion
 neighbourhood (two units: they differ by at most one element), or be left out
-(none).  If the segments a set uses yield H + 1 units, some used segment must
-match, so looking up segment subsets finds every pair.
-
-Allocation by cost: the first few segments of a band also index their one-
-deletion neighbourhoods; the units they add pay for segments that cost too much
-- empty ones, and keys whose cross pairs exceed ``hot_pairs``.  Sets that can't
-reach their units that way are short; the next round indexes their bands with a
-new partition and a dearer limit and looks the short sets up again - them only -
-until no set is short.
-
-What goes through the shuffle is one entry per key and component, with counts
-(pre-aggregated in each task), so a third of all documents sharing a key cost
-one entry a task.  Components come from a cheap first round: sets that share
-one of their smallest keys are verified against one hub each.  Only keys that
-join different components are looked at again, and only pairs across components
-are verified - exactly, on the texts, after a parity sketch has ruled out those
+(none).  If the segments a set uses yield more units than its budget, some used
+segment must match, so looking up segment subsets finds every pair.  Allocation
+by cost: the first few segments of a band also index their one-deletion
+neighbourhoods; the units they add pay for segments that cost too much - empty
+ones, and keys whose pairs exceed ``hot_pairs``.  A deletion spends one difference
+more, and keys only bring together entries whose spent differences fit the
+pair's budget, so texts of one common line and words of their own do not meet.
+
+Sets that can't reach their units (short ones) get segments of one element: of
+``|x| // 5 + 1 - spent`` elements a partner must hold one, and the rarest are
+taken.  That always ends, with every pair found.
+
+Components come from a cheap first round: sets that share one of their smallest
+keys are verified against one hub each.  Afterwards only pairs across components
+are verified - exactly, on the sets, after a parity sketch has ruled out those
 that provably differ too much.  Equal sets are one node all along.
 
 Defined results: null, empty and blank texts have the empty set, are linked
 with nothing and are their own component; rows with a null id are linked with
 nothing (null component); rows that share an id each count with their own text;
-extra columns are not read.
+repeated rows are one node; texts of any length are whole sets; extra columns,
+whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,16 +44,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regiolens.llm.common import Scratch, clusters_of, mix64, slices, table
+from regiolens.llm import packed
+from regiolens.llm.common import Scratch, clusters_of, mix64, read_units, rows_of, slices, table, unused
 from regiolens.llm.shingles import fingerprint, parity_sketch, sets_of, sketch_distance
 
 HUB_KEYS = 6
 HOT_PAIRS = 500
 SMALL = 1_000_000  # rows that may be broadcast; above it the same join shuffles
+FULL = 64  # sets up to this size have all their elements counted
+CLASSES = 4  # spent differences told apart in joins; the last class holds the rest
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -104,11 +114,11 @@ class Signatures:
         self.near_cell = cell[pick]
         self.near_key = mix64((total[self.near_cell] - value[pick]) ^ cell_salt[self.near_cell])  # one element less
 
-    def entries(self) -> tuple[np.ndarray, np.ndarray]:
-        """(key, set) of all subsets and neighbourhoods, distinct."""
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, set, differences spent) of all subsets and neighbourhoods."""
         key = np.concatenate([self.key[self.used], self.near_key])
         own = np.concatenate([self.cell_owner[self.used], self.cell_owner[self.near_cell]])
-        return key, own
+        return key, own, np.repeat([0, 1], [int(self.used.sum()), len(self.near_key)])
 
     def units(self, n: int, hot: np.ndarray) -> np.ndarray:
         """Units of each of the n sets when the hot keys are left out."""
@@ -126,10 +136,9 @@ def _member(x: np.ndarray, within: np.ndarray) -> np.ndarray:
     return within[at] == x
 
 
-def _lookups(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _lookups(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(set numbers, band, units needed): each set in its own band, and in the
     band below where a similar set may lie."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     band = band_of(np.maximum(sizes, 1))
     own = np.flatnonzero(sizes > 0)
     yield own, band[own], 2 * sizes[own] // 9 + 1
@@ -138,301 +147,354 @@ def _lookups(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, n
     yield down, band[down] - 1, (high[down] + sizes[down]) // 9 + 1
 
 
-def _rows(b: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Sets, components and fingerprints of a batch ``text, comp, known_fp``; a
-    row that was joined with another text's fingerprint gets the empty set."""
-    sets = sets_of(b.column(0).cast(pa.binary()).to_pylist())
-    fp = np.array([fingerprint(s) or 0 for s in sets], dtype=np.int64)
-    comp = pc.fill_null(b.column(1), 0).to_numpy(zero_copy_only=False)
-    known = pc.fill_null(b.column(2), 0).to_numpy(zero_copy_only=False)
-    named = pc.is_valid(b.column(2)).to_numpy(zero_copy_only=False)
-    none = np.zeros(0, np.uint64)
-    return [none if x and k != f else s for s, x, k, f in zip(sets, named, known, fp, strict=True)], np.where(named, comp, fp), fp
-
-
 def _i64(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64))
 
 
-def describe(docs: DataFrame, hub_keys: int) -> DataFrame:
-    """id, n, fp, the set's smallest keys of its own band, and its parity sketch."""
+# --- lone elements ------------------------------------------------------------------
+
+def _in_part(s: np.ndarray) -> np.ndarray:
+    """The part (three eighths) of the universe that large sets count."""
+    return (mix64(s ^ _K1) >> np.uint64(61)) < np.uint64(3)
+
+
+def _counted_elements(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct counted elements of the sets, with 2 where several sets hold one.
+    Sets of up to 5/4 FULL count all, as partners of those that ask for all."""
+    take = [s if 4 * len(s) <= 5 * FULL else s[_in_part(s)] for s in sets]
+    keys, n = np.unique(np.concatenate(take) if take else np.zeros(0, np.uint64), return_counts=True)
+    return keys, np.minimum(n, 2)
+
+
+def _unit_sets(texts: list[str | None]) -> list[np.ndarray]:
+    return sets_of([(t or "").encode("utf-8", "replace") for t in texts])
+
+
+def _more_than_one(group: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.bincount(group, weights=n)[group] > 1
+
+
+def counted(units: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
-            sets = sets_of(b.column(1).cast(pa.binary()).to_pylist())
-            keys: list[list[int]] = [[] for _ in sets]
-            own, band, _ = next(_lookups(sets))
-            if len(own):
-                sig = Signatures([sets[i] for i in own], band, 0)
-                key, at = sig.key[sig.used].view(np.int64), sig.cell_owner[sig.used]
-                cut = np.searchsorted(at, np.arange(len(own) + 1))
-                for j, i in enumerate(own):
-                    k = key[cut[j]:cut[j + 1]]
-                    keys[i] = np.sort(np.partition(k, hub_keys - 1)[:hub_keys] if len(k) > hub_keys else k).tolist()
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()),
-                pa.array(keys, pa.list_(pa.int64())), pa.array([parity_sketch(s) for s in sets], pa.binary())],
-                names=["id", "n", "fp", "hub_keys", "sketch"])
-
-    return docs.mapInArrow(run, "id long, n long, fp long, hub_keys array<long>, sketch binary")
-
-
-def not_ruled_out(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose parity sketches don't prove too many
-    differences: certain, and a few bytes a pair instead of two texts."""
+        for b in batches:
+            for r in rows_of(b):
+                keys, n = _counted_elements(_unit_sets(r["texts"]))
+                yield pa.RecordBatch.from_pydict({"unit": [r["unit"]], "keys": [keys.tobytes()], "vals": [packed.pack_ints(n)], "n": [len(keys)]})
+
+    return units.mapInArrow(run, "unit long, keys binary, vals binary, n long")
+
+
+def described(units: DataFrame, bits: DataFrame, size: int) -> DataFrame:
+    """A row a document: its address, id, n, fp, and for those that may have a
+    partner the spent differences, the set without lone elements, and its sketch."""
+    schema = pa.schema([("unit", pa.int64()), ("at", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()),
+                        ("spent", pa.int64()), ("elements", pa.binary()), ("sketch", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            most = (b.column(2).to_numpy() + b.column(3).to_numpy()) // 9
-            keep = [sketch_distance(x, y) <= m for x, y, m in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for r in rows_of(b):
+                sets = _unit_sets(r["texts"])
+                keys, _ = _counted_elements(sets)  # as they were sent
+                several = packed.answered(r["bits"])
+                rows = {name: [] for name in schema.names}
+                for i, (s, x) in enumerate(zip(sets, r["ids"], strict=True)):
+                    lone = np.zeros(len(s), bool)
+                    if len(s):
+                        asked = np.ones(len(s), bool) if len(s) <= FULL else _in_part(s)
+                        lone[asked] = ~several[np.searchsorted(keys, s[asked])]
+                    spent = int(lone.sum())
+                    alive = len(s) > 0 and x is not None and spent <= len(s) // 5
+                    for name, v in zip(schema.names, (r["unit"], i, x, len(s), fingerprint(s), spent, s[~lone].tobytes() if alive else None,
+                                                      parity_sketch(s) if alive else None), strict=True):
+                        rows[name].append(v)
+                yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    side = lambda c: nodes.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-            .mapInArrow(run, "a long, b long"))
+    return packed.with_answers(units, bits, size).mapInArrow(
+        run, "unit long, at int, id long, n long, fp long, spent long, elements binary, sketch binary")
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, small: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` with 100 * intersection >= 80 * union.  Pairs that
-    the sketches rule out are dropped first; only the texts of the rest are
-    shuffled.  ``a`` is the side many pairs share."""
-    pairs = scratch.store("close", not_ruled_out(pairs, nodes))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "rep"), "fp")
-    ids = scratch.store("need", ids)
-    hint = F.broadcast if ids.count() <= small else (lambda x: x)
-    texts = scratch.store("texts", docs.join(hint(ids), F.col("id") == F.col("rep")).select("fp", "text"))
-    both = (pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-            .select("a", "b", "text_a", "text_b"))
+def _nodes(sets: DataFrame, small: int) -> DataFrame:
+    """One row for each distinct set that may have a partner."""
+    alive = sets.where("elements is not null")
+    rep = alive.groupBy("fp").agg(F.min(F.struct("id", "unit", "at")).alias("r"), F.count("*").alias("copies")).select(
+        "r.unit", "r.at", "copies")
+    if rep.count() <= small:
+        rep = F.broadcast(rep)
+    return alive.join(rep, ["unit", "at"]).select("fp", F.col("id").alias("rep"), "n", "spent", "elements", "sketch", "copies")
+
+
+class Batch:
+    """Sets of a batch of nodes or members."""
+
+    def __init__(self, b: pa.RecordBatch):
+        self.sets = [np.frombuffer(x, np.uint64) for x in b.column("elements").to_pylist()]
+        self.fp, self.n, self.spent = (b.column(c).to_numpy() for c in ("fp", "n", "spent"))
+
 
+# --- candidate pairs ----------------------------------------------------------------
+
+def _similar(a: Column, b: Column) -> Column:
+    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+
+
+def _fits(na: Column, sa: Column, nb: Column, sb: Column) -> Column:
+    """Whether the spent differences are within a pair's budget."""
+    return sa + sb <= F.floor((na + nb) / 9)
+
+
+def hub_pairs(nodes: DataFrame, hub_keys: int) -> DataFrame:
+    """Sets sharing one of their smallest keys, each against one hub per key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(slices(batches, 2, 2_000_000), 3, 2_000_000):
+        for b in slices(batches, "elements"):
+            x = Batch(b)
+            sig = Signatures(x.sets, band_of(x.n), 0)
+            key, at = sig.key[sig.used], sig.cell_owner[sig.used]
+            order = np.lexsort((key, at))
+            key, at = key[order], at[order]
+            first = np.searchsorted(at, np.arange(len(x.sets)))
+            keep = np.arange(len(at)) - first[at] < hub_keys
+            at = at[keep]
+            yield pa.RecordBatch.from_arrays([_i64(key[keep]), _i64(x.fp[at]), _i64(x.n[at]), _i64(x.spent[at])], names=["key", "fp", "n", "spent"])
+
+    keyed = nodes.select("fp", "n", "spent", "elements").mapInArrow(run, "key long, fp long, n long, spent long")
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("spent", "fp", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    return (keyed.join(hubs, "key").where((F.col("fp") != F.col("hub.fp")) & _similar(F.col("n"), F.col("hub.n"))
+                                          & _fits(F.col("n"), F.col("spent"), F.col("hub.n"), F.col("hub.spent")))
+            .select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct())
+
+
+def verify(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of ``pairs(a, b)`` with 100 * intersection >= 80 * union.  Pairs that
+    the sketches rule out for certain are dropped first (a few bytes a pair);
+    only the sets of the rest are shuffled."""
+    def ruled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = (b.column(2).to_numpy() + b.column(3).to_numpy()) // 9
+            keep = [sketch_distance(x, y) <= m for x, y, m in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)], names=["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(slices(batches, "xa", 4_000_000), "xb", 4_000_000):
             keep = []
-            raw_a, raw_b = (b.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
-            known = list({*raw_a, *raw_b})
-            sets = dict(zip(known, sets_of(known), strict=True))
-            for a, c, ta, tb in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_a, raw_b, strict=True):
-                x, y = sets[ta], sets[tb]
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= 80 * (len(x) + len(y) - both)
-                            # another text under a repeated id is not this pair
-                            and fingerprint(x) == a and fingerprint(y) == c)
+            for na, nb, x, y in zip(*[b.column(i).to_pylist() for i in range(2, 6)], strict=True):
+                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                keep.append(100 * both >= 80 * (na + nb - both))  # lone elements are in no intersection
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    side = lambda c, col: nodes.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col(col).alias(f"x{c}"))
+    close = (pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").select("a", "b", "na", "nb", "xa", "xb")
+             .mapInArrow(ruled_out, "a long, b long, na long, nb long"))
+    close = scratch.store("close", close)
+    return (close.join(side("a", "elements").drop("na"), "a").join(side("b", "elements").drop("nb"), "b")
+            .select("a", "b", "na", "nb", "xa", "xb").mapInArrow(exact, "a long, b long"))
 
 
-def key_costs(members: DataFrame, seed: int, only: list[int] | None, parts: int, flush: int = 400_000) -> DataFrame:
+def key_costs(members: DataFrame, parts: int, limit: float, flush: int = 400_000) -> DataFrame:
     """``key, cost``: keys that lie in more than one component, and the pairs
-    across components they stand for."""
-    chosen = None if only is None else np.array(sorted(only))
-
+    across components they stand for (no more than the spent differences allow)."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, comps, size = [], [], 0
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            k, c, n = _counted(np.concatenate(keys), np.concatenate(comps), None)
-            part = ((k >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))  # k is sorted, so part is
+            k, c, s, n, z = _grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            cut = packed.split(k, parts)
             full = [i for i in range(parts) if cut[i] < cut[i + 1]]
-            blobs = [[a[cut[i]:cut[i + 1]].tobytes() for i in full] for a in (k, c, n.astype(np.uint32))]
-            keys.clear()
-            comps.clear()
+            blobs = [[a[cut[i]:cut[i + 1]].tobytes() for i in full] for a in (k, c, s, n, z)]
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]],
-                                              names=["part", "k", "c", "n"])
-
-        for b in slices(batches, 0):
-            sets, comp, _ = _rows(b)
-            for own, band, _ in _lookups(sets):
-                if chosen is not None:
-                    pick = np.isin(band, chosen)
-                    own, band = own[pick], band[pick]
-                if not len(own):
-                    continue
-                key, at = Signatures([sets[i] for i in own], band, seed).entries()
-                keys.append(key)
-                comps.append(comp[own[at]])
-                size += len(key)
-            if size >= flush:
-                yield out()
-                size = 0
+                                              names=["part", "k", "c", "s", "n", "z"])
+
+        for b in slices(batches, "elements"):
+            x, comp = Batch(b), b.column("comp").to_numpy()
+            for own, band, _ in _lookups(x.n):
+                key, at, more = Signatures([x.sets[i] for i in own], band, 1).entries()
+                row = own[at]
+                spent = x.spent[row] + more
+                keep = spent <= x.n[row] // 4
+                row = row[keep]
+                held.append((key[keep], comp[row], spent[keep].astype(np.int32), np.ones(len(row), np.int32), x.n[row].astype(np.int32)))
+                size += len(row)
+                if size >= flush:
+                    yield out()
+                    size = 0
         if size:
             yield out()
 
     def combine(t: pa.Table) -> pa.Table:
-        k, c, n = (np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
-                   for name, kind in (("k", np.uint64), ("c", np.int64), ("n", np.uint32)))
-        k, _, n = _counted(k, c, n)
+        k, c, s, n, z = _grouped(*(np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()]) for name, kind in
+                                   (("k", np.uint64), ("c", np.int64), ("s", np.int32), ("n", np.int32), ("z", np.int32))))
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        comps = np.diff(np.append(first, len(k)))
-        total, square = np.add.reduceat(n.astype(np.float64), first), np.add.reduceat(n.astype(np.float64) ** 2, first)
+        inside = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
+        per = np.add.reduceat(n.astype(np.float64), inside)  # rows of a component under a key
+        at = np.searchsorted(inside, first)
+        total, square, comps = np.add.reduceat(per, at), np.add.reduceat(per**2, at), np.diff(np.append(at, len(inside)))
+        cost = (total**2 - square) / 2
+        end = np.append(first, len(k))
+        for i in np.flatnonzero(cost > limit):
+            rows = slice(end[i], end[i + 1])
+            by = np.bincount(np.minimum(s[rows], 63), weights=n[rows], minlength=64)
+            most = 2 * int(z[rows].max()) // 9
+            upto = np.cumsum(by)
+            cost[i] = min(cost[i], sum(by[j] * upto[min(most - j, 63)] for j in range(64) if by[j] and most >= j) / 2)
         many = comps > 1
-        return pa.table({"key": _i64(k[first][many]), "cost": pa.array((total ** 2 - square)[many] / 2)})
+        return pa.table({"key": _i64(k[first][many]), "cost": pa.array(cost[many])})
 
-    return (members.mapInArrow(emit, "part int, k binary, c binary, n binary")
-            .repartition(parts, "part").groupBy("part").applyInArrow(combine, "key long, cost double"))
+    cols = members.select("fp", "n", "spent", "elements", "comp")
+    return (cols.mapInArrow(emit, "part int, k binary, c binary, s binary, n binary, z binary")
+            .groupBy("part").applyInArrow(combine, "key long, cost double"))
 
 
-def _counted(k: np.ndarray, c: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, component), sorted by key, with summed counts."""
-    order = np.lexsort((c, k))
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
-    counts = np.diff(np.append(first, len(k))) if n is None else np.add.reduceat(n[order].astype(np.int64), first)
-    return k[first], c[first], counts
+def _grouped(k: np.ndarray, c: np.ndarray, s: np.ndarray, n: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, component, spent), sorted by them, with summed counts and the greatest size."""
+    order = np.lexsort((s, c, k))
+    k, c, s, n, z = (x[order] for x in (k, c, s, n, z))
+    if not len(k):
+        return k, c, s, n, z
+    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])]))
+    return k[first], c[first], s[first], np.add.reduceat(n, first), np.maximum.reduceat(z, first)
 
 
-def lookups(members: DataFrame, seed: int, only: list[int] | None, hot: np.ndarray, wanted: np.ndarray | None) -> DataFrame:
-    """Entries ``key, fp, n, comp`` under the wanted keys (None: all but the hot
-    ones), and one row ``short`` for each band a set has too few units in."""
-    spark = members.sparkSession
-    known = spark.sparkContext.broadcast((hot, wanted, None if only is None else np.array(sorted(only))))
+_ENTRY = "key long, fp long, n long, comp long, spent long"
+
+
+def lookups(members: DataFrame, hot: np.ndarray, wanted: np.ndarray | None) -> DataFrame:
+    """Entries under the wanted keys (None: all but the hot ones), and one row
+    without a key for each set that has too few units in a band."""
+    known = members.sparkSession.sparkContext.broadcast((hot, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, wanted, chosen = known.value
-        for b in slices(batches, 0):
-            sets, comp, fp = _rows(b)
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            for own, band, need in _lookups(sets):
-                if chosen is not None:
-                    pick = np.isin(band, chosen)
-                    own, band, need = own[pick], band[pick], need[pick]
+        hot, wanted = known.value
+        for b in slices(batches, "elements"):
+            x, comp = Batch(b), b.column("comp").to_numpy()
+            for own, band, need in _lookups(x.n):
                 if not len(own):
                     continue
-                sig = Signatures([sets[i] for i in own], band, seed)
-                key, at = sig.entries()
-                keep = _member(key, wanted) if wanted is not None else ~_member(key, hot)
-                row = own[at[keep]]
-                few = np.flatnonzero(sig.units(len(own), hot) < need)
+                sig = Signatures([x.sets[i] for i in own], band, 1)
+                key, at, more = sig.entries()
+                row = own[at]
+                spent = x.spent[row] + more
+                keep = (_member(key, wanted) if wanted is not None else ~_member(key, hot)) & (spent <= x.n[row] // 4)
+                row, few = row[keep], own[sig.units(len(own), hot) < need - x.spent[own]]
+                rows = np.concatenate([row, few])
                 yield pa.RecordBatch.from_arrays([
-                    pa.concat_arrays([_i64(key[keep]), pa.nulls(len(few), pa.int64())]),
-                    _i64(np.concatenate([fp[row], fp[own[few]]])), _i64(np.concatenate([sizes[row], sizes[own[few]]])),
-                    _i64(np.concatenate([comp[row], comp[own[few]]])),
-                    pa.concat_arrays([pa.nulls(len(row), pa.int32()), pa.array(band[few], pa.int32())])],
-                    names=["key", "fp", "n", "comp", "short"])
-
-    return members.mapInArrow(run, "key long, fp long, n long, comp long, short int")
+                    pa.concat_arrays([_i64(key[keep]), pa.nulls(len(few), pa.int64())]), _i64(x.fp[rows]), _i64(x.n[rows]), _i64(comp[rows]),
+                    _i64(np.concatenate([spent[keep], x.spent[few]]))], names=["key", "fp", "n", "comp", "spent"])
+
+    return members.select("fp", "n", "spent", "elements", "comp").mapInArrow(run, _ENTRY)
+
+
+def _class() -> Column:
+    return F.least("spent", F.lit(CLASSES))
+
+
+def entry_pairs(asking: DataFrame, answering: DataFrame, both_ask: bool) -> DataFrame:
+    """Pairs across components that share a key and whose spent differences fit
+    their budget; the join goes by key and class of spent differences, so entries
+    that cannot fit never meet.  Where both sides ask, each pair is met once."""
+    room = F.floor(F.col("n") / 4) - F.col("spent")  # differences left for any partner
+    top = F.least(_class(), room) if both_ask else F.least(F.lit(CLASSES), room)
+    x = asking.where(room >= 0).select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("spent").alias("sa"),
+                                       _class().alias("cla"), F.explode(F.sequence(F.lit(0).cast("long"), top.cast("long"))).alias("class"))
+    y = answering.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("spent").alias("sb"),
+                         _class().cast("long").alias("class"))
+    ok = (F.col("ca") != F.col("cb")) & _similar(F.col("na"), F.col("nb")) & _fits(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))
+    if both_ask:
+        ok = ok & ((F.col("cla") > F.col("class")) | (F.col("a") < F.col("b")))
+    return x.join(y, ["key", "class"]).where(ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def element_pairs(members: DataFrame, short: DataFrame, scratch: Scratch, small: int) -> DataFrame:
+    """Pairs of the short sets by segments of one element: of any ``n // 5 + 1 -
+    spent`` elements of a set a partner holds one, and the rarest are asked for."""
+    cols = members.select("fp", "n", "spent", "elements", "comp")
+
+    def spread(batches: Iterator[pa.RecordBatch], asked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "elements"):
+            x, comp = Batch(b), b.column("comp").to_numpy()
+            key = np.concatenate(x.sets) if x.sets else np.zeros(0, np.uint64)
+            row = np.repeat(np.arange(len(x.sets)), [len(s) for s in x.sets])
+            if asked is not None:
+                keep = _member(key, asked)
+                key, row = key[keep], row[keep]
+            yield pa.RecordBatch.from_arrays([_i64(key), _i64(x.fp[row]), _i64(x.n[row]), _i64(comp[row]), _i64(x.spent[row])],
+                                             names=["key", "fp", "n", "comp", "spent"])
+
+    mine = scratch.store("short_elements", cols.join(short, "fp", "left_semi").mapInArrow(lambda b: spread(b, None), _ENTRY))
+    keys = mine.select("key").distinct()
+    if keys.count() <= small:
+        asked = members.sparkSession.sparkContext.broadcast(_sorted_keys(keys))
+        every = cols.mapInArrow(lambda b: spread(b, asked.value), _ENTRY)
+    else:
+        every = cols.mapInArrow(lambda b: spread(b, None), _ENTRY).join(keys, "key", "left_semi")
+    every = scratch.store("elements", every)
+    freq = every.groupBy("key").count()
+    rank = F.row_number().over(Window.partitionBy("fp").orderBy("count", "key"))  # the elements of one set
+    rare = mine.join(freq, "key").withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("n") / 5) + 1 - F.col("spent"))
+    return entry_pairs(rare.drop("rank", "count"), every, False)
 
 
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hub_keys: int = HUB_KEYS,
                        hot_pairs: int = HOT_PAIRS, small: int = SMALL, entries_per_part: int = 750_000,
-                       max_rounds: int = 12) -> DataFrame:
+                       unit_bytes: int = 2_000_000) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable
     by links) and n_copies (rows with the same set)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = scratch.store("sets", describe(src, hub_keys))
-    # equal sets are one node
-    nodes = scratch.store("nodes", sets.where("fp is not null and id is not null").groupBy("fp").agg(
-        F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("hub_keys").alias("hub_keys"),
-        F.max("sketch").alias("sketch")))
-    similar_size = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
-
-    # round 0: sets sharing one of their smallest keys, each against one hub per key
-    keyed = nodes.select("fp", "n", F.explode("hub_keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    stars = (keyed.join(hubs, "key").where((F.col("fp") != F.col("hub.fp")) & similar_size(F.col("n"), F.col("hub.n")))
-             .select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct())
-    links = scratch.store("links-0", verify(scratch.store("stars", stars), nodes, src, scratch, small))
-    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = int(0.7 * total // entries_per_part) + 1
-    only, tables, limit, short = None, [links], float(hot_pairs), None
-    place = _components(nodes, tables, scratch)
-    for r in range(max_rounds):
-        members = _members(src, sets, place, scratch, small)
-        costs = scratch.store("costs", key_costs(members, r, only, parts))
-        found = costs.agg(F.count("*"), F.sum((F.col("cost") > limit).cast("int"))).first()
-        while found[1] and found[1] > small:  # more hot keys than may be broadcast: fewer are left out
-            limit *= 8
-            found = costs.agg(F.count("*"), F.sum((F.col("cost") > limit).cast("int"))).first()
-        hot = _sorted_keys(costs.where(F.col("cost") > limit))
-        wanted = _sorted_keys(costs.where(F.col("cost") <= limit)) if found[0] <= small else None
-        entries = scratch.store("entries", lookups(members, r, only, hot, wanted))
-        e = entries.where("key is not null").select("key", "fp", "n", "comp")
-        if wanted is None:
-            e = e.join(costs.where(F.col("cost") <= limit).select("key"), "key", "left_semi")
-        x = e.select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        y = e.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        if short is None:
-            pairs = x.join(y, "key").where((F.col("ca") < F.col("cb")) & similar_size(F.col("na"), F.col("nb")))
-        else:  # all others had their units in an earlier round
-            again = x.join(short.select(F.col("fp").alias("a")).distinct(), "a", "left_semi")
-            pairs = again.join(y, "key").where((F.col("ca") != F.col("cb")) & similar_size(F.col("na"), F.col("nb")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = scratch.store(f"links-{r + 1}", verify(scratch.store("pairs", pairs), nodes, src, scratch, small))
-        if not new.isEmpty():
-            tables.append(new)
-            place = _components(nodes, tables, scratch)
-        now = entries.where("short is not null").select("fp", "short").distinct()
-        short = scratch.store("short", now if short is None else now.join(short, ["fp", "short"], "left_semi"))
-        only = [x["short"] for x in short.select("short").distinct().collect()]  # band numbers
-        for name in ("named_rows", "costs", "entries", "pairs", "texts", "need", "stars", "close"):
-            scratch.drop(name)
-        if not only:
-            break
-        limit *= 8
-    else:
-        raise RuntimeError("some sets stayed short of units")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    units = read_units(docs, scratch, id_col, text_col, unit_bytes)
+    sent = scratch.store("counted", counted(units))
+    total = sent.agg(F.sum("n")).first()[0] or 0
+    bits = scratch.store("bits", packed.answer(packed.deal(sent.where("n > 0"), packed.parts_for(total)), _more_than_one))
+    sets = scratch.store("sets", described(units, bits, total // 8))
+    for name in ("units", "counted", "bits"):
+        scratch.drop(name)
+    nodes = scratch.store("nodes", _nodes(sets, small))
+    links = scratch.store("links", verify(scratch.store("pairs", hub_pairs(nodes, hub_keys)), nodes, scratch))
+    roots = clusters_of(docs.sparkSession, links, scratch)
+    members = nodes.join(roots, nodes.fp == roots.node, "left").withColumn("comp", F.coalesce("root", "fp")).drop("node", "root")
+    members = scratch.store("members", members)
+    place = members.select("fp", "rep", "copies", "comp")
+
+    n_entries = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = float(hot_pairs)
+    costs = scratch.store("costs", key_costs(members, int(0.7 * n_entries // entries_per_part) + 1, limit))
+    count_hot = lambda: costs.agg(F.count("*"), F.sum((F.col("cost") > limit).cast("int"))).first()
+    found = count_hot()
+    while found[1] and found[1] > small:  # more hot keys than may be broadcast: fewer are left out
+        limit = max(8 * limit, 1.0)
+        found = count_hot()
+    hot = _sorted_keys(costs.where(F.col("cost") > limit))
+    kept = costs.where(F.col("cost") <= limit)
+    wanted = _sorted_keys(kept) if found[0] <= small else None
+    entries = scratch.store("entries", lookups(members, hot, wanted))
+    e = entries.where("key is not null")
+    if wanted is None:
+        e = e.join(kept.select("key"), "key", "left_semi")
+    pairs = entry_pairs(e, e, True)
+    short = scratch.store("short", entries.where("key is null").select("fp").distinct())
+    if not short.isEmpty():
+        pairs = pairs.union(element_pairs(members, short, scratch, small)).distinct()
+    more = verify(scratch.store("pairs", pairs), members, scratch)
+    comp = lambda c: place.select(F.col("fp").alias(c), F.col("comp").alias(f"c{c}"))
+    joined = scratch.store("joined", more.join(comp("a"), "a").join(comp("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if not joined.isEmpty():  # components of components
+        roots = clusters_of(docs.sparkSession, joined, scratch)
+        place = place.join(roots, place.comp == roots.node, "left").select("fp", "rep", "copies", F.coalesce("root", "comp").alias("comp"))
     least = place.groupBy("comp").agg(F.min("rep").alias("component"))
     named = scratch.store("named", place.join(least, "comp").select(F.col("fp").alias("node"), "component", "copies"))
-    return (sets.join(named, sets.fp == named.node, "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-                    F.coalesce("copies", F.lit(1)).alias("n_copies")))
-
-
-def _components(nodes: DataFrame, tables: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """``fp, rep, copies, comp`` of every set under the links found so far."""
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.union(t)
-    roots = clusters_of(nodes.sparkSession, every, scratch)
-    return scratch.store("place", nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "rep", "copies", F.coalesce("root", "fp").alias("comp")))
-
-
-def _members(src: DataFrame, sets: DataFrame, place: DataFrame, scratch: Scratch, small: int) -> DataFrame:
-    """``text, comp, known_fp`` of one document for every set.  Only documents
-    that share a component, are a copy under another id (left out), or share
-    their id with another text are named in a table to join; the rest are their
-    own component, which their text's fingerprint tells."""
-    ids = sets.where("fp is not null and id is not null").select("id", "fp").distinct()
-    several = ids.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("several"))
-    named = (ids.join(place, "fp").join(several, "id", "left").where("id <> rep or comp <> fp or several")
-             .select(F.col("id").alias("named_id"), F.col("fp").alias("known_fp"), "comp",
-                     (F.col("id") != F.col("rep")).alias("spare")))
-    named = scratch.store("named_rows", named)
-    if named.count() <= small:
-        named = F.broadcast(named)
-    return (src.where("id is not null").join(named, F.col("id") == F.col("named_id"), "left")
-            .where(~F.coalesce("spare", F.lit(False))).select("text", "comp", "known_fp"))
-
-
-def _sorted_keys(costs: DataFrame) -> np.ndarray:
-    """Keys of a table checked to be small, sorted as unsigned numbers."""
-    keys = costs.select("key").toArrow().column("key").to_numpy()  # eight bytes a key, no row objects
-    return np.sort(keys.astype(np.int64).view(np.uint64))
-
-
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL,
-                     **more) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those whose id is the
-    component's.  Of a repeated id, the row with the smallest text stays.  Rows
-    without an id stay."""
-    scratch = Scratch(docs.sparkSession, "keep")
-    found = scratch.store("found", similar_components(docs, id_col=id_col, text_col=text_col, small=small, **more)
-                          .where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
-                          .agg(F.max((F.col(id_col) == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("c")))
+    out = scratch.store("out", sets.join(named, sets.fp == named.node, "left")
+                        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                                F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
+                                F.coalesce("copies", F.lit(1)).alias("n_copies")))
+    for name in list(scratch.paths):
+        if name != "out":
+            scratch.drop(name)
+    return out
 
-    def without(d: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
-        return d.join(F.broadcast(ids) if ids.count() <= small else ids, d[id_col] == F.col("_id"), how)
 
-    rest = without(docs, found.where("stays = 0").select("_id"))
-    again = found.where("stays = 1 and c > 1").select("_id")
-    if again.isEmpty():
-        return rest
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first()))
-    one = without(rest, again, "left_semi").withColumn("_place", first).where("_place = 1").drop("_place")
-    return without(rest, again).unionByName(one)
+def _sorted_keys(keys: DataFrame) -> np.ndarray:
+    """Keys of a table checked to be small, sorted as unsigned numbers."""
+    got = keys.select("key").toArrow().column("key").to_numpy()  # eight bytes a key, no row objects
+    return np.sort(got.astype(np.int64).view(np.uint64))
 
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL,
@@ -440,18 +502,26 @@ def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     """The rows of ``docs`` that stand for their component, one each: the row with
     the smallest id there.  Rows that share an id are told apart: each goes by its
     own text, and of copies under one id the first in the stored table stays.
-    Rows without an id or with an empty set stay."""
-    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
-        return keep_one_of_each(docs, id_col=id_col, text_col=text_col, small=small, **more)
+    Rows without an id or with an empty set stay; columns of any name are kept as
+    they are."""
+    number, gone_id = unused(docs, "row_number"), unused(docs, "gone_id")
+    once = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
     scratch = Scratch(docs.sparkSession, "keep")
-    number = F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())
-    rows = scratch.store("rows", docs.withColumn("_row", number))
-    found = similar_components(rows, id_col="_row", text_col=text_col, small=small, **more).where("_row is not null")
-    found = scratch.store("found", found.select("_row", F.col("component_id").alias("_comp"))
-                          .join(rows.select("_row", F.col(id_col).alias("_id")), "_row"))
-    first = found.groupBy("_comp").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_row"))
-    gone = scratch.store("gone", found.join(first, "_row", "left_anti").select("_row"))
-    return rows.join(F.broadcast(gone) if gone.count() <= small else gone, "_row", "left_anti").select(docs.columns)
+    if once:
+        rows, key = docs, id_col
+        found = similar_components(docs, id_col=id_col, text_col=text_col, small=small, **more)
+        gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone_id))
+    else:
+        key = number
+        rows = scratch.store("rows", docs.withColumn(number, F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())))
+        found = similar_components(rows, id_col=number, text_col=text_col, small=small, **more).select(
+            F.col(number).alias("r"), F.col("component_id").alias("c")).where("r is not null")
+        found = scratch.store("found", found.join(rows.select(F.col(number).alias("r"), F.col(id_col).alias("i")), "r"))
+        first = found.groupBy("c").agg(F.min(F.struct("i", "r"))["r"].alias("r"))
+        gone = found.join(first, "r", "left_anti").select(F.col("r").alias(gone_id))
+    gone = scratch.store("gone", gone)
+    gone = F.broadcast(gone) if gone.count() <= small else gone
+    return rows.join(gone, F.col(key) == F.col(gone_id), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:

@@ -93,6 +93,14 @@ def answer(dealt: DataFrame, judge: Callable[[np.ndarray, np.ndarray], np.ndarra
     return got.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("part", "n", "bits"))).alias("bits"))
 
 
+BROADCAST = 32 << 20  # bytes of answers that may be broadcast; above it units are shuffled
+
+
+def with_answers(units: DataFrame, answers: DataFrame, size: int) -> DataFrame:
+    """``units`` with the columns of ``answers(unit, ...)``, ``size`` bytes in all."""
+    return units.join(F.broadcast(answers) if size <= BROADCAST else answers, "unit", "left")
+
+
 def answered(bits: list[dict] | None) -> np.ndarray:
     """The bits of one unit's keys, in key order."""
     if not bits:

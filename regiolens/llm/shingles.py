@@ -2,117 +2,50 @@
 
 Words are runs of characters other than blank and \\x09-\\x0D, with A-Z in lower
 case; a text's set holds its distinct runs of five consecutive words (with fewer
-words, the whole sequence as one).  A word's hash is a sum of table entries by
-(place in the word, byte), a shingle's a weighted sum of its words' hashes, both
-finished by a 64-bit mixer.  Equal hashes are taken as equal shingles.
+words, the whole sequence as one).  Hashes come from ``words``.  Equal hashes are
+taken as equal shingles.
 """
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
-from regiolens.llm.common import ASCII_LOWER, mix64
+from regiolens.llm.common import mix64
+from regiolens.llm.words import byte_set, run_hashes, words_of
 
 WORDS = 5
-CHUNK = 1 << 20  # bytes looked at together
-_PLACES = 64
-_SPACE = frozenset([0x20, *range(0x09, 0x0E)])
+CHUNK = 1 << 20  # bytes of short texts looked at together
+_BLANK = byte_set(b"\x20\x09\x0a\x0b\x0c\x0d")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-@cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    random = mix64(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * _STEP).reshape(_PLACES, 256)
-    lower = np.frombuffer(ASCII_LOWER, np.uint8)
-    odd = mix64(np.arange(7001, 7001 + WORDS, dtype=np.uint64) * _STEP) | np.uint64(1)
-    return random[:, lower].reshape(-1), np.array([b in _SPACE for b in range(256)]), odd
-
-
-def word_hashes(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of every word of ``buf``."""
-    random, spaces, _ = _tables()
-    raw = np.frombuffer(buf, np.uint8)
-    at = np.flatnonzero(~spaces[raw])
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
-    length = np.diff(np.append(first, len(at)))
-    place = np.arange(len(at)) - np.repeat(first, length)
-    part = random[(place % _PLACES) * 256 + raw[at]]
-    far = place >= _PLACES
-    if far.any():
-        part[far] = mix64(part[far] + (place[far] // _PLACES).astype(np.uint64) * _STEP)
-    return mix64(np.add.reduceat(part, first) + length.astype(np.uint64)), at[first]
-
-
-def _pieces(raw: bytes) -> list[bytes]:
-    """A long text cut at white space."""
-    out, a = [], 0
-    _, spaces, _ = _tables()
-    while len(raw) - a > CHUNK:
-        rest = np.frombuffer(raw, np.uint8, count=len(raw) - a - CHUNK, offset=a + CHUNK)
-        step = 1 << 16
-        cut = None
-        for s in range(0, len(rest), step):
-            hit = np.flatnonzero(spaces[rest[s:s + step]])
-            if len(hit):
-                cut = a + CHUNK + s + int(hit[0])
-                break
-        if cut is None:
-            break
-        out.append(raw[a:cut])
-        a = cut
-    return [*out, raw[a:]]
-
-
-def _shingles(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from each place on (n at most WORDS)."""
-    _, _, odd = _tables()
-    s = words[:len(words) - n + 1] * odd[0]
-    for j in range(1, n):
-        s += words[j:len(words) - n + 1 + j] * odd[j]
-    return mix64(s + np.uint64(n))
-
-
 def _distinct(s: np.ndarray) -> np.ndarray:
     s.sort()
     return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
-def _set_of(words: np.ndarray) -> np.ndarray:
-    return _distinct(_shingles(words, min(WORDS, len(words)))) if len(words) else words
-
-
 def sets_of(raws: list[bytes | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     out: list[np.ndarray] = []
     group: list[bytes] = []
+    size = 0
 
     def close() -> None:
-        if group:
-            words, at = word_hashes(b"\n".join(group))
-            cut = np.searchsorted(at, np.cumsum([0, *(len(x) + 1 for x in group)])).tolist()
-            runs = _shingles(words, WORDS) if len(words) >= WORDS else None  # those across texts are not taken
-            for a, b in zip(cut, cut[1:], strict=False):
-                out.append(_distinct(runs[a:b - WORDS + 1].copy()) if b - a >= WORDS else _set_of(words[a:b]))
-            group.clear()
+        words, at, _ = words_of(b"\n".join(group), _BLANK, lower=True)
+        cut = np.searchsorted(at, np.cumsum([0, *(len(x) + 1 for x in group)])).tolist()
+        runs = run_hashes(words, WORDS)  # those across texts are not taken
+        for a, b in zip(cut, cut[1:], strict=False):
+            out.append(_distinct(runs[a:b - WORDS + 1].copy()) if b - a >= WORDS else run_hashes(words[a:b], b - a) if b > a else words[:0])
+        group.clear()
 
-    size = 0
     for raw in raws:
-        raw = raw or b""
-        if len(raw) > CHUNK:
-            close()
-            size = 0
-            out.append(_set_of(np.concatenate([word_hashes(p)[0] for p in _pieces(raw)])))
-            continue
-        group.append(raw)
-        size += len(raw)
+        group.append(raw or b"")
+        size += len(group[-1])
         if size >= CHUNK:
             close()
             size = 0
-    close()
+    if group:
+        close()
     return out
 
 

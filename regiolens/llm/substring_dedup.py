@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regiolens.llm import packed
-from regiolens.llm.common import Scratch, rows_of, slices, table
+from regiolens.llm.common import Scratch, read_units, rows_of, table
 from regiolens.llm.words import byte_set, run_hashes, window_min, words_of
 
 BLANK = byte_set(b"\x20\x09\x0a\x0b\x0c\x0d")
@@ -98,31 +98,16 @@ class Unit:
         return out
 
 
-_UNIT = "unit long, ids array<long>, texts array<string>"
 _ALIVE = "unit long, keys binary, vals binary, n long, alive binary"
 
 
-def _read_units(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, unit_bytes: int) -> DataFrame:
-    from pyspark import TaskContext
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        for k, b in enumerate(slices(batches, "text", unit_bytes)):
-            ids, texts = pa.array([b.column(0).to_pylist()]), pa.array([b.column(1).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([first + k]), ids.cast(pa.list_(pa.int64())), texts], names=["unit", "ids", "texts"])
-
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # few, long rows: small row groups keep what a reader holds small
-    return scratch.store("units", src.mapInArrow(run, _UNIT), compression="zstd", **{"parquet.block.size": str(16 << 20)})
-
-
 def _mask(spans: bytes | None, n: int) -> np.ndarray:
     out = np.zeros(n, bool)
     out[_starts(packed.unpack_ints(spans or b"").reshape(-1, 2))] = True
     return out
 
 
-def _level(units: DataFrame, state: DataFrame | None, level: int | None, next_level: int | None, window: int) -> DataFrame:
+def _level(units: DataFrame, state: DataFrame | None, level: int | None, next_level: int | None, window: int, size: int = 0) -> DataFrame:
     """Judge ``level`` by the answered bits in ``state`` and send the keys of
     ``next_level``; with next_level None the windows themselves are sent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +131,7 @@ def _level(units: DataFrame, state: DataFrame | None, level: int | None, next_le
              "starts": pa.binary(), "which": pa.binary()}
     short = pa.schema([(c, types[c]) for c in ("unit", "keys", "vals", "n", "alive")])
     whole = pa.schema([(c, types[c]) for c in ("unit", "keys", "vals", "n", "gone", "starts", "which")])
-    src = units if state is None else units.join(state, "unit", "left")
+    src = units if state is None else packed.with_answers(units, state, size)
     if next_level is not None:
         return src.mapInArrow(run, _ALIVE)
     return src.mapInArrow(run, "unit long, keys binary, vals binary, n long, gone binary, starts binary, which binary")
@@ -191,11 +176,12 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if levels[-1] * 2 != window:
         raise ValueError("window must be first times a power of two")
     scratch = Scratch(docs.sparkSession, "substrings")
-    units = _read_units(docs, scratch, id_col, text_col, unit_bytes)
-    state, level = None, None
+    units = read_units(docs, scratch, id_col, text_col, unit_bytes)
+    state, level, size = None, None, 0
     for nxt in [*levels, None]:
-        sent = scratch.store(f"level{nxt or window}", _level(units, state, level, nxt, window))
-        n = sent.agg(F.sum("n")).first()[0] or 0
+        sent = scratch.store(f"level{nxt or window}", _level(units, state, level, nxt, window, size))
+        told = sent.agg(F.sum("n").alias("n"), F.sum(F.octet_length("alive") if nxt else F.lit(0)).alias("alive")).first()
+        n, size = told["n"] or 0, ((told["n"] or 0) // 8 + (told["alive"] or 0))  # bits and spans that travel back
         judge = _more_than_one if nxt else _not_least
         bits = packed.answer(packed.deal(sent.where("n > 0"), packed.parts_for(n)), judge)
         bits = scratch.store(f"bits{nxt or window}", bits)
@@ -211,9 +197,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
     if level is None:
         state = scratch.store("spans", _removed(state, window))
+        size = state.agg(F.sum(F.octet_length("spans"))).first()[0] or 0
     else:
         state = state.select("unit", F.lit(None).cast("binary").alias("spans"))
-    out = scratch.store("out", units.join(state, "unit", "left").mapInArrow(
+    out = scratch.store("out", packed.with_answers(units, state, size).mapInArrow(
         _apply, "id long, n_words long, removed array<struct<start:long,end:long>>, kept_text string"))
     for name in ("units", "spans", *(f"{x}{n}" for n in [*levels, window] for x in ("level", "bits", "state"))):
         scratch.drop(name)

@@ -97,11 +97,11 @@ def test_units_find_every_pair(seed):
     sets = S.sets_of([t.encode() for _, t in rows])
     none = np.zeros(0, np.uint64)
     entries, short = {}, {}
-    for own, band, need in J._lookups(sets):
+    for own, band, need in J._lookups(np.array([len(x) for x in sets])):
         for b in np.unique(band):
             pick = band == b
             sig = J.Signatures([sets[i] for i in own[pick]], band[pick], 3)
-            key, at = sig.entries()
+            key, at, _ = sig.entries()
             for k, i in zip(key, own[pick][at], strict=True):
                 entries.setdefault(int(i), set()).add((int(b), int(k)))
             lack = sig.units(pick.sum(), none) < need[pick]
@@ -147,6 +147,72 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len(got) == 9 and {r.component_id for r in got if r.doc_id is None} == {None}
     assert all(r.component_id == r.doc_id for r in got if r.doc_id is not None)
     assert sorted(r.n_shingles for r in got if r.doc_id == 6) == [1, 2]
-    kept = J.keep_one_of_each(df)
-    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6]
-    assert J.similar_components(no_docs).collect() == [] and J.keep_one_of_each(no_docs).collect() == []
+    kept = J.keep_representatives(df)  # the two texts under id 6 are different documents
+    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 6]
+    assert J.similar_components(no_docs).collect() == [] and J.keep_representatives(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("names", [["_id", "_row", "row_number", "gone_id", "unit"], ["ROW_NUMBER", "r", "c", "i", "at"]])
+def test_columns_of_any_name_are_kept(spark, names):
+    for ids in ((1, 2, 3), (1, 1, 3)):
+        texts = ["a b c d e f", "a b c d e f", "q r s t u v"]
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").selectExpr(
+            "*", *[f"{i} as {n}" for i, n in enumerate(names)])
+        kept = J.keep_representatives(df)
+        assert kept.columns == df.columns
+        assert sorted(tuple(r)[2:] for r in kept.collect()) == [tuple(range(len(names)))] * 2
+
+
+def test_texts_of_one_common_line(spark):
+    """Short texts of a line that all share, and words of their own: pairs do not grow with their square."""
+    rng = random.Random(8)
+    line = [f"c{i}" for i in range(12)]
+    word = lambda: f"o{rng.randrange(10**9)}"
+    rows = [(i, " ".join(line + [word() for _ in range(2)])) for i in range(1500)]
+    rows += [(2000 + i, " ".join(line + [f"few{i % 40}", word()])) for i in range(800)]  # own shingles that some share
+    rows += [(3000, " ".join(line)), (3001, " ".join(line + ["end"])), (3002, " ".join(["begin", *line]))]
+    sets = [plain_set(t) for _, t in rows]
+    want = brute_small(rows, sets)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = []
+    verify = J.verify
+
+    def counting(pairs, *rest):
+        seen.append(pairs.count())
+        return verify(pairs, *rest)
+
+    J.verify = counting
+    try:
+        got = {r.doc_id: r.component_id for r in J.similar_components(df).collect()}
+    finally:
+        J.verify = verify
+    assert got == want
+    assert sum(seen) < 30 * len(rows)
+
+
+def brute_small(rows, sets):
+    """Components over all pairs of the same or neighbouring sizes, without a token index."""
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, (a, x) in enumerate(zip((r[0] for r in rows), sets, strict=True)):
+        for j in range(i):
+            y = sets[j]
+            if 100 * len(x & y) >= 80 * (len(x) + len(y) - len(x & y)):
+                p, q = find(a), find(rows[j][0])
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in root}
+
+
+def test_short_sets_find_partners_by_single_elements(spark):
+    """No key may be used at all: every set is short, and every link is still found."""
+    rows = corpus(9, 120)
+    want = brute(rows)
+    for small in (1_000_000, 50):
+        got = J.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), hot_pairs=0, small=small, hub_keys=1).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
