@@ -11,10 +11,15 @@ The items are a query set: they are collected in blocks of at most
 ``block_chars`` characters (one block unless the benchmark is huge), and every
 block is broadcast and run against all documents; no shuffle of texts.
 
-Defined results: null and empty texts match nothing; items of fewer than
-``min_words`` words (null and empty ones too) are no evidence and match
-nothing; equal items report every id; repeated documents report each row; a
-null document id is reported as null; other columns are not read.
+Items of fewer than ``min_words`` words are looked for exactly, as whole words
+(a budget of 0 edits); they are reported, but a document is not dropped for
+them alone (an answer like "yes" is no evidence).
+
+Defined results: null and empty texts match nothing; items without a word (null
+and empty ones too) match nothing; equal items report every id; repeated
+documents report each row; a null document id is reported as null; of places at
+equal distance the first counts; a text of any length is searched whole; other
+columns, whatever their names, are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiolens.llm.common import table
+from regiolens.llm.common import slices, table
 
 CHARS_PER_EDIT = 16
 MIN_WORDS = 5
@@ -77,8 +82,8 @@ def best_match(pattern: str, text: str, most: int) -> tuple[int, int, int] | Non
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int):
-        self.items: list[tuple[str, int, list[int]]] = []  # text, budget, ids
+    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int, min_words: int):
+        self.items: list[tuple[str, int, list[int]]] = []  # text, budget (-1: whole words only), ids
         where: dict[str, int] = {}
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0)):
@@ -86,8 +91,8 @@ class Matcher:
                 self.items[where[text]][2].append(item_id)
                 continue
             where[text] = len(self.items)
-            k = len(text) // chars_per_edit
-            cut = [len(text) * j // (k + 1) for j in range(k + 2)]
+            k = -1 if text.count(" ") < min_words - 1 else len(text) // chars_per_edit
+            cut = [0, len(text)] if k < 0 else [len(text) * j // (k + 1) for j in range(k + 2)]
             for a, b in zip(cut, cut[1:], strict=False):
                 pieces.setdefault(text[a:b], []).append((len(self.items), a))
             self.items.append((text, k, [item_id]))
@@ -110,6 +115,10 @@ class Matcher:
                     continue
                 text, k, _ = self.items[item]
                 s = end - length + 1 - at
+                if k < 0:
+                    if (s == 0 or hay[s - 1] == " ") and hay[s + length:s + length + 1] in ("", " "):
+                        done[item] = (0, s, s + length)
+                    continue
                 if s >= 0 and hay.startswith(text, s):
                     done[item] = (0, s, s + len(text))
                     continue
@@ -155,8 +164,8 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
                       F.expr(f"cast(array() as {LEAKS})").alias("leaks"))
     for i in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i).collect()
-        normal = [(r["item_id"], t) for r in rows if (t := normalise(r["text"])).count(" ") >= min_words - 1 and t]
-        known = spark.sparkContext.broadcast((normal, chars_per_edit))
+        normal = [(r["item_id"], t) for r in rows if (t := normalise(r["text"]))]
+        known = spark.sparkContext.broadcast((normal, chars_per_edit, min_words))
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(*known.value)
@@ -177,9 +186,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     return marked.select(F.col("_row._id").alias("doc_id"), F.inline("leaks"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
-    """The rows of ``docs`` that hold no test item."""
-    return mark_leaks(docs, benchmark, **more).where(F.size("leaks") == 0).select("_row.*")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "text",
+                      chars_per_edit: int = CHARS_PER_EDIT, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no test item of ``min_words`` words or more;
+    their columns, whatever their names, are kept as they are."""
+    at = docs.columns.index(text_col)
+    out = docs
+    for normal in _blocks(benchmark, item_col, block_chars):
+        long = [(0, t) for t in normal if t.count(" ") >= min_words - 1]
+        known = docs.sparkSession.sparkContext.broadcast((long, chars_per_edit, min_words))
+
+        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(*known.value)
+            for b in slices(batches, text_col, 4_000_000):
+                clean = [not matcher.find(normalise(t)) for t in b.column(at).cast(pa.string()).to_pylist()]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
+def _blocks(benchmark: DataFrame, item_col: str, block_chars: int) -> Iterator[list[str]]:
+    """The normalised items in blocks of at most about ``block_chars`` characters."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("text"))
+    blocks = (items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars + 1
+    for i in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i).collect()
+        yield [t for r in rows if (t := normalise(r["text"]))]
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def test_pieces_lose_nothing():
     rng = random.Random(5)
     words = ["the", "cat", "sat", "upon", "some", "mat", "with", "grey", "owls"]
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(6, 30)))) for i in range(12)]
-    m = D.Matcher(items, D.CHARS_PER_EDIT)
+    m = D.Matcher(items, D.CHARS_PER_EDIT, D.MIN_WORDS)
     for _ in range(80):
         text, k, ids = rng.choice(m.items)
         s = list(text)
@@ -61,10 +61,22 @@ def test_blocks_and_odd_rows(spark, odd_docs, no_docs):
                                    (4, "of the"), (None, "the and of the and"), (6, "quite another test item here")],
                                   "item_id long, text string")
     one = D.find_leaks(odd_docs, bench).collect()
-    assert sorted((r.doc_id or 0, r.item_id or 0) for r in one) == [(0, 0), (5, 1), (5, 1)]
+    assert sorted((r.doc_id or 0, r.item_id or 0) for r in one) == [(0, 0), (0, 4), (5, 1), (5, 1)]  # short items as whole words
     many = D.find_leaks(odd_docs, bench, block_chars=10).collect()
     assert sorted(map(str, many)) == sorted(map(str, one))
     kept = D.drop_contaminated(odd_docs, bench)
     assert kept.columns == odd_docs.columns and kept.count() == 6
     assert D.find_leaks(no_docs, bench).count() == 0
     assert D.find_leaks(odd_docs, bench.limit(0)).count() == 0 and D.drop_contaminated(odd_docs, bench.limit(0)).count() == 8
+
+
+def test_short_items_match_as_whole_words(spark):
+    items = [(1, "forty two"), (2, "yes"), (3, ""), (4, None), (5, "a longer item of some nine words in all")]
+    docs = [(1, "the answer is Forty-Two."), (2, "forty twos"), (3, "eyes"), (4, "Yes"), (5, "x A longer item, of some nine words in all y"), (6, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.first_word, r.last_word) for r in D.find_leaks(df, bench).collect())
+    assert got == [(1, 1, 0, 3, 4), (4, 2, 0, 0, 0), (5, 5, 0, 1, 9)]
+    kept = D.drop_contaminated(df.selectExpr("*", "1 as _row", "2 as _text", "3 as leaks"), bench, block_chars=10)
+    assert kept.columns == ["doc_id", "text", "_row", "_text", "leaks"]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6]  # short items are no ground to drop a document
