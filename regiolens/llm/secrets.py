@@ -37,9 +37,9 @@ _HEX_MAP = bytes(0x68 if chr(b) in "0123456789abcdef" else 0x20 for b in range(2
 # credential contexts of the method; the value is the last group
 CONTEXTS = (
     (re.compile(rb"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|private[_-]?key|api[_-]?key|auth)["']?"""
-                rb"""\x20{0,8}[:=]\x20{0,8}["']?([!-&(-~]{6,})""", re.I),
+                rb"""\x20*+[:=]\x20*+["']?([!-&(-~]{6,})""", re.I),
      (b"pass", b"pwd", b"secret", b"token", b"credential", b"private", b"api", b"auth")),
-    (re.compile(rb"bearer\x20{1,8}([A-Za-z0-9+/_.=~-]{6,})", re.I), (b"bearer",)),
+    (re.compile(rb"bearer\x20++([A-Za-z0-9+/_.=~-]{6,})", re.I), (b"bearer",)),
 )
 _USERINFO_END = re.compile(rb"[\x00-\x20\x7f/@]")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 
 import __spark_entry__ as E
 from regiolens.llm import secrets as S
@@ -73,3 +74,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert got[1].text == "[SECRET] all rights reserved" and got[1].n_chars == len(got[1].text)
     assert got[2].text is None and got[5].n_chars == 300_000
     assert S.scan_secrets(no_docs).collect() == [] and S.redact_secrets(no_docs).collect() == []
+
+
+def test_any_number_of_blanks():
+    for n in (1, 8, 9, 5000):
+        text = ("pwd" + " " * n + "=" + " " * n + "zQ9$kf!2LmV#x81pR and Bearer" + " " * n + "zQ9kf2LmVx81pRw7Yt").encode()
+        kinds = [k for k, *_ in S.find_secrets(text, {}, S.MIN_GUESSES)]
+        assert kinds.count("cred") == 2
+    started = time.time()
+    assert S.find_secrets(b"password" + b" " * 200_000 + b"x " * 10, {}, S.MIN_GUESSES) == []
+    assert time.time() - started < 5
