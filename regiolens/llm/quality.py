@@ -57,7 +57,7 @@ def terms(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         d = first + crc(w.lower()) % (DIMS - first)
         count[d] = count.get(d, 0) + c
     for s, c in Counter(_RUNS.sub(rb"\1", raw.translate(_SHAPE)).split()).items():
-        d = crc(s[:12]) % SHAPES
+        d = crc(s) % SHAPES
         count[d] = count.get(d, 0) + c
     lines = raw.split(b"\n")
     size = max(1, len(raw))
@@ -100,6 +100,10 @@ class Model:
         cos = self.latent(tfidf(found, self.idf)) @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
         near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+        edge = np.take_along_axis(cos, near, 1).min(axis=1)
+        for i in np.flatnonzero((cos >= edge[:, None]).sum(axis=1) > k):  # ties at the edge: the sample's first ones
+            above, at = np.flatnonzero(cos[i] > edge[i]), np.flatnonzero(cos[i] == edge[i])
+            near[i] = np.concatenate([above, at[:k - len(above)]])
         w = np.maximum(np.take_along_axis(cos, near, 1), 1e-6).astype(np.float64) ** self.sharpness
         return np.clip((w * self.labels[near]).sum(1) / w.sum(1), 0.0, 1.0)
 

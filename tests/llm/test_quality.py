@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 import __spark_entry__ as E
 from regiolens.llm import quality as Q
@@ -57,3 +58,17 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert Q.fit(no_docs, labels) is None and Q.fit(odd_docs, labels.limit(0)) is None
     assert {r._score for r in Q.score_quality(odd_docs, None).collect()} == {0.5}
     assert Q.score_quality(no_docs, m).collect() == []
+
+
+def test_whole_shape_counts():
+    """Word shapes that differ far from their start are different terms."""
+    a, b = "a1" * 12 + "B", "a1" * 12 + "-"
+    shapes = [set(Q.terms(w.encode())[0][Q.terms(w.encode())[0] < Q.SHAPES].tolist()) for w in (a, b)]
+    assert shapes[0] != shapes[1]
+
+
+def test_ties_at_the_edge_go_to_the_samples_first():
+    texts = ["same words here"] * 6 + ["other text entirely"] * 3
+    found = [Q.terms(t.encode()) for t in texts]
+    m = Q.Model(np.ones(Q.DIMS), found, np.array([1, 1, 0, 0, 0, 0, 1, 1, 1]), 4, 3, 8.0)
+    assert m.score([Q.terms(b"same words here")])[0] == pytest.approx(2 / 3)
