@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -105,16 +106,18 @@ class Scanner:
         if not places:
             return len(words), []
         ends = [(m.start(), m.end()) for m in _WORD_RE.finditer(norm)]
+        # blanks before each place and code points before each byte, once for all hits
+        blanks = np.flatnonzero(np.frombuffer(hay, np.uint8) == 0x20)
+        points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
         hits = []
         for label, exact, a, b, edits, length in sorted(places, key=lambda x: (x[2], not x[1], x[0])):
-            first = hay.count(b" ", 0, a)
+            first = int(np.searchsorted(blanks, a))
             if a < len(hay) and hay[a:a + 1] == b" ":
                 first += 1
-            last = max(first, hay.count(b" ", 0, max(a, b - 1)))
+            last = max(first, int(np.searchsorted(blanks, max(a, b - 1))))
             lo, hi = ends[min(first, len(ends) - 1)][0], ends[min(last, len(ends) - 1)][1]
-            start = len(raw[:lo].decode("utf-8", "replace"))
-            hits.append({"label": label, "exact": exact, "word": first, "start": start,
-                         "end": start + len(raw[lo:hi].decode("utf-8", "replace")), "edits": edits, "length": length})
+            hits.append({"label": label, "exact": exact, "word": first, "start": int(points[lo]), "end": int(points[hi]),
+                         "edits": edits, "length": length})
         return len(words), hits
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import regex
 
@@ -57,3 +58,15 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r.n_words for r in rows if r.id in (2, 3, 4)} == {0}
     assert [r.n_words for r in rows if r.id == 5] == [60_000]
     assert L.scan_licenses(no_docs).collect() == []
+
+
+def test_many_hits_stay_linear():
+    scanner = L.Scanner(L.PHRASES, L.NOTICES, L.CHARS_PER_EDIT)
+    took = []
+    for n in (20_000, 40_000):
+        started = time.time()
+        words, hits = scanner.scan(("ü all rights reserved x " * n).encode())
+        took.append(time.time() - started)
+        assert words == 5 * n and sum(h["exact"] for h in hits) == n
+        assert [(h["word"], h["start"]) for h in hits if h["exact"]][-1] == (5 * n - 4, 24 * (n - 1) + 2)
+    assert took[1] < 4 * took[0] + 1
