@@ -66,9 +66,10 @@ def mix_to_weights(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     (whole repeats), cut_words (words of the further, possibly cut, repeat)
     and taken = epochs * size + cut_words, and ``text_hash`` to join by."""
     scratch = Scratch(docs.sparkSession, "mix")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"),
-                         F.coalesce(F.col(source_col), F.lit(""))))
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # with the text in it, rows that share an id are spread over the ranges too
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"),
+                         F.coalesce(F.col(source_col), F.lit("")), F.lit(":"), F.md5(text)))
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
                         key.alias("key"), F.xxhash64(text).alias("tie"))
@@ -108,24 +109,26 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     scratch = Scratch(docs.sparkSession, "mixed")
     new = ["size", "source_size", "target", "epochs", "cut_words", "taken"]
     d = mix_to_weights(docs, id_col=id_col, text_col=text_col, source_col=source_col, **more)
-    d = scratch.store("mix", d.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("text_hash").alias("_hash"))
+    d = scratch.store("mix", d.groupBy(F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), F.col("text_hash").alias("mix_hash"))
                       .agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"),
                            F.max("epochs").alias("epochs"), F.sum("cut_words").alias("cut_words"), F.sum("taken").alias("taken"),
-                           F.count("*").alias("_rows")).where("taken > 0"))
+                           F.count("*").alias("mix_rows")).where("taken > 0"))
     keep = [c for c in docs.columns if c not in new]
-    rows = docs.select(*keep).withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")) \
-        & F.col(source_col).eqNullSafe(F.col("_source"))
+    # the row stays in one column, so its names meet none of the mix's
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row_hash"),
+                       F.col(id_col).alias("row_id"), F.col(source_col).alias("row_source"))
+    same = (F.col("row_hash") == F.col("mix_hash")) & F.col("row_id").eqNullSafe(F.col("mix_id")) \
+        & F.col("row_source").eqNullSafe(F.col("mix_source"))
     out = rows.join(d, same)
-    if not d.where("_rows > 1").isEmpty():
-        out = out.dropDuplicates([id_col, source_col, "_text_hash"])
-    return out.select(*keep, *new)
+    if not d.where("mix_rows > 1").isEmpty():
+        out = out.dropDuplicates(["row_id", "row_source", "row_hash"])
+    return out.select("row.*", *new)
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(source, '')) AS k
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(source, '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 2.0::DOUBLE * source_size AS cap,

@@ -52,3 +52,21 @@ def test_nulls_ties_empty(spark, odd_docs, no_docs):
     assert M.mix_to_weights(no_docs).collect() == []
     zero = M.mix_to_weights(docs_of(spark, [(1, "", "a"), (2, None, "b")])).collect()
     assert [(r.taken, r.target) for r in zero] == [(0, 0.0), (0, 0.0)]
+
+
+def test_rows_sharing_an_id_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("w "), F.col("id")).alias("text"),
+                                  F.lit("s").alias("source"))
+    key = F.substring(F.md5(F.concat(F.lit("17:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":s:"), F.md5("text"))), 1, 1)
+    assert df.groupBy(key.alias("k")).count().agg(F.max("count")).first()[0] < 300
+    assert M.mix_to_weights(df, rows_per_range=100).agg(F.sum("taken")).first()[0] == 9000
+
+
+def test_names_of_any_kind_are_kept(spark):
+    names = ["_id", "_source", "_hash", "_rows", "_text_hash", "row", "row_id", "mix_id", "mix_hash", "text_hash"]
+    df = docs_of(spark, [(1, "a b c", "x"), (2, "d e", "y"), (2, "d e", "y")]).selectExpr("*", *[f"{i} as {n}" for i, n in enumerate(names)])
+    out = M.mix_documents(df)
+    assert out.columns == [*df.columns, "size", "source_size", "target", "epochs", "cut_words", "taken"]
+    assert {tuple(r)[3:3 + len(names)] for r in out.collect()} == {tuple(range(len(names)))}
