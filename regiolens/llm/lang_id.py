@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regiolens.llm.common import Scratch, crc_mod, mix64, table
+from regiolens.llm.common import Scratch, crc_mod, mix64, slices, table
 
 N = 4
 PIECE = 400_000  # characters looked at together
@@ -223,9 +223,15 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                     min_score: float = 0.0) -> DataFrame:
     """The rows whose language is found: not ``und``, score ``min_score`` or more."""
-    model = train(docs, text_col=text_col, lang_col=lang_col)
-    return identify(docs, model, text_col=text_col).where(
-        (F.col("lang_pred") != "und") & (F.col("lang_score") >= min_score)).select(*[f"`{c}`" for c in docs.columns])
+    known = docs.sparkSession.sparkContext.broadcast(train(docs, text_col=text_col, lang_col=lang_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col, 4_000_000):
+            found = known.value.predict(b.column(at).cast(pa.string()).to_pylist())
+            yield b.filter(pa.array([x != "und" and s >= min_score for x, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
