@@ -13,7 +13,9 @@ can forge a mark and dropping one level of backslashes gives the text back.
 
 Defined results: null roles and texts are empty; turns sort by (turn, role,
 text), nulls first, and repeated rows stay repeated turns; rows with a null
-conversation id form one conversation with a null id; extra columns are not
+conversation id form one conversation with a null id; a conversation is one
+array in one task, so its length is bounded by memory, and many rows with a null
+id make one long conversation; extra columns, whatever their names, are not
 read; no rows give no conversations.
 """
 

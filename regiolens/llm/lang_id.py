@@ -17,7 +17,10 @@ that the slice's fill predicts; the largest corrected count wins.
 Defined results: ``und`` with score 0 for null texts and texts without a
 letter; if nothing matches, the language with most training text and score 0;
 ties go to the language with more training text, then by code point; without
-any training row everything is ``und``; other columns are not read.
+any training row everything is ``und``; repeated rows count and are judged one by
+one, null ids (remainder 0 of the hash) too; a very long text is looked at whole,
+in overlapping pieces; other columns, whatever their names, pass unread; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,10 @@ most k errors inside the window around the place and gives span and edits.
 One pass over the rows, no shuffle; the notices are a fixed parameter.
 
 Defined results: null and empty texts have no words and no hits; every input
-row gives one row; other columns are not read; null ids stay null.
+row gives one row, repeated rows too; null ids stay null; hits at one place come
+exact first, then by label; a very long text is searched whole, in time linear
+in its words and hits; other columns, whatever their names, are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,8 +15,10 @@ sees more than about ``rows_per_range`` rows.
 Defined results: null text has size 0; a null source is a source of its own,
 last in the order; empty tables give no rows; repeated rows are separate
 documents, each taken on its own (equal keys are ordered by size and text
-hash, so equal rows are interchangeable); columns of the input that clash with
-the result's are not read.
+hash, so equal rows are interchangeable); null ids are ids like any other, told
+apart by their texts; rows equal in id, source and text have one key and stay in
+one range; a very long text counts whole; columns of the input that clash with
+the result's are replaced, all others are kept whatever their names.
 """
 
 from __future__ import annotations

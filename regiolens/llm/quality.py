@@ -15,8 +15,11 @@ whatever the corpus; everything else covers all documents and whole texts.
 
 Defined results: null and empty texts are scored like any other (their only
 terms are the statistics' bands); rows with a null label are not learnt from;
-repeated label rows of an id count as many times; without labelled rows every
-score is ``no_model``; other columns are not read.
+repeated label rows of an id count as many times, and repeated documents each
+have a score; rows with a null id are scored, never learnt from; ties among the
+last neighbours go to the sample's first (by id, label, terms); a very long text
+is scored whole; without labelled rows every score is ``no_model``; other
+columns, whatever their names, pass unread; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,10 @@ the words with at least ``min_share`` of all words, so it has at most
 ``1 / min_share`` entries whatever the corpus, and is broadcast.
 
 Defined results: null and empty texts have no spans; every input row gives one
-row; other columns are not read; an empty corpus gives an empty dictionary.
+row, repeated rows and null ids too; spans at one start go by kind, equal spans
+of one kind count once; a very long text is searched whole, in linear time; other
+columns, whatever their names, pass unread; an empty corpus gives an empty
+dictionary and no rows.
 """
 
 from __future__ import annotations

@@ -21,8 +21,9 @@ neither mining nor matching grows with its length.
 
 Defined results: a null url or one without ``://`` has empty host and path, no
 tokens, no rule and the default verdict; each input row gives one row, repeated
-rows too; without labelled urls there are no mined rules; extra columns are not
-read.
+rows and null ids too; of several rules that match the surest decides, then support, length and tokens;
+without labelled urls there are no mined rules; extra columns, whatever their
+names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
