@@ -12,6 +12,10 @@ from tests.llm.test_jaccard_join import WORD, brute
 from tests.llm.test_mixing import level_targets
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def test_run_against_brute_force(spark):
     """Every stage again in plain Python, on the rows the stage before kept."""
     rows = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -40,7 +44,7 @@ def test_run_against_brute_force(spark):
     target = level_targets(dict(per), mixing.WEIGHTS)
     want = {}
     for s in per:
-        ids = sorted((i for i in sizes if rows[i].source == s), key=lambda i: hashlib.md5(f"17:{i}:{s}".encode()).hexdigest())
+        ids = sorted((i for i in sizes if rows[i].source == s), key=lambda i: md5(f"17:{i}:{s}:{md5(texts[i])}"))
         epochs, left = divmod(int(target[s] + 1e-9), per[s])
         for i in ids:
             cut = max(0, min(sizes[i], left))
