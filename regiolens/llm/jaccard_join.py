@@ -51,8 +51,8 @@ from regiolens.llm import packed
 from regiolens.llm.common import Scratch, clusters_of, mix64, read_units, rows_of, slices, table, unused
 from regiolens.llm.shingles import fingerprint, parity_sketch, sets_of, sketch_distance
 
-HUB_KEYS = 6
-HOT_PAIRS = 500
+HUB_KEYS = 2
+HOT_PAIRS = 4000
 SMALL = 1_000_000  # rows that may be broadcast; above it the same join shuffles
 FULL = 64  # sets up to this size have all their elements counted
 CLASSES = 4  # spent differences told apart in joins; the last class holds the rest
