@@ -25,8 +25,8 @@ Sets that can't reach their units (short ones) get segments of one element: of
 ``|x| // 5 + 1 - spent`` elements a partner must hold one, and the rarest are
 taken.  That always ends, with every pair found.
 
-Components come from a cheap first round: sets that share one of their smallest
-keys are verified against one hub each.  Afterwards only pairs across components
+Components come from cheap first rounds: under each of the sets' smallest keys one
+set of every component is verified against one hub.  Afterwards only pairs across components
 are verified - exactly, on the sets, after a parity sketch has ruled out those
 that provably differ too much.  Equal sets are one node all along.
 
@@ -56,6 +56,7 @@ HOT_PAIRS = 4000
 SMALL = 1_000_000  # rows that may be broadcast; above it the same join shuffles
 FULL = 64  # sets up to this size have all their elements counted
 CLASSES = 4  # spent differences told apart in joins; the last class holds the rest
+_ENTRY = "key long, fp long, n long, comp long, spent long"
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -242,25 +243,41 @@ def _fits(na: Column, sa: Column, nb: Column, sb: Column) -> Column:
     return sa + sb <= F.floor((na + nb) / 9)
 
 
-def hub_pairs(nodes: DataFrame, hub_keys: int) -> DataFrame:
-    """Sets sharing one of their smallest keys, each against one hub per key."""
+def hub_pairs(members: DataFrame, hub_keys: int, seed: int) -> DataFrame:
+    """Under each of the sets' smallest keys one set of every component, against
+    one hub: pairs grow with the components that share a key, not their square."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "elements"):
-            x = Batch(b)
-            sig = Signatures(x.sets, band_of(x.n), 0)
+            x, comp = Batch(b), b.column("comp").to_numpy()
+            sig = Signatures(x.sets, band_of(x.n), seed)
             key, at = sig.key[sig.used], sig.cell_owner[sig.used]
             order = np.lexsort((key, at))
             key, at = key[order], at[order]
             first = np.searchsorted(at, np.arange(len(x.sets)))
             keep = np.arange(len(at)) - first[at] < hub_keys
             at = at[keep]
-            yield pa.RecordBatch.from_arrays([_i64(key[keep]), _i64(x.fp[at]), _i64(x.n[at]), _i64(x.spent[at])], names=["key", "fp", "n", "spent"])
+            yield pa.RecordBatch.from_arrays([_i64(key[keep]), _i64(x.fp[at]), _i64(x.n[at]), _i64(comp[at]), _i64(x.spent[at])],
+                                             names=["key", "fp", "n", "comp", "spent"])
+
+    keyed = members.select("fp", "n", "spent", "elements", "comp").mapInArrow(run, _ENTRY)
+    one = keyed.groupBy("key", "comp").agg(F.min(F.struct("spent", "fp", "n")).alias("r"))
+    hubs = one.groupBy("key").agg(F.min(F.struct("r", "comp")).alias("h"), F.count("*").alias("c")).where("c > 1")
+    ok = (F.col("comp") != F.col("h.comp")) & _similar(F.col("r.n"), F.col("h.r.n")) & _fits(
+        F.col("r.n"), F.col("r.spent"), F.col("h.r.n"), F.col("h.r.spent"))
+    return (one.join(hubs, "key").where(ok)
+            .select(F.least("r.fp", "h.r.fp").alias("a"), F.greatest("r.fp", "h.r.fp").alias("b")).distinct())
 
-    keyed = nodes.select("fp", "n", "spent", "elements").mapInArrow(run, "key long, fp long, n long, spent long")
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("spent", "fp", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    return (keyed.join(hubs, "key").where((F.col("fp") != F.col("hub.fp")) & _similar(F.col("n"), F.col("hub.n"))
-                                          & _fits(F.col("n"), F.col("spent"), F.col("hub.n"), F.col("hub.spent")))
-            .select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct())
+
+def merged(members: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """``members`` with the components that ``links`` join made one; None where
+    there is nothing to join."""
+    comp = lambda c: members.select(F.col("fp").alias(c), F.col("comp").alias(f"c{c}"))
+    edges = scratch.store("joined", links.join(comp("a"), "a").join(comp("b"), "b").where("ca <> cb")
+                          .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if edges.isEmpty():
+        return None
+    roots = clusters_of(members.sparkSession, edges, scratch)
+    return members.join(roots, members.comp == roots.node, "left").withColumn("comp", F.coalesce("root", "comp")).drop("node", "root")
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -355,9 +372,6 @@ def _grouped(k: np.ndarray, c: np.ndarray, s: np.ndarray, n: np.ndarray, z: np.n
     return k[first], c[first], s[first], np.add.reduceat(n, first), np.maximum.reduceat(z, first)
 
 
-_ENTRY = "key long, fp long, n long, comp long, spent long"
-
-
 def lookups(members: DataFrame, hot: np.ndarray, wanted: np.ndarray | None) -> DataFrame:
     """Entries under the wanted keys (None: all but the hot ones), and one row
     without a key for each set that has too few units in a band."""
@@ -434,7 +448,7 @@ def element_pairs(members: DataFrame, short: DataFrame, scratch: Scratch, small:
     return entry_pairs(rare.drop("rank", "count"), every, False)
 
 
-def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hub_keys: int = HUB_KEYS,
+def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hub_keys: int = HUB_KEYS, hub_rounds: int = 3,
                        hot_pairs: int = HOT_PAIRS, small: int = SMALL, entries_per_part: int = 750_000,
                        unit_bytes: int = 2_000_000) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable
@@ -448,11 +462,13 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     for name in ("units", "counted", "bits"):
         scratch.drop(name)
     nodes = scratch.store("nodes", _nodes(sets, small))
-    links = scratch.store("links", verify(scratch.store("pairs", hub_pairs(nodes, hub_keys)), nodes, scratch))
-    roots = clusters_of(docs.sparkSession, links, scratch)
-    members = nodes.join(roots, nodes.fp == roots.node, "left").withColumn("comp", F.coalesce("root", "fp")).drop("node", "root")
-    members = scratch.store("members", members)
-    place = members.select("fp", "rep", "copies", "comp")
+    members = nodes.withColumn("comp", F.col("fp"))
+    for seed in range(hub_rounds):  # the same groups meet under other keys each time
+        links = verify(scratch.store("pairs", hub_pairs(members, hub_keys, seed + 2)), nodes, scratch)
+        more = merged(members, links, scratch)
+        if more is None:
+            break
+        members = scratch.store("members", more)
 
     n_entries = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     limit = float(hot_pairs)
@@ -473,12 +489,10 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     short = scratch.store("short", entries.where("key is null").select("fp").distinct())
     if not short.isEmpty():
         pairs = pairs.union(element_pairs(members, short, scratch, small)).distinct()
-    more = verify(scratch.store("pairs", pairs), members, scratch)
-    comp = lambda c: place.select(F.col("fp").alias(c), F.col("comp").alias(f"c{c}"))
-    joined = scratch.store("joined", more.join(comp("a"), "a").join(comp("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    if not joined.isEmpty():  # components of components
-        roots = clusters_of(docs.sparkSession, joined, scratch)
-        place = place.join(roots, place.comp == roots.node, "left").select("fp", "rep", "copies", F.coalesce("root", "comp").alias("comp"))
+    links = verify(scratch.store("pairs", pairs), nodes, scratch)
+    slim = members.select("fp", "rep", "copies", "comp")
+    more = merged(slim, links, scratch)
+    place = slim if more is None else more
     least = place.groupBy("comp").agg(F.min("rep").alias("component"))
     named = scratch.store("named", place.join(least, "comp").select(F.col("fp").alias("node"), "component", "copies"))
     out = scratch.store("out", sets.join(named, sets.fp == named.node, "left")
