@@ -1,8 +1,9 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage works on all rows that the stage before it kept, written as Parquet
-and read again: language identification (documents without a known language
-go), near-duplicate removal by the exact Jaccard join (one document of each
+and read again: language identification (documents in no language that the
+labels know go: no letters, nothing matched, or no language with half of what all
+languages match), near-duplicate removal by the exact Jaccard join (one document of each
 group stays), benchmark decontamination (documents holding a test item go),
 secret scan (secrets are masked in the text), and mixing the sources to their
 target weights.  All but the last return the columns of ``documents``.
@@ -21,9 +22,12 @@ from regiolens.llm.secrets import redact_secrets
 from regiolens.session import ship_package
 
 
+MIN_LANG_SCORE = 0.5  # share of the found language in what all languages match
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return keep_identified(docs)
+    return keep_identified(docs, min_score=MIN_LANG_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

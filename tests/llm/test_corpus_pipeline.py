@@ -75,3 +75,16 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs):
             if name != "mixing":
                 assert out.columns == docs.columns
             out.collect()
+
+
+def test_language_stage_drops_texts_without_a_main_language(spark):
+    """The score decides, not only whether a text has letters."""
+    en, fr = "the cat and the dog sat on the mat", "le chat et le chien dorment sous la table"
+    docs = [(1, en, "en"), (2, fr, "fr"), (3, "zzqx wwvk", None), (4, "the cat and the dog", None), (5, "12", None), (6, None, "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    # text 3 has letters but matches no language; 4 has no label and matches one
+    assert sorted(r.doc_id for r in P.language_id(spark, df, SF).collect()) == [1, 2, 4]
+    assert sorted(r.doc_id for r in lang_id.keep_identified(df).collect()) == [1, 2, 3, 4]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r.doc_id for r in lang_id.identify(docs, lang_id.train(docs)).where(f"lang_score >= {P.MIN_LANG_SCORE}").collect()}
+    assert {r.doc_id for r in P.language_id(spark, docs, SF).collect()} == found
