@@ -3,15 +3,19 @@
 PIN totals of the age columns are standardised (mean and sample std; the
 population std would only scale all distances).  Every restart starts from
 k-means++ centres (Arthur, Vassilvitskii, SODA 2007) settled on a bounded sample
-of PINs; each Lloyd step then moves the centres of all restarts in one aggregate
-over all PINs (``restarts x k`` partial sums a task), until none moves.  The
+of PINs; each Lloyd step then moves the centres of all restarts in one pass over
+all PINs, which are stored in even parts (NumPy inside the tasks, ``restarts x k``
+partial sums a task), until none moves.  The
 lowest cost wins, the first restart on ties.  Cluster ids are renumbered by their
 mean total so labels do not depend on the initialisation.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ from regiolens.session import write_table
 
 SAMPLE = 4000  # PINs the starting centres are chosen from
 STEPS = 50
+POINTS_PER_TASK = 500_000
+CHUNK = 2000  # points whose distances to all centres are held at once
 
 
 def pincode_totals(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA) -> DataFrame:
@@ -56,9 +62,36 @@ def nearest(xs: list[Column], centres: np.ndarray) -> Column:
         F.lit(j).alias("cluster")) for j, c in enumerate(centres)]))
 
 
+def moved_sums(points: DataFrame, cols: list[str], centres: np.ndarray) -> DataFrame:
+    """``start, cluster``, rows, cost and coordinate sums of the points nearest to
+    each centre of ``centres[start, cluster]`` (the first on ties); a task sends
+    one row for each of them, whatever its points."""
+    starts, k, dims = centres.shape
+    flat = centres.reshape(starts * k, dims)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, sums = np.zeros(starts * k, np.int64), np.zeros((dims + 1, starts * k))
+        for b in batches:
+            for at in range(0, b.num_rows, CHUNK):
+                x = [b.column(j).slice(at, CHUNK).to_numpy(zero_copy_only=False) for j in range(dims)]
+                far = sum((x[j] - flat[:, j, None]) ** 2 for j in range(dims)).reshape(starts, k, -1)
+                mine = far.argmin(axis=1)  # (starts, points)
+                place = (mine + np.arange(starts)[:, None] * k).ravel()
+                rows += np.bincount(place, minlength=starts * k)
+                for j, w in enumerate([far.min(axis=1).ravel(), *(np.tile(v, starts) for v in x)]):
+                    sums[j] += np.bincount(place, weights=w, minlength=starts * k)
+        some = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (some // k, some % k, rows[some], *sums[:, some])],
+                                         names=["start", "cluster", "rows", "cost", *names])
+
+    names = [f"s{j}" for j in range(dims)]
+    part = points.select(*[F.col(c).cast("double") for c in cols]).mapInArrow(
+        run, ", ".join(["start long", "cluster long", "rows long", "cost double", *[f"{c} double" for c in names]]))
+    return part.groupBy("start", "cluster").agg(*[F.sum(c).alias(c) for c in ("rows", "cost", *names)])
+
+
 def lloyd(points: DataFrame, cols: list[str], starts: list[np.ndarray], steps: int = STEPS, tol: float = 1e-6) -> tuple[float, np.ndarray]:
     """Move the centres of all starts together; the lowest cost and its centres."""
-    xs = [F.col(c) for c in cols]
     centres = [c.copy() for c in starts]
     cost = [float("inf")] * len(starts)
     moving = set(range(len(starts)))
@@ -66,15 +99,13 @@ def lloyd(points: DataFrame, cols: list[str], starts: list[np.ndarray], steps: i
         if not moving:
             break
         live = sorted(moving)
-        near = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), nearest(xs, centres[i]).alias("n")) for i in live])).alias("s")
-        got = (points.select(*cols, near).groupBy("s.start", "s.n.cluster")
-               .agg(F.count(F.lit(1)).alias("rows"), F.sum("s.n.cost").alias("cost"), *[F.sum(c).alias(c) for c in cols]).collect())
-        for i in live:
-            mine = [r for r in got if r["start"] == i]
+        got = moved_sums(points, cols, np.stack([centres[i] for i in live])).collect()
+        for at, i in enumerate(live):
+            mine = [r for r in got if r["start"] == at]
             cost[i] = sum(r["cost"] for r in mine)
             moved = centres[i].copy()
             for r in mine:  # a centre without points stays
-                moved[r["cluster"]] = [r[c] / r["rows"] for c in cols]
+                moved[r["cluster"]] = [r[f"s{j}"] / r["rows"] for j in range(len(cols))]
             if np.abs(moved - centres[i]).max() <= tol:
                 moving.discard(i)
             centres[i] = moved
@@ -100,6 +131,11 @@ def pincode_clusters(fact: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, param
     cols = [f"_x{i}" for i in range(len(ms))]
     points = pins.withColumns({c: (F.col(m) - F.lit(st[f"m{i}"])) / F.lit(st[f"s{i}"] or 1.0)
                                for i, (c, m) in enumerate(zip(cols, ms, strict=True))})
+    # the totals are one small file a few tasks wrote; every step reads them with all cores
+    spread = max(pins.sparkSession.sparkContext.defaultParallelism, st["n"] // POINTS_PER_TASK + 1)
+    points = write_table(points.repartition(spread, schema.unit), "pincode_points", stored)
+    if paths is not None:
+        paths.append(stored[-1])
     # the same PINs whatever the partitioning
     sample = points.orderBy(F.xxhash64(schema.unit, F.lit(params.seed)), schema.unit).limit(SAMPLE).select(*cols).toPandas().to_numpy()
     _, centres = lloyd(points, cols, [start_centres(sample, k, params.seed + i) for i in range(n)])

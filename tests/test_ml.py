@@ -149,3 +149,31 @@ def test_clusters_do_not_depend_on_partitioning(spark):
     a, b = (sorted(tuple(r) for r in C.pincode_clusters(f, params=Params(n_clusters=4), restarts=4).collect())
             for f in (fact, fact.repartition(6)))
     assert a == b
+
+
+def test_lloyd_step_sums_against_numpy(spark):
+    """One pass gives every start's sums, ties to the first centre, a bounded result a task."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 20, size=(5000, 2)).astype(float)
+    centres = rng.integers(0, 20, size=(3, 4, 2)).astype(float)
+    centres[2, 3] = centres[2, 1]  # an exact tie
+    pts = spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double").repartition(7)
+    got = {(r["start"], r["cluster"]): (r["rows"], r["cost"], r["s0"], r["s1"]) for r in C.moved_sums(pts, ["a", "b"], centres).collect()}
+    want = {}
+    for i, c in enumerate(centres):
+        far = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        for j in set(far.argmin(axis=1)):
+            mine = far.argmin(axis=1) == j
+            want[i, j] = (mine.sum(), far[mine, j].sum(), *x[mine].sum(axis=0))
+    assert got == want and (2, 3) not in got
+
+
+def test_lloyd_steps_read_points_in_even_parts(spark):
+    """The totals are so small that one task may write them; the steps must still use all cores."""
+    rng = np.random.default_rng(6)
+    rows = [(i, d(2025, 1, 1), "A", "B", 100000 + i, *(int(v) for v in rng.integers(1, 900, 3))) for i in range(2000)]
+    paths = []
+    C.pincode_clusters(derive_columns(spark.createDataFrame(rows, FACT_DDL)), params=Params(n_clusters=3), restarts=2, paths=paths)
+    per = spark.read.parquet(paths[-1]).selectExpr("input_file_name() f").groupBy("f").count().collect()
+    assert len(per) == spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in per) < 2 * 2000 / len(per)
