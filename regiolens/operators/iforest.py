@@ -16,8 +16,8 @@ Algorithm: Liu, Ting, Zhou, "Isolation Forest", ICDM 2008.
    group (random feature, random split inside the node's range, height limit
    ``ceil(log2 psi)``), returning its nodes.
 3. Scoring: the forest (at most trees x (2*psi - 1) nodes, bounded by the
-   parameters) is collected once and broadcast; a pandas UDF walks all trees
-   level by level with NumPy and gives the score as a column of the row.
+   parameters) is collected once, laid out level by level and broadcast; a pandas
+   UDF walks all trees with NumPy and gives the score as a column of the row.
 4. Flag: score below the ``contamination`` percentile of all scores, found by
    counting scores in fixed ranges and narrowing down to the exact ranks.
 
@@ -166,43 +166,51 @@ def fit_forest(df: DataFrame, features: Sequence[str], params: Params = DEFAULT_
     return out
 
 
-def _forest_arrays(nodes: pd.DataFrame):
-    trees = int(nodes["tree"].max()) + 1
-    width = int(nodes["node"].max()) + 1
-    shape = (trees, width)
-    feat = np.full(shape, -1, dtype=np.int32)
-    thr = np.zeros(shape)
-    left = np.full(shape, -1, dtype=np.int32)
-    right = np.full(shape, -1, dtype=np.int32)
-    leaf_len = np.zeros(shape)
+def _forest_arrays(nodes: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """The forest level by level: features and thresholds ``[tree, place]`` of each
+    level, and the path length at each place below the last.  A row left of the
+    threshold at place ``p`` goes to ``2 p + 1``, else to ``2 p``; a leaf above the
+    last level hands its rows down (to the right of a threshold none is left of)."""
+    trees, width = int(nodes["tree"].max()) + 1, int(nodes["node"].max()) + 1
+    feature, left, right = (np.full((trees, width), -1, dtype=np.int64) for _ in range(3))
+    threshold, leaf_len = np.zeros((trees, width)), np.zeros((trees, width))
     t, nd = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
-    feat[t, nd] = nodes["feature"].to_numpy()
-    thr[t, nd] = nodes["threshold"].to_numpy()
-    left[t, nd] = nodes["left"].to_numpy()
-    right[t, nd] = nodes["right"].to_numpy()
+    for a, c in ((feature, "feature"), (threshold, "threshold"), (left, "left"), (right, "right")):
+        a[t, nd] = nodes[c].to_numpy()
     leaf_len[t, nd] = nodes["depth"].to_numpy() + c_factor(nodes["size"].to_numpy())
-    return feat, thr, left, right, leaf_len
-
-
-def path_lengths(x: np.ndarray, arrays) -> np.ndarray:
-    """Mean path length of each row of ``x`` over all trees (vectorised)."""
-    feat, thr, left, right, leaf_len = arrays
-    trees = feat.shape[0]
+    tree, at = np.arange(trees)[:, None], np.zeros((trees, 1), dtype=np.int64)
+    features, thresholds = [], []
+    while (inner := feature[tree, at] >= 0).any():
+        features.append(np.where(inner, feature[tree, at], 0))
+        thresholds.append(np.where(inner, threshold[tree, at], -np.inf))
+        below = np.where(inner, right[tree, at], at), np.where(inner, left[tree, at], at)
+        at = np.stack(below, axis=2).reshape(trees, -1)
+    return features, thresholds, leaf_len[tree, at]
+
+
+def path_lengths(x: np.ndarray, arrays, chunk: int = 10_000) -> np.ndarray:
+    """Mean path length of each row of ``x`` over all trees: ``chunk`` rows, which
+    stay in the processor's cache, take one step at a time down every tree."""
+    features, thresholds, leaf_len = arrays
     total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for t in range(trees):
-        node = np.zeros(len(x), dtype=np.int32)
-        while True:
-            f = feat[t, node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            fi = np.where(inner, f, 0)
-            go_left = x[rows, fi] < thr[t, node]
-            nxt = np.where(go_left, left[t, node], right[t, node])
-            node = np.where(inner, nxt, node)
-        total += leaf_len[t, node]
-    return total / trees
+    for a in range(0, len(x), chunk):
+        part = np.ascontiguousarray(x[a:a + chunk])
+        flat, first = part.ravel(), np.arange(len(part)) * part.shape[1]
+        place, at = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+        value, edge, go_left = np.empty(len(part)), np.empty(len(part)), np.empty(len(part), bool)
+        for t in range(len(leaf_len)):
+            place[:] = 0
+            for f, thr in zip(features, thresholds, strict=True):
+                # mode="clip" only spares a copy: every place is in range
+                f[t].take(place, out=at, mode="clip")
+                at += first
+                flat.take(at, out=value, mode="clip")
+                thr[t].take(place, out=edge, mode="clip")
+                np.less(value, edge, out=go_left)
+                place += place
+                place += go_left
+            total[a:a + chunk] += leaf_len[t].take(place, out=edge, mode="clip")
+    return total / len(leaf_len)
 
 
 def isolation_forest(df: DataFrame, schema: FactSchema = DEFAULT_SCHEMA, params: Params = DEFAULT_PARAMS,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from regiolens.operators import cluster as C
@@ -177,3 +178,27 @@ def test_lloyd_steps_read_points_in_even_parts(spark):
     per = spark.read.parquet(paths[-1]).selectExpr("input_file_name() f").groupBy("f").count().collect()
     assert len(per) == spark.sparkContext.defaultParallelism
     assert max(r["count"] for r in per) < 2 * 2000 / len(per)
+
+
+def test_path_lengths_against_a_plain_walk():
+    """Level-wise steps end in the leaf that the node table leads to, in every chunk,
+    and need a fixed number of array steps for a chunk however deep its rows go."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 40, size=(700, 3)).astype(float)
+    x[:5] = x[5]  # equal rows end above the height limit
+    trees = [IF.grow_tree(x[rng.choice(700, 64, replace=False)], t, 3, 6) for t in range(12)]
+    trees.append(IF.grow_tree(x[:5], 12, 3, 6))  # a single leaf
+    arrays = IF._forest_arrays(pd.concat(trees))
+
+    def walk(row, nodes):
+        by = {n.node: n for n in nodes.itertuples()}
+        n = by[0]
+        while n.feature >= 0:
+            n = by[n.left if row[n.feature] < n.threshold else n.right]
+        return n.depth + float(IF.c_factor(np.array([n.size]))[0])
+
+    want = [np.mean([walk(r, nodes) for nodes in trees]) for r in x[:60]]
+    assert IF.path_lengths(x[:60], arrays) == pytest.approx(want, abs=1e-12)
+    assert (IF.path_lengths(x, arrays, chunk=64) == IF.path_lengths(x, arrays)).all()
+    assert [f.shape for f in arrays[0]] == [(13, 2**level) for level in range(len(arrays[0]))] and len(arrays[0]) <= 6
+    assert len(IF.path_lengths(x[:0], arrays)) == 0
