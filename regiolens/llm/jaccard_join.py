@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiolens.llm import packed
-from regiolens.llm.common import Scratch, clusters_of, mix64, read_units, rows_of, slices, table, unused
+from regiolens.llm.common import Scratch, clusters_of, lean, mix64, read_units, rows_of, slices, table, unused
 from regiolens.llm.shingles import fingerprint, parity_sketch, sets_of, sketch_distance
 
 HUB_KEYS = 2
@@ -448,6 +448,7 @@ def element_pairs(members: DataFrame, short: DataFrame, scratch: Scratch, small:
     return entry_pairs(rare.drop("rank", "count"), every, False)
 
 
+@lean
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hub_keys: int = HUB_KEYS, hub_rounds: int = 3,
                        hot_pairs: int = HOT_PAIRS, small: int = SMALL, entries_per_part: int = 750_000,
                        unit_bytes: int = 2_000_000) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from regiolens.llm import jaccard_join as J
 from regiolens.llm.common import LEAN, Scratch
 
 
@@ -26,6 +27,17 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert {k: spark.conf.get(k, None) for k in LEAN} == settings
 
 
+def test_similar_components_leave_no_shuffle_files(spark):
+    """Every step's shuffle files went with the step, whatever the rounds."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 40}x{j}" for j in range(60)) + f" end{i}") for i in range(120)], "doc_id long, text string")
+    docs = docs.repartition(4)
+    before, settings = shuffle_files(spark), {k: spark.conf.get(k, None) for k in LEAN}
+    out = J.similar_components(docs)
+    after = shuffle_files(spark) - before
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: i % 40 for i in range(120)}
+    assert not after and {k: spark.conf.get(k, None) for k in LEAN} == settings
+
+
 def test_batches_of_long_rows_are_small(spark):
     """Rows of a megabyte reach Python a few at a time."""
     def sizes(batches):
