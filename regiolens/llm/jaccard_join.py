@@ -8,7 +8,8 @@ partner, and no more than a fifth of a set may be differences.  All elements of
 small sets, and those of a fixed part of the universe of large ones, are counted
 (packed, one entry a unit of rows); sets with too many lone elements have no
 partner and go no further.  The others leave their known lone elements out, and
-what they ``spent`` that way is taken off their budget.
+what they ``spent`` that way is taken off their budget.  The distinct sets that are left are
+then counted once more, all their elements and each set once whatever its copies.
 
 Universe partition.  Each band hashes the universe into segments.  A segment may
 be used exactly (one unit: its two subsets are equal) or with its one-deletion
@@ -26,8 +27,10 @@ Sets that can't reach their units (short ones) get segments of one element: of
 taken.  That always ends, with every pair found.
 
 Components come from cheap first rounds: under each of the sets' smallest keys one
-set of every component is verified against one hub.  Afterwards only pairs across components
-are verified - exactly, on the sets, after a parity sketch has ruled out those
+set of every component is verified against one hub.  Sets under keys that still stand
+for more than ``BUSY`` pairs learn their distance to one pivot; with the lone elements
+this bounds the distance of any two of a pivot from below, so those around one text
+meet only where they can be similar.  Afterwards only pairs across components are verified - exactly, on the sets, after a parity sketch has ruled out those
 that provably differ too much.  Equal sets are one node all along.
 
 Defined results: null, empty and blank texts have the empty set, are linked
@@ -53,10 +56,13 @@ from regiolens.llm.shingles import fingerprint, parity_sketch, sets_of, sketch_d
 
 HUB_KEYS = 2
 HOT_PAIRS = 4000
+BUSY = 64  # pairs of a key above which its sets are compared with a pivot first
 SMALL = 1_000_000  # rows that may be broadcast; above it the same join shuffles
 FULL = 64  # sets up to this size have all their elements counted
 CLASSES = 4  # spent differences told apart in joins; the last class holds the rest
 _ENTRY = "key long, fp long, n long, comp long, spent long"
+_PLACED = f"{_ENTRY}, pivot long, far long, near long"
+_SETS = ["fp", "n", "spent", "elements", "comp", "pivot", "far", "near"]
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -224,6 +230,58 @@ def _nodes(sets: DataFrame, small: int) -> DataFrame:
     return alive.join(rep, ["unit", "at"]).select("fp", F.col("id").alias("rep"), "n", "spent", "elements", "sketch", "copies")
 
 
+_NODE = ["fp", "rep", "n", "spent", "elements", "sketch", "copies"]
+
+
+def bundled(nodes: DataFrame, unit_bytes: int) -> DataFrame:
+    """Nodes in units of about ``unit_bytes`` of elements, a row a unit."""
+    from pyspark import TaskContext
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, b in enumerate(slices(batches, "elements", unit_bytes)):
+            ends = pa.array([0, b.num_rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([first + k]), *[pa.ListArray.from_arrays(ends, c) for c in b.columns]], names=["unit", *_NODE])
+
+    return nodes.select(*_NODE).mapInArrow(run, "unit long, fp array<long>, rep array<long>, n array<long>, spent array<long>, "
+                                                "elements array<binary>, sketch array<binary>, copies array<long>")
+
+
+def _bundle_elements(r: dict) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, np.uint64) for x in r["elements"]])
+
+
+def bundles_counted(bundles: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in rows_of(b):
+                keys, n = np.unique(_bundle_elements(r), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"unit": [r["unit"]], "keys": [keys.tobytes()], "vals": [packed.pack_ints(np.minimum(n, 2))]})
+
+    return bundles.select("unit", "elements").mapInArrow(run, "unit long, keys binary, vals binary")
+
+
+def thinned(bundles: DataFrame, bits: DataFrame, size: int) -> DataFrame:
+    """The nodes without the elements that no other node holds, which count as
+    spent; no elements where too many are lone for a partner."""
+    schema = pa.schema([(c, pa.binary() if c in ("elements", "sketch") else pa.int64()) for c in _NODE])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in rows_of(b):
+                every = _bundle_elements(r)
+                several = packed.answered(r["bits"])[np.unique(every, return_inverse=True)[1]]
+                end = np.cumsum([len(x) // 8 for x in r["elements"]]).tolist()
+                spent, left = [], []
+                for i, j, n, before in zip([0, *end], end, r["n"], r["spent"], strict=False):
+                    spent.append(before + j - i - int(several[i:j].sum()))
+                    left.append(every[i:j][several[i:j]].tobytes() if spent[-1] <= n // 5 else None)
+                yield pa.RecordBatch.from_pydict({**{c: r[c] for c in _NODE}, "spent": spent, "elements": left}, schema=schema)
+
+    return packed.with_answers(bundles, bits, size).mapInArrow(
+        run, "fp long, rep long, n long, spent long, elements binary, sketch binary, copies long")
+
+
 class Batch:
     """Sets of a batch of nodes or members."""
 
@@ -239,8 +297,9 @@ def _similar(a: Column, b: Column) -> Column:
 
 
 def _fits(na: Column, sa: Column, nb: Column, sb: Column) -> Column:
-    """Whether the spent differences are within a pair's budget."""
-    return sa + sb <= F.floor((na + nb) / 9)
+    """Whether the spent differences are within a pair's budget: each set has its
+    own ones, and as many more or fewer on the other side as their sizes differ."""
+    return F.greatest(2 * sa + nb - na, 2 * sb + na - nb) <= F.floor((na + nb) / 9)
 
 
 def hub_pairs(members: DataFrame, hub_keys: int, seed: int) -> DataFrame:
@@ -314,13 +373,13 @@ def key_costs(members: DataFrame, parts: int, limit: float, flush: int = 400_000
         size = 0
 
         def out() -> pa.RecordBatch:
-            k, c, s, n, z = _grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            k, c, s, n, z, y = _grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
             cut = packed.split(k, parts)
             full = [i for i in range(parts) if cut[i] < cut[i + 1]]
-            blobs = [[a[cut[i]:cut[i + 1]].tobytes() for i in full] for a in (k, c, s, n, z)]
+            blobs = [[a[cut[i]:cut[i + 1]].tobytes() for i in full] for a in (k, c, s, n, z, y)]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]],
-                                              names=["part", "k", "c", "s", "n", "z"])
+                                              names=["part", "k", "c", "s", "n", "z", "y"])
 
         for b in slices(batches, "elements"):
             x, comp = Batch(b), b.column("comp").to_numpy()
@@ -330,7 +389,8 @@ def key_costs(members: DataFrame, parts: int, limit: float, flush: int = 400_000
                 spent = x.spent[row] + more
                 keep = spent <= x.n[row] // 4
                 row = row[keep]
-                held.append((key[keep], comp[row], spent[keep].astype(np.int32), np.ones(len(row), np.int32), x.n[row].astype(np.int32)))
+                sizes = x.n[row].astype(np.int32)
+                held.append((key[keep], comp[row], spent[keep].astype(np.int32), np.ones(len(row), np.int32), sizes, sizes))
                 size += len(row)
                 if size >= flush:
                     yield out()
@@ -339,8 +399,8 @@ def key_costs(members: DataFrame, parts: int, limit: float, flush: int = 400_000
             yield out()
 
     def combine(t: pa.Table) -> pa.Table:
-        k, c, s, n, z = _grouped(*(np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()]) for name, kind in
-                                   (("k", np.uint64), ("c", np.int64), ("s", np.int32), ("n", np.int32), ("z", np.int32))))
+        k, c, s, n, z, y = _grouped(*(np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()]) for name, kind in
+                                      (("k", np.uint64), ("c", np.int64), ("s", np.int32), ("n", np.int32), ("z", np.int32), ("y", np.int32))))
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         inside = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
         per = np.add.reduceat(n.astype(np.float64), inside)  # rows of a component under a key
@@ -351,36 +411,39 @@ def key_costs(members: DataFrame, parts: int, limit: float, flush: int = 400_000
         for i in np.flatnonzero(cost > limit):
             rows = slice(end[i], end[i + 1])
             by = np.bincount(np.minimum(s[rows], 63), weights=n[rows], minlength=64)
-            most = 2 * int(z[rows].max()) // 9
+            large, least = int(z[rows].max()), int(y[rows].min())
+            most = 2 * large // 9
+            by[(most + large - least) // 2 + 1:] = 0  # as far as sizes can differ here, these fit no pair
             upto = np.cumsum(by)
             cost[i] = min(cost[i], sum(by[j] * upto[min(most - j, 63)] for j in range(64) if by[j] and most >= j) / 2)
         many = comps > 1
         return pa.table({"key": _i64(k[first][many]), "cost": pa.array(cost[many])})
 
     cols = members.select("fp", "n", "spent", "elements", "comp")
-    return (cols.mapInArrow(emit, "part int, k binary, c binary, s binary, n binary, z binary")
+    return (cols.mapInArrow(emit, "part int, k binary, c binary, s binary, n binary, z binary, y binary")
             .groupBy("part").applyInArrow(combine, "key long, cost double"))
 
 
-def _grouped(k: np.ndarray, c: np.ndarray, s: np.ndarray, n: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (key, component, spent), sorted by them, with summed counts and the greatest size."""
+def _grouped(k: np.ndarray, c: np.ndarray, s: np.ndarray, n: np.ndarray, z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, component, spent), sorted by them, with summed counts, the greatest and the least size."""
     order = np.lexsort((s, c, k))
-    k, c, s, n, z = (x[order] for x in (k, c, s, n, z))
+    k, c, s, n, z, y = (x[order] for x in (k, c, s, n, z, y))
     if not len(k):
-        return k, c, s, n, z
+        return k, c, s, n, z, y
     first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])]))
-    return k[first], c[first], s[first], np.add.reduceat(n, first), np.maximum.reduceat(z, first)
+    return k[first], c[first], s[first], np.add.reduceat(n, first), np.maximum.reduceat(z, first), np.minimum.reduceat(y, first)
 
 
 def lookups(members: DataFrame, hot: np.ndarray, wanted: np.ndarray | None) -> DataFrame:
-    """Entries under the wanted keys (None: all but the hot ones), and one row
-    without a key for each set that has too few units in a band."""
+    """Entries of ``placed`` sets under the wanted keys (None: all but the hot ones), and
+    one row without a key for each set that has too few units in a band."""
     known = members.sparkSession.sparkContext.broadcast((hot, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, wanted = known.value
         for b in slices(batches, "elements"):
-            x, comp = Batch(b), b.column("comp").to_numpy()
+            x, rest = Batch(b), [b.column(c).to_numpy() for c in ("pivot", "far", "near")]
+            comp = b.column("comp").to_numpy()
             for own, band, need in _lookups(x.n):
                 if not len(own):
                     continue
@@ -393,9 +456,61 @@ def lookups(members: DataFrame, hot: np.ndarray, wanted: np.ndarray | None) -> D
                 rows = np.concatenate([row, few])
                 yield pa.RecordBatch.from_arrays([
                     pa.concat_arrays([_i64(key[keep]), pa.nulls(len(few), pa.int64())]), _i64(x.fp[rows]), _i64(x.n[rows]), _i64(comp[rows]),
-                    _i64(np.concatenate([spent[keep], x.spent[few]]))], names=["key", "fp", "n", "comp", "spent"])
+                    _i64(np.concatenate([spent[keep], x.spent[few]])), *[_i64(c[rows]) for c in rest]],
+                    names=["key", "fp", "n", "comp", "spent", "pivot", "far", "near"])
+
+    return members.select(*_SETS).mapInArrow(run, _PLACED)
+
+
+# --- distances to pivots -------------------------------------------------------------
+
+def placed(members: DataFrame, pivots: DataFrame | None) -> DataFrame:
+    """``members`` with their ``pivots(fp, pivot, far, near)``, or each its own pivot.
 
-    return members.select("fp", "n", "spent", "elements", "comp").mapInArrow(run, _ENTRY)
+    x with s lone elements and, without them, the distance d to the pivot has ``far`` =
+    s + d and ``near`` = s - d.  Two sets of a pivot differ in both's lone elements and
+    in |d - d'| more: the greater of far + near' and near + far'."""
+    known = pivots is not None
+    got = members.join(pivots, "fp", "left") if known else members
+    own = {"pivot": F.col("fp"), "far": 2 * F.col("spent"), "near": F.lit(0).cast("long")}
+    return got.withColumns({c: F.coalesce(c, x) if known else x for c, x in own.items()})
+
+
+def pivots_of(members: DataFrame, busy: np.ndarray, nodes: DataFrame) -> DataFrame:
+    """Each set under a busy key, and the least spent of these keys' hubs: one exact
+    comparison a set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(slices(batches, "xa", 4_000_000), "xb", 4_000_000):
+            n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                 for x, y in zip(b.column("xa").to_pylist(), b.column("xb").to_pylist(), strict=True)]
+            apart = b.column("na").to_numpy() + b.column("nb").to_numpy() - 2 * np.array(n, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), _i64(apart), _i64(2 * b.column("sa").to_numpy() - apart)],
+                                             names=["fp", "pivot", "far", "near"])
+
+    keyed = lookups(placed(members, None), np.zeros(0, np.uint64), busy).where("key is not null")
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("spent", "fp")).alias("h")).select("key", "h.*").toArrow()  # one row a busy key
+    key, spent, fp = (hubs.column(c).to_numpy() for c in ("key", "spent", "fp"))
+    order = np.argsort(key.view(np.uint64))
+    known = members.sparkSession.sparkContext.broadcast((key.view(np.uint64)[order], spent[order], fp[order]))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, spent, fp = known.value
+        for b in slices(batches, "elements"):
+            x = Batch(b)
+            for own, band, _ in _lookups(x.n):
+                under, at, _ = Signatures([x.sets[i] for i in own], band, 1).entries()
+                keep = _member(under, key)
+                hub, row = np.searchsorted(key, under[keep]), own[at[keep]]
+                first = np.lexsort((fp[hub], spent[hub], row))
+                row, at = np.unique(row[first], return_index=True)
+                hub = hub[first[at]]
+                yield pa.RecordBatch.from_arrays([_i64(x.fp[row]), _i64(spent[hub]), _i64(fp[hub])], names=["fp", "spent", "b"])
+
+    chosen = (members.select("fp", "n", "spent", "elements").mapInArrow(choose, "fp long, spent long, b long")
+              .groupBy("fp").agg(F.min(F.struct("spent", "b"))["b"].alias("b")).where("fp <> b"))
+    a = nodes.select("fp", F.col("n").alias("na"), F.col("spent").alias("sa"), F.col("elements").alias("xa"))
+    b = nodes.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("xb"))
+    return chosen.join(a, "fp").join(b, "b").withColumnRenamed("fp", "a").mapInArrow(run, "fp long, pivot long, far long, near long")
 
 
 def _class() -> Column:
@@ -408,11 +523,14 @@ def entry_pairs(asking: DataFrame, answering: DataFrame, both_ask: bool) -> Data
     that cannot fit never meet.  Where both sides ask, each pair is met once."""
     room = F.floor(F.col("n") / 4) - F.col("spent")  # differences left for any partner
     top = F.least(_class(), room) if both_ask else F.least(F.lit(CLASSES), room)
+    place = lambda side: [F.col(c).alias(f"{c}{side}") for c in ("pivot", "far", "near")]
     x = asking.where(room >= 0).select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("spent").alias("sa"),
-                                       _class().alias("cla"), F.explode(F.sequence(F.lit(0).cast("long"), top.cast("long"))).alias("class"))
+                                       *place("a"), _class().alias("cla"), F.explode(F.sequence(F.lit(0).cast("long"), top.cast("long"))).alias("class"))
     y = answering.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("spent").alias("sb"),
-                         _class().cast("long").alias("class"))
+                         *place("b"), _class().cast("long").alias("class"))
     ok = (F.col("ca") != F.col("cb")) & _similar(F.col("na"), F.col("nb")) & _fits(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))
+    apart = F.greatest(F.col("fara") + F.col("nearb"), F.col("neara") + F.col("farb"))
+    ok = ok & ((F.col("pivota") != F.col("pivotb")) | (apart <= F.floor((F.col("na") + F.col("nb")) / 9)))
     if both_ask:
         ok = ok & ((F.col("cla") > F.col("class")) | (F.col("a") < F.col("b")))
     return x.join(y, ["key", "class"]).where(ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -421,26 +539,27 @@ def entry_pairs(asking: DataFrame, answering: DataFrame, both_ask: bool) -> Data
 def element_pairs(members: DataFrame, short: DataFrame, scratch: Scratch, small: int) -> DataFrame:
     """Pairs of the short sets by segments of one element: of any ``n // 5 + 1 -
     spent`` elements of a set a partner holds one, and the rarest are asked for."""
-    cols = members.select("fp", "n", "spent", "elements", "comp")
+    cols = members.select(*_SETS)
 
     def spread(batches: Iterator[pa.RecordBatch], asked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "elements"):
-            x, comp = Batch(b), b.column("comp").to_numpy()
+            x, rest = Batch(b), [b.column(c).to_numpy() for c in ("pivot", "far", "near")]
+            comp = b.column("comp").to_numpy()
             key = np.concatenate(x.sets) if x.sets else np.zeros(0, np.uint64)
             row = np.repeat(np.arange(len(x.sets)), [len(s) for s in x.sets])
             if asked is not None:
                 keep = _member(key, asked)
                 key, row = key[keep], row[keep]
-            yield pa.RecordBatch.from_arrays([_i64(key), _i64(x.fp[row]), _i64(x.n[row]), _i64(comp[row]), _i64(x.spent[row])],
-                                             names=["key", "fp", "n", "comp", "spent"])
+            yield pa.RecordBatch.from_arrays([_i64(key), _i64(x.fp[row]), _i64(x.n[row]), _i64(comp[row]), _i64(x.spent[row]),
+                                              *[_i64(c[row]) for c in rest]], names=["key", "fp", "n", "comp", "spent", "pivot", "far", "near"])
 
-    mine = scratch.store("short_elements", cols.join(short, "fp", "left_semi").mapInArrow(lambda b: spread(b, None), _ENTRY))
+    mine = scratch.store("short_elements", cols.join(short, "fp", "left_semi").mapInArrow(lambda b: spread(b, None), _PLACED))
     keys = mine.select("key").distinct()
     if keys.count() <= small:
         asked = members.sparkSession.sparkContext.broadcast(_sorted_keys(keys))
-        every = cols.mapInArrow(lambda b: spread(b, asked.value), _ENTRY)
+        every = cols.mapInArrow(lambda b: spread(b, asked.value), _PLACED)
     else:
-        every = cols.mapInArrow(lambda b: spread(b, None), _ENTRY).join(keys, "key", "left_semi")
+        every = cols.mapInArrow(lambda b: spread(b, None), _PLACED).join(keys, "key", "left_semi")
     every = scratch.store("elements", every)
     freq = every.groupBy("key").count()
     rank = F.row_number().over(Window.partitionBy("fp").orderBy("count", "key"))  # the elements of one set
@@ -462,8 +581,14 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sets = scratch.store("sets", described(units, bits, total // 8))
     for name in ("units", "counted", "bits"):
         scratch.drop(name)
-    nodes = scratch.store("nodes", _nodes(sets, small))
-    members = nodes.withColumn("comp", F.col("fp"))
+    # copies hold each other's elements: what is lone among distinct sets shows only now
+    bundles = scratch.store("bundles", bundled(_nodes(sets, small), 2 * unit_bytes), **{"parquet.block.size": str(16 << 20)})
+    total = bundles.agg(F.sum(F.aggregate("elements", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
+    bits = scratch.store("bits", packed.answer(packed.deal(bundles_counted(bundles), packed.parts_for(total // 8)), _more_than_one))
+    nodes = scratch.store("nodes", thinned(bundles, bits, total // 64))
+    for name in ("bundles", "bits"):
+        scratch.drop(name)
+    members = nodes.where("elements is not null").withColumn("comp", F.col("fp"))
     for seed in range(hub_rounds):  # the same groups meet under other keys each time
         links = verify(scratch.store("pairs", hub_pairs(members, hub_keys, seed + 2)), nodes, scratch)
         more = merged(members, links, scratch)
@@ -473,15 +598,14 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     n_entries = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     limit = float(hot_pairs)
-    costs = scratch.store("costs", key_costs(members, int(0.7 * n_entries // entries_per_part) + 1, limit))
-    count_hot = lambda: costs.agg(F.count("*"), F.sum((F.col("cost") > limit).cast("int"))).first()
-    found = count_hot()
-    while found[1] and found[1] > small:  # more hot keys than may be broadcast: fewer are left out
-        limit = max(8 * limit, 1.0)
-        found = count_hot()
-    hot = _sorted_keys(costs.where(F.col("cost") > limit))
+    costs = scratch.store("costs", key_costs(members, int(0.7 * n_entries // entries_per_part) + 1, min(limit, float(BUSY))))
+    busy, _ = _above(costs, float(BUSY), small)
+    pivots = scratch.store("pivots", pivots_of(members, busy, nodes)) if len(busy) else None
+    members = scratch.store("members", placed(members, pivots))
+    hot, limit = _above(costs, limit, small)
+    found = costs.count()
     kept = costs.where(F.col("cost") <= limit)
-    wanted = _sorted_keys(kept) if found[0] <= small else None
+    wanted = _sorted_keys(kept) if found <= small else None
     entries = scratch.store("entries", lookups(members, hot, wanted))
     e = entries.where("key is not null")
     if wanted is None:
@@ -493,7 +617,8 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links = verify(scratch.store("pairs", pairs), nodes, scratch)
     slim = members.select("fp", "rep", "copies", "comp")
     more = merged(slim, links, scratch)
-    place = slim if more is None else more
+    alone = nodes.where("elements is null").select("fp", "rep", "copies", F.col("fp").alias("comp"))
+    place = (slim if more is None else more).select(*slim.columns).union(alone)
     least = place.groupBy("comp").agg(F.min("rep").alias("component"))
     named = scratch.store("named", place.join(least, "comp").select(F.col("fp").alias("node"), "component", "copies"))
     out = scratch.store("out", sets.join(named, sets.fp == named.node, "left")
@@ -506,6 +631,14 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out
 
 
+def _above(costs: DataFrame, limit: float, small: int) -> tuple[np.ndarray, float]:
+    """The keys that cost more than ``limit``, and that limit: raised where there
+    are more of them than may be broadcast."""
+    while costs.where(F.col("cost") > limit).count() > small:
+        limit = max(8 * limit, 1.0)
+    return _sorted_keys(costs.where(F.col("cost") > limit)), limit
+
+
 def _sorted_keys(keys: DataFrame) -> np.ndarray:
     """Keys of a table checked to be small, sorted as unsigned numbers."""
     got = keys.select("key").toArrow().column("key").to_numpy()  # eight bytes a key, no row objects

@@ -190,6 +190,59 @@ def test_texts_of_one_common_line(spark):
     assert sum(seen) < 30 * len(rows)
 
 
+def test_near_copies_around_one_text(spark):
+    """Edits of one text, some too far from all others, some twice there: links all found, pairs few."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 700):
+        w = list(base)
+        for at in rng.sample(range(150), 1 + i % 5):
+            w[at] = f"own{rng.randrange(10**9)}" if rng.random() < 0.8 else f"few{rng.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, t) for i, t in rows[::7]]
+    sets = [plain_set(t) for _, t in rows]
+    seen = []
+    verify = J.verify
+
+    def counting(pairs, *rest):
+        seen.append(pairs.count())
+        return verify(pairs, *rest)
+
+    J.verify = counting
+    try:
+        got = {r.doc_id: r.component_id for r in J.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    finally:
+        J.verify = verify
+    assert got == brute_small(rows, sets)
+    assert len(set(got.values())) > 100 and sum(seen) < 50 * len(rows)
+
+
+def test_bounds_hold_for_every_similar_pair():
+    """No similar pair is ruled out by lone elements, sizes or a pivot."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(120) < rng.uniform(0.8, 1)], rng.integers(0, 2**62, rng.integers(0, 15), dtype=np.uint64)]))
+            for _ in range(60)]
+    keys, held = np.unique(np.concatenate(sets), return_counts=True)
+    lone = [int((held[np.searchsorted(keys, s)] == 1).sum()) for s in sets]
+    apart = lambda x, y: len(np.setxor1d(x, y))
+    met = 0
+    for p in range(0, 60, 7):
+        d = [apart(s, sets[p]) for s in sets]
+        far = [2 * lone[i] if i == p else d[i] for i in range(60)]
+        near = [0 if i == p else 2 * lone[i] - d[i] for i in range(60)]
+        for i in range(60):
+            for j in range(i):
+                x, y = sets[i], sets[j]
+                if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
+                    met += 1
+                    most = (len(x) + len(y)) // 9
+                    assert max(2 * lone[i] + len(y) - len(x), 2 * lone[j] + len(x) - len(y)) <= apart(x, y) <= most
+                    assert max(far[i] + near[j], near[i] + far[j]) <= apart(x, y)
+    assert met > 200
+
+
 def brute_small(rows, sets):
     """Components over all pairs of the same or neighbouring sizes, without a token index."""
     root = {i: i for i, _ in rows}
