@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiolens.llm.common import slices, table
+from regiolens.llm.common import releasing, slices, table
 
 CHARS_PER_EDIT = 16
 MIN_WORDS = 5
@@ -167,6 +167,7 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
         normal = [(r["item_id"], t) for r in rows if (t := normalise(r["text"]))]
         known = spark.sparkContext.broadcast((normal, chars_per_edit, min_words))
 
+        @releasing
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(*known.value)
             for b in batches:
@@ -196,6 +197,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
         long = [(0, t) for t in normal if t.count(" ") >= min_words - 1]
         known = docs.sparkSession.sparkContext.broadcast((long, chars_per_edit, min_words))
 
+        @releasing
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(*known.value)
             for b in slices(batches, text_col, 4_000_000):

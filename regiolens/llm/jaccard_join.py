@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiolens.llm import packed
-from regiolens.llm.common import Scratch, clusters_of, lean, mix64, read_units, rows_of, slices, table, unused
+from regiolens.llm.common import Scratch, clusters_of, lean, mix64, read_units, releasing, releasing_group, rows_of, slices, table, unused
 from regiolens.llm.shingles import fingerprint, parity_sketch, sets_of, sketch_distance
 
 HUB_KEYS = 2
@@ -182,6 +182,7 @@ def _more_than_one(group: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def counted(units: DataFrame) -> DataFrame:
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in rows_of(b):
@@ -197,6 +198,7 @@ def described(units: DataFrame, bits: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("unit", pa.int64()), ("at", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()),
                         ("spent", pa.int64()), ("elements", pa.binary()), ("sketch", pa.binary())])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in rows_of(b):
@@ -237,6 +239,7 @@ def bundled(nodes: DataFrame, unit_bytes: int) -> DataFrame:
     """Nodes in units of about ``unit_bytes`` of elements, a row a unit."""
     from pyspark import TaskContext
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for k, b in enumerate(slices(batches, "elements", unit_bytes)):
@@ -252,6 +255,7 @@ def _bundle_elements(r: dict) -> np.ndarray:
 
 
 def bundles_counted(bundles: DataFrame) -> DataFrame:
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in rows_of(b):
@@ -266,6 +270,7 @@ def thinned(bundles: DataFrame, bits: DataFrame, size: int) -> DataFrame:
     spent; no elements where too many are lone for a partner."""
     schema = pa.schema([(c, pa.binary() if c in ("elements", "sketch") else pa.int64()) for c in _NODE])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in rows_of(b):
@@ -305,6 +310,7 @@ def _fits(na: Column, sa: Column, nb: Column, sb: Column) -> Column:
 def hub_pairs(members: DataFrame, hub_keys: int, seed: int) -> DataFrame:
     """Under each of the sets' smallest keys one set of every component, against
     one hub: pairs grow with the components that share a key, not their square."""
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "elements"):
             x, comp = Batch(b), b.column("comp").to_numpy()
@@ -343,12 +349,14 @@ def verify(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of ``pairs(a, b)`` with 100 * intersection >= 80 * union.  Pairs that
     the sketches rule out for certain are dropped first (a few bytes a pair);
     only the sets of the rest are shuffled."""
+    @releasing
     def ruled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             most = (b.column(2).to_numpy() + b.column(3).to_numpy()) // 9
             keep = [sketch_distance(x, y) <= m for x, y, m in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)], names=["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
+    @releasing
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(slices(batches, "xa", 4_000_000), "xb", 4_000_000):
             keep = []
@@ -368,6 +376,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
 def key_costs(members: DataFrame, parts: int, limit: float, flush: int = 400_000) -> DataFrame:
     """``key, cost``: keys that lie in more than one component, and the pairs
     across components they stand for (no more than the spent differences allow)."""
+    @releasing
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
@@ -398,6 +407,7 @@ def key_costs(members: DataFrame, parts: int, limit: float, flush: int = 400_000
         if size:
             yield out()
 
+    @releasing_group
     def combine(t: pa.Table) -> pa.Table:
         k, c, s, n, z, y = _grouped(*(np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()]) for name, kind in
                                       (("k", np.uint64), ("c", np.int64), ("s", np.int32), ("n", np.int32), ("z", np.int32), ("y", np.int32))))
@@ -439,6 +449,7 @@ def lookups(members: DataFrame, hot: np.ndarray, wanted: np.ndarray | None) -> D
     one row without a key for each set that has too few units in a band."""
     known = members.sparkSession.sparkContext.broadcast((hot, wanted))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, wanted = known.value
         for b in slices(batches, "elements"):
@@ -479,6 +490,7 @@ def placed(members: DataFrame, pivots: DataFrame | None) -> DataFrame:
 def pivots_of(members: DataFrame, busy: np.ndarray, nodes: DataFrame) -> DataFrame:
     """Each set under a busy key, and the least spent of these keys' hubs: one exact
     comparison a set."""
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(slices(batches, "xa", 4_000_000), "xb", 4_000_000):
             n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
@@ -493,6 +505,7 @@ def pivots_of(members: DataFrame, busy: np.ndarray, nodes: DataFrame) -> DataFra
     order = np.argsort(key.view(np.uint64))
     known = members.sparkSession.sparkContext.broadcast((key.view(np.uint64)[order], spent[order], fp[order]))
 
+    @releasing
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, spent, fp = known.value
         for b in slices(batches, "elements"):
@@ -553,13 +566,13 @@ def element_pairs(members: DataFrame, short: DataFrame, scratch: Scratch, small:
             yield pa.RecordBatch.from_arrays([_i64(key), _i64(x.fp[row]), _i64(x.n[row]), _i64(comp[row]), _i64(x.spent[row]),
                                               *[_i64(c[row]) for c in rest]], names=["key", "fp", "n", "comp", "spent", "pivot", "far", "near"])
 
-    mine = scratch.store("short_elements", cols.join(short, "fp", "left_semi").mapInArrow(lambda b: spread(b, None), _PLACED))
+    mine = scratch.store("short_elements", cols.join(short, "fp", "left_semi").mapInArrow(releasing(lambda b: spread(b, None)), _PLACED))
     keys = mine.select("key").distinct()
     if keys.count() <= small:
         asked = members.sparkSession.sparkContext.broadcast(_sorted_keys(keys))
-        every = cols.mapInArrow(lambda b: spread(b, asked.value), _PLACED)
+        every = cols.mapInArrow(releasing(lambda b: spread(b, asked.value)), _PLACED)
     else:
-        every = cols.mapInArrow(lambda b: spread(b, None), _PLACED).join(keys, "key", "left_semi")
+        every = cols.mapInArrow(releasing(lambda b: spread(b, None)), _PLACED).join(keys, "key", "left_semi")
     every = scratch.store("elements", every)
     freq = every.groupBy("key").count()
     rank = F.row_number().over(Window.partitionBy("fp").orderBy("count", "key"))  # the elements of one set

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regiolens.llm.common import Scratch, crc_mod, mix64, slices, table
+from regiolens.llm.common import Scratch, crc_mod, mix64, releasing, slices, table
 
 N = 4
 PIECE = 400_000  # characters looked at together
@@ -156,6 +156,7 @@ class Model:
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_share: float = 2e-5,
           near_top: float = 0.25, flush: int = 1_000_000) -> Model:
     """Fit on every row of ``docs`` with a language; counts cover all of them."""
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
@@ -212,6 +213,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
     src = docs.select(F.col(text_col).cast("string").alias("_text"), F.struct(*cols).alias("_row"))
     known = docs.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = known.value.predict(b.column(0).to_pylist())
@@ -232,6 +234,7 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = docs.sparkSession.sparkContext.broadcast(train(docs, text_col=text_col, lang_col=lang_col))
     at = docs.columns.index(text_col)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col, 4_000_000):
             found = known.value.predict(b.column(at).cast(pa.string()).to_pylist())

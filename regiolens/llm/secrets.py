@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiolens.llm.common import ASCII_LOWER, Scratch, table
+from regiolens.llm.common import ASCII_LOWER, Scratch, releasing, slices, table
 
 KINDS = ("assign", "access", "hex", "cred")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -133,6 +133,7 @@ def word_ranks(docs: DataFrame, *, text_col: str = "text", min_share: float = MI
                longest: int = LONGEST_WORD, flush: int = 200_000) -> dict[str, int]:
     """Ranks of the words (a-z runs) with at least ``min_share`` of all word
     places, counted over all documents; at most ``1 / min_share`` entries."""
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(c: Counter) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([k.decode() for k in c], pa.string()),
@@ -168,6 +169,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(dict(ranks) if ranks is not None else word_ranks(docs, text_col=text_col))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = known.value
         for b in batches:
@@ -199,9 +201,10 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", chars_col: str |
     known = spark.sparkContext.broadcast(dict(ranks) if ranks is not None else word_ranks(docs, text_col=text_col))
     at, length = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = known.value
-        for b in batches:
+        for b in slices(batches, text_col, 4_000_000):
             raw = b.column(at).cast(pa.binary()).to_pylist()
             texts, changed = list(raw), {}
             for i, x in enumerate(raw):
